@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import packing, token_files
+from graphloom.llm import neighbours, packing, quality, token_files, toxicity, training, url_filter
 from graphloom.session import table
 
 QUERIES = {}
@@ -28,6 +28,11 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_neighbours")
+def op1_neighbours(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query("op8_token_files")
 def op8_token_files(spark, sf_dir):
     folder = token_files.token_files_folder(spark)
@@ -38,3 +43,40 @@ def op8_token_files(spark, sf_dir):
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1)
+
+
+def _scored(rows, folds: int, held: int):
+    held_out = F.coalesce(training.fold("doc_id", folds) == held, F.lit(False))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def toxicity_model(spark, docs, labels):
+    """Learns from rows whose crc32 of the id, modulo 5, is not 0."""
+    return toxicity.train(training.labelled_sample(docs, labels, "toxic", training.fold("_id", 5) != 0, toxicity.ROWS))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, toxicity_model(spark, docs, table(spark, sf_dir, "labels"))), 5, 0)
+
+
+#: (verdict, host, path)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op3_url_filter")
+def op3_url_filter(spark, sf_dir):
+    labelled = spark.createDataFrame(url_filter.labelled_urls(), "url string, label int")
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, url_filter.train(labelled))
+
+
+def quality_model(spark, docs, labels):
+    """Learns from rows whose crc32 of the id, modulo 3, is not 1."""
+    return quality.train(training.labelled_sample(docs, labels, "quality", training.fold("_id", 3) != 1, quality.ROWS))
+
+
+@query("op5_quality")
+def op5_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return _scored(quality.score(docs, quality_model(spark, docs, table(spark, sf_dir, "labels"))), 3, 1)

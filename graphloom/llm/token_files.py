@@ -31,6 +31,8 @@ from graphloom.session import shared_dir, stage
 
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, BATCH = 2048, 64
+#: Tasks that read files at most.
+MOST_READERS = 10_000
 
 
 class _Writer:
@@ -156,7 +158,8 @@ def read_token_files(manifest: DataFrame, folder: str, keep_ids: bool = True) ->
                         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    files = manifest.select("file", "start").repartition(F.col("file"))
+    # a row a file; with a number of partitions Spark keeps them apart
+    files = manifest.select("file", "start").repartition(max(1, min(manifest.count(), MOST_READERS)), "file")
     return files.mapInArrow(read, schema)
 
 
