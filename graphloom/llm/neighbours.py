@@ -13,8 +13,8 @@ that many queries visit, are dealt out in blocks.
 
 Rows take no part (as queries or candidates) if the id or the vector is null, if the vector
 is empty or all zero, holds null or non-finite components, or has another size than most
-rows of the sample.  Ties go to the smaller id.  Of repeated ids each row is a candidate,
-but none for a query of that id.  An empty table, or one without queries, gives no rows.
+rows of the sample.  Ties go to the smaller id.  Repeated rows count once; an id with several
+vectors is a candidate with each of them and asks with the smallest, never finding itself.  An empty table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
@@ -151,7 +151,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, recall: float = 0.9
     rows = rows.where(F.size("v") == size)
     # k + 1 ids of each distinct vector: Spark keeps no more of a vector before and after the shuffle
     same = Window.partitionBy("v").orderBy("vec_id")
-    distinct = rows.select("v", "vec_id").withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    distinct = rows.select("v", "vec_id").withColumn("n", F.dense_rank().over(same)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
     distinct = stage(distinct, "vectors")
     bound = max(50, min(SAMPLE, SAMPLE_NUMBERS // size))
     sample = distinct.orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(bound).select("v").toPandas()["v"]
@@ -185,7 +185,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, recall: float = 0.9
                 part = batch.take(pa.array(ids[a : a + 10_000], pa.int64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaf[a : a + 10_000], pa.int64())], names=["query_id", "v", "leaf"])
 
-    asked = stage(rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").mapInArrow(visit, "query_id long, v array<double>, leaf long"), "visits")
+    asked = stage(rows.where("asks").select(F.col("vec_id").alias("query_id"), "v").groupBy("query_id").agg(F.min("v").alias("v")).mapInArrow(visit, "query_id long, v array<double>, leaf long"), "visits")
     blocks = asked.groupBy("leaf").agg(F.count("*").alias("queries")).join(candidates.groupBy("leaf").agg(F.count("*").alias("rows")), "leaf")
     blocks = F.broadcast(blocks.select("leaf", F.ceil(F.col("rows") / BLOCK).alias("b"), F.ceil(F.col("queries") / QUERY_BLOCK).alias("c")))
     # every block of a leaf's rows meets every block of its queries once
