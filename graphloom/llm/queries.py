@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import neighbours, packing, quality, token_files, toxicity, training, url_filter
+from graphloom.llm import near_duplicates, neighbours, packing, quality, token_files, toxicity, training, url_filter
 from graphloom.session import table
 
 QUERIES = {}
@@ -33,6 +33,11 @@ def op1_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query("op7_ngram_jaccard")
+def op7_ngram_jaccard(spark, sf_dir):
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op8_token_files")
 def op8_token_files(spark, sf_dir):
     folder = token_files.token_files_folder(spark)
