@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import near_duplicates, neighbours, packing, quality, token_files, toxicity, training, url_filter
+from graphloom.llm import fingerprints, near_duplicates, neighbours, packing, personal_data, quality, token_files, toxicity, training, url_filter
 from graphloom.session import table
 
 QUERIES = {}
@@ -38,6 +38,19 @@ def op7_ngram_jaccard(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op4_personal_data")
+def op4_personal_data(spark, sf_dir):
+    """Counts are of base spans; `spans` also has what the method adds, behind them."""
+    rows = personal_data.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select(
+        "doc_id",
+        *(count(k) for k in personal_data.KINDS),
+        F.sha2(personal_data.as_text(F.col("base")), 256).alias("base_sha256"),
+        personal_data.as_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op8_token_files")
 def op8_token_files(spark, sf_dir):
     folder = token_files.token_files_folder(spark)
@@ -45,6 +58,11 @@ def op8_token_files(spark, sf_dir):
     return token_files.read_token_files(manifest, folder, keep_ids=False)
 
 
+@query("op9_fingerprints")
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 @query("op10_packing")
 def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), 1)
