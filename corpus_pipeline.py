@@ -1,8 +1,62 @@
-"""Placeholder until all stages stand."""
+"""From raw documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes (session, documents, folder of tables) and works on all documents that the
+stage before kept; all but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.llm import near_duplicates, packing, personal_data, quality, queries, toxicity
+from graphloom.session import importable, stage, table
+
+
+def reject_toxic(spark, docs, sf_dir):
+    """Documents that the toxicity classifier does not call toxic."""
+    model = queries.toxicity_model(spark, docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.scorer(model)(F.coalesce("text", F.lit(""))) < 0.5)
+
+
+def reject_bad(spark, docs, sf_dir):
+    """Documents that the quality classifier calls good."""
+    model = queries.quality_model(spark, docs, table(spark, sf_dir, "labels"))
+    return docs.where(quality.scorer(model)(F.coalesce("text", F.lit(""))) >= 0.5)
+
+
+def keep_one_of_each_group(spark, docs, sf_dir):
+    """Of each group of near duplicates the document with the smallest id; documents without an id stay."""
+    groups = near_duplicates.near_duplicates(docs)
+    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def mask_personal_data(spark, docs, sf_dir):
+    """The same documents with personal data replaced by its kind, and n_chars counted again."""
+    masked = personal_data.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark, docs, sf_dir):
+    """Pieces of the documents in sequences of at most 2048 ids."""
+    return packing.pack(docs, queries.tokenizer_file("word_bpe_49k.json"), 1)
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("quality classifier", reject_bad),
+    ("n-gram Jaccard join", keep_one_of_each_group),
+    ("PII", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: The classifiers are trained: SQL cannot express the rows.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    importable(spark)
+    rows = table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        rows = stage(function(spark, rows, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, rows, sf_dir)

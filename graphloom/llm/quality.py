@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -214,3 +215,13 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(put, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def scorer(model):
+    """The score of a column of texts, as a function of columns."""
+
+    @F.pandas_udf("double")
+    def put(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.score(pa.array(texts, pa.large_string())))
+
+    return put

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, near_duplicates, neighbours, packing, personal_data, quality, token_files, toxicity, training, url_filter
+from graphloom.llm import fingerprints, near_duplicates, neighbours, packing, personal_data, quality, sentencepiece_scan, token_files, toxicity, training, url_filter
 from graphloom.session import table
 
 QUERIES = {}
@@ -33,6 +33,13 @@ def op1_neighbours(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+@query("op6_sentencepiece")
+def op6_sentencepiece(spark, sf_dir):
+    """Encodes every whole text and decodes the ids again."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    return sentencepiece_scan.digest(sentencepiece_scan.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 @query("op7_ngram_jaccard")
 def op7_ngram_jaccard(spark, sf_dir):
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
