@@ -75,9 +75,18 @@ def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> LabelM
     """Expectation-maximization over the votes; `prior`, the share of toxic documents, is held."""
     n, m = votes.shape
     kinds = np.stack([votes == k for k in range(3)]).astype(np.float32)
-    toxic, clean = (votes == 1).sum(1), (votes == 2).sum(1)
+    x = (votes == 1).astype(np.float64) - (votes == 2)
+
+    def shares(left, least):
+        left = left - left.mean(0)
+        corr = np.abs(left.T @ left) / (np.outer(*[np.linalg.norm(left, axis=0)] * 2) + 1e-9)
+        np.fill_diagonal(corr, 1)
+        return 1 / np.where(corr > least, corr, 0).sum(1)
+
+    # voters that say nearly the same share their weight from the start, lest they make the class
+    share = shares(x, 0.8)
+    toxic, clean = (votes == 1) @ share, (votes == 2) @ share
     q = np.where(toxic > clean, 0.9, np.where(toxic > 0, 0.6, 0.02))
-    share = np.ones(m)
 
     def tables(q):
         out = np.stack([np.stack([w @ kinds[k] for k in range(3)], 1) + np.array([1.0, 0.05, 0.05]) for w in (1 - q, q)])
@@ -93,12 +102,8 @@ def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> LabelM
             q = new
         if again == 0:
             # what the class does not explain: correlation of the votes given the posterior
-            x = (votes == 1).astype(np.float64) - (votes == 2)
             mean = [((1 - q) @ x) / (1 - q).sum(), (q @ x) / q.sum()]
-            left = x - ((1 - q)[:, None] * mean[0] + q[:, None] * mean[1])
-            left /= left.std(0) + 1e-9
-            corr = np.abs(left.T @ left / n)
-            share = 1 / np.where(corr > 0.2, corr, 0).sum(1).clip(1)
+            share = shares(x - ((1 - q)[:, None] * mean[0] + q[:, None] * mean[1]), 0.2)
             model = LabelModel(prior, model.tables, share)
     return model
 
