@@ -2,35 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-from pyspark.sql import Window
+from graphloom.plans import analytics, chunking, graphs, retrieval, streams
 
-from graphloom.session import table
-
-QUERIES = {}
-ORACLES = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query, with the SQL that gives the same rows."""
-
-    def put(function):
-        QUERIES[name] = function
-        if sql is not None:
-            ORACLES[name] = sql
-        return function
-
-    return put
-
-
-@query(
-    "language_distribution",
-    """
-    SELECT lang, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars,
-           round(100.0 * sum(n_chars) / sum(sum(n_chars)) OVER (), 1) AS pct
-    FROM documents GROUP BY lang
-    """,
-)
-def language_distribution(spark, sf_dir):
-    by = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
-    return by.withColumn("pct", F.round(100.0 * F.col("chars") / F.sum("chars").over(Window.partitionBy()), 1))
+QUERIES, ORACLES = {}, {}
+for _part in (analytics, chunking, graphs, retrieval, streams):
+    QUERIES |= _part.registry.queries
+    ORACLES |= _part.registry.oracles
