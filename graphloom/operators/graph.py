@@ -174,7 +174,7 @@ def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame,
     calls = parsed.select("file", F.explode("calls").alias("s"))
     callers = calls.select("file", F.col("s.caller").alias("name"), none.alias("receiver")).distinct().withColumn("ref_id", F.concat_ws("|", "file", "name"))
     callers = callers.join(resolve(callers, symbols), "ref_id").join(symbols.select(F.col("id").alias("target"), F.col("file").alias("at")), "target").where("file = at").select("file", F.col("name").alias("caller"), F.col("target").alias("src"))
-    called = calls.join(callers, (calls["file"] == callers["file"]) & (F.col("s.caller") == F.col("caller"))).select(calls["file"], "s", "src")
+    called = calls.withColumn("caller", F.col("s.caller")).join(callers, ["file", "caller"]).select("file", "s", "src")
     receiver = F.when(F.col("s.receiver").isin("self", "this", "cls"), none).otherwise(F.col("s.receiver"))
     for part in (
         resolved(bases, none, F.col("base"), class_id, F.lit("EXTENDS")), resolved(interfaces, none, F.col("base"), class_id, F.lit("IMPLEMENTS")),
