@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators import analysis, chunks, diagrams, graph, parse, paths, ranking
+from graphloom.session import stage
 from graphloom.sources import cache, repository
 
 API = '''"""Shop."""
@@ -226,3 +227,30 @@ def test_scalars(spark):
     df = spark.createDataFrame([("APIModel", "https://github.com/me/repo.git", "How does `a.b` work in UserService? explain my_name")], "n string, u string, q string")
     r = df.select(T.snake_case(F.col("n")).alias("s"), *repository.owner_and_name(F.col("u")), T.symbol_candidates(F.col("q")).alias("c"), T.plan_tools(F.col("q")).alias("p"), T.strategy(F.col("q")).alias("g")).first()
     assert r.s == "a_p_i_model" and (r.owner, r.name) == ("me", "repo") and r.c == ["How", "UserService", "a.b", "my_name"] and r.g == "vector" and r.p == ["search_graph", "explain_function"] or r.p[-1] == "search_code"
+
+
+def test_report(parsed):
+    from graphloom.operators import report
+
+    tables = {k: v.collect() for k, v in report.report(parsed).items()}
+    (s,) = tables["summary"]
+    assert s.files == 6 and s.classes == 4 and s.endpoints == 2
+    assert abs(sum(r.pct for r in tables["languages"]) - 100) < 0.3 and sum(r.files for r in tables["complexity"]) == 6
+    assert ("shop/api.py", "shop/db.py") in {(r.source, r.target) for r in tables["imports"]} and ("shop/api.py", "ext:os") in {(r.source, r.target) for r in tables["imports"]}
+    assert "unused" in {r.name for r in tables["dead_code"]} and tables["heatmap"][0].intensity <= 1
+
+
+def test_assistant(spark, tree, parsed):
+    from graphloom.operators import assistant, vectors
+
+    sources = tree.select(F.col("path").alias("file"), "content")
+    nodes, edges = graph.build(parsed, sources, "me/shop")
+    found = chunks.semantic_chunks(parsed, sources)
+    index = assistant.Index(stage(nodes, "nodes"), stage(edges, "edges"), stage(vectors.hashing_embedder(found, "code", "vector"), "chunks"), "me/shop")
+    assert assistant.answer(index, "Who owns this repo?")["answer"].startswith("me/shop belongs to me")
+    out = assistant.answer(index, "explain `read_order` and its api route")
+    assert out["tools"][0] == "trace_request_flow" and out["citations"].count() > 0 and 0 <= out["confidence"] <= 0.75 and out["next"]
+    hits = assistant.hybrid(index, "what calls `helper`, and the dependency of `read_order`").collect()
+    assert hits and all(0 <= h.score <= 1 for h in hits)
+    for tool, run in assistant.TOOLS.items():
+        assert set(assistant.HIT) <= set(run(index, "bug in load", ["read_order"]).columns), tool
