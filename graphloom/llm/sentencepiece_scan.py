@@ -35,6 +35,8 @@ from graphloom.session import stage
 BLANK = "▁"
 #: What an unknown character costs below the worst piece; characters of a giant text, of a chunk; chunks of a run; units remembered.
 UNKNOWN, GIANT, CHUNK, RUN, MOST_REMEMBERED = 10.0, 65_536, 4_096, 256, 500_000
+#: Chunks of a task, and tasks at most.
+TASK_CHUNKS, MOST_TASKS = 16, 10_000
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _WORKERS: dict[str, "Pieces"] = {}
@@ -109,43 +111,52 @@ class Pieces:
                 out += [self.byte_ids.get(b, self.unknown_id) for b in text[end].encode("utf-8", "replace")] if self.byte_ids else [self.unknown_id]
         return out
 
-    def best(self, units: list[str]) -> list[list[int]]:
-        """The best segmentation of each unit."""
-        out: list = [None] * len(units)
+    def best(self, units: list[str]) -> list[bytes]:
+        """The best segmentation of each unit, as 32-bit ids."""
+        out = [b""] * len(units)
         order = sorted(range(len(units)), key=lambda i: len(units[i]))
-        at = 0
+        at = int(np.searchsorted([len(units[i]) for i in order], 1)) if units else 0
         while at < len(order):
             width = len(units[order[at]])
-            rows = max(1, 2_000_000 // max(1, width * min(self.longest, max(1, width))))
+            rows = max(1, 2_000_000 // (width * min(self.longest, width)))
             group = []
             while at < len(order) and len(group) < rows and len(units[order[at]]) <= width + max(2, width // 8):
                 group.append(order[at])
                 at += 1
-            width = max(len(units[i]) for i in group)
-            if not width:
-                for i in group:
-                    out[i] = []
-                continue
+            size = np.array([len(units[i]) for i in group])
+            width = int(size.max())
+            raw = np.frombuffer("".join([units[i] for i in group]).encode("utf-32-le", "surrogatepass"), np.uint32)
             codes = np.zeros((len(group), width), np.int64)
-            for k, i in enumerate(group):
-                codes[k, : len(units[i])] = np.frombuffer(units[i].encode("utf-32-le", "surrogatepass"), np.uint32)
+            codes[np.arange(width)[None] < size[:, None]] = raw
             ids, scores = self.look(codes)
             total = np.full((len(group), width + 1), -np.inf)
             total[:, 0] = 0
             back = np.zeros((len(group), width), np.int64)
+            all_ = np.arange(len(group))
             for t in range(width):
                 span = min(t + 1, scores.shape[2])
                 options = total[:, t + 1 - span : t + 1][:, ::-1] + scores[:, t, :span]
                 back[:, t] = options.argmax(1)
-                total[:, t + 1] = options[np.arange(len(group)), back[:, t]]
-            for k, i in enumerate(group):
-                t, found, ends = len(units[i]) - 1, [], []
+                total[:, t + 1] = options[all_, back[:, t]]
+            chosen = np.take_along_axis(ids, back[:, :, None], 2)[:, :, 0]
+            # all units are traced back at once: -2 for those that are at their start
+            t, steps = size - 1, []
+            while (t >= 0).any():
+                here = np.maximum(t, 0)
+                steps.append(np.where(t >= 0, chosen[all_, here], -2))
+                t = np.where(t >= 0, t - back[all_, here] - 1, -1)
+            found = np.stack(steps[::-1], 1)
+            real = found != -2
+            flat, ends = found[real].astype(np.int32).tobytes(), np.cumsum(real.sum(1)) * 4
+            for i, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist()):
+                out[i] = flat[a:b]
+            for k in np.flatnonzero((found == -1).any(1)).tolist():
+                places, t = [], int(size[k]) - 1
                 while t >= 0:
-                    b = int(back[k, t])
-                    found.append(int(ids[k, t, b]))
-                    ends.append(t)
-                    t -= b + 1
-                out[i] = self.spelled(found[::-1], units[i], ends[::-1])
+                    places.append(t)
+                    t -= int(back[k, t]) + 1
+                places.reverse()
+                out[group[k]] = np.array(self.spelled([int(chosen[k, t]) for t in places], units[group[k]], places), np.int32).tobytes()
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -157,7 +168,7 @@ class Pieces:
             self.known.clear()
             new = list({u for units in split for u in units})
         for u, ids in zip(new, self.best(new)):
-            self.known[u] = np.array(ids, np.int32).tobytes()
+            self.known[u] = ids
         return [np.frombuffer(b"".join([self.known[u] for u in units]), np.int32) for units in split]
 
     def matrix(self, before: str, chunk: str) -> np.ndarray:
@@ -280,8 +291,9 @@ def _giant(rows: DataFrame, kind: str, model: str, chunk: int, run: int) -> Data
                 made = [code.matrix(b, t).tobytes() for b, t in zip(batch.column("before").to_pylist(), batch.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(made, pa.binary())], names=["key", "chunk", "m"])
 
-    # a chunk's work is far larger than its row
-    made = stage(chunks.repartition("key", "chunk").mapInArrow(matrices, "key string, chunk long, m binary"), "matrices").withColumn("run", F.floor(F.col("chunk") / run))
+    # a chunk's work is far larger than its row: a number keeps Spark from putting them together
+    tasks = max(1, min(MOST_TASKS, chunks.count() // TASK_CHUNKS + 1))
+    made = stage(chunks.repartition(tasks, "key", "chunk").mapInArrow(matrices, "key string, chunk long, m binary"), "matrices").withColumn("run", F.floor(F.col("chunk") / run))
 
     def load(m: bytes) -> np.ndarray:
         side = int(round((len(m) // 8) ** 0.5))
@@ -328,7 +340,7 @@ def _giant(rows: DataFrame, kind: str, model: str, chunk: int, run: int) -> Data
             ids = [code.trace(b, t, f, e) for b, t, f, e in zip(d["before"], d["text"], d["first"], d["last"])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "chunk", "ids"])
 
-    traced = chunks.join(inner, ["key", "chunk"]).mapInArrow(trace, "key string, chunk long, ids array<int>")
+    traced = chunks.join(inner, ["key", "chunk"]).repartition(tasks, "key", "chunk").mapInArrow(trace, "key string, chunk long, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
     copies = keyed.select("key", "doc_id", "count").join(whole, "key")
     return copies.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("doc_id", "ids")
