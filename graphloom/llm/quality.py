@@ -222,6 +222,7 @@ def scorer(model):
 
     @F.pandas_udf("double")
     def put(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(pa.array(texts, pa.large_string())))
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+        return pd.Series(np.concatenate([np.zeros(0), *(model.score(b.column("text")) for b in blocks(batch))]))
 
     return put

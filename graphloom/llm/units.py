@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct units whose ids a worker remembers; beyond it the memory starts anew.
-MAX_REMEMBERED = 1_000_000
+MAX_REMEMBERED = 600_000
 #: Characters that are put through in one go; bounds a worker's memory.
 BLOCK_CHARS = 6_000_000
 
@@ -158,3 +158,4 @@ def blocks(batch: pa.RecordBatch, column: str = "text", most: int = BLOCK_CHARS)
         held += x
     if len(size) > start:
         yield batch.slice(start, len(size) - start)
+    pa.default_memory_pool().release_unused()
