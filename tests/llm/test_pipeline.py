@@ -35,3 +35,22 @@ def test_stages(spark):
     whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
     assert whole.where("n <> m").count() == 0 and whole.count() == rows.count()
     assert toxic
+
+
+def test_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing extra columns, and no rows."""
+    from .conftest import ODD
+
+    where = str(tmp_path)
+    spark.createDataFrame([(2, 1, 0), (4, 0, 1), (None, 1, 0), (9, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    rows = [(i, t, None, "s" if i else None, None, "x", 1.0) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, label string, score double")
+    for name, function in corpus_pipeline.STAGES:
+        made = function(spark, docs, where)
+        if name != "packing":
+            assert made.columns == docs.columns
+        if name == "n-gram Jaccard join":
+            assert sorted((r.doc_id or -1) for r in made.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7, 8]
+        else:
+            assert made.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        assert function(spark, docs.limit(0), where).count() == 0
