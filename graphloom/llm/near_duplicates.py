@@ -12,12 +12,13 @@ in a candidate's sorted set, which is DivideSkip's division.
 1. Half of all shingles, chosen by hash, come first in the order, by frequency; the others,
    needed for texts with few of the first half, follow by hash.  Shingles of one text alone
    cost nothing further, and a text with enough of them has no candidates at all.
-2. Each text meets one pivot of each of its short lists; those links are checked and joined
-   to groups, so that a large group of near copies costs a star, not all its pairs.
-3. All pairs of a short list that are not in one group yet are looked at, without emitting
-   them: their sizes, then 1024-bit parity sketches, whose distance is never above the true
-   difference, rule out nearly all; what is left is checked exactly.  Long lists are dealt
-   out in blocks.
+2. In a short list, pairs of texts are looked at without emitting them: their sizes, then
+   1024-bit parity sketches, whose distance is never above the true difference, rule out
+   nearly all that do not link.  Long lists are dealt out in blocks.
+3. In rounds, each text is checked exactly with the nearest by sketch of those that are
+   left open and not in its group yet, and links join groups; so a large group of near
+   copies costs a few pairs for each text, not all its pairs.  When a round finds no link
+   (or after MOST_ROUNDS), every pair that is still open is checked.
 
 No pair that links escapes; nothing is capped or sampled.
 
@@ -42,6 +43,8 @@ from graphloom.session import stage
 PERCENT = 75
 #: Entries of a list that meet in one task; bits of a sketch.
 BLOCK, BITS = 1_500, 1_024
+#: Rounds in which each text meets its nearest open partner, at most.
+MOST_ROUNDS = 3
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -170,20 +173,26 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(one, "a").join(two, "b").mapInArrow(probe, "a long, b long")
 
 
+def _starred(edges: DataFrame) -> DataFrame:
+    """One large star and one small star: (u, v) with v < u, connecting what the edges connect."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+    return small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the smallest node that it is connected with), by alternating large and small stars.
 
     `edges`: a, b.  Nodes that are the smallest themselves are given as well."""
-    edges = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    last = None
+    edges, last = stage(_ends(edges), "edges"), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = stage(small, "edges")
+        edges = stage(_starred(edges), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
         if now == last:
             break
@@ -191,43 +200,71 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _others(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one list and of different groups that sizes and sketches leave open."""
-    held = lists.withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("token")) / BLOCK))
+def _joined(edges: DataFrame, stars: int = 2) -> DataFrame:
+    """node, label: nodes of one label are connected, though not all that are connected have one label
+    yet; enough to leave out pairs, and a few shuffles only."""
+    edges = _ends(edges)
+    for _ in range(stars):
+        edges = stage(_starred(edges), "stars")
+    low = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+    roots = edges.select(F.col("v").alias("node")).distinct().join(low, "node", "left_anti")
+    return low.unionByName(roots.select("node", F.col("node").alias("label")))
+
+
+def _others(lists: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of one list and of different groups that sizes and sketches leave open: all of
+    them, or for each text (a) the one with the nearest sketch."""
+    token = Window.partitionBy("token")
+    held = lists.withColumn("parts", F.ceil(F.count("*").over(token) / BLOCK))
+    held = held.withColumn("mixed", F.min("label").over(token) != F.max("label").over(token)).where("mixed")
     held = held.withColumn("part", F.pmod(F.xxhash64("fp"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     held = held.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "fp", "n", "bits", "label")
 
-    def pairs_of(run: pa.RecordBatch):
+    def look(run: pa.RecordBatch, found: dict):
         n, part = np.asarray(run.column("n"), np.int64), np.asarray(run.column("part"), np.int64)
         fp, label = np.asarray(run.column("fp"), np.int64), np.asarray(run.column("label"), np.int64)
-        if len(n) < 2 or (label == label[0]).all():
+        if (label == label[0]).all():
             return
         bits = _bits(run.column("bits"))
-        one = part[0] == part[-1] and (part == part[0]).all()
+        one = (part == part[0]).all()
+        nearest, partner = np.full(len(n), BITS + 1), np.zeros(len(n), np.int64)
         for i in range(len(n) - 1):
             rest = slice(i + 1, None)
             open_ = (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
             if not one:
                 open_ &= part[rest] != part[i]
             at = np.flatnonzero(open_) + i + 1
-            if len(at):
-                differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1)
-                for j in at[differ <= _allowed(n[at], n[i], percent)].tolist():
-                    yield min(fp[i], fp[j]), max(fp[i], fp[j])
+            if not len(at):
+                continue
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1).astype(np.int64)
+            near = differ <= _allowed(n[at], n[i], percent)
+            at, differ = at[near], differ[near]
+            if not len(at):
+                continue
+            if every:
+                found.update(dict.fromkeys((int(min(fp[i], fp[j])), int(max(fp[i], fp[j]))) for j in at.tolist()))
+                continue
+            k = int(differ.argmin())
+            if differ[k] < nearest[i]:
+                nearest[i], partner[i] = differ[k], fp[at[k]]
+            better = differ < nearest[at]
+            nearest[at[better]], partner[at[better]] = differ[better], fp[i]
+        for i in np.flatnonzero(nearest <= BITS).tolist():
+            mine = (int(nearest[i]), int(partner[i]))
+            found[int(fp[i])] = min(found.get(int(fp[i]), mine), mine)
 
     def give(batches):
-        held = []
-        found: set = set()
+        held: list = []
+        found: dict = {}
 
         def out():
-            rows = list(found)
+            rows = list(found) if every else [(a, b) for a, (_, b) in found.items()]
             found.clear()
-            return pa.RecordBatch.from_pydict({"a": pa.array([int(a) for a, _ in rows], pa.int64()), "b": pa.array([int(b) for _, b in rows], pa.int64())})
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in rows], pa.int64()), "b": pa.array([b for _, b in rows], pa.int64())})
 
         def runs(last: bool):
             """The lists that are complete; the last one may go on in the next batch."""
-            table = pa.Table.from_batches(held).combine_chunks()
-            batch = table.to_batches()[0]
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             keys = np.stack([np.asarray(batch.column(c), np.int64) for c in ("token", "p", "q")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
             bounds = [0, *cuts.tolist(), len(batch)]
@@ -237,13 +274,13 @@ def _others(lists: DataFrame, percent: int) -> DataFrame:
                 bounds.pop()
             for a, b in zip(bounds, bounds[1:]):
                 if b - a > 1:
-                    found.update(pairs_of(batch.slice(a, b - a)))
+                    look(batch.slice(a, b - a), found)
 
         for batch in batches:
             if len(batch):
                 held.append(batch)
                 runs(False)
-                if len(found) > 100_000:
+                if len(found) > 200_000:
                     yield out()
         if held:
             runs(True)
@@ -260,15 +297,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     involved = lists.select("fp").distinct()
     wanted = counts.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(involved, "fp")
     sets = stage(_sets(docs, wanted), "sets")
-    # one pivot of each list
-    pivots = lists.groupBy("token").agg(F.min("fp").alias("b"))
-    star = lists.join(pivots, "token").where("fp <> b").select(F.greatest("fp", "b").alias("a"), F.least("fp", "b").alias("b")).distinct()
-    links = stage(_check(star, sets, percent), "links")
-    groups = stage(components(links), "groups")
-    # pairs of a list that are not in one group yet
-    labelled = sets.select("fp", "n", "bits").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    more = stage(_check(_others(lists.join(labelled, "fp"), percent), sets, percent), "more-links")
-    every = components(links.unionByName(more))
+    small = sets.select("fp", "n", "bits")
+    links, groups, active = None, None, small
+    for i in range(MOST_ROUNDS + 1):
+        labelled = active if groups is None else active.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+        labelled = labelled.withColumn("label", F.coalesce("label", "fp") if groups is not None else F.col("fp"))
+        last = i == MOST_ROUNDS or (i > 0 and joined == 0)
+        open_ = stage(_others(lists.join(labelled, "fp"), percent, every=last), "open-pairs")
+        pairs = open_.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        more = stage(_check(pairs, sets, percent), "links")
+        joined = more.count()
+        links = more if links is None else links.unionByName(more)
+        if last:
+            break
+        # a text without an open pair now has none later: groups only grow
+        active = stage(active.join(open_.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi"), "active")
+        if joined:
+            groups = stage(_joined(links), "groups")
+    every = components(links)
     ids = counts.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     ids = stage(ids.join(every.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label")), "ids")
     smallest = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
