@@ -3,10 +3,14 @@
 A text's words (runs without white space; the single characters of a text of under SHORT
 characters, which has few words) are hashed.  A run of K words is a closed syncmer
 if, of its inner runs of S words, one with the smallest hash lies at its first or last
-place; that depends on these K words only, so an edit moves no anchor elsewhere.  `anchors`
-gives all of a text's syncmers with their places, for positional matching; a fingerprint
-is the SKETCH smallest distinct syncmer hashes, and the likeness of two fingerprints is
-the share of the SKETCH smallest hashes of both that both have (0 to 1).
+place; that depends on these K words only, so an edit moves no anchor elsewhere.  A
+fingerprint is all of a text's syncmers (anchors) with their places, in hexadecimal.
+
+The likeness of two texts matches all anchors of both by place: the n-th anchor with a hash
+meets the n-th with this hash in the other text.  A meeting counts if another has the same
+offset (place in b less place in a), or if in the order of a it lies between its neighbours
+in b as well; so inserted or cut words cost their own anchors only, and chance meetings out
+of order do not count.  Likeness is the share of meetings that count in the anchors of both.
 
 A text of fewer than K words is one anchor.  Null and empty texts, and texts of white
 space, have no anchor: an empty fingerprint, like (1.0) another empty one and unlike (0.0)
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-K, S, SKETCH, SHORT = 5, 2, 64, 200
+K, S, SHORT = 5, 2, 200
 #: Runs of documents in doc_id order: rows of one, and how many at most.
 RUN_ROWS, SIDE = 500, 32
 
@@ -54,24 +58,44 @@ def anchors(df: DataFrame, text: str, to: str) -> DataFrame:
     return df.withColumn(to, _syncmers(F.col(f"{to}_h"), F.col(f"{to}_s"))).drop(f"{to}_h", f"{to}_s")
 
 
-def sketch(found: Column) -> Column:
-    """The smallest distinct hashes (32 bits of each) of an array of anchors."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(found, lambda x: F.shiftrightunsigned(x["hash"], 32)))), 1, SKETCH)
+def as_text(found: Column) -> Column:
+    """place:hash of each anchor."""
+    return F.array_join(F.transform(found, lambda x: F.concat(F.lower(F.hex(x["place"].cast("long"))), F.lit(":"), F.lpad(F.lower(F.hex(x["hash"])), 16, "0"))), ",")
+
+
+# Columns that lambdas read are read twice at least: Spark would otherwise move what makes them into the lambda.
+
+
+def numbered(df: DataFrame, found: str, to: str) -> DataFrame:
+    """Adds `to`: array of (key, place); a key is of a hash and how many anchors before have it."""
+    s, starts = F.col(f"{to}_s"), F.col(f"{to}_n")
+    df = df.withColumn(f"{to}_s", F.sort_array(F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), x["place"].alias("place")))))
+    first = F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["hash"] != x["hash"]), i))
+    df = df.withColumn(f"{to}_n", F.filter(first, lambda i: i.isNotNull()))
+    number = F.flatten(F.transform(starts, lambda i, j: F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), F.size(s)) - i - 1)))
+    return df.withColumn(to, F.zip_with(s, number, lambda x, n: F.struct(F.xxhash64(x["hash"], n).alias("key"), x["place"].alias("place")))).drop(f"{to}_s", f"{to}_n")
 
 
-def as_text(sketched: Column) -> Column:
-    return F.array_join(F.transform(sketched, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), "")
+def likeness(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
+    """Adds `to`: likeness (0 to 1) of the numbered anchors of two texts."""
+    m, d, p = F.col(f"{to}_m"), F.col(f"{to}_d"), F.col(f"{to}_p")
 
+    def side(c, n):
+        return F.transform(c, lambda x: F.struct(x["key"].alias("key"), F.lit(n).alias("side"), x["place"].alias("place")))
 
-def likeness(a: Column, b: Column) -> Column:
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), both))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / F.size(both))
+    df = df.withColumn(f"{to}_m", F.sort_array(F.concat(side(a, 0), side(b, 1))))
+    meets = F.transform(m, lambda x, i: F.when(F.get(m, i + 1)["key"] == x["key"], F.struct((F.get(m, i + 1)["place"] - x["place"]).alias("offset"), x["place"].alias("place"))))
+    df = df.withColumn(f"{to}_d", F.sort_array(F.filter(meets, lambda x: x.isNotNull())))
+    agrees = lambda x, i: F.coalesce(F.get(d, i - 1)["offset"] == x["offset"], F.lit(False)) | F.coalesce(F.get(d, i + 1)["offset"] == x["offset"], F.lit(False))
+    df = df.withColumn(f"{to}_p", F.sort_array(F.transform(d, lambda x, i: F.struct(x["place"].alias("a"), (x["place"] + x["offset"]).alias("b"), agrees(x, i).alias("agrees")))))
+    ordered = lambda x, i: F.coalesce(F.get(p, i - 1)["b"] < x["b"], F.lit(True)) & F.coalesce(F.get(p, i + 1)["b"] > x["b"], F.lit(True))
+    shared, sizes = F.size(F.filter(p, lambda x, i: x["agrees"] | ordered(x, i))), F.size(a) + F.size(b)
+    return df.withColumn(to, F.when(sizes == 0, 1.0).otherwise(shared / (sizes - shared))).drop(f"{to}_m", f"{to}_d", f"{to}_p")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fingerprint of each row."""
-    return anchors(docs.select("doc_id", "text"), "text", "found").select("doc_id", as_text(sketch(F.col("found"))).alias("fingerprint"))
+    return anchors(docs.select("doc_id", "text"), "text", "found").select("doc_id", as_text(F.col("found")).alias("fingerprint"))
 
 
 def with_next(docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
@@ -117,18 +141,19 @@ def edited(docs: DataFrame) -> DataFrame:
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = anchors(rows, "text", "found").select("doc_id", "text", sketch(F.col("found")).alias("sketch"))
-    rows = with_next(rows, "doc_id", ["text", "sketch"])
+    rows = with_next(rows, "doc_id", ["text"])
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 2)))"), F.substring("next_text", F.lit(1), half)))
-    rows = anchors(rows.select("doc_id", "n_chars", "sketch", "next_sketch", "edited"), "edited", "found").withColumn("edited_sketch", sketch(F.col("found")))
+    for text in ("text", "next_text", "edited"):
+        rows = numbered(anchors(rows, text, f"{text}_found"), f"{text}_found", f"{text}_keys")
+    rows = likeness(likeness(rows, "text_keys", "edited_keys", "near_edited"), "text_keys", "next_text_keys", "near_next")
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
-        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        as_text(F.col("text_found")).alias("fingerprint"),
+        as_text(F.col("edited_found")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
     )

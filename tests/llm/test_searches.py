@@ -157,6 +157,41 @@ def test_closed_syncmers(spark):
     assert [x.place for x in got if x.place <= len(h) - 5] == want
 
 
+def plain_likeness(a, b):
+    """By loops, over lists of (place, hash)."""
+    def numbered(found):
+        return {(h, sum(x == h for _, x in found[:i])): p for i, (p, h) in enumerate(found)}
+
+    one, two = numbered(a), numbered(b)
+    met = sorted((one[k], two[k]) for k in one if k in two)
+    offsets = [y - x for x, y in met]
+    shared = 0
+    for i, (x, y) in enumerate(met):
+        ordered = (i == 0 or met[i - 1][1] < y) and (i + 1 == len(met) or y < met[i + 1][1])
+        shared += offsets.count(y - x) > 1 or ordered
+    return shared / (len(a) + len(b) - shared) if a or b else 1.0
+
+
+def test_likeness_of_long_texts(spark):
+    """Every anchor counts: a passage that long texts share, a small edit, moved and repeated parts."""
+    rng = random.Random(7)
+    word = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, long, short = word(60), word(3000), word(3)
+    texts = [
+        long, long[:1500] + ["edit"] + long[1500:], word(2500) + passage + word(900), passage + word(1500), long[2000:] + long[:2000], passage * 3 + word(400),
+        ["same"] * 700, ["same"] * 900, passage, passage[:30] + ["x"] + passage[30:], short, short, [], word(40) + long[10:18] + word(50),
+    ]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: [(x.place, x.hash) for x in r.f] for r in fingerprints.anchors(docs, "text", "f").collect()}
+    rows = fingerprints.edited(docs).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.near_next == pytest.approx(plain_likeness(found[r.doc_id], found[(r.doc_id + 1) % len(texts)])), r.doc_id
+        assert r.fingerprint == ",".join(f"{p:x}:{h & (1 << 64) - 1:016x}" for p, h in found[r.doc_id])
+    near = {r.doc_id: r.near_next for r in rows}
+    assert 0.99 < near[0] < 1 and 0 < near[2] < 0.02 and near[10] == 1.0 and 0.7 < near[6] < 0.8
+
+
 # personal data
 
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
