@@ -15,6 +15,9 @@ of order do not count.  Likeness is the share of meetings that count in the anch
 A text of fewer than K words is one anchor.  Null and empty texts, and texts of white
 space, have no anchor: an empty fingerprint, like (1.0) another empty one and unlike (0.0)
 any other.
+
+Words and characters share no hash, so a pair of texts of which one is under SHORT
+characters is matched by the characters of both.
 """
 
 from __future__ import annotations
@@ -28,8 +31,12 @@ K, S, SHORT = 5, 2, 200
 RUN_ROWS, SIDE = 500, 32
 
 
-def _hashes(text: Column) -> Column:
-    parts = F.when(F.length(text) < SHORT, F.split(F.trim(text), "")).otherwise(F.split(text, r"\s+"))
+def short(text: Column) -> Column:
+    return F.length(text) < SHORT
+
+
+def _hashes(text: Column, characters: Column) -> Column:
+    parts = F.when(characters, F.split(F.trim(text), "")).otherwise(F.split(text, r"\s+"))
     return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -51,9 +58,10 @@ def _syncmers(h: Column, inner: Column) -> Column:
     return F.when(F.size(h) >= K, F.filter(F.transform(inner, at), lambda x: x.isNotNull())).when(F.size(h) > 0, whole).otherwise(F.slice(whole, 1, 0))
 
 
-def anchors(df: DataFrame, text: str, to: str) -> DataFrame:
-    """Adds `to`: array of (place, hash) of the closed syncmers of the whole text."""
-    df = df.withColumn(f"{to}_h", _hashes(F.coalesce(F.col(text), F.lit(""))))
+def anchors(df: DataFrame, text: str, to: str, characters: Column | None = None) -> DataFrame:
+    """Adds `to`: array of (place, hash) of the closed syncmers of the whole text, over characters where `characters` says (by itself if short)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn(f"{to}_h", _hashes(whole, short(whole) if characters is None else characters))
     df = df.withColumn(f"{to}_s", _inner(F.col(f"{to}_h")))
     return df.withColumn(to, _syncmers(F.col(f"{to}_h"), F.col(f"{to}_s"))).drop(f"{to}_h", f"{to}_s")
 
@@ -145,9 +153,15 @@ def edited(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 2)))"), F.substring("next_text", F.lit(1), half)))
-    for text in ("text", "next_text", "edited"):
-        rows = numbered(anchors(rows, text, f"{text}_found"), f"{text}_found", f"{text}_keys")
-    rows = likeness(likeness(rows, "text_keys", "edited_keys", "near_edited"), "text_keys", "next_text_keys", "near_next")
+    # a pair with a short text is matched over characters; an edited text is never longer than the text
+    one, next_short, edited_short = short(F.col("text")), short(F.col("next_text")), short(F.col("edited"))
+    mixed = ~one & (next_short | edited_short)
+    rows = rows.withColumn("text_characters", F.when(mixed, F.col("text")).otherwise(""))
+    for text, characters in (("text", one), ("text_characters", F.lit(True)), ("next_text", one | next_short), ("edited", edited_short)):
+        rows = numbered(anchors(rows, text, f"{text}_found", characters), f"{text}_found", f"{text}_keys")
+    for other, other_short in (("edited", edited_short), ("next_text", next_short)):
+        rows = rows.withColumn(f"{other}_own", F.when(~one & other_short, F.col("text_characters_keys")).otherwise(F.col("text_keys")))
+    rows = likeness(likeness(rows, "edited_own", "edited_keys", "near_edited"), "next_text_own", "next_text_keys", "near_next")
     return rows.select(
         "doc_id",
         "n_chars",

@@ -192,6 +192,17 @@ def test_likeness_of_long_texts(spark):
     assert 0.99 < near[0] < 1 and 0 < near[2] < 0.02 and near[10] == 1.0 and 0.7 < near[6] < 0.8
 
 
+def test_likeness_across_short(spark):
+    """Near copies of 199 and 201 characters, an edited text that falls under 200, and a short text beside a long one."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefghij   ") for _ in range(199)).replace("  ", "xy")[:198] + "z"
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(60))[:360]
+    docs = [(1, text), (2, text + "zz"), (3, long), (4, long[:100]), (5, long), (6, "")]
+    rows = {r.doc_id: r for r in fingerprints.edited(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[1].near_next > 0.95 and rows[3].near_next > 0.2 and rows[4].near_next > 0.2 and rows[5].near_edited > 0.4 and rows[2].near_next == 0
+    assert rows[6].near_edited == 1.0 and rows[5].near_next == 0
+
+
 # personal data
 
 FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
