@@ -40,8 +40,14 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A label, its marks, and a value.
-FIELD = r"(?<![A-Za-z_-])([A-Za-z][A-Za-z_-]{1,23}+)([\x20]{0,2}[:=#][\x20]{0,2}[\x22']?)([A-Za-z0-9@._+:/-]{3,127}[A-Za-z0-9])"
+#: A label, its marks, and a value: up to the closing quote, or to white space, brackets and marks between values, without marks at its end.
+_PART = r"[^\s\x22'<>(){}\[\],;.:!?]++"
+FIELD = (
+    r"(?<![A-Za-z0-9_-])((?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]++)"
+    rf"([\x20]{{0,2}}[:=#][\x20]{{0,2}}(?:\x22(?=[^\x22\r\n]++\x22)|'(?=[^'\r\n]++')|[\x22']?+(?={_PART})))"
+    rf"((?<=\x22)[^\x22\r\n]++(?=\x22)|(?<=')[^'\r\n]++(?=')|{_PART}(?:[.:!?]++{_PART})*+)"
+)
+FRONT = r"^([A-Za-z0-9_-]++)([\x20]{0,2}[:=#][\x20]{0,2}[\x22']?)"
 KEY = r"^(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,64}$"
 
 SPAN = "struct<kind:string,start:int,end:int>"
@@ -110,20 +116,27 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def fields(text: Column) -> Column:
-    """Array of (pattern, value, start, end) of labelled values."""
-    found = matches(text, FIELD)
-    label = lambda x: F.regexp_extract(x["match"], FIELD, 1)
-    marks = lambda x: F.regexp_extract(x["match"], FIELD, 2)
-    return F.transform(
-        found,
+def fields(text: Column, base: Column) -> Column:
+    """Array of (pattern, value, start, end) of labelled values; of a value that lies in a base span, the whole span."""
+    front = lambda x, i: F.regexp_extract(x["match"], FRONT, i)
+
+    def whole(x):
+        span = F.get(F.filter(base, lambda b: (b["start"] <= x["start"]) & (x["start"] < b["end"]) & (x["end"] <= b["end"])), F.lit(0))
+        return F.when(
+            span.isNotNull(),
+            F.struct(x["pattern"].alias("pattern"), F.substring(text, span["start"] + 1, span["end"] - span["start"]).alias("value"), span["start"].alias("start"), span["end"].alias("end")),
+        ).otherwise(x)
+
+    found = F.transform(
+        matches(text, FIELD),
         lambda x: F.struct(
-            F.lower(F.concat(label(x), F.regexp_replace(marks(x), " ", ""))).alias("pattern"),
-            F.regexp_extract(x["match"], FIELD, 3).alias("value"),
-            (x["start"] + F.length(label(x)) + F.length(marks(x))).alias("start"),
+            F.lower(F.concat(front(x, 1), F.regexp_replace(front(x, 2), " ", ""))).alias("pattern"),
+            F.substring(x["match"], F.length(front(x, 0)) + 1, F.length(x["match"])).alias("value"),
+            (x["start"] + F.length(front(x, 0))).alias("start"),
             x["end"].alias("end"),
         ),
     )
+    return F.transform(found, whole)
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -131,8 +144,8 @@ def extract(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for kind in KINDS:
         rows = rows.withColumn(kind, base_spans(F.col("text"), kind))
-    rows = rows.withColumn("fields", fields(F.col("text")))
-    return rows.select(row_key().alias("key"), "doc_id", F.concat(*KINDS).alias("base"), "fields")
+    rows = rows.select("doc_id", "text", F.concat(*KINDS).alias("base"))
+    return rows.select(row_key().alias("key"), "doc_id", "base", fields(F.col("text"), F.col("base")).alias("fields"))
 
 
 def row_key() -> Column:

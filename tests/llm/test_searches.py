@@ -258,6 +258,21 @@ def test_patterns_discover(spark, odd, none):
     assert personal_data.find(none).count() == 0
 
 
+def test_values_run_to_their_end(spark):
+    """Long, quoted and spaced values are whole; labels have digits and any length."""
+    secret, label = "s3cr!t " * 30 + "end", "a_very_long_label_of_a_field_2"
+    texts = [f'password="{secret}" x', "phone: +1 (743) 555-3824 at home", "card: 4111 1111 1111 1111, paid", "oauth2_token=abc.def. Next", f"{label}='x y'", "a: b", f"key={'k' * 500}", 'q="open end']
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(f.pattern, f.value) for f in r.fields] for r in personal_data.extract(docs).collect()}
+    assert got == {
+        0: [('password="', secret)], 1: [("phone:", "+1 (743) 555-3824")], 2: [("card:", "4111 1111 1111 1111")], 3: [("oauth2_token=", "abc.def")],
+        4: [(f"{label}='", "x y")], 5: [("a:", "b")], 6: [("key=", "k" * 500)], 7: [('q="', "open")],
+    }
+    rows = [(i, f"phone: +1 (743) 555-38{i}") for i in range(10, 20)] + [(50, "phone: 743-555-1234 at home")]
+    spans = {(r.doc_id, s.kind, s.start, s.end) for r in personal_data.find(spark.createDataFrame(rows, docs.schema)).collect() for s in r.spans}
+    assert (50, "phone", 7, 19) in spans
+
+
 # SentencePiece
 
 MODEL = "piece_bpe_32k.model"
