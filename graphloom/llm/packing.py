@@ -28,7 +28,7 @@ from pyspark.sql import Window
 from graphloom.llm.units import blocks, encoder
 from graphloom.session import stage
 
-CAPACITY, SMALLEST = 2048, 32
+CAPACITY, SMALLEST = 2048, 128
 #: Workers whose rests meet in a round.
 FAN = 32
 #: Sequence ids: the round, then the worker or group, then the bin.
@@ -37,14 +37,13 @@ _ROUND, _GROUP = 1 << 58, 1 << 34
 PIECE = "doc_id long, start long, length int, ids_crc32 long, doc_tokens long"
 
 
-def cut(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST) -> list[int]:
-    """Lengths of the pieces of n ids: powers of two, the largest first, and a rest."""
-    out = [capacity] * (n // capacity)
-    n %= capacity
-    while n >= smallest:
-        out.append(1 << (n.bit_length() - 1))
-        n -= out[-1]
-    return out + [n] * (n > 0)
+def cut(n: np.ndarray, capacity: int = CAPACITY, smallest: int = SMALLEST) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of documents of n ids: powers of two, the largest first, and a rest.  The document and the length of each."""
+    powers = [capacity >> i for i in range(capacity.bit_length()) if i == 0 or capacity >> i >= smallest]
+    rest = n % powers[-1]
+    values = np.stack([np.broadcast_to(p, n.shape) for p in powers] + [rest], 1)
+    times = np.stack([n // capacity] + [(n % capacity) // p % 2 for p in powers[1:]] + [rest > 0], 1)
+    return np.repeat(np.arange(len(n)), times.sum(1)), np.repeat(values.ravel(), times.ravel())
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -58,44 +57,47 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
 
         worker = TaskContext.get().partitionId()
         code = encoder(tokenizer)
-        cuts: dict[int, list[int]] = {}
-        open_bins: dict[int, list] = {}
+        waiting = piece_schema.empty_table()
         bins = 0
 
-        def batch_of(rows: list) -> pa.RecordBatch:
-            columns = list(zip(*rows)) if rows else [[]] * len(out.names)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, out.types)], schema=out)
+        def placed(table: pa.Table, where: np.ndarray | None, offset: np.ndarray | None) -> list[pa.RecordBatch]:
+            n = len(table)
+            columns = [pa.array(np.full(n, worker)), *(pa.nulls(n, pa.int64()) if x is None else pa.array(x) for x in (where, offset))]
+            for name, column in zip(("worker", "sequence_id", "offset"), columns):
+                table = table.append_column(name, column)
+            return table.combine_chunks().to_batches(max_chunksize=20_000)
 
         for batch in batches:
             for block in blocks(batch):
                 ids, counts = code.encode(block.column("text"))
                 ids = np.insert(ids, np.cumsum(counts), code.dtype(end_id)).astype("<u4")
-                rows, at = [], 0
-                for doc, n in zip(block.column("doc_id").to_pylist(), (counts + 1).tolist()):
-                    if n not in cuts:
-                        cuts[n] = cut(n, capacity)
-                    start = 0
-                    for length in cuts[n]:
-                        x = ids[at + start : at + start + length]
-                        row = [doc, start, length, zlib.crc32(x), n] + [x.tolist()] * keep_ids
-                        start += length
-                        full = capacity // length
-                        mine = open_bins.setdefault(length, [])
-                        mine.append(row)
-                        if len(mine) == full:
-                            key = worker * _GROUP + bins
-                            bins += 1
-                            rows += [(*r, worker, key, i * length) for i, r in enumerate(mine)]
-                            mine.clear()
-                    at += n
-                yield batch_of(rows)
-        left = [(*r, worker, None, None) for mine in open_bins.values() for r in mine]
-        for i in range(0, len(left), 10_000):
-            yield batch_of(left[i : i + 10_000])
+                n = counts + 1
+                doc, length = cut(n, capacity)
+                ends = np.cumsum(length)
+                view = memoryview(ids)
+                crcs = [zlib.crc32(view[a:b]) for a, b in zip((ends - length).tolist(), ends.tolist())]
+                columns = [block.column("doc_id").take(pa.array(doc)), pa.array(ends - length - (np.cumsum(n) - n)[doc]), pa.array(length.astype(np.int32)), pa.array(crcs, pa.int64()), pa.array(n[doc])]
+                if keep_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids.astype(np.int32))))
+                rows = pa.concat_tables([waiting, pa.Table.from_arrays(columns, schema=piece_schema)])
+                # of each class as many bins as its pieces fill; the others wait
+                length = rows.column("length").to_numpy().astype(np.int64)
+                order = np.argsort(length, kind="stable")
+                kinds, first, many = np.unique(length[order], return_index=True, return_counts=True)
+                kind = np.repeat(np.arange(len(kinds)), many)
+                full = capacity // np.maximum(kinds, 1)
+                rank, made = np.arange(len(order)) - first[kind], many // full
+                inside = rank < (made * full)[kind]
+                where = worker * _GROUP + bins + (np.cumsum(made) - made)[kind] + rank // full[kind]
+                offset = rank % full[kind] * kinds[kind]
+                bins += int(made.sum())
+                yield from placed(rows.take(pa.array(order[inside])), where[inside], offset[inside])
+                waiting = rows.take(pa.array(order[~inside])).combine_chunks()
+        yield from placed(waiting, None, None)
 
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
     fields += [("ids", pa.list_(pa.int32()))] * keep_ids
-    out = pa.schema([*fields, ("worker", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    piece_schema = pa.schema(fields)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     packed = stage(rows.mapInArrow(encode, PIECE + extra + ", worker long, sequence_id long, offset long"), "packed")
     done = [packed.where("sequence_id is not null").select(*names, "sequence_id", "offset")]

@@ -1,35 +1,38 @@
 """Whole-text tokenization by repeated units.
 
-The public tokenizers split a text into pieces before they merge anything, and no
-piece reaches over a plain blank that has a non-blank character on both sides.  A
-text may therefore be cut there into units, each distinct unit encoded once, and
-the ids put together again; the ids equal those of encoding the whole text.  Texts
-in which a blank meets other white space are cut by a slower rule of the same kind.
+The public tokenizers split a text into pieces before they merge anything.  No piece goes on
+over a plain blank or line end with other characters on both sides, and none holds both a
+letter and an ASCII mark behind it.  A text may therefore be cut there into units, each
+distinct unit encoded once, and the ids put together again; the ids equal those of encoding
+the whole text.  Texts in which a blank or line end meets other white space are cut by a
+slower rule of the same kind.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Distinct units whose ids a worker remembers; beyond it the memory starts anew.
-MAX_REMEMBERED = 600_000
-#: Characters that are put through in one go; bounds a worker's memory.
+#: Bytes of units (and their ids) that a generation of a worker's memory holds; there are two of them.
+GENERATION = 24_000_000
+#: Bytes of text that are put through in one go; bounds a worker's memory.
 BLOCK_CHARS = 6_000_000
 
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
-#: A unit of letters with marks behind them: both parts are pieces of their own.
-_TAIL = re.compile(r"( ?[^\W\d_]+)([.,!?*#$%&|;:]+)\Z")
+#: White space of any kind, for regular expressions of Arrow.
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_UNEVEN = rf"\A[ \n]|[ \n]\z|{_WHITE}[ \n]|[ \n]{_WHITE}|\x00"
 _WORKERS: dict[str, "UnitEncoder"] = {}
 
 
 class UnitEncoder:
     """Encodes Arrow string arrays with one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int = GENERATION):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,8 +40,13 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-        for self.mark in ("\n", "\n1\n"):  # a text that is one token between any two units
+        self.generation = generation
+        #: places of units in `flat` by `offsets`; the generation before is looked at for what this one lacks
+        self.known: dict[str, int] = {}
+        self.flat, self.offsets = np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        self.before: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, self.flat, self.offsets)
+        self.held = 0
+        for self.mark in ("\n", "\n€\n", "\n•\n", "\n1\n"):  # a text that is one token between any two units
             ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
             if len(ids) == 1:
                 self.mark_id = ids[0]
@@ -49,52 +57,60 @@ class UnitEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
-    def _ids(self, units: list[str]) -> list[bytes]:
-        known = self.known
-        missing = [u for u in units if u not in known]
-        if missing:
-            if len(known) + len(missing) > MAX_REMEMBERED:
-                known.clear()
-                missing = units
-            stems = [_TAIL.match(u) for u in missing]
-            self._learn([u if m is None else m[1] for u, m in zip(missing, stems)])
-            self._learn(list({m[2] for m in stems if m}))
-            for u, m in zip(missing, stems):
-                if m:
-                    known[u] = known[m[1]] + known[m[2]]
-        return [known[u] for u in units]
-
-    def _learn(self, units: list[str]) -> None:
-        """Encodes units as lines of one text: a call costs more than most units."""
-        self.known.setdefault("", b"")
-        units = [u for u in dict.fromkeys(units) if u not in self.known]
-        core = self.mark.strip("\n")
-        alone = [u for u in units if "\n" in u or core and core in u]
-        for u in alone:
-            self.known[u] = self._bytes(self.tokenizer.encode(u, add_special_tokens=False).ids)
-        if alone:
-            units = [u for u in units if u not in self.known]
-        for at in range(0, len(units), 1_000):
-            part = units[at : at + 1_000]
-            (e,) = self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)
+    def _places(self, units: list[str]) -> np.ndarray:
+        """The place of each of the distinct units in the memory, learning those that it lacks."""
+        found = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        if (missing := np.flatnonzero(found < 0)).size:
+            if self.held > self.generation:
+                self.before = (self.known, self.flat, self.offsets)
+                self.known, self.flat, self.offsets, self.held = {}, np.zeros(0, self.dtype), np.zeros(1, np.int64), 0
+                missing = np.arange(len(units))
+            names = [units[i] for i in missing.tolist()]
+            old, flat, offsets = self.before
+            at = np.fromiter(map(old.get, names, repeat(-1)), np.int64, len(names))
+            kept = np.flatnonzero(at >= 0)
+            runs = [(kept, ragged(flat, offsets, at[kept]), np.diff(offsets)[at[kept]])]
+            new = np.flatnonzero(at < 0)
+            runs += self._encoded([names[i] for i in new.tolist()], new)
+            for which, ids, size in runs:
+                base = len(self.offsets) - 1
+                self.known.update(zip([names[i] for i in which.tolist()], range(base, base + len(which))))
+                self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(size)])
+            self.flat = np.concatenate([self.flat, *(ids for _, ids, _ in runs)])
+            # a unit takes a dictionary entry, a string and a place beside its ids
+            self.held += 140 * len(names) + sum(ids.nbytes for _, ids, _ in runs)
+            found = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        return found
+
+    def _encoded(self, units: list[str], which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of (places in `which`, ids, ids of each): some units as lines of one text, as a call costs more than a unit."""
+        core = self.mark.strip("\n") or self.mark
+        apart = np.fromiter((core in u or "\n" in u or not u or u[-1].isspace() or u[0] != " " and u[0].isspace() for u in units), bool, len(units))
+        out = []
+        for i in np.flatnonzero(apart).tolist():
+            ids = np.array(self.tokenizer.encode(units[i], add_special_tokens=False).ids, self.dtype)
+            out.append((which[i : i + 1], ids, np.array([len(ids)])))
+        together = np.flatnonzero(~apart)
+        for at in range(0, len(together), 64):
+            part = together[at : at + 64]
+            (e,) = self.tokenizer.encode_batch_fast([self.mark.join([units[i] for i in part.tolist()])], add_special_tokens=False)
             ids = np.array(e.ids, self.dtype)
-            ends = np.flatnonzero(ids == self.mark_id).tolist()
+            ends = np.flatnonzero(ids == self.mark_id)
             if len(ends) != len(part) - 1:
                 raise ValueError("the tokenizer does not keep units apart")
-            raw, width = ids.tobytes(), ids.itemsize
-            for u, i, j in zip(part, [0, *(x + 1 for x in ends)], [*ends, len(ids)]):
-                self.known[u] = raw[i * width : j * width]
+            out.append((which[part], np.delete(ids, ends), np.diff(np.r_[-1, ends, len(ids)]) - 1))
+        return out
 
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
-
-    def _slow(self, text: str) -> list[int]:
+    def _slow(self, text: str) -> np.ndarray:
         if not text:
-            return []
+            return np.zeros(0, self.dtype)
         if self.special and self.special.search(text):
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         first, *rest = _INNER_BLANK.split(text)
-        return np.frombuffer(b"".join(self._ids([first, *(" " + u for u in rest)])), self.dtype).tolist()
+        units = [first, *(" " + u for u in rest)]
+        distinct = list(dict.fromkeys(units))
+        place = dict(zip(distinct, self._places(distinct).tolist()))
+        return ragged(self.flat, self.offsets, np.fromiter((place[u] for u in units), np.int64, len(units)))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has (null: none)."""
@@ -102,42 +118,35 @@ class UnitEncoder:
         n = len(texts)
         if not n:
             return np.zeros(0, self.dtype), np.zeros(0, np.int64)
-        lists = pc.split_pattern(texts, " ")
-        offsets = np.asarray(lists.offsets, np.int64)
-        offsets = offsets - offsets[0]
-        coded = lists.flatten().dictionary_encode()
-        codes = np.asarray(coded.indices, np.int64)
-        units = coded.dictionary.to_pylist()
-        odd = np.fromiter((not u or u[0].isspace() or u[-1].isspace() for u in units), bool, len(units))
-        slow = np.logical_or.reduceat(odd[codes], offsets[:-1])
+        slow = np.asarray(pc.match_substring_regex(texts, _UNEVEN), bool)
         if self.special:
             slow |= np.asarray(pc.match_substring_regex(texts, self.special.pattern), bool)
-        codes = np.repeat(~slow, np.diff(offsets)) * (codes + 1)  # 0: of a text that goes the slow way
-        firsts = codes[offsets[:-1]]
-        codes[offsets[:-1]] = 0
-        behind = np.zeros(len(units) + 1, bool)  # units behind a blank are told from those at the start of a text
-        behind[codes] = True
-        behind[0] = False
-        used = np.flatnonzero(behind)
-        table = [b""] * (len(units) + 1)
-        for c, ids in zip(used.tolist(), self._ids([" " + units[c - 1] for c in used.tolist()])):
-            table[c] = ids
-        table += self._ids([units[c - 1] if c else "" for c in firsts.tolist()])
-        codes[offsets[:-1]] = np.arange(len(units) + 1, len(units) + 1 + n)
-        size = np.fromiter(map(len, table), np.int64, len(table)) // self.dtype().itemsize
-        out = np.frombuffer(b"".join([table[c] for c in codes.tolist()]), self.dtype)
-        counts = np.add.reduceat(size[codes], offsets[:-1])
+        even = pc.if_else(pa.array(slow), pa.scalar("", pa.large_string()), texts)
+        # every unit gets a cut in front: blanks stay with what follows, line ends are units
+        even = pc.replace_substring(pc.replace_substring(even, " ", "\x00 "), "\n", "\x00\n\x00")
+        even = pc.replace_substring_regex(even, r"(\pL)([!-/:-@\[-`{-~])", "\\1\x00\\2")
+        lists = pc.split_pattern(even, "\x00")
+        offsets = np.asarray(lists.offsets, np.int64)
+        coded = lists.flatten().dictionary_encode()
+        places = self._places(coded.dictionary.to_pylist())[np.asarray(coded.indices, np.int64)]
+        ids, size = ragged(self.flat, self.offsets, places), np.diff(self.offsets)[places]
+        counts = np.add.reduceat(size, offsets[:-1] - offsets[0])
         if not slow.any():
-            return out, counts
-        fast_at = np.cumsum(counts) - counts
+            return ids, counts
+        ends = np.cumsum(counts)
         parts, done = [], 0
         for i in np.flatnonzero(slow).tolist():
-            parts.append(out[done : fast_at[i]])
-            done = int(fast_at[i])
-            ids = np.array(self._slow(texts[i].as_py()), self.dtype)
-            counts[i] = len(ids)
-            parts.append(ids)
-        return np.concatenate([*parts, out[done:]]), counts
+            parts += [ids[done : ends[i]], self._slow(texts[i].as_py())]
+            done = int(ends[i])
+            counts[i] = len(parts[-1])
+        return np.concatenate([*parts, ids[done:]]), counts
+
+
+def ragged(flat: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The runs of `flat` at these places, one after the other."""
+    start, size = offsets[places], offsets[places + 1] - offsets[places]
+    ends = np.cumsum(size)
+    return flat[np.repeat(start - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def encoder(path: str) -> UnitEncoder:

@@ -33,6 +33,26 @@ def test_units_equal_whole_texts(name):
     assert code.encode(pa.array([], pa.string()))[1].tolist() == []
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_units_of_many_kinds(name, sf):
+    import random
+
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    parts = ["a", "B", "é", "e\u0301", "Σ", "ß", "日", "1", "23", ".", ",", "'s", "'", "-", "€", "•", " ", " ", " ", "\n", "\n", "\t", "\u00a0", "\x00", "\u2003"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(3000)]
+    texts += pq.read_table(f"{sf}/documents.parquet", columns=["text"]).column("text").to_pylist()[:60]
+    # a small memory forgets units again and again
+    for generation in (2_000, 24_000_000):
+        code = UnitEncoder(tokenizer_file(name), generation)
+        want = plain(tokenizer_file(name), texts, 0)
+        for at in range(0, len(texts), 500):
+            ids, counts = code.encode(pa.array(texts[at : at + 500]))
+            assert counts.tolist() == [len(w) - 1 for w in want[at : at + 500]]
+            assert ids.tolist() == np.concatenate([w[:-1] for w in want[at : at + 500]]).tolist()
+
+
 def key(row):
     return (row[0] is not None, row[0] or 0, row[1] or "")
 
@@ -99,5 +119,7 @@ def test_packing_documents(spark, sf):
 
 
 def test_cut():
-    for n in range(5000):
-        assert sum(packing.cut(n)) == n and all(x > 0 for x in packing.cut(n))
+    n = np.arange(5000)
+    for smallest in (1, 32, 2048):
+        doc, length = packing.cut(n, smallest=smallest)
+        assert np.bincount(doc, length, len(n)).tolist() == n.tolist() and (length > 0).all() and (np.diff(doc) >= 0).all()
