@@ -3,24 +3,30 @@
 Two texts link when 100 * |a & b| >= percent * |a | b| over their sets of five-word shingles.
 Texts with the same word sequence are one entry, kept by a 64-bit hash of it.
 
-A linked pair overlaps in at least T shingles.  With the inverted lists of a text in one
-order for all texts (rarest first), a pair that links shares one of the first n - T + 1: the
-short lists.  These are merged (Spark brings the entries of a list together, the lists of a
-text are counted as they meet); the long lists are never merged but probed by binary search
-in a candidate's sorted set, which is DivideSkip's division.
+A text of n shingles overlaps in at least T = percent * n shingles with whatever it links
+with.  Its inverted lists, in one order for all texts (rarest first), are divided as
+DivideSkip does: the last L = T - k are long and are never merged, only probed; the others
+are short, and whatever links occurs at least k = T - L times in short lists of both texts.
 
 1. Half of all shingles, chosen by hash, come first in the order, by frequency; the others,
    needed for texts with few of the first half, follow by hash.  Shingles of one text alone
-   cost nothing further, and a text with enough of them has no candidates at all.
-2. In a short list, pairs of texts are looked at without emitting them: their sizes, then
-   1024-bit parity sketches, whose distance is never above the true difference, rule out
-   nearly all that do not link.  Long lists are dealt out in blocks.
-3. In rounds, each text is checked exactly with the nearest by sketch of those that are
-   left open and not in its group yet, and links join groups; so a large group of near
-   copies costs a few pairs for each text, not all its pairs.  When a round finds no link
-   (or after MOST_ROUNDS), every pair that is still open is checked.
-
-No pair that links escapes; nothing is capped or sampled.
+   cost nothing further, and a text with enough of them has no candidates at all.  Shingles
+   that a bounded sample shows to be very common are dealt out by text as well.
+2. In a list, each text looks at those with a smaller hash, without emitting pairs: sizes,
+   then 1024-bit parity sketches, whose distance is never above the true difference, rule out
+   nearly all that do not link.  What is left is the list's run for this text, nearest first.
+   Large lists are dealt out in blocks.
+3. The runs of a text's short lists meet in a heap, which merges them and counts how often
+   each candidate occurs; those with at least k occurrences are probed: binary searches of
+   the smaller set in the larger.
+4. This goes in rounds.  A list gives a text its nearest few candidates only (1, then 4, 16,
+   ...) outside of the text's group, and the text remembers up to where its candidates are
+   closed: as far as every list's run reaches.  All links so far join groups completely before
+   the next round, so a large group of near copies costs a few pairs for each text, not all
+   its pairs.  The rounds end when every text has closed all its candidates or shares a group
+   with them.
+
+No pair that links different groups escapes; nothing is capped or sampled.
 
 Null and empty texts have the size 0 and link with nothing.  Repeated rows, and rows with a
 null or repeated id, are documents of their own; a group's id is its smallest non-null
@@ -29,10 +35,11 @@ doc_id (null if it has none).  An empty table gives no rows; other columns are n
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -41,14 +48,20 @@ from graphloom.llm.units import blocks
 from graphloom.session import stage
 
 PERCENT = 75
+#: A text of n shingles asks for 1 + n // OCCURRENCES occurrences in short lists.
+OCCURRENCES = 40
 #: Entries of a list that meet in one task; bits of a sketch.
-BLOCK, BITS = 1_500, 1_024
-#: Rounds in which each text meets its nearest open partner, at most.
-MOST_ROUNDS = 3
+BLOCK, BITS = 4_000, 1_024
+#: Candidates that a list gives a text in the first round, and how many times more in each round.
+NEAREST, MORE = 1, 4
+#: Documents that show which shingles are common, the share of them that makes one common, and how finely its entries are dealt.
+SAMPLE, COMMON, DEALT = 20_000, 0.004, 256
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc_id, text, and th: a hash of the whole text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
 
 
 def _least_overlap(n, percent: int):
@@ -56,16 +69,26 @@ def _least_overlap(n, percent: int):
     return -(-percent * n // 100)
 
 
+def _occurrences(n):
+    """k: how often what links with a set of n occurs in its short lists."""
+    return 1 + n // OCCURRENCES
+
+
+def _short(n, percent: int):
+    """How many short lists a set of n has."""
+    return n - _least_overlap(n, percent) + _occurrences(n)
+
+
 def shingle_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (hash of the word sequence; null without words), n (size of the set)."""
+    """doc_id, th, fp (hash of the word sequence; null without words), n (size of the set)."""
 
     def count(batches):
         for batch in batches:
             for block in blocks(batch):
                 s = Shingled(block.column("text"))
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(s.print.view(np.int64), mask=s.words == 0), pa.array(s.size)], names=["doc_id", "fp", "n"])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("th"), pa.array(s.print.view(np.int64), mask=s.words == 0), pa.array(s.size)], names=["doc_id", "th", "fp", "n"])
 
-    return _texts(docs).mapInArrow(count, "doc_id long, fp long, n long")
+    return _texts(docs).mapInArrow(count, "doc_id long, th long, fp long, n long")
 
 
 def _listed(docs: DataFrame, percent: int) -> DataFrame:
@@ -77,12 +100,12 @@ def _listed(docs: DataFrame, percent: int) -> DataFrame:
                 s = Shingled(block.column("text"))
                 front = (s.values & np.uint64(1)) == 0
                 in_front = np.bincount(s.owner[front], minlength=len(s.size))
-                prefix = s.size - _least_overlap(s.size, percent) + 1
+                short = _short(s.size, percent)
                 # place of each shingle among those of its text that are not in the first half
                 behind = np.cumsum(~front) - 1
                 begin = np.cumsum(s.size - in_front) - (s.size - in_front)
-                extra = ~front & (behind - begin[s.owner] < (prefix - in_front)[s.owner])
-                given = np.where(s.size > 0, np.maximum(in_front, np.minimum(prefix, s.size)), 0)
+                extra = ~front & (behind - begin[s.owner] < (short - in_front)[s.owner])
+                given = np.where(s.size > 0, np.maximum(in_front, np.minimum(short, s.size)), 0)
                 use = front | extra
                 owner = s.owner[use]
                 size = (s.size << 32) + given
@@ -93,23 +116,38 @@ def _listed(docs: DataFrame, percent: int) -> DataFrame:
     return _texts(docs).mapInArrow(give, "token long, fp long, size long")
 
 
-def short_lists(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """token, fp: the entries of texts in their short lists, without lists of one text."""
-    list_ = Window.partitionBy("token")
-    rows = _listed(docs, percent).withColumn("c", F.count("*").over(list_)).where("c > 1").drop("c")
-    rows = rows.groupBy("token", "fp").agg(F.first("size").alias("size"))  # copies
-    rows = rows.withColumn("c", F.count("*").over(list_)).where("c > 1")
+def _common(docs: DataFrame, rows: int, percent: int) -> DataFrame:
+    """token, often (about how many texts have it): shingles that a sample of about SAMPLE documents shows to be common.
+
+    Every document has COMMON * SAMPLE such shingles at most on average; the sample only says what is dealt more finely."""
+    share = min(1.0, SAMPLE / max(rows, 1))
+    sample = docs.sample(share, seed=5) if share < 1 else docs
+    seen = _listed(sample, percent).groupBy("token").agg(F.countDistinct("fp").alias("c"))
+    return seen.where(F.col("c") >= max(8, int(COMMON * min(rows, SAMPLE)))).select("token", (F.col("c") / share).cast("long").alias("often"))
+
+
+def short_lists(docs: DataFrame, rows: int, percent: int = PERCENT) -> DataFrame:
+    """token, fp: the entries of texts in their short lists, without lists of one text.
+
+    A common shingle has its frequency from the sample; any order of lists will do, if it is one for all texts."""
+    common = stage(_common(docs, rows, percent), "common")
+    listed = _listed(docs, percent).join(F.broadcast(common), "token", "left")
+    listed = listed.withColumn("deal", F.when(F.col("often").isNull(), 0).otherwise(F.pmod("fp", F.lit(DEALT))))
+    list_ = Window.partitionBy("token", "deal")
+    listed = listed.withColumn("c", F.count("*").over(list_)).where("c > 1 or often is not null").drop("c")
+    listed = listed.groupBy("token", "deal", "fp").agg(F.first("size").alias("size"), F.first("often").alias("often"))  # copies
+    listed = listed.withColumn("c", F.coalesce("often", F.count("*").over(list_))).where("c > 1")
     own = Window.partitionBy("fp")
     n, given = F.shiftright("size", 32), F.col("size") % (1 << 32)
-    prefix = n - F.ceil(n * percent / 100) + 1
+    short = n - F.ceil(n * percent / 100) + 1 + F.floor(n / OCCURRENCES)
     # the order: the first half (even tokens), by frequency, then the others; lists of one text came before
-    rows = rows.withColumn("place", F.row_number().over(own.orderBy(F.col("token").bitwiseAND(1), "c", "token"))).withColumn("k", F.count("*").over(own))
+    listed = listed.withColumn("place", F.row_number().over(own.orderBy(F.col("token").bitwiseAND(1), "c", "token"))).withColumn("k", F.count("*").over(own))
     alone = given - F.col("k")
-    return rows.where(F.col("place") <= prefix - alone).select("token", "fp")
+    return listed.where(F.col("place") <= short - alone).select("token", "fp")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """fp, n, bits, values of the texts whose id and fp are wanted."""
+    """fp, n, bits, values of the texts whose id and hash are wanted."""
 
     def give(batches):
         for batch in batches:
@@ -124,8 +162,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     names=["fp", "n", "bits", "values"],
                 )
 
-    # `wanted` has a row for each text, the id of one document that has it
-    texts = _texts(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # `wanted` has a row for each word sequence: the id and hash of one document that has it
+    w = wanted.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    t = _texts(docs)
+    texts = t.join(w, (F.col("th") == F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     return texts.mapInArrow(give, "fp long, n long, bits binary, values array<long>").dropDuplicates(["fp"])
 
 
@@ -139,17 +179,8 @@ def _bits(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
 
-def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that link: first by sketch, then by probing one set in the other."""
-    small = sets.select("fp", "n", "bits")
-
-    def sketch(batches):
-        for batch in batches:
-            if len(batch):
-                n1, n2 = (np.asarray(batch.column(c), np.int64) for c in ("n1", "n2"))
-                differ = np.bitwise_count(_bits(batch.column("bits1")) ^ _bits(batch.column("bits2"))).sum(1)
-                near = (differ <= _allowed(n1, n2, percent)) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-                yield batch.select(["a", "b"]).filter(pa.array(near))
+def _probe(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that link: the smaller set is searched in the larger."""
 
     def probe(batches):
         for batch in batches:
@@ -164,13 +195,9 @@ def _check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = small.select(F.col("fp").alias("a"), F.col("n").alias("n1"), F.col("bits").alias("bits1"))
-    two = small.select(F.col("fp").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2"))
-    near = pairs.join(one, "a").join(two, "b").mapInArrow(sketch, "a long, b long")
-    near = stage(near, "near-pairs")
     one = sets.select(F.col("fp").alias("a"), F.col("values").alias("v1"))
     two = sets.select(F.col("fp").alias("b"), F.col("values").alias("v2"))
-    return near.join(one, "a").join(two, "b").mapInArrow(probe, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").mapInArrow(probe, "a long, b long")
 
 
 def _starred(edges: DataFrame) -> DataFrame:
@@ -200,124 +227,174 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
-def _joined(edges: DataFrame, stars: int = 2) -> DataFrame:
-    """node, label: nodes of one label are connected, though not all that are connected have one label
-    yet; enough to leave out pairs, and a few shuffles only."""
-    edges = _ends(edges)
-    for _ in range(stars):
-        edges = stage(_starred(edges), "stars")
-    low = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
-    roots = edges.select(F.col("v").alias("node")).distinct().join(low, "node", "left_anti")
-    return low.unionByName(roots.select("node", F.col("node").alias("label")))
-
-
-def _others(lists: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of one list and of different groups that sizes and sketches leave open: all of
-    them, or for each text (a) the one with the nearest sketch."""
-    token = Window.partitionBy("token")
-    held = lists.withColumn("parts", F.ceil(F.count("*").over(token) / BLOCK))
-    held = held.withColumn("mixed", F.min("label").over(token) != F.max("label").over(token)).where("mixed")
-    held = held.withColumn("part", F.pmod(F.xxhash64("fp"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = held.select("token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "fp", "n", "bits", "label")
-
-    def look(run: pa.RecordBatch, found: dict):
-        n, part = np.asarray(run.column("n"), np.int64), np.asarray(run.column("part"), np.int64)
-        fp, label = np.asarray(run.column("fp"), np.int64), np.asarray(run.column("label"), np.int64)
-        if (label == label[0]).all():
-            return
-        bits = _bits(run.column("bits"))
-        one = (part == part[0]).all()
-        nearest, partner = np.full(len(n), BITS + 1), np.zeros(len(n), np.int64)
-        for i in range(len(n) - 1):
-            rest = slice(i + 1, None)
-            open_ = (label[rest] != label[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))
-            if not one:
-                open_ &= part[rest] != part[i]
-            at = np.flatnonzero(open_) + i + 1
-            if not len(at):
-                continue
-            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1).astype(np.int64)
-            near = differ <= _allowed(n[at], n[i], percent)
-            at, differ = at[near], differ[near]
-            if not len(at):
-                continue
-            if every:
-                found.update(dict.fromkeys((int(min(fp[i], fp[j])), int(max(fp[i], fp[j]))) for j in at.tolist()))
-                continue
-            k = int(differ.argmin())
-            if differ[k] < nearest[i]:
-                nearest[i], partner[i] = differ[k], fp[at[k]]
-            better = differ < nearest[at]
-            nearest[at[better]], partner[at[better]] = differ[better], fp[i]
-        for i in np.flatnonzero(nearest <= BITS).tolist():
-            mine = (int(nearest[i]), int(partner[i]))
-            found[int(fp[i])] = min(found.get(int(fp[i]), mine), mine)
+def _by_list(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("fp"))
+
+
+def _whole(batches, keys: list[str]):
+    """Batches put together and cut so that rows of one key are in one; with the ends of the keys' runs."""
+    held: list = []
+
+    def cut(last: bool):
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        columns = [np.asarray(batch.column(c), np.int64) for c in keys]
+        cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        held.clear()
+        if not last:
+            at = int(cuts[-1]) if len(cuts) else 0
+            held.append(batch.slice(at))
+            batch, cuts = batch.slice(0, at), cuts[:-1]
+        return batch, np.r_[cuts, len(batch)].astype(np.int64)
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+            if sum(map(len, held)) >= 20_000:
+                batch, ends = cut(False)
+                if len(batch):
+                    yield batch, ends
+    if held:
+        yield cut(True)
+
+
+def _runs(lists: DataFrame, texts: DataFrame, percent: int, most: int) -> DataFrame:
+    """For each text (a) and list the nearest candidates, at most `most`: their sketches' distances d and hashes b, ascending.
+
+    `lists`: token, fp.  `texts`: fp, n, bits, label (of its group), asks, and d0, b0: where its closed candidates end.
+    `more` says that the list has further ones."""
+    labels = texts.select("fp", "label", "asks")
+    of = lists.join(labels, "fp").groupBy("token").agg(F.count("*").alias("c"), F.min("label").alias("l1"), F.max("label").alias("l2"), F.max("asks").alias("any"))
+    of = of.where("l1 <> l2 and any").select("token", F.ceil(F.col("c") / BLOCK).alias("parts"))
+    dealt = lists.join(of, "token").withColumn("part", F.pmod(F.xxhash64("fp"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("fp", "token", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part")
+    dealt = dealt.join(texts, "fp").select("token", "p", "q", "part", "fp", "n", "bits", "label", "asks", "d0", "b0")
+
+    def look(batches):
+        for batch, ends in _whole(batches, ["token", "p", "q"]):
+            n, part, p, q, fp, label, d0, b0 = (np.asarray(batch.column(c), np.int64) for c in ("n", "part", "p", "q", "fp", "label", "d0", "b0"))
+            asks = np.asarray(batch.column("asks"), bool)
+            bits = _bits(batch.column("bits"))
+            # each row looks at all behind it in its list: texts with smaller hashes
+            partners = np.repeat(ends, np.diff(np.r_[0, ends])) - np.arange(len(batch)) - 1
+            partners[~asks] = 0
+            before = np.r_[0, np.cumsum(partners)]
+            at = 0
+            while at < len(batch):
+                to = max(at + 1, int(np.searchsorted(before, before[at] + 1_000_000, "right")) - 1)
+                i = np.repeat(np.arange(at, to), partners[at:to])
+                j = i + 1 + np.arange(len(i)) - (before[i] - before[at])
+                at = to
+                n1, n2 = n[i], n[j]
+                open_ = (label[i] != label[j]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)) & ((p[i] == q[i]) | (part[i] != part[j]))
+                i, j = i[open_], j[open_]
+                d = np.zeros(len(i), np.int64)
+                for a in range(0, len(i), 50_000):
+                    d[a : a + 50_000] = np.bitwise_count(bits[i[a : a + 50_000]] ^ bits[j[a : a + 50_000]]).sum(1)
+                b = fp[j]
+                near = (d <= _allowed(n[i], n[j], percent)) & ((d > d0[i]) | (d == d0[i]) & (b > b0[i]))
+                i, d, b = i[near], d[near], b[near]
+                if not len(i):
+                    continue
+                order = np.lexsort((b, d, i))
+                i, d, b = i[order], d[order], b[order]
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                many = np.diff(np.r_[first, len(i)])
+                keep = np.arange(len(i)) - np.repeat(first, many) < most
+                offsets = np.r_[0, np.cumsum(np.minimum(many, most))].astype(np.int32)
+                a = i[first]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fp[a]), pa.array(n[a]), pa.ListArray.from_arrays(offsets, pa.array(d[keep])), pa.ListArray.from_arrays(offsets, pa.array(b[keep])), pa.array(many > most)],
+                    names=["a", "n", "d", "b", "more"],
+                )
+
+    return _by_list(dealt, "token", "p", "q").mapInArrow(look, "a long, n long, d array<long>, b array<long>, more boolean")
 
-    def give(batches):
-        held: list = []
-        found: dict = {}
-
-        def out():
-            rows = list(found) if every else [(a, b) for a, (_, b) in found.items()]
-            found.clear()
-            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in rows], pa.int64()), "b": pa.array([b for _, b in rows], pa.int64())})
-
-        def runs(last: bool):
-            """The lists that are complete; the last one may go on in the next batch."""
-            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            keys = np.stack([np.asarray(batch.column(c), np.int64) for c in ("token", "p", "q")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            bounds = [0, *cuts.tolist(), len(batch)]
-            held.clear()
-            if not last:
-                held.append(batch.slice(bounds[-2]))
-                bounds.pop()
-            for a, b in zip(bounds, bounds[1:]):
-                if b - a > 1:
-                    look(batch.slice(a, b - a), found)
 
-        for batch in batches:
-            if len(batch):
-                held.append(batch)
-                runs(False)
-                if len(found) > 200_000:
-                    yield out()
-        if held:
-            runs(True)
-        yield out()
+def merged(runs: list[list[tuple[int, int]]], more: list[bool], least: int) -> tuple[list[int], tuple[int, int] | None]:
+    """Candidates with `least` occurrences in ascending runs, and up to where that is certain: the nearest end
+    of a run that has more (None: everywhere)."""
+    end = min((r[-1] for r, m in zip(runs, more) if m), default=None)
+    found, last, count = [], None, 0
+    for x in heapq.merge(*runs):
+        if end is not None and x > end:
+            break
+        count = count + 1 if x == last else 1
+        last = x
+        if count == least:
+            found.append(x[1])
+    return found, end
+
+
+def _candidates(runs: DataFrame, percent: int) -> DataFrame:
+    """a, b (array: to be probed), d0, b0 (where its closed candidates end; null: all are closed)."""
 
-    ordered = held.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q")
-    return ordered.mapInArrow(give, "a long, b long").distinct()
+    def count(batches):
+        for batch, ends in _whole(batches, ["a"]):
+            rows = batch.to_pydict()
+            out = []
+            for i, j in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                # a partner may be smaller by as much as percent allows, and then needs fewer occurrences
+                least = int(_occurrences(_least_overlap(rows["n"][i], percent)))
+                found, end = merged([list(zip(rows["d"][x], rows["b"][x])) for x in range(i, j)], rows["more"][i:j], least)
+                out.append((rows["a"][i], found, *(end or (None, None))))
+            a, b, d0, b0 = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.list_(pa.int64())), pa.array(d0, pa.int64()), pa.array(b0, pa.int64())], names=["a", "b", "d0", "b0"])
+
+    ordered = runs.repartition("a").sortWithinPartitions("a")
+    return ordered.mapInArrow(count, "a long, b array<long>, d0 long, b0 long")
+
+
+def links(lists: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame | None:
+    """node, label: the groups of texts that links join (None: there is no link)."""
+    small = sets.select("fp", "n", "bits")
+    open_, groups, most = None, None, NEAREST
+    while True:
+        texts = small.withColumn("label", F.col("fp")) if groups is None else small.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        if open_ is None:
+            texts = texts.withColumns({"asks": F.lit(True), "d0": F.lit(-1).cast("long"), "b0": F.lit(0).cast("long")})
+        else:
+            texts = texts.join(open_, "fp", "left").withColumn("asks", F.col("d0").isNotNull()).fillna(0, ["d0", "b0"])
+        found = stage(_candidates(_runs(lists, texts, percent, most), percent), "candidates")
+        pairs = found.select("a", F.explode("b").alias("b"))
+        linked = stage(_probe(pairs, sets, percent), "links")
+        if not linked.isEmpty():
+            edges = linked if groups is None else linked.unionByName(groups.select(F.col("node").alias("a"), F.col("label").alias("b")))
+            groups = components(edges)
+        open_ = found.where("d0 is not null").select(F.col("a").alias("fp"), "d0", "b0")
+        if open_.isEmpty():
+            return groups
+        most *= MORE
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, th (hash of the text), fp, n_shingles, kept (doc_id and th of the first of the group, by id, then by hash; null without words)."""
+    counts = stage(shingle_counts(docs), "counts")
+    first: Column = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th"))
+    firsts = stage(counts.where("fp is not null").groupBy("fp").agg(first.alias("first")), "firsts")
+    lists = stage(short_lists(docs, counts.count(), percent), "short-lists")
+    wanted = firsts.join(lists.select("fp").distinct(), "fp", "left_semi").select("first.doc_id", "first.th")
+    groups = links(lists, stage(_sets(docs, wanted), "sets"), percent)
+    if groups is not None:
+        labelled = stage(firsts.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
+        firsts = labelled.select("fp", "label").join(labelled.groupBy("label").agg(F.min("first").alias("first")), "label").select("fp", "first")
+    with_words = counts.where("fp is not null").join(firsts, "fp").select("doc_id", "th", "fp", F.col("n").alias("n_shingles"), F.struct("first.doc_id", "first.th").alias("kept"))
+    none = counts.where("fp is null").select("doc_id", "th", "fp", F.col("n").alias("n_shingles"), F.lit(None).cast("struct<doc_id:bigint,th:bigint>").alias("kept"))
+    return with_words.unionByName(none)
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of `docs`."""
-    counts = stage(shingle_counts(docs), "counts")
-    lists = stage(short_lists(docs, percent), "short-lists")
-    involved = lists.select("fp").distinct()
-    wanted = counts.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(involved, "fp")
-    sets = stage(_sets(docs, wanted), "sets")
-    small = sets.select("fp", "n", "bits")
-    links, groups, active = None, None, small
-    for i in range(MOST_ROUNDS + 1):
-        labelled = active if groups is None else active.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-        labelled = labelled.withColumn("label", F.coalesce("label", "fp") if groups is not None else F.col("fp"))
-        last = i == MOST_ROUNDS or (i > 0 and joined == 0)
-        open_ = stage(_others(lists.join(labelled, "fp"), percent, every=last), "open-pairs")
-        pairs = open_.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = stage(_check(pairs, sets, percent), "links")
-        joined = more.count()
-        links = more if links is None else links.unionByName(more)
-        if last:
-            break
-        # a text without an open pair now has none later: groups only grow
-        active = stage(active.join(open_.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi"), "active")
-        if joined:
-            groups = stage(_joined(links), "groups")
-    every = components(links)
-    ids = counts.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    ids = stage(ids.join(every.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc_id", F.coalesce("label", "fp").alias("label")), "ids")
-    smallest = ids.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = ids.join(smallest, "label").select("fp", "component_id")
-    full = counts.where("fp is not null").join(named, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(counts.where("fp is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    component = F.when(F.col("kept").isNull(), F.col("doc_id")).otherwise(F.col("kept.doc_id"))
+    return grouped(docs, percent).select("doc_id", "n_shingles", component.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of each group the first row, by id, then by the text's hash, then by the other columns; rows without words all stay."""
+    kept = grouped(docs, percent).where("kept is not null").select("kept.*").distinct().select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    text = F.coalesce("text", F.lit(""))
+    columns = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, columns)), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_hash"), F.lower(text).rlike(r"[^\x20\x09-\x0D]").alias("_words"))
+    chosen = rows.where("_words").join(kept, (F.col("_hash") == F.col("_th")) & F.col("_doc").eqNullSafe(F.col("_id")), "left_semi")
+    one = Window.partitionBy("_doc", "_hash").orderBy(F.xxhash64(*columns))
+    chosen = chosen.withColumn("_row", F.row_number().over(one)).where("_row = 1")
+    return chosen.select(*columns).unionByName(rows.where("not _words").select(*columns)).toDF(*docs.columns)
