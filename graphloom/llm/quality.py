@@ -7,7 +7,8 @@ round, lines of bad documents that the field finds surely good (boilerplate amon
 relabelled.  The score of a document is the mean of its lines' marginal probabilities to be
 good (forward-backward), weighted by line length, calibrated against the labels.
 
-Training looks at a bounded sample of labelled documents (`rows`); scoring looks at the
+Training looks at a bounded sample of labelled documents (`ROWS`), in hashed order as long as
+their lines together are at most LINES (a longer one is passed over); scoring looks at the
 whole text of every document, in one pass, without a shuffle.  Null and empty texts are one
 empty line; repeated rows and null ids are scored like others; an empty table gives no rows;
 other columns are not looked at.  Without labels of both kinds every document scores 0.5.
@@ -18,17 +19,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from graphloom.llm.training import sigmoid
 from graphloom.llm.units import blocks
 
-#: Labelled documents that are looked at.
-ROWS = 12_000
+#: Labelled documents that are looked at, and their lines in all.
+ROWS, LINES = 12_000, 150_000
 #: Classes of bytes that lines are measured by.
 BYTES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "stop": b".,;:?'\"()-", "shout": b"!", "bar": b"|", "mark": b"#$%&*@^~<>{}[]=+_\\/`", "blank": b" \t"}
 _TABLE = np.full(256, len(BYTES), np.uint8)
@@ -146,21 +147,21 @@ def _logit(p):
 def fit(x: np.ndarray, length: np.ndarray, counts: np.ndarray, y: np.ndarray, steps: int = 120, l2: float = 0.5) -> QualityModel:
     """Trains the field and the calibration on lines and on labels of their texts (1: good)."""
     at = np.cumsum(counts) - counts
-    wide = with_neighbours(x, counts).astype(np.float64)
+    wide = with_neighbours(x, counts)
     state = np.repeat(y, counts).astype(int)
     model = QualityModel(np.zeros(wide.shape[1]), np.zeros((2, 2)))
     chain = np.ones(len(state), bool)
     chain[at] = False
     n = len(y)
     for again in range(2):
-        want = wide.T @ state
+        want = (wide.T @ state.astype(np.float32)).astype(np.float64)
         want_pairs = np.zeros((2, 2))
         np.add.at(want_pairs, (state[:-1][chain[1:]], state[1:][chain[1:]]), 1)
         w, t = model.weights.copy(), model.transitions.copy()
         gw, gt = np.full_like(w, 1e-8), np.full_like(t, 1e-8)
         for _ in range(steps):
-            m, pairs, _z = forward_backward(np.stack([np.zeros(len(wide)), wide @ w], 1), counts, t)
-            dw, dt = (want - wide.T @ m[:, 1] - l2 * w) / n, (want_pairs - pairs - l2 * t) / n
+            m, pairs, _z = forward_backward(np.stack([np.zeros(len(wide)), (wide @ w.astype(np.float32)).astype(np.float64)], 1), counts, t)
+            dw, dt = (want - wide.T @ m[:, 1].astype(np.float32) - l2 * w) / n, (want_pairs - pairs - l2 * t) / n
             gw, gt = gw + dw**2, gt + dt**2
             w, t = w + 0.5 * dw / np.sqrt(gw), np.clip(t + 0.5 * dt / np.sqrt(gt), -6, 6)
         model = QualityModel(w, t)
@@ -182,26 +183,31 @@ def fit(x: np.ndarray, length: np.ndarray, counts: np.ndarray, y: np.ndarray, st
     return QualityModel(model.weights, model.transitions, float(slope), float(shift))
 
 
-def train(sample: DataFrame) -> QualityModel:
-    """Trains on a bounded table of text and y (`training.labelled_sample`)."""
+def train(sample: DataFrame, lines: int = LINES) -> QualityModel:
+    """Trains on a bounded table of at, doc_id, text and y (`training.labelled_sample`)."""
+    # ROWS rows of numbers at most: one window may add them up
+    order = Window.orderBy("at", "doc_id", "th")
+    sized = sample.select("at", "doc_id", F.xxhash64("text").alias("th"), "y", F.size(F.split("text", "\n", -1)).alias("n")).where(F.col("n") <= lines)
+    taken = sized.withColumn("sum", F.sum("n").over(order)).where(F.col("sum") <= lines).select("at", "doc_id", F.col("th").alias("_th"))
+    chosen = sample.join(F.broadcast(taken), ["at", "doc_id"]).where(F.xxhash64("text") == F.col("_th")).select("at", F.col("doc_id").cast("string").alias("id"), "text", "y")
 
     def measure(batches):
         for batch in batches:
             for block in blocks(batch):
                 x, length, counts = lines_of(block.column("text"))
                 ends = np.cumsum(counts)
-                for i, y in enumerate(block.column("y").to_pylist()):
-                    a, b = ends[i] - counts[i], ends[i]
-                    yield pa.RecordBatch.from_pydict({"y": pa.array([y], pa.int32()), "x": [x[a:b].tobytes()], "length": [length[a:b].tobytes()]})
+                cut = lambda v: pa.array([v[b - c : b].tobytes() for b, c in zip(ends, counts)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(block.column(c) for c in ("at", "id", "y")), cut(x), cut(length)], names=["at", "id", "y", "x", "length"])
 
-    # lines of at most ROWS documents, as a few dozen numbers each
-    rows = sample.mapInArrow(measure, "y int, x binary, length binary").collect()
-    y = np.array([int(r.y > 0) for r in rows])
+    # LINES lines at most, as a few dozen numbers each, in an order that does not depend on tasks
+    rows = chosen.mapInArrow(measure, "at long, id string, y int, x binary, length binary").toPandas().sort_values(["at", "id"], kind="stable")
+    y = (rows["y"].to_numpy() > 0).astype(int)
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros(0), np.zeros((2, 2)))
-    length = [np.frombuffer(r.length) for r in rows]
+    length = [np.frombuffer(v) for v in rows["length"]]
     counts = np.array([len(v) for v in length])
-    x = np.concatenate([np.frombuffer(r.x, np.float32).reshape(c, -1) for r, c in zip(rows, counts)])
+    x = np.concatenate([np.frombuffer(v, np.float32).reshape(c, -1) for v, c in zip(rows["x"], counts)])
+    del rows
     return fit(x, np.concatenate(length), counts, y)
 
 
@@ -215,14 +221,3 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(put, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
-
-
-def scorer(model):
-    """The score of a column of texts, as a function of columns."""
-
-    @F.pandas_udf("double")
-    def put(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
-        return pd.Series(np.concatenate([np.zeros(0), *(model.score(b.column("text")) for b in blocks(batch))]))
-
-    return put

@@ -24,7 +24,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -166,10 +165,11 @@ def train(sample: DataFrame, voters: int = VOTERS, columns: int = COLUMNS) -> To
         for batch in batches:
             for block in blocks(batch):
                 rows = Units(block.column("text")).features(model.numbers)
-                yield pa.RecordBatch.from_pydict({"c": pa.array(rows, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_arrays([block.column("at"), block.column("doc_id").cast(pa.string()), pa.array(rows, pa.list_(pa.int64()))], names=["at", "id", "c"])
 
-    # at most ROWS lists of at most COLUMNS numbers
-    rows = [np.array(r.c, np.int64) for r in sample.mapInArrow(incidence, "c array<long>").collect()]
+    # at most ROWS lists of at most COLUMNS numbers, in an order that does not depend on tasks
+    found = sample.select("at", "doc_id", "text").mapInArrow(incidence, "at long, id string, c array<long>").collect()
+    rows = [np.array(r.c, np.int64) for r in sorted(found, key=lambda r: (r["at"], r.id, r.c))]
     place = {names[r.sign]: i for i, r in enumerate(votes_toxic)}
     m = len(place)
     votes = np.zeros((len(rows), m + GROUPS), np.int64)
@@ -196,14 +196,3 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(put, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
-
-
-def scorer(model):
-    """The score of a column of texts, as a function of columns."""
-
-    @F.pandas_udf("double")
-    def put(texts: pd.Series) -> pd.Series:
-        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
-        return pd.Series(np.concatenate([np.zeros(0), *(model.score(b.column("text")) for b in blocks(batch))]))
-
-    return put

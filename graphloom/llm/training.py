@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.units import blocks
 from graphloom.session import stage
 
 
@@ -18,11 +19,13 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: Column, rows: int) -> DataFrame:
-    """At most `rows` labelled documents (text, y), those with the smallest hashed ids, as a table.
+    """At most `rows` labelled documents (at, doc_id, text, y), those with the smallest hashed ids, as a table;
+    `at` orders them, the same way in every run.
 
     Of texts that share the smallest hash of their five-word shingles (copies, nearly all near
-    copies) one stays, so that a copied text teaches once.  The bound is on rows of `labels`, before they meet the texts; a document with several
-    labels has the largest.  Rows without an id or a label are left out."""
+    copies) the one with the smallest hashed id stays, so that a copied text teaches once.  The
+    bound is on rows of `labels`, before they meet the texts; a document with several labels has
+    the largest.  Rows without an id or a label are left out; without any the table is empty."""
     chosen = (
         labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y"))
         .where(F.col("_id").isNotNull() & F.col("y").isNotNull())
@@ -45,7 +48,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: Colum
             yield batch.append_column("key", pa.array(keys, pa.int64()))
 
     keyed = found.mapInArrow(sketch, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, text string, y int, key long")
-    return stage(keyed.dropDuplicates(["key", "y"]).select("doc_id", "text", "y"), "labelled")
+    row = F.struct(F.xxhash64("doc_id").alias("at"), "doc_id", F.xxhash64("text").alias("th"), "text")
+    return stage(keyed.groupBy("key", "y").agg(F.min(row).alias("r")).select("r.at", "r.doc_id", "r.text", "y"), "labelled")
+
+
+def keep(docs: DataFrame, model, accepts) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score `accepts` (an array of scores in, of booleans out).
+
+    Null texts are scored as empty ones; repeated rows and null ids are judged like others; an
+    empty table gives no rows."""
+
+    def put(batches):
+        for batch in batches:
+            for block in blocks(batch):
+                yield block.filter(pa.array(accepts(model.score(block.column("text")))))
+
+    return docs.mapInArrow(put, docs.schema)
 
 
 def sigmoid(x):

@@ -38,11 +38,32 @@ def test_odd_rows(spark, odd, none, kind):
     rows = kind.score(odd, model).collect()
     assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
     assert kind.score(none, model).count() == 0
-    assert odd.withColumn("s", kind.scorer(model)(F.coalesce("text", F.lit("")))).where("s between 0 and 1").count() == odd.count()
+    kept = training.keep(odd, model, lambda s: (s >= 0) & (s <= 1))
+    assert kept.columns == odd.columns and sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+    assert training.keep(odd, model, lambda s: s > 1).count() == 0 and training.keep(none, model, lambda s: s > 1).count() == 0
     empty = kind.train(training.labelled_sample(none, labels, "label", F.lit(True), 100))
     assert kind.score(odd, empty).count() == odd.count()
 
 
+def test_training_does_not_depend_on_tasks(spark, sf):
+    """The same sample, and the same scores, from any dealing of the rows."""
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    again = docs.repartition(7).unionByName(docs.limit(50))
+    for kind, label in ((toxicity, "toxic"), (quality, "quality")):
+        scores = []
+        for rows in (docs, again):
+            sample = training.labelled_sample(rows, labels, label, F.lit(True), 300)
+            scores.append({r.doc_id: r.score for r in kind.score(docs, kind.train(sample)).collect()})
+        assert scores[0] == scores[1]
+
+
+def test_quality_lines_are_bounded(spark):
+    """Lines of the training documents are bounded as a whole, in hashed order; one document beyond the bound is passed over."""
+    texts = [("word again " * 5 + "\n") * 9 + "end" if i % 2 else "!! $$ ##\n" * 9 for i in range(40)] + ["x\n" * 500]
+    sample = spark.createDataFrame([(i, i, t, i % 2) for i, t in enumerate(texts)], "at long, doc_id long, text string, y int")
+    assert len(quality.train(sample, 100).weights) and not len(quality.train(sample, 9).weights)
+
+
 def test_label_model_finds_accuracies_and_shares():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
