@@ -1,26 +1,32 @@
 """SentencePiece encoding and decoding as a max-plus scan.
 
-A text's encoding is the segmentation into pieces with the largest sum of scores; a
-character that no piece covers costs UNKNOWN less than the worst piece and becomes the
-pieces of its bytes.  (A vocabulary made for merging is read in the same way, by its
-scores.)  Text is written with U+2581 for blanks and one more in front.
-
-In (max, +) a stretch of text is a matrix: from each state at its start (how far back the
-last piece ended) to each state at its end, the best sum.  Stretches put together are the
-product of their matrices, in any grouping.  So a giant document is cut into chunks, Spark
-makes the matrix of each chunk, multiplies runs of chunks, scans the runs, then the chunks
-of each run, and with the states at both ends known every chunk is traced back by itself.
-Other documents are cut where no piece can cross (before a blank behind another
-character), and each distinct unit between such cuts is traced once.
-
-Null and empty texts have no ids.  A text that has U+2581 itself comes back with a blank
-there; all others come back as they were.  Repeated rows and null ids are documents like
-others; an empty table gives no rows; other columns are not looked at.
+The public model merges (BPE).  What merging gives is the only segmentation in which every two
+neighbouring pieces are left side by side by the merges: merges inside of a piece do not depend
+on others, and one that crosses a border would cross it in the two pieces alone as well.  So
+encoding is a path of weight 0 in (max, +) where a pair of neighbours weighs 0 if the model
+leaves it and -inf if not.  Which pairs it leaves is asked from the library, once for each pair
+that comes up.  A character that no piece has becomes the pieces of its bytes.
+
+In (max, +) a stretch of text is a matrix: from each state at its start (the last piece that
+ended there or before, and where) to each state at its end, the best weight.  Stretches put
+together are the product of their matrices, in any grouping.  So a giant document is cut into
+chunks, Spark makes the matrix of each chunk, multiplies runs of chunks, scans the runs, then
+the chunks of each run, and with the states at both ends known every chunk is traced back by
+itself.  A text that is one chunk has one start, so each place has one piece that may end there,
+and is traced at once; it is cut where no piece can cross (before a blank behind another
+character), and each distinct unit between such cuts is traced once.  Both ways, and any
+chunking, give the ids of the library.
+
+Null and empty texts have no ids.  U+2581, which the library takes for a blank, is spelled by
+its bytes, so that every text comes back as it was.  Repeated rows and null ids are documents
+like others; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -29,12 +35,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.units import blocks
+from graphloom.llm.units import blocks, ragged
 from graphloom.session import stage
 
 BLANK = "▁"
-#: What an unknown character costs below the worst piece; characters of a giant text, of a chunk; chunks of a run; units remembered.
-UNKNOWN, GIANT, CHUNK, RUN, MOST_REMEMBERED = 10.0, 65_536, 4_096, 256, 500_000
+#: A character that no piece has, put before pieces so that the library adds nothing to them.
+SHIELD = "\ue000"
+#: Characters of a giant text, and of a chunk; chunks of a run.  Units with more characters than LONG are traced one by one.
+GIANT, CHUNK, RUN, LONG = 65_536, 4_096, 256, 256
+#: Bytes of units that a generation of a worker's memory holds (there are two), and places for pairs of pieces.
+GENERATION, PAIRS = 24_000_000, 1 << 21
 #: Chunks of a task, and tasks at most.
 TASK_CHUNKS, MOST_TASKS = 16, 10_000
 
@@ -42,35 +52,92 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _WORKERS: dict[str, "Pieces"] = {}
 
 
+class Pairs:
+    """Whether pairs of pieces may stand side by side: a table of 64-bit keys that asks once for each and starts anew when full."""
+
+    def __init__(self, ask: Callable[[np.ndarray], np.ndarray], places: int = PAIRS):
+        self.ask, self.places = ask, places
+        self.shift = np.uint64(64 - (places.bit_length() - 1))
+        self.table, self.held = np.full(places, -1, np.int64), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _FACTOR) >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        new = []
+        while len(left):
+            got = self.table[slot]
+            hit, empty = got >> 1 == keys[left], got < 0
+            out[left[hit]] = got[hit] & 1
+            new.append(left[empty])
+            on = ~(hit | empty)
+            left, slot = left[on], (slot[on] + 1) % self.places
+        missing = np.concatenate([np.zeros(0, np.int64), *new])
+        if len(missing):
+            distinct, at = np.unique(keys[missing], return_inverse=True)
+            found = self.ask(distinct)
+            out[missing] = found[at]
+            self._put(distinct, found)
+        return out
+
+    def _put(self, keys: np.ndarray, found: np.ndarray) -> None:
+        if self.held + len(keys) > self.places * 0.6:
+            self.table[:], self.held = -1, 0
+            keys, found = keys[: self.places // 2], found[: self.places // 2]
+        self.held += len(keys)
+        entry, slot = keys << 1 | found, self._slots(keys)
+        while len(entry):
+            empty = self.table[slot] < 0
+            self.table[slot[empty]] = entry[empty]
+            on = self.table[slot] != entry
+            entry, slot = entry[on], (slot[on] + 1) % self.places
+
+
 class Pieces:
-    """The pieces of a SentencePiece model with their scores."""
+    """The pieces of a SentencePiece model that merges."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, generation: int = GENERATION):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
-        names = [model.id_to_piece(i) for i in range(n)]
-        self.byte_ids = {}
-        self.out = [b""] * n
-        plain = []
-        for i, name in enumerate(names):
+        self.names = [model.id_to_piece(i).replace(BLANK, " ") for i in range(n)]
+        self.byte_ids, self.out, plain = {}, [b""] * n, []
+        for i, name in enumerate(self.names):
             if model.is_byte(i):
                 self.byte_ids[int(name[3:5], 16)] = i
                 self.out[i] = bytes([int(name[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 plain.append(i)
-                self.out[i] = name.replace(BLANK, " ").encode()
+                self.out[i] = name.encode()
         self.unknown_id = model.unk_id()
-        self.longest = max(len(names[i]) for i in plain)
-        self.scores = np.array([model.get_score(i) for i in range(n)])
-        self.unknown = self.scores[plain].min() - UNKNOWN
-        hashes = np.array([self._hash(names[i]) for i in plain], np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], np.array(plain)[order]
-        #: whether a piece may hold a blank behind another character
-        self.crossing = any(BLANK in names[i].lstrip(BLANK) for i in plain)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.longest = max(len(self.names[i]) for i in plain)
+        #: beside the pieces' ids: the start of a text, and a character that no piece has
+        self.start, self.odd = n, n + 1
+        single = {self.names[i] for i in plain if len(self.names[i]) == 1}
+        if any(c not in single for i in plain for c in self.names[i]):
+            raise ValueError(f"{path}: a piece has a character that is no piece itself")
+        if any(" " in self.names[i].lstrip(" ") for i in plain):
+            raise ValueError(f"{path}: a piece goes on over a blank")
+        if SHIELD in single or model.decode(model.encode(text := "a  \ufb01 b\n ")) != text:
+            raise ValueError(f"{path}: the model changes texts")
+        self.shield = len(model.encode(SHIELD))
+        #: hashes of the pieces of each length, their ids, and which first 16 bits they have
+        self.tables = []
+        for length in range(1, self.longest + 1):
+            ids = np.array([i for i in plain if len(self.names[i]) == length], np.int64)
+            hashes = np.array([self._hash(self.names[i]) for i in ids.tolist()], np.uint64)
+            order = np.argsort(hashes)
+            few = np.zeros(1 << 16, bool)
+            few[(hashes >> np.uint64(48)).astype(np.int64)] = True
+            self.tables.append((hashes[order], ids[order], few))
+        self.beside = Pairs(self._ask)
+        self.generation = generation
+        self.known: dict[str, int] = {}
+        self.flat, self.offsets, self.held = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+        self.before: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, self.flat, self.offsets)
 
     @staticmethod
     def _hash(text: str) -> int:
@@ -79,136 +146,203 @@ class Pieces:
             h = (h * int(_FACTOR) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
-    def look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For rows of code points (0: beyond the end) the ids and scores of the pieces that end at
-        each place, by length: arrays [row, place, length - 1], score -inf for none."""
-        n, width = codes.shape
-        prefix = np.zeros((n, width + 1), np.uint64)
+    def _ask(self, keys: np.ndarray) -> np.ndarray:
+        """Of pairs (left * (n + 2) + right), whether merging leaves the two as they are."""
+        left, right = keys // (self.odd + 1), keys % (self.odd + 1)
+        out = np.ones(len(keys), bool)  # what no piece has is never merged
+        some = np.flatnonzero((left != self.odd) & (right != self.odd))
+        first = ["" if i == self.start else self.names[i] for i in left[some].tolist()]
+        texts = [f"{SHIELD}{a}{self.names[b]}" for a, b in zip(first, right[some].tolist())]
+        want = [[b] if a == self.start else [a, b] for a, b in zip(left[some].tolist(), right[some].tolist())]
+        for at in range(0, len(texts), 10_000):
+            got = self.model.encode(texts[at : at + 10_000], num_threads=1)
+            out[some[at : at + 10_000]] = [g[self.shield :] == w for g, w in zip(got, want[at : at + 10_000])]
+        return out
+
+    def look(self, codes: np.ndarray) -> np.ndarray:
+        """For columns of code points plus 1 (0: beyond the end) the piece that ends at each place, by length: [place, column, length - 1], -1 for none."""
+        width, n = codes.shape
+        prefix = np.zeros((width + 1, n), np.uint64)
         for t in range(width):
-            prefix[:, t + 1] = prefix[:, t] * _FACTOR + codes[:, t].astype(np.uint64) + np.uint64(1)
+            prefix[t + 1] = prefix[t] * _FACTOR + codes[t].astype(np.uint64)
         span = min(self.longest, width)
-        ids = np.full((n, width, span), -1, np.int32)
-        scores = np.full((n, width, span), -np.inf)
+        ids = np.full((width, n, span), -1, np.int32)
         power = _FACTOR
-        for length in range(1, span + 1):
-            h = prefix[:, length:] - prefix[:, :-length] * power
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = (self.hashes[at] == h) & (codes[:, length - 1 :] > 0)
-            ids[:, length - 1 :, length - 1] = np.where(hit, self.ids[at], -1)
-            scores[:, length - 1 :, length - 1] = np.where(hit, self.scores[self.ids[at]], -np.inf)
+        for length, (hashes, pieces_, few) in zip(range(1, span + 1), self.tables):
+            if len(hashes):
+                h = prefix[length:] - prefix[:-length] * power
+                # a small table rules out most
+                place, column = np.nonzero(few[(h >> np.uint64(48)).astype(np.int64)] & (codes[length - 1 :] > 0))
+                h = h[place, column]
+                at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                hit = hashes[at] == h
+                ids[place[hit] + length - 1, column[hit], length - 1] = pieces_[at[hit]]
             power = np.uint64(int(power) * int(_FACTOR) & 0xFFFFFFFFFFFFFFFF)
-        lone = scores[:, :, 0] == -np.inf
-        scores[:, :, 0][lone] = self.unknown
-        return ids, scores
+        lone = (ids[:, :, 0] < 0) & (codes > 0)
+        ids[:, :, 0][lone] = self.odd
+        return ids
 
     def spelled(self, ids: list[int], text: str, ends: list[int]) -> list[int]:
-        """Ids, with the bytes of an unknown character in its place."""
+        """Ids, with the bytes of a character that no piece has in its place."""
         out = []
         for i, end in zip(ids, ends):
-            if i >= 0:
+            if i != self.odd:
                 out.append(i)
             else:
                 out += [self.byte_ids.get(b, self.unknown_id) for b in text[end].encode("utf-8", "replace")] if self.byte_ids else [self.unknown_id]
         return out
 
     def best(self, units: list[str]) -> list[bytes]:
-        """The best segmentation of each unit, as 32-bit ids."""
+        """The segmentation of each unit, as 32-bit ids."""
         out = [b""] * len(units)
-        order = sorted(range(len(units)), key=lambda i: len(units[i]))
-        at = int(np.searchsorted([len(units[i]) for i in order], 1)) if units else 0
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        order = np.argsort(sizes, kind="stable")
+        at = int((sizes == 0).sum())
         while at < len(order):
-            width = len(units[order[at]])
-            rows = max(1, 2_000_000 // (width * min(self.longest, width)))
-            group = []
-            while at < len(order) and len(group) < rows and len(units[order[at]]) <= width + max(2, width // 8):
-                group.append(order[at])
+            width = int(sizes[order[at]])
+            if width > LONG:
+                out[order[at]] = np.array(self.chunk("", units[order[at]])[1](0, -1), np.int32).tobytes()
                 at += 1
-            size = np.array([len(units[i]) for i in group])
+                continue
+            rows = max(1, 1_000_000 // (width * min(self.longest, width)))
+            to = min(at + rows, int(np.searchsorted(sizes[order], min(LONG, width + max(2, width // 8)), "right")))
+            group, at = order[at:to].tolist(), to
+            size = sizes[group]
             width = int(size.max())
             raw = np.frombuffer("".join([units[i] for i in group]).encode("utf-32-le", "surrogatepass"), np.uint32)
             codes = np.zeros((len(group), width), np.int64)
-            codes[np.arange(width)[None] < size[:, None]] = raw
-            ids, scores = self.look(codes)
-            total = np.full((len(group), width + 1), -np.inf)
-            total[:, 0] = 0
-            back = np.zeros((len(group), width), np.int64)
-            all_ = np.arange(len(group))
+            codes[np.arange(width)[None] < size[:, None]] = raw + np.uint32(1)
+            ids = self.look(np.ascontiguousarray(codes.T))
+            # the one piece that may end at each place, and how long it is
+            last = np.full((width + 1, len(group)), -1, np.int64)
+            last[0] = self.start
+            back = np.zeros((width, len(group)), np.int64)
+            place, column, length = np.nonzero(ids >= 0)
+            piece = ids[place, column, length].astype(np.int64)
+            cuts = np.searchsorted(place, np.arange(width + 1))
             for t in range(width):
-                span = min(t + 1, scores.shape[2])
-                options = total[:, t + 1 - span : t + 1][:, ::-1] + scores[:, t, :span]
-                back[:, t] = options.argmax(1)
-                total[:, t + 1] = options[all_, back[:, t]]
-            chosen = np.take_along_axis(ids, back[:, :, None], 2)[:, :, 0]
+                here = slice(cuts[t], cuts[t + 1])
+                c, n, p = column[here], length[here], piece[here]
+                left = last[t - n, c]
+                fits = np.flatnonzero(left >= 0)
+                fits = fits[self.beside(left[fits] * (self.odd + 1) + p[fits])]
+                back[t, c[fits]] = n[fits]
+                last[t + 1, c[fits]] = p[fits]
+            all_ = np.arange(len(group))
             # all units are traced back at once: -2 for those that are at their start
             t, steps = size - 1, []
             while (t >= 0).any():
                 here = np.maximum(t, 0)
-                steps.append(np.where(t >= 0, chosen[all_, here], -2))
-                t = np.where(t >= 0, t - back[all_, here] - 1, -1)
+                steps.append(np.where(t >= 0, last[here + 1, all_], -2))
+                t = np.where(t >= 0, t - back[here, all_] - 1, -1)
             found = np.stack(steps[::-1], 1)
             real = found != -2
             flat, ends = found[real].astype(np.int32).tobytes(), np.cumsum(real.sum(1)) * 4
             for i, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist()):
                 out[i] = flat[a:b]
-            for k in np.flatnonzero((found == -1).any(1)).tolist():
+            for k in np.flatnonzero((found == self.odd).any(1)).tolist():
                 places, t = [], int(size[k]) - 1
                 while t >= 0:
                     places.append(t)
-                    t -= int(back[k, t]) + 1
+                    t -= int(back[t, k]) + 1
                 places.reverse()
-                out[group[k]] = np.array(self.spelled([int(chosen[k, t]) for t in places], units[group[k]], places), np.int32).tobytes()
+                out[group[k]] = np.array(self.spelled([int(last[t + 1, k]) for t in places], units[group[k]], places), np.int32).tobytes()
         return out
 
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+    def _places(self, units: list[str]) -> np.ndarray:
+        """The place of each of the distinct units in the memory, tracing those that it lacks."""
+        found = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+        if (missing := np.flatnonzero(found < 0)).size:
+            if self.held > self.generation:
+                self.before = (self.known, self.flat, self.offsets)
+                self.known, self.flat, self.offsets, self.held = {}, np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+                missing = np.arange(len(units))
+            names = [units[i] for i in missing.tolist()]
+            old, flat, offsets = self.before
+            at = np.fromiter(map(old.get, names, repeat(-1)), np.int64, len(names))
+            kept, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+            traced = self.best([names[i] for i in new.tolist()])
+            size = np.r_[np.diff(offsets)[at[kept]], np.fromiter(map(len, traced), np.int64, len(traced)) // 4]
+            base = len(self.offsets) - 1
+            self.known.update(zip([names[i] for i in np.r_[kept, new].tolist()], range(base, base + len(names))))
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(size)])
+            self.flat = np.concatenate([self.flat, ragged(flat, offsets, at[kept]), np.frombuffer(b"".join(traced), np.int32)])
+            self.held += 140 * len(names) + 4 * int(size.sum())
+            found = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        return found
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
         """Ids of each text, by its distinct units."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "").to_pylist()
-        split = [units_of(t) if not self.crossing else [shown(t)] for t in texts]
-        new = list({u for units in split for u in units if u not in self.known})
-        if len(self.known) + len(new) > MOST_REMEMBERED:
-            self.known.clear()
-            new = list({u for units in split for u in units})
-        for u, ids in zip(new, self.best(new)):
-            self.known[u] = ids
-        return [np.frombuffer(b"".join([self.known[u] for u in units]), np.int32) for units in split]
-
-    def matrix(self, before: str, chunk: str) -> np.ndarray:
-        """Best sums from each state at a chunk's start to each at its end; `before` is the text just before it."""
-        states = self.longest
-        codes = np.frombuffer((before + chunk).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)[None]
-        _, scores = self.look(codes)
-        return self._sums(scores[0], len(before), np.where(np.arange(states)[:, None] == np.arange(states)[None], 0.0, -np.inf))[0][:, ::-1][:, :states]
-
-    def _sums(self, scores: np.ndarray, begin: int, start: np.ndarray):
-        """Best sums [row, place] behind each place of the chunk, and the lengths that lead there.
-
-        start [row, state]: sums where the last piece ended `state` characters before the chunk."""
-        n, states = len(scores) - begin, self.longest
-        total = np.full((len(start), states - 1 + n + 1), -np.inf)
-        total[:, :states] = start[:, ::-1]
-        back = np.zeros((len(start), n), np.int64)
-        for t in range(n):
-            span = scores.shape[1]
-            options = total[:, t + states - span : t + states][:, ::-1] + scores[begin + t]
-            back[:, t] = options.argmax(1)
-            total[:, t + states] = options[np.arange(len(start)), back[:, t]]
-        return total, back
-
-    def trace(self, before: str, chunk: str, first: int, last: int) -> list[int]:
-        """Ids of the pieces that end in a chunk, the last one before it `first` characters before its
-        start and the last one in it `last` characters before its end."""
-        text = before + chunk
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)[None]
-        ids, scores = self.look(codes)
-        start = np.full((1, self.longest), -np.inf)
-        start[0, first] = 0
-        _, back = self._sums(scores[0], len(before), start)
-        t, found, ends = len(chunk) - 1 - last, [], []
-        while t >= 0:
-            b = int(back[0, t])
-            found.append(int(ids[0, len(before) + t, b]))
-            ends.append(len(before) + t)
-            t -= b + 1
-        return self.spelled(found[::-1], text, ends[::-1])
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return pa.array([], pa.list_(pa.int32()))
+        blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+        shown_ = pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(blank, texts, none))
+        # a cut before each blank behind another character; a text that has the mark of cuts is cut by hand
+        marked = np.asarray(pc.match_substring(texts, "\x00"), bool)
+        lists = pc.split_pattern(pc.replace_substring_regex(shown_, "([^ ]) ", "\\1\x00 "), "\x00")
+        if marked.any():
+            lists = pa.array([units_of(t) if m else u for t, m, u in zip(texts.to_pylist(), marked, lists.to_pylist())], pa.large_list(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        places = self._places(coded.dictionary.to_pylist())[np.asarray(coded.indices, np.int64)]
+        offsets = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+        ends = np.r_[0, np.cumsum(np.diff(self.offsets)[places])][offsets]
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ragged(self.flat, self.offsets, places)))
+
+    def states(self, ids: np.ndarray, at: int) -> list[tuple[int, int]]:
+        """(place behind the last piece, its length) of the states at a cut: pieces that end up to `longest` - 1 characters
+        before it, and the start of the text (0, 0) if that is as near."""
+        found = [(t, length + 1) for t in range(at, max(0, at - self.longest), -1) for length in np.flatnonzero(ids[t - 1] >= 0).tolist()]
+        return found + [(0, 0)] * (at < self.longest)
+
+    def chunk(self, before: str, text: str, final: bool = True) -> tuple[np.ndarray, Callable[[int, int], list[int]]]:
+        """The matrix of a chunk, and what traces it from a state at its start to one at its end.
+
+        `before` is the text in front of the chunk (2 * longest characters, or all there is); the states
+        at the end of a `final` chunk are those of pieces that end there."""
+        whole, cut = before + text, len(before)
+        n = len(whole)
+        codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)[:, None] + 1
+        ids = self.look(codes)[:, 0]
+        ending = [[]] + [[(length + 1, int(ids[t, length])) for length in np.flatnonzero(ids[t] >= 0).tolist() if length <= t] for t in range(n)]
+        first = self.states(ids, cut)
+        number = {s: i for i, s in enumerate(first)}
+        # all pairs of neighbours in the chunk, looked up at once
+        wide, keys = self.odd + 1, []
+        for t in range(cut + 1, n + 1):
+            for length, piece in ending[t]:
+                keys += [left * wide + piece for _, left in ending[t - length]] if t > length else [self.start * wide + piece]
+        fits = iter(self.beside(np.array(keys, np.int64)).tolist() if keys else [])
+        reach: dict[tuple[int, int], int] = {}  # bits of the first states that lead to a piece
+        came: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for t in range(cut + 1, n + 1):
+            for length, _ in ending[t]:
+                bits, ways, p = 0, [], t - length
+                for left in [x for x, _ in ending[p]] if p else [0]:
+                    ok = next(fits)
+                    if ok and (bit := 1 << number[p, left] if p <= cut and (p, left) in number else reach.get((p, left), 0) if p > cut else 0):
+                        bits |= bit
+                        ways.append((p, left))
+                if bits:
+                    reach[t, length], came[t, length] = bits, ways
+        last = [s for s in self.states(ids, n) if not final or s[0] == n]
+        matrix = np.full((len(first), len(last)), -np.inf, np.float32)
+        for j, s in enumerate(last):
+            bits = 1 << number[s] if s in number else reach.get(s, 0)
+            for i in range(len(first)):
+                if bits >> i & 1:
+                    matrix[i, j] = 0
+
+        def trace(i: int, j: int) -> list[int]:
+            at = last[j] if j >= 0 else last[int(matrix[i].argmax())]
+            found = []
+            while at[0] > cut:
+                found.append(at)
+                at = next(s for s in came[at] if (1 << number[s] if s[0] <= cut else reach[s]) >> i & 1)
+            found.reverse()
+            return self.spelled([int(ids[t - 1, length - 1]) for t, length in found], whole, [t - 1 for t, _ in found])
+
+        return matrix, trace
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join([self.out[i] for i in ids.tolist()]).decode("utf-8", "replace")
@@ -216,26 +350,21 @@ class Pieces:
 
 
 def shown(text: str) -> str:
-    return BLANK + text.replace(" ", BLANK) if text else ""
+    return " " + text if text else ""
 
 
 def units_of(text: str) -> list[str]:
     """The text as shown, cut before each blank that is behind another character."""
-    if not text:
-        return []
-    if BLANK in text:
-        text = text.replace(BLANK, " ")
-    units: list[str] = []
-    blanks = 1
-    for part in text.split(" "):
+    units, blanks = [], 1
+    for part in text.split(" ") if text else []:
         if part:
-            units.append(BLANK * blanks + part)
+            units.append(" " * blanks + part)
             blanks = 1
         else:
             blanks += 1
     if blanks > 1:
         # blanks at the end: one was counted for a part that is not there
-        units.append(BLANK * (blanks - 1))
+        units.append(" " * (blanks - 1))
     return units
 
 
@@ -244,6 +373,14 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1)
 
 
+def dump(m: np.ndarray) -> bytes:
+    return np.array([m.shape[1]], np.int32).tobytes() + m.astype(np.float32).tobytes()
+
+
+def load(m: bytes) -> np.ndarray:
+    return np.frombuffer(m, np.float32, offset=4).reshape(-1, int(np.frombuffer(m, np.int32, 1)[0]))
+
+
 def pieces(path: str) -> Pieces:
     if path not in _WORKERS:
         _WORKERS[path] = Pieces(path)
@@ -258,8 +395,8 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK,
     def direct(batches):
         code = pieces(model)
         for batch in batches:
-            for block in blocks(batch, most=2_000_000):
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(code.encode(block.column("text")), pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for block in blocks(batch, most=3_000_000):
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), code.encode(block.column("text"))], names=["doc_id", "ids"])
 
     short = rows.where(F.length("text") <= giant).mapInArrow(direct, f"doc_id {kind}, ids array<int>")
     return short.unionByName(_giant(rows.where(F.length("text") > giant), kind, model, chunk, run))
@@ -270,7 +407,7 @@ def _giant(rows: DataFrame, kind: str, model: str, chunk: int, run: int) -> Data
     keyed = rows.groupBy("doc_id", "text").count().withColumn("key", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256))
 
     def cut(batches):
-        reach = pieces(model).longest - 1
+        reach = 2 * pieces(model).longest
         for batch in batches:
             for i in range(len(batch)):
                 text = shown(batch.column("text")[i].as_py())
@@ -279,40 +416,35 @@ def _giant(rows: DataFrame, kind: str, model: str, chunk: int, run: int) -> Data
                     some = at[a : a + 64]
                     yield pa.RecordBatch.from_pydict({
                         "key": [batch.column("key")[i].as_py()] * len(some), "chunk": pa.array([x // chunk for x in some], pa.int64()),
-                        "before": [text[max(0, x - reach) : x] for x in some], "text": [text[x : x + chunk] for x in some],
+                        "before": [text[max(0, x - reach) : x] for x in some], "text": [text[x : x + chunk] for x in some], "final": [x + chunk >= len(text) for x in some],
                     })
 
-    chunks = stage(keyed.select("key", "text").mapInArrow(cut, "key string, chunk long, before string, text string"), "chunks")
+    chunks = stage(keyed.select("key", "text").mapInArrow(cut, "key string, chunk long, before string, text string, final boolean"), "chunks")
 
     def matrices(batches):
         code = pieces(model)
         for batch in batches:
             if len(batch):
-                made = [code.matrix(b, t).tobytes() for b, t in zip(batch.column("before").to_pylist(), batch.column("text").to_pylist())]
+                made = [dump(code.chunk(b, t, f)[0]) for b, t, f in zip(*(batch.column(c).to_pylist() for c in ("before", "text", "final")))]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(made, pa.binary())], names=["key", "chunk", "m"])
 
     # a chunk's work is far larger than its row: a number keeps Spark from putting them together
     tasks = max(1, min(MOST_TASKS, chunks.count() // TASK_CHUNKS + 1))
     made = stage(chunks.repartition(tasks, "key", "chunk").mapInArrow(matrices, "key string, chunk long, m binary"), "matrices").withColumn("run", F.floor(F.col("chunk") / run))
 
-    def load(m: bytes) -> np.ndarray:
-        side = int(round((len(m) // 8) ** 0.5))
-        return np.frombuffer(m).reshape(side, side)
-
     def multiply(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk")
         total = load(frame["m"].iloc[0])
         for m in frame["m"].iloc[1:]:
             total = product(total, load(m))
-        return pd.DataFrame({"key": [frame["key"].iloc[0]], "run": [frame["run"].iloc[0]], "m": [total.tobytes()]})
+        return pd.DataFrame({"key": [frame["key"].iloc[0]], "run": [frame["run"].iloc[0]], "m": [dump(total)]})
 
-    def states(matrices: list[np.ndarray], first: int, last: int) -> list[tuple[int, int]]:
-        """The states at both ends of each stretch on the best way from `first` to `last`."""
-        side = len(matrices[0])
-        sums = [np.where(np.arange(side) == first, 0.0, -np.inf)]
+    def states(matrices: list[np.ndarray], first: int, last: int | None) -> list[tuple[int, int]]:
+        """The states at both ends of each stretch on the best way from `first` to `last` (None: to the best end)."""
+        sums = [np.where(np.arange(len(matrices[0])) == first, 0.0, -np.inf)]
         for m in matrices:
             sums.append((sums[-1][:, None] + m).max(0))
-        out, at = [], last
+        out, at = [], int(sums[-1].argmax()) if last is None else last
         for m, before in zip(matrices[::-1], sums[-2::-1]):
             came = int((before + m[:, at]).argmax())
             out.append((came, at))
@@ -321,7 +453,7 @@ def _giant(rows: DataFrame, kind: str, model: str, chunk: int, run: int) -> Data
 
     def scan_runs(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("run")
-        found = states([load(m) for m in frame["m"]], 0, 0)
+        found = states([load(m) for m in frame["m"]], 0, None)
         return pd.DataFrame({"key": frame["key"], "run": frame["run"], "first": [a for a, _ in found], "last": [b for _, b in found]})
 
     def scan_chunks(frame: pd.DataFrame) -> pd.DataFrame:
@@ -337,7 +469,7 @@ def _giant(rows: DataFrame, kind: str, model: str, chunk: int, run: int) -> Data
         code = pieces(model)
         for batch in batches:
             d = batch.to_pydict()
-            ids = [code.trace(b, t, f, e) for b, t, f, e in zip(d["before"], d["text"], d["first"], d["last"])]
+            ids = [code.chunk(b, t, z)[1](f, e) for b, t, z, f, e in zip(d["before"], d["text"], d["final"], d["first"], d["last"])]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "chunk", "ids"])
 
     traced = chunks.join(inner, ["key", "chunk"]).repartition(tasks, "key", "chunk").mapInArrow(trace, "key string, chunk long, ids array<int>")
