@@ -1,104 +1,80 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A text's words (runs without white space; the single characters of a text of under SHORT
-characters, which has few words) are hashed.  A run of K words is a closed syncmer
-if, of its inner runs of S words, one with the smallest hash lies at its first or last
-place; that depends on these K words only, so an edit moves no anchor elsewhere.  A
-fingerprint is all of a text's syncmers (anchors) with their places, in hexadecimal.
-
-The likeness of two texts matches all anchors of both by place: the n-th anchor with a hash
-meets the n-th with this hash in the other text.  A meeting counts if another has the same
-offset (place in b less place in a), or if in the order of a it lies between its neighbours
-in b as well; so inserted or cut words cost their own anchors only, and chance meetings out
-of order do not count.  Likeness is the share of meetings that count in the anchors of both.
-
-A text of fewer than K words is one anchor.  Null and empty texts, and texts of white
-space, have no anchor: an empty fingerprint, like (1.0) another empty one and unlike (0.0)
-any other.
-
-Words and characters share no hash, so a pair of texts of which one is under SHORT
-characters is matched by the characters of both.
+A text's words (runs without white space) are hashed, with K - 1 empty words before and behind
+them, so that one rule holds for texts of any length.  A run of K words is a closed syncmer if,
+of its inner runs of S words, one with the smallest hash lies at its first or last place; that
+depends on these K words only, so an edit moves no anchor elsewhere.  A fingerprint is all of a
+text's syncmers (anchors) with their places, in hexadecimal.
+
+Likeness matches anchors by place: two neighbouring anchors (and the start and the first one)
+make a link, the hash of both and of how far apart they are.  The likeness of two texts is the
+share of distinct links that both have in those that either has.  A link needs no more than its
+own two anchors to agree in relative place, so inserted, cut or moved parts cost their own links
+only, and chance meetings of single anchors count for nothing.
+
+Null and empty texts, and texts of white space, have no anchor: an empty fingerprint, like (1.0)
+another empty one and unlike (0.0) any other.  Repeated rows and rows with a null or repeated id
+are documents of their own; null ids come first, ties go by the hash of the text.  An empty table
+gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-K, S, SHORT = 5, 2, 200
-#: Runs of documents in doc_id order: rows of one, and how many at most.
-RUN_ROWS, SIDE = 500, 32
-
-
-def short(text: Column) -> Column:
-    return F.length(text) < SHORT
-
-
-def _hashes(text: Column, characters: Column) -> Column:
-    parts = F.when(characters, F.split(F.trim(text), "")).otherwise(F.split(text, r"\s+"))
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
+from graphloom.session import stage
 
+K, S = 5, 2
+#: Rows of a run of documents in doc_id order, and runs at most.
+RUN_ROWS, MOST_RUNS = 500, 100_000
 
-def _inner(h: Column) -> Column:
-    """Hashes of the runs of S words."""
-    return F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - 1, F.lit(0))), F.slice(h, S, F.greatest(F.size(h) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
 
+def _hashes(text: Column) -> Column:
+    """Hashes of the words, between empty ones."""
+    words = F.filter(F.split(text, r"[\x20\t\n\x0B\f\r]"), lambda w: w != "")
+    edge = F.array_repeat(F.lit(0).cast("long"), K - 1)
+    return F.concat(edge, F.transform(words, lambda w: F.xxhash64(w)), edge)
 
-def _syncmers(h: Column, inner: Column) -> Column:
-    """place (from 0) and hash of each closed syncmer."""
-    span = K - S + 1
 
-    def at(x, i):
-        least = F.least(*(F.get(inner, i + j) for j in range(span)))
-        closed = (F.size(inner) - i >= span) & ((x == least) | (F.get(inner, i + span - 1) == least))
-        return F.when(closed, F.struct(i.alias("place"), F.xxhash64(F.get(inner, i), F.get(inner, i + 2), F.get(h, i + K - 1)).alias("hash")))
+def anchors(df: DataFrame, text: str, to: str) -> DataFrame:
+    """Adds `to`: array of (place, hash) of the closed syncmers of the whole text; place 0 is K - 1 words before the first."""
+    h, inner, at = (F.col(f"{to}_{x}") for x in ("h", "s", "i"))
+    df = df.withColumn(f"{to}_h", _hashes(F.coalesce(F.col(text), F.lit(""))))
+    # hashes of the runs of S words; then where the smallest of those in K words is the first or the last
+    df = df.withColumn(f"{to}_s", F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, S, F.size(h) - 1), lambda a, b: F.xxhash64(a, b)))
+    last = K - S
 
-    whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(h).alias("hash")))
-    return F.when(F.size(h) >= K, F.filter(F.transform(inner, at), lambda x: x.isNotNull())).when(F.size(h) > 0, whole).otherwise(F.slice(whole, 1, 0))
+    def closed(i):
+        rest = F.least(*(F.get(inner, i + j) for j in range(last + 1)))
+        return (F.get(inner, i) == rest) | (F.get(inner, i + last) == rest)
 
-
-def anchors(df: DataFrame, text: str, to: str, characters: Column | None = None) -> DataFrame:
-    """Adds `to`: array of (place, hash) of the closed syncmers of the whole text, over characters where `characters` says (by itself if short)."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn(f"{to}_h", _hashes(whole, short(whole) if characters is None else characters))
-    df = df.withColumn(f"{to}_s", _inner(F.col(f"{to}_h")))
-    return df.withColumn(to, _syncmers(F.col(f"{to}_h"), F.col(f"{to}_s"))).drop(f"{to}_h", f"{to}_s")
+    places = F.sequence(F.lit(0), F.size(h) - K)
+    df = df.withColumn(f"{to}_i", F.when(F.size(h) >= 2 * K - 1, F.filter(places, closed)).otherwise(F.array().cast("array<int>")))
+    hashed = lambda i: F.struct(i.alias("place"), F.xxhash64(F.get(inner, i), F.get(inner, i + S), F.get(h, i + (K - 1))).alias("hash"))
+    return df.withColumn(to, F.transform(at, hashed)).drop(f"{to}_h", f"{to}_s", f"{to}_i")
 
 
 def as_text(found: Column) -> Column:
     """place:hash of each anchor."""
-    return F.array_join(F.transform(found, lambda x: F.concat(F.lower(F.hex(x["place"].cast("long"))), F.lit(":"), F.lpad(F.lower(F.hex(x["hash"])), 16, "0"))), ",")
-
-
-# Columns that lambdas read are read twice at least: Spark would otherwise move what makes them into the lambda.
-
-
-def numbered(df: DataFrame, found: str, to: str) -> DataFrame:
-    """Adds `to`: array of (key, place); a key is of a hash and how many anchors before have it."""
-    s, starts = F.col(f"{to}_s"), F.col(f"{to}_n")
-    df = df.withColumn(f"{to}_s", F.sort_array(F.transform(found, lambda x: F.struct(x["hash"].alias("hash"), x["place"].alias("place")))))
-    first = F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["hash"] != x["hash"]), i))
-    df = df.withColumn(f"{to}_n", F.filter(first, lambda i: i.isNotNull()))
-    number = F.flatten(F.transform(starts, lambda i, j: F.sequence(F.lit(0), F.coalesce(F.get(starts, j + 1), F.size(s)) - i - 1)))
-    return df.withColumn(to, F.zip_with(s, number, lambda x, n: F.struct(F.xxhash64(x["hash"], n).alias("key"), x["place"].alias("place")))).drop(f"{to}_s", f"{to}_n")
+    return F.lower(F.array_join(F.transform(found, lambda x: F.concat(F.hex(x["place"].cast("long")), F.lit(":"), F.hex(x["hash"]))), ","))
 
 
-def likeness(df: DataFrame, a: str, b: str, to: str) -> DataFrame:
-    """Adds `to`: likeness (0 to 1) of the numbered anchors of two texts."""
-    m, d, p = F.col(f"{to}_m"), F.col(f"{to}_d"), F.col(f"{to}_p")
+def links(found: Column) -> Column:
+    """The distinct links of neighbouring anchors."""
+    before = F.concat(F.slice(found, 1, 0), F.array(F.get(found, F.lit(0))), F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))))
+    pairs = F.zip_with(found, F.slice(before, 1, F.size(found)), lambda x, y: F.xxhash64(y["hash"], x["hash"], x["place"] - y["place"]))
+    return F.array_distinct(pairs)
 
-    def side(c, n):
-        return F.transform(c, lambda x: F.struct(x["key"].alias("key"), F.lit(n).alias("side"), x["place"].alias("place")))
 
-    df = df.withColumn(f"{to}_m", F.sort_array(F.concat(side(a, 0), side(b, 1))))
-    meets = F.transform(m, lambda x, i: F.when(F.get(m, i + 1)["key"] == x["key"], F.struct((F.get(m, i + 1)["place"] - x["place"]).alias("offset"), x["place"].alias("place"))))
-    df = df.withColumn(f"{to}_d", F.sort_array(F.filter(meets, lambda x: x.isNotNull())))
-    agrees = lambda x, i: F.coalesce(F.get(d, i - 1)["offset"] == x["offset"], F.lit(False)) | F.coalesce(F.get(d, i + 1)["offset"] == x["offset"], F.lit(False))
-    df = df.withColumn(f"{to}_p", F.sort_array(F.transform(d, lambda x, i: F.struct(x["place"].alias("a"), (x["place"] + x["offset"]).alias("b"), agrees(x, i).alias("agrees")))))
-    ordered = lambda x, i: F.coalesce(F.get(p, i - 1)["b"] < x["b"], F.lit(True)) & F.coalesce(F.get(p, i + 1)["b"] > x["b"], F.lit(True))
-    shared, sizes = F.size(F.filter(p, lambda x, i: x["agrees"] | ordered(x, i))), F.size(a) + F.size(b)
-    return df.withColumn(to, F.when(sizes == 0, 1.0).otherwise(shared / (sizes - shared))).drop(f"{to}_m", f"{to}_d", f"{to}_p")
+def likeness(a: Column, b: Column) -> Column:
+    """Likeness (0 to 1) of two texts by their distinct links."""
+    shared = F.size(F.array_intersect(a, b))
+    sizes = F.size(a) + F.size(b)
+    return F.when(sizes == 0, 1.0).otherwise(shared / (sizes - shared))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -106,42 +82,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return anchors(docs.select("doc_id", "text"), "text", "found").select("doc_id", as_text(F.col("found")).alias("fingerprint"))
 
 
-def with_next(docs: DataFrame, order: str, columns: list[str]) -> DataFrame:
-    """Adds next_<column> of the next row in the order of `order`, a long (after the last: of the first).
-
-    Null ids come first, ties go by the first of `columns`.  Rows are dealt into runs of about equal
-    size by quantiles of the ids, and each run's first row also goes, marked, to the end of the run
-    before, so that no run needs another: one shuffle, and no task gets all rows."""
-    rows = docs.count()
-    runs = int(min(max(1, rows // RUN_ROWS), SIDE * SIDE))
-    cuts = docs.agg(F.percentile_approx(order, [i / runs for i in range(1, runs)], 10 * SIDE * SIDE)).first()[0] if runs > 1 else None
-    cuts = sorted(set(cuts or []))
-
-    def below(values: list) -> Column:
-        """How many of the values are at or below the id."""
-        if not values:
-            return F.lit(0)
-        return F.coalesce(F.size(F.filter(F.array(*(F.lit(v).cast("long") for v in values)), lambda c: c <= F.col(order))), F.lit(0))
-
-    tops = cuts[SIDE - 1 :: SIDE]
-    nulls = F.col(order).isNull()
-    run = F.when(nulls, 0)
-    for i, top in enumerate(tops):
-        run = run.when(F.col(order) < top, i * SIDE + below(cuts[i * SIDE : (i + 1) * SIDE]))
-    run = run.otherwise(len(tops) * SIDE + below(cuts[len(tops) * SIDE :]))
-    # a row a run: SIDE * SIDE at most
-    firsts = docs.select(run.alias("run"), order).groupBy("run").agg(F.min(order).alias("first"), F.max(nulls.cast("int")).alias("nulls")).orderBy("run").collect()
-    if not firsts:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    before = {r.run: firsts[i - 1].run for i, r in enumerate(firsts)}
-    first = F.when(nulls, firsts[0].run == 0 and bool(firsts[0].nulls)).otherwise(F.col(order).isin([r.first for r in firsts if not r.nulls] or [None]))
-    prior = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("_run"))
-    dealt = docs.withColumn("_run", run).withColumn("_first", F.coalesce(first, F.lit(False)))
-    own, mark = F.struct(F.col("_run").alias("run"), F.lit(0).alias("mark")), F.struct(prior.alias("run"), F.lit(1).alias("mark"))
-    dealt = dealt.withColumn("_to", F.explode(F.when(F.col("_first"), F.array(own, mark)).otherwise(F.array(own))))
-    dealt = dealt.select(*docs.columns, F.col("_to.run").alias("_run"), F.col("_to.mark").alias("_mark"))
-    w = Window.partitionBy("_run").orderBy("_mark", F.col(order).asc_nulls_first(), columns[0])
-    return dealt.select("*", *(F.lead(c).over(w).alias(f"next_{c}") for c in columns)).where("_mark = 0").drop("_run", "_mark")
+def in_runs(docs: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) dealt into runs of ascending doc_id: with _key (what orders them), _run, and _mark.
+
+    A run also has, with _mark 1 and in the end, a copy of the first row of the next run (the last: of the first
+    run), so no run needs another.  Spark's range partitioning of the keys alone says where runs begin; rows of
+    one id with one text stay in one run.  What is broadcast are the first keys of MOST_RUNS runs at most."""
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("th"))
+    keys = docs.select(key.alias("k"))
+    runs = int(min(max(1, keys.count() // RUN_ROWS), MOST_RUNS))
+    # a row a run
+    firsts = stage(keys.repartitionByRange(runs, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k")).select("k"), "run-keys")
+    side = math.isqrt(runs) + 1
+    numbered = firsts.withColumn("run", F.row_number().over(Window.orderBy("k")) - 1).withColumn("block", F.floor(F.col("run") / side).cast("int"))
+    table = numbered.groupBy("block").agg(F.sort_array(F.collect_list("k")).alias("ks"), F.min("run").alias("base"))
+    tops = [r.k for r in table.select(F.col("ks")[0].alias("k")).orderBy("k").collect()]
+    count = firsts.count()
+    if not count:
+        return docs.select("*", key.alias("_key"), F.lit(0).alias("_run"), F.lit(0).alias("_mark"))
+    literal = F.array(*(F.struct(F.lit(k.known).alias("known"), F.lit(k.id).cast("long").alias("id"), F.lit(k.th).cast("long").alias("th")) for k in tops))
+    not_after = lambda cuts: F.size(F.filter(cuts, lambda c: c <= F.col("_key"))) - 1
+    dealt = docs.select("*", key.alias("_key")).withColumn("block", not_after(literal)).join(F.broadcast(table), "block")
+    dealt = dealt.withColumn("_at", not_after(F.col("ks")))
+    run = (F.col("base") + F.col("_at")).cast("int")
+    own, copy = F.struct(run.alias("run"), F.lit(0).alias("mark")), F.struct(F.pmod(run - 1, F.lit(count)).alias("run"), F.lit(1).alias("mark"))
+    dealt = dealt.withColumn("_to", F.explode(F.when(F.get(F.col("ks"), F.col("_at")) == F.col("_key"), F.array(own, copy)).otherwise(F.array(own))))
+    return dealt.select(*docs.columns, "_key", F.col("_to.run").alias("_run"), F.col("_to.mark").alias("_mark"))
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -149,25 +115,20 @@ def edited(docs: DataFrame) -> DataFrame:
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(rows, "doc_id", ["text"])
+    rows = in_runs(rows).repartition("_run")
+    rows = anchors(rows, "text", "found").withColumn("links", links(F.col("found")))
+    order = Window.partitionBy("_run").orderBy("_mark", "_key")
+    rows = rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_links", F.lead("links").over(order)).where("_mark = 0")
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, int(n_chars - floor(n_chars / 2)))"), F.substring("next_text", F.lit(1), half)))
-    # a pair with a short text is matched over characters; an edited text is never longer than the text
-    one, next_short, edited_short = short(F.col("text")), short(F.col("next_text")), short(F.col("edited"))
-    mixed = ~one & (next_short | edited_short)
-    rows = rows.withColumn("text_characters", F.when(mixed, F.col("text")).otherwise(""))
-    for text, characters in (("text", one), ("text_characters", F.lit(True)), ("next_text", one | next_short), ("edited", edited_short)):
-        rows = numbered(anchors(rows, text, f"{text}_found", characters), f"{text}_found", f"{text}_keys")
-    for other, other_short in (("edited", edited_short), ("next_text", next_short)):
-        rows = rows.withColumn(f"{other}_own", F.when(~one & other_short, F.col("text_characters_keys")).otherwise(F.col("text_keys")))
-    rows = likeness(likeness(rows, "edited_own", "edited_keys", "near_edited"), "next_text_own", "next_text_keys", "near_next")
+    rows = anchors(rows, "edited", "edited_found").withColumn("edited_links", links(F.col("edited_found")))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("text_found")).alias("fingerprint"),
+        as_text(F.col("found")).alias("fingerprint"),
         as_text(F.col("edited_found")).alias("edited_fingerprint"),
-        "near_edited",
-        "near_next",
+        likeness(F.col("links"), F.col("edited_links")).alias("near_edited"),
+        likeness(F.col("links"), F.col("next_links")).alias("near_next"),
     )
