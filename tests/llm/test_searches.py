@@ -217,11 +217,11 @@ def test_one_rule_for_every_length(spark):
     for n in (8, 20, 39, 40, 41, 50, 51, 52, 100, 400):
         rows += [(len(rows), " ".join(words[:n])), (len(rows) + 1, " ".join(words[:n]) + " z")]
     assert {199, 201} & {len(t) for _, t in rows} or any(len(t) < 200 < len(u) for (_, t), (_, u) in zip(rows, rows[1:]))
-    near = {r.doc_id: r.near_next for r in fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r.doc_id: (r.near_next, len(r.fingerprint.split(","))) for r in fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for i in range(0, len(rows), 2):
-        n = len(rows[i][1].split())
-        # a word at the end touches K anchors at most, of about n / 2
-        assert near[i] >= 1 - 12 / n, (n, near[i])
+        # a word at the end takes K - 1 anchors away and gives K new ones at most, and one more link of each
+        near, n = found[i]
+        assert near >= (n - fingerprints.K) / (n + fingerprints.K + 1), (n, near)
 
 
 def test_runs(spark, monkeypatch):
