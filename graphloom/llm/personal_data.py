@@ -2,18 +2,22 @@
 
 Base spans come from four forms (email, ip, card, phone), leftmost and non-overlapping per
 kind; a match that fails its test (parts, digits, Luhn) is dropped without another try.
-They, and values of the unmistakable form of a key (long hexadecimal), are the seeds.
-
-Seeds induce lexical patterns: the label and the marks in front of a value, as in
-`token = "` or `mail: `.  Spark scores the graph of patterns and instances (values) in
-rounds: a pattern is as sure as the share of its distinct values that are believed, an
-instance outside the seeds as sure as the patterns that it stands behind make it.  Patterns
-with enough distinct seeds and a high score discover the values of no known form that stand
-behind them, and these spread their belief to other patterns in the next round.
-
-A pattern is counted with all values behind its label, so a label that is mostly followed
-by plain words is never sure.  The tables that go round have a row for each distinct pattern
-and value; a label that a third of all rows share is summed before it is shuffled.
+They, and values of the form of a key (long hexadecimal), are the seeds.
+
+Seeds induce lexical patterns: the one, two or three words before a value, with the marks
+between them (`token = "`, `mail: `, `call me at `), and the word before with the word behind
+it (`call _ today`).  Spark counts what
+else stands in the place of each pattern that has enough distinct seeds, in one pass over all
+texts, and scores the graph of patterns and instances (values) in rounds: a pattern is as sure
+as the share of its distinct values that are believed, an instance outside the seeds as sure as
+the patterns that it stands in make it.  Only what stands in the place of a sure pattern is
+added; a lone value is not, whatever its form.
+
+A pattern takes part if START of what stands in its place are seeds.  For patterns of one word,
+which may be as common as any word, a bounded sample of documents shows beforehand most that
+do not: what a sample counts is never more than there is.  The others are looked for in the
+texts MOST_KEYS at a time.  The tables that go round have a row for each distinct pattern and
+value; what a third of all rows share is summed before it is shuffled.
 
 Null texts are empty; empty texts have no spans; repeated rows and null ids are documents
 like others; an empty table gives no rows; other columns are not looked at.
@@ -27,8 +31,10 @@ from pyspark.sql import functions as F
 from graphloom.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds of a pattern, least score of a pattern, rounds.
-SUPPORT, SURE, ROUNDS = 5, 0.7, 3
+#: Distinct seeds of a pattern, least score of a pattern, rounds; least share of seeds among what stands in a pattern's place.
+SUPPORT, SURE, ROUNDS, START = 5, 0.7, 3, 0.1
+#: Documents of the sample that rules common words out; patterns that are looked for at once; characters around a seed that its contexts lie in.
+SAMPLE, MOST_KEYS, AROUND = 5_000, 10_000, 240
 
 # The same matches as the plain forms, for any length of text: possessive, as nothing that
 # follows could use what they give back, and tried once for a run of characters, as a run
@@ -40,15 +46,11 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A label, its marks, and a value: up to the closing quote, or to white space, brackets and marks between values, without marks at its end.
-_PART = r"[^\s\x22'<>(){}\[\],;.:!?]++"
-FIELD = (
-    r"(?<![A-Za-z0-9_-])((?=[0-9_-]*+[A-Za-z])[A-Za-z0-9_-]++)"
-    rf"([\x20]{{0,2}}[:=#][\x20]{{0,2}}(?:\x22(?=[^\x22\r\n]++\x22)|'(?=[^'\r\n]++')|[\x22']?+(?={_PART})))"
-    rf"((?<=\x22)[^\x22\r\n]++(?=\x22)|(?<=')[^'\r\n]++(?=')|{_PART}(?:[.:!?]++{_PART})*+)"
-)
-FRONT = r"^([A-Za-z0-9_-]++)([\x20]{0,2}[:=#][\x20]{0,2}[\x22']?)"
-KEY = r"^(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,64}$"
+#: What is between words, a word with what follows it, and a value of the form of a key.
+_MARKS = r"\s:=#\x22'<>(){}\[\],;"
+ELEMENT = rf"[^{_MARKS}]++[{_MARKS}]*+"
+KEY = r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,64}"
+KEYS = rf"(?<![^{_MARKS}]){KEY}(?=[.!?]*(?:[{_MARKS}]|\z))"
 
 SPAN = "struct<kind:string,start:int,end:int>"
 
@@ -116,76 +118,145 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def fields(text: Column, base: Column) -> Column:
-    """Array of (pattern, value, start, end) of labelled values; of a value that lies in a base span, the whole span."""
-    front = lambda x, i: F.regexp_extract(x["match"], FRONT, i)
-
-    def whole(x):
-        span = F.get(F.filter(base, lambda b: (b["start"] <= x["start"]) & (x["start"] < b["end"]) & (x["end"] <= b["end"])), F.lit(0))
-        return F.when(
-            span.isNotNull(),
-            F.struct(x["pattern"].alias("pattern"), F.substring(text, span["start"] + 1, span["end"] - span["start"]).alias("value"), span["start"].alias("start"), span["end"].alias("end")),
-        ).otherwise(x)
-
-    found = F.transform(
-        matches(text, FIELD),
-        lambda x: F.struct(
-            F.lower(F.concat(front(x, 1), F.regexp_replace(front(x, 2), " ", ""))).alias("pattern"),
-            F.substring(x["match"], F.length(front(x, 0)) + 1, F.length(x["match"])).alias("value"),
-            (x["start"] + F.length(front(x, 0))).alias("start"),
-            x["end"].alias("end"),
-        ),
-    )
-    return F.transform(found, whole)
+def _plain(element: Column) -> Column:
+    return F.lower(F.regexp_replace(element, r"\s+", " "))
+
+
+def _patterns(before: Column, at: Column, after: Column) -> list[Column]:
+    """The patterns of a value behind element `at` of `before` (an array of hashes of elements) and in front of element `after`."""
+    one, two, three = F.get(before, at), F.get(before, at - 1), F.get(before, at - 2)
+    return [
+        F.when(one.isNotNull(), F.xxhash64(F.lit(1), one)),
+        F.when(two.isNotNull(), F.xxhash64(F.lit(2), two, one)),
+        F.when(three.isNotNull(), F.xxhash64(F.lit(3), three, two, one)),
+        F.when(one.isNotNull() & after.isNotNull(), F.xxhash64(F.lit(4), one, after)),
+    ]
+
+
+def seeds(text: Column, spans: Column) -> Column:
+    """Array of (kind, value, patterns) of the spans that begin behind white space or a mark, or with the text."""
+
+    def around(x):
+        front = F.substring(text, F.greatest(x["start"] - AROUND + 1, F.lit(1)), F.least(x["start"], F.lit(AROUND)))
+        back = F.substring(text, x["end"] + 1, F.lit(AROUND))
+        words = F.regexp_extract_all(front, F.lit(ELEMENT), F.lit(0))
+        last = F.transform(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), lambda e: F.xxhash64(_plain(e)))
+        after = F.regexp_extract(back, rf"\A[.!?]*[{_MARKS}]+({ELEMENT})", 1)
+        return F.struct(
+            x["kind"].alias("kind"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("value"), last.alias("last"),
+            F.when(after != "", F.xxhash64(_plain(after))).alias("after"), front.alias("front"),
+        )
+
+    found = F.filter(F.transform(spans, around), lambda x: (x["front"] == "") | x["front"].rlike(rf"[{_MARKS}]\z"))
+    return F.transform(found, lambda x: F.struct(x["kind"], x["value"], F.array(*_patterns(x["last"], F.size(x["last"]) - 1, x["after"])).alias("patterns")))
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """key (of id and text), doc_id, base (array of spans by kind), fields: a row for each row, without its text."""
+    """key (of id and text), doc_id, base (array of spans by kind), seeds: a row for each row, without its text."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     for kind in KINDS:
         rows = rows.withColumn(kind, base_spans(F.col("text"), kind))
     rows = rows.select("doc_id", "text", F.concat(*KINDS).alias("base"))
-    return rows.select(row_key().alias("key"), "doc_id", "base", fields(F.col("text"), F.col("base")).alias("fields"))
+    keys = F.when(F.col("text").rlike("[0-9a-fA-F]{32}"), F.transform(matches(F.col("text"), KEYS), lambda x: F.struct(F.lit("key").alias("kind"), x["start"].alias("start"), x["end"].alias("end"))))
+    rows = rows.withColumn("keys", F.coalesce(keys, F.array().cast(f"array<{SPAN}>")))
+    return rows.select(row_key().alias("key"), "doc_id", "base", seeds(F.col("text"), F.concat("base", "keys")).alias("seeds"))
+
+
+def _elements(docs: DataFrame) -> DataFrame:
+    """key, text, e (array of the elements of each text) and h (of their hashes)."""
+    rows = docs.select(row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("e", F.regexp_extract_all("text", F.lit(ELEMENT), F.lit(0)))
+    return rows.withColumn("h", F.transform("e", lambda e: F.xxhash64(_plain(e))))
+
+
+def places(docs: DataFrame, patterns: list[int]) -> DataFrame:
+    """key, pattern, value, start, end: what stands in the places of the patterns in all texts."""
+    h, e, text = F.col("h"), F.col("e"), F.col("text")
+    wanted = lambda i: F.filter(F.array(*_patterns(h, i, F.get(h, i + 2))), lambda p: p.isin(patterns))
+    each = F.when(F.size(h) > 1, F.sequence(F.lit(0), F.size(h) - 2)).otherwise(F.array().cast("array<int>"))
+    rows = _elements(docs).withColumn("hits", F.filter(F.transform(each, lambda i: F.struct(i.alias("i"), wanted(i).alias("patterns"))), lambda x: F.size(x["patterns"]) > 0))
+    rows = rows.where(F.size("hits") > 0)
+    rows = rows.withColumn("starts", running(F.transform(e, lambda x: F.length(x)))).withColumn("lead", F.length(F.regexp_extract(text, rf"\A[{_MARKS}]*", 0)))
+
+    def value(x):
+        start = F.get(F.col("starts"), x["i"] + 1) + F.col("lead")
+        quote = F.regexp_extract(F.get(e, x["i"]), r"[\x22']\z", 0)
+        rest = F.when(quote != "", F.substring(text, start + 1, F.length(text))).otherwise("")
+        quoted = F.when(quote == "'", F.regexp_extract(rest, r"\A[^'\r\n]++(?=')", 0)).otherwise(F.regexp_extract(rest, r"\A[^\x22\r\n]++(?=\x22)", 0))
+        word = F.regexp_replace(F.get(e, x["i"] + 1), rf"[.!?]*[{_MARKS}]*\z", "")
+        return F.struct(x["patterns"].alias("patterns"), start.alias("start"), F.when(quoted != "", quoted).otherwise(word).alias("value"))
+
+    found = rows.select("key", F.explode(F.transform("hits", value)).alias("v")).where("v.value <> ''")
+    return found.select("key", F.explode("v.patterns").alias("pattern"), "v.value", "v.start", (F.col("v.start") + F.length("v.value")).alias("end"))
+
+
+def candidates(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """pattern, value, kind: the seeds of patterns that have `support` distinct ones, as a table."""
+    each = found.select(F.explode("seeds").alias("s")).select(F.posexplode("s.patterns").alias("level", "pattern"), "s.value", "s.kind").where("pattern is not null")
+    graph = stage(each.groupBy("level", "pattern", F.xxhash64("value").alias("value")).agg(F.max("kind").alias("kind"), F.count("*").alias("times")), "seeds")
+    enough = graph.groupBy("level", "pattern").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= support)
+    # one word: ruled out where a sample already has too many places of it
+    share = min(1.0, SAMPLE / max(1, found.count()))
+    some = _elements(docs.sample(share, seed=11) if share < 1 else docs)
+    each = F.when(F.size("h") > 1, F.sequence(F.lit(0), F.size("h") - 2)).otherwise(F.array().cast("array<int>"))
+    single = F.transform(each, lambda i: _patterns(F.col("h"), i, F.get(F.col("h"), i + 2))[0])
+    common = some.select(F.explode(single).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("seen"))
+    kept = enough.join(common, "pattern", "left").where(F.coalesce("seen", F.lit(0)) * START <= F.col("times")).select("pattern")
+    return stage(graph.join(kept, "pattern", "left_semi").select("pattern", "value", "kind"), "candidates")
 
 
 def row_key() -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256)
 
 
-def discover(found: DataFrame, support: int = SUPPORT, sure: float = SURE, rounds: int = ROUNDS) -> DataFrame:
-    """key, spans (array, by start): what sure patterns find outside the base spans."""
-    each = found.select("key", "base", F.explode("fields").alias("f")).select("key", "base", "f.*")
-    inside = F.filter("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    each = each.select(
-        "key", "start", "end", F.xxhash64("pattern").alias("pattern"), F.xxhash64("value").alias("value"),
-        F.get(inside, F.lit(0))["kind"].alias("over"), F.when(F.col("value").rlike(KEY), "key").alias("form"),
-    )
-    each = stage(each, "fields")
-    edges = each.groupBy("pattern", "value").agg(F.max(F.coalesce("over", "form")).alias("seed"))
+def discover(docs: DataFrame, found: DataFrame, support: int = SUPPORT, sure: float = SURE, rounds: int = ROUNDS, most_keys: int = MOST_KEYS) -> DataFrame:
+    """key, spans (array, by start): what stands in the places of sure patterns, outside of the base spans."""
+    seeded = candidates(docs, found, support)
+    # numbers, looked for MOST_KEYS at a time
+    keys = [r.pattern for r in seeded.select("pattern").distinct().orderBy("pattern").collect()]
+    here = None
+    for at in range(0, max(1, len(keys)), most_keys):
+        part = stage(places(docs, keys[at : at + most_keys]), "places")
+        here = part if here is None else here.unionByName(part)
+    inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    outside = here.join(found.select("key", "base").dropDuplicates(["key"]), "key").where(~inside)
+    form = F.when(F.col("value").rlike(rf"\A{KEY}\z"), "key")
+    outside = stage(outside.select("key", "pattern", "start", "end", F.xxhash64("value").alias("value"), form.alias("kind")), "outside")
+    edges = seeded.unionByName(outside.select("pattern", "value", "kind")).groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
+    edges = edges.join(edges.groupBy("pattern").agg((F.count("seed") / F.count("*")).alias("share")).where(F.col("share") >= START).select("pattern"), "pattern", "left_semi")
     edges = stage(edges, "graph")
     values = edges.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("belief", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0))
-    patterns = None
+    # without values that are no seeds nothing changes behind the first round
+    patterns, rounds = None, 1 if edges.where("seed is null").isEmpty() else rounds
     for i in range(rounds):
         scored = edges.select("pattern", "value").join(values, "value")
         patterns = scored.groupBy("pattern").agg(
-            (F.sum("belief") / (F.count("*") + 0.5)).alias("score"), F.count("seed").alias("seeds"), F.mode("seed").alias("kind")
+            (F.sum("belief") / (F.count("*") + 0.5)).alias("score"), F.count("seed").alias("seeds")
         ).where((F.col("seeds") >= support) & (F.col("score") >= sure))
         patterns = stage(patterns, f"patterns-{i}")
         if i + 1 < rounds:
             doubt = edges.join(patterns, "pattern").groupBy("value").agg(F.sum(F.log(1 - F.least("score", F.lit(0.99)))).alias("doubt"))
             values = edges.groupBy("value").agg(F.max("seed").alias("seed")).join(doubt, "value", "left")
             values = stage(values.select("value", "seed", F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce(1 - F.exp("doubt"), F.lit(0.0))).alias("belief")), f"values-{i}")
-    known = each.where("over is null").join(patterns.select("pattern", "kind"), "pattern", "left")
-    kept = known.where("form is not null or kind is not null")
-    span = F.struct(F.coalesce("form", "kind").alias("kind"), "start", "end")
-    return kept.groupBy("key").agg(F.array_sort(F.collect_set(span), lambda a, b: a["start"] - b["start"]).alias("spans"))
+    # a pattern's kind is the one that most of its seeds have
+    kinds = edges.where("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n")).groupBy("pattern").agg(F.max_by("seed", F.struct("n", "seed")).alias("kind"))
+    named = patterns.join(kinds, "pattern").select("pattern", "score", F.col("kind").alias("named"))
+    best = outside.join(named, "pattern").groupBy("key", "start", "end").agg(F.max_by("named", F.struct("score", "pattern")).alias("kind"))
+    return best.groupBy("key").agg(_apart(F.array_sort(F.collect_list(F.struct("kind", "start", "end")), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))).alias("spans"))
+
+
+def _apart(ordered: Column) -> Column:
+    """Of spans by start those that do not overlap one before."""
+    start = F.struct(F.array().cast(f"array<{SPAN}>").alias("a"), F.lit(0).alias("n"))
+    put = lambda s, x: F.when(x["start"] >= s["n"], F.struct(F.concat(s["a"], F.array(x)).alias("a"), x["end"].alias("n"))).otherwise(s)
+    return F.aggregate(ordered, start, put, lambda s: s["a"])
 
 
 def find(docs: DataFrame) -> DataFrame:
     """key, doc_id, base and spans (arrays of kind, start, end) of each row; spans has all, those of
     the base first, and of the others those that do not overlap one before."""
     found = stage(extract(docs), "base-spans")
-    more = discover(found)
+    more = discover(docs, found)
     # a few rows have more; a key stands for rows that are the same
     return found.select("key", "doc_id", "base").join(more, "key", "left").select("key", "doc_id", "base", F.concat("base", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
 
@@ -209,8 +280,8 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` with all spans of their texts masked."""
+    """The rows of `docs`, with all their columns, and all spans of their texts masked."""
     spans = find(docs).select("key", "spans").dropDuplicates(["key"])
-    keyed = docs.withColumn("_key", row_key())
-    joined = keyed.join(spans.withColumnRenamed("key", "_found").withColumnRenamed("spans", "_spans"), F.col("_key") == F.col("_found"))
-    return joined.withColumn("text", F.when(F.col("text").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("_spans")))).select(*docs.columns)
+    keyed = docs.select(row_key().alias("key"), F.struct(*docs.columns).alias("row"))
+    text = F.when(F.col("row.text").isNotNull(), masked(F.col("row.text"), F.col("spans")))
+    return keyed.join(spans, "key").select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns))

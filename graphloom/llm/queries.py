@@ -47,7 +47,7 @@ def op7_ngram_jaccard(spark, sf_dir):
 
 @query("op4_personal_data")
 def op4_personal_data(spark, sf_dir):
-    """Counts are of base spans; `spans` also has what the method adds, behind them."""
+    """Counts of kinds are of base spans; `spans` (and n_spans) also have what the method adds, behind them."""
     rows = personal_data.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return rows.select(
@@ -55,6 +55,7 @@ def op4_personal_data(spark, sf_dir):
         *(count(k) for k in personal_data.KINDS),
         F.sha2(personal_data.as_text(F.col("base")), 256).alias("base_sha256"),
         personal_data.as_text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 

@@ -297,18 +297,101 @@ def test_patterns_discover(spark, odd, none):
 def test_values_run_to_their_end(spark):
     """Long, quoted and spaced values are whole; labels have digits and any length."""
     secret, label = "s3cr!t " * 30 + "end", "a_very_long_label_of_a_field_2"
-    texts = [f'password="{secret}" x', "phone: +1 (743) 555-3824 at home", "card: 4111 1111 1111 1111, paid", "oauth2_token=abc.def. Next", f"{label}='x y'", "a: b", f"key={'k' * 500}", 'q="open end']
+    texts = [f'password="{secret}" x', "phone: +1 (743) 555-3824 at home", "oauth2_token=abc.def. Next", f"{label}='x y'", f"key={'k' * 5000}", 'q="open end', "call  me\nat x-1!"]
+    fronts = ['password="', "phone: ", "oauth2_token=", f"{label}='", "key=", 'q="', "call me at "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: [(f.pattern, f.value) for f in r.fields] for r in personal_data.extract(docs).collect()}
-    assert got == {
-        0: [('password="', secret)], 1: [("phone:", "+1 (743) 555-3824")], 2: [("card:", "4111 1111 1111 1111")], 3: [("oauth2_token=", "abc.def")],
-        4: [(f"{label}='", "x y")], 5: [("a:", "b")], 6: [("key=", "k" * 500)], 7: [('q="', "open")],
-    }
+    words = [re.findall(personal_data.ELEMENT.replace("++", "+").replace("*+", "*"), f) for f in fronts]
+    h = lambda *x: spark.range(1).select(F.xxhash64(*(F.lit(v).cast("long") if i and isinstance(v, int) else F.lit(v) for i, v in enumerate(x)))).first()[0]
+    patterns = [h(len(w), *(h(x) for x in w)) for w in words]
+    got = {(r.pattern, r.value, r.start, r.end) for r in personal_data.places(docs, patterns).collect()}
+    values = [secret, "+1", "abc.def", "x y", "k" * 5000, "open", "x-1"]
+    assert got == {(p, v, len(f) + (i == 6), len(f) + (i == 6) + len(v)) for i, (p, v, f) in enumerate(zip(patterns, values, fronts))}
     rows = [(i, f"phone: +1 (743) 555-38{i}") for i in range(10, 20)] + [(50, "phone: 743-555-1234 at home")]
     spans = {(r.doc_id, s.kind, s.start, s.end) for r in personal_data.find(spark.createDataFrame(rows, docs.schema)).collect() for s in r.spans}
     assert (50, "phone", 7, 19) in spans
 
 
+MARKS = r"\s:=#\x22'<>(){}\[\],;"
+
+
+def plain_discover(docs):
+    """Bootstrapping by loops over (id, text): {(id, kind, start, end)} of what is added."""
+    element = re.compile(rf"[^{MARKS}]+[{MARKS}]*")
+    key = re.compile(r"(?=[0-9]*[a-fA-F])(?=[a-fA-F]*[0-9])[0-9a-fA-F]{32,64}")
+    norm = lambda e: re.sub(r"\s+", " ", e).lower()
+
+    def patterns(before, after):
+        out = [(n, *before[-n:]) for n in (1, 2, 3) if len(before) >= n]
+        return out + ([("after", before[-1], after)] if before and after else [])
+
+    seeds, here, base_of = [], [], {}
+    for d, t in docs:
+        base = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in plain_spans(t))]
+        base_of[d] = base
+        keys = [("key", m.start(), m.end()) for m in re.finditer(rf"(?<![^{MARKS}]){key.pattern}(?=[.!?]*(?:[{MARKS}]|\Z))", t)]
+        for kind, a, b in base + keys:
+            if a == 0 or re.match(rf"[{MARKS}]", t[a - 1]):
+                after = re.match(rf"[.!?]*[{MARKS}]+({element.pattern})", t[b:])
+                for p in patterns([norm(x) for x in element.findall(t[:a])], after and norm(after[1])):
+                    seeds.append((p, t[a:b], kind))
+        found = list(element.finditer(t))
+        for i in range(len(found) - 1):
+            a = found[i + 1].start()
+            quote = found[i][0][-1]
+            m = re.match(rf"[^{quote}\r\n]+(?={quote})", t[a:]) if quote in "\"'" else None
+            value = m[0] if m else re.sub(rf"[.!?]*[{MARKS}]*\Z", "", found[i + 1][0])
+            for p in patterns([norm(x[0]) for x in found[: i + 1]], norm(found[i + 2][0]) if i + 2 < len(found) else None):
+                if value:
+                    here.append((p, value, d, a, a + len(value)))
+    many = {p: len({v for q, v, _ in seeds if q == p}) for p in {s[0] for s in seeds}}
+    kept = {p for p, n in many.items() if n >= personal_data.SUPPORT}
+    here = [x for x in here if x[0] in kept and not any(a < x[4] and x[3] < b for _, a, b in base_of[x[2]])]
+    edges = {}
+    for p, v, kind in [s for s in seeds if s[0] in kept] + [(x[0], x[1], "key" if key.fullmatch(x[1]) else None) for x in here]:
+        edges[p, v] = max(filter(None, (edges.get((p, v)), kind)), default=None)
+    of = {p: {v: k for (q, v), k in edges.items() if q == p} for p in kept}
+    of = {p: vs for p, vs in of.items() if sum(k is not None for k in vs.values()) >= personal_data.START * len(vs)}
+    seed = {}
+    for vs in of.values():
+        for v, k in vs.items():
+            seed[v] = max(filter(None, (seed.get(v), k)), default=None)
+    belief = {v: float(k is not None) for v, k in seed.items()}
+    for _ in range(personal_data.ROUNDS):
+        score = {p: sum(belief[v] for v in vs) / (len(vs) + 0.5) for p, vs in of.items() if sum(seed[v] is not None for v in vs) >= personal_data.SUPPORT}
+        score = {p: x for p, x in score.items() if x >= personal_data.SURE}
+        for v in belief:
+            if seed[v] is None:
+                doubt = [1 - min(x, 0.99) for p, x in score.items() if v in of[p]]
+                belief[v] = 1 - float(np.prod(doubt)) if doubt else 0.0
+    return {(x[2], x[3], x[4]) for x in here if x[0] in score}
+
+
+def test_discovery_is_brute_force(spark):
+    """Plain words as contexts: unseen identifiers are found, lone keys are not, and the rounds equal loops."""
+    rng = random.Random(9)
+    word = lambda n: " ".join(rng.choice("alpha beta gamma delta omega kappa sigma theta".split()) for _ in range(n))
+    hexa = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(36)) + "a1"
+    texts = [f"{word(3)} call me at +1 743 555 {1000 + i} {word(2)}" for i in range(30)]
+    texts += [f"{word(3)} call me at x-{i}-y {word(2)}" for i in range(3)] + [f"we met at noon {word(4)} at home", f"commit: {hexa()} {word(3)}"]
+    texts += [f'{word(2)} token = "{hexa()}" {word(3)}' for _ in range(12)] + ['it says token = "not so long" here', f"{hexa()} alone"]
+    texts += [f"{word(2)} write to u{i}@mail.example.org or {word(3)}" for i in range(9)] + ["please write to our-office-desk or leave", "", f"write to u1@mail.example.org. Then {word(5)}"]
+    texts += [f"id={i} {word(3)}" for i in range(20)] + [f"reach u{i}@a.example.org via id={i}" for i in range(12)]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = plain_discover(docs)
+    got = set()
+    for r in personal_data.find(df).collect():
+        got |= {(r.doc_id, s.start, s.end) for s in r.spans[len(r.base) :]}
+    apart = {x for x in want if not any(x != y and x[0] == y[0] and y[1] <= x[1] < y[2] and (y[1], -y[2]) < (x[1], -x[2]) for y in want)}
+    assert got == apart
+    at = {(d, texts[d][a:b]) for d, a, b in got}
+    assert {(30, "x-0-y"), (31, "x-1-y"), (47, "not so long")} <= at and not any(d in (33, 34, 48) for d, _ in at)
+    # looked for in several passes
+    found = personal_data.stage(personal_data.extract(df), "base")
+    several = {(r.key, tuple(map(tuple, r.spans))) for r in personal_data.discover(df, found, most_keys=3).collect()}
+    assert several == {(r.key, tuple(map(tuple, r.spans))) for r in personal_data.discover(df, found).collect()}
+
+
 # SentencePiece
 
 MODEL = "piece_bpe_32k.model"
