@@ -175,8 +175,9 @@ def places(docs: DataFrame, patterns: list[int]) -> DataFrame:
     wanted = lambda i: F.filter(F.array(*_patterns(h, i, F.get(h, i + 2))), lambda p: p.isin(patterns))
     each = F.when(F.size(h) > 1, F.sequence(F.lit(0), F.size(h) - 2)).otherwise(F.array().cast("array<int>"))
     rows = _elements(docs).withColumn("hits", F.filter(F.transform(each, lambda i: F.struct(i.alias("i"), wanted(i).alias("patterns"))), lambda x: F.size(x["patterns"]) > 0))
-    rows = rows.where(F.size("hits") > 0)
-    rows = rows.withColumn("starts", running(F.transform(e, lambda x: F.length(x)))).withColumn("lead", F.length(F.regexp_extract(text, rf"\A[{_MARKS}]*", 0)))
+    # a filter, or the one that Spark infers for explode, would be moved below all that it is made of, and that into the lambdas
+    starts = F.when(F.size("hits") > 0, running(F.transform(e, lambda x: F.length(x))))
+    rows = rows.withColumn("starts", starts).withColumn("lead", F.length(F.regexp_extract(text, rf"\A[{_MARKS}]*", 0)))
 
     def value(x):
         start = F.get(F.col("starts"), x["i"] + 1) + F.col("lead")
@@ -186,7 +187,7 @@ def places(docs: DataFrame, patterns: list[int]) -> DataFrame:
         word = F.regexp_replace(F.get(e, x["i"] + 1), rf"[.!?]*[{_MARKS}]*\z", "")
         return F.struct(x["patterns"].alias("patterns"), start.alias("start"), F.when(quoted != "", quoted).otherwise(word).alias("value"))
 
-    found = rows.select("key", F.explode(F.transform("hits", value)).alias("v")).where("v.value <> ''")
+    found = rows.select("key", F.explode_outer(F.transform("hits", value)).alias("v")).where("v.value <> ''")
     return found.select("key", F.explode("v.patterns").alias("pattern"), "v.value", "v.start", (F.col("v.start") + F.length("v.value")).alias("end"))
 
 
@@ -200,7 +201,7 @@ def candidates(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> Dat
     some = _elements(docs.sample(share, seed=11) if share < 1 else docs)
     each = F.when(F.size("h") > 1, F.sequence(F.lit(0), F.size("h") - 2)).otherwise(F.array().cast("array<int>"))
     single = F.transform(each, lambda i: _patterns(F.col("h"), i, F.get(F.col("h"), i + 2))[0])
-    common = some.select(F.explode(single).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("seen"))
+    common = some.select(F.explode_outer(single).alias("pattern")).where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("seen"))
     kept = enough.join(common, "pattern", "left").where(F.coalesce("seen", F.lit(0)) * START <= F.col("times")).select("pattern")
     return stage(graph.join(kept, "pattern", "left_semi").select("pattern", "value", "kind"), "candidates")
 
