@@ -41,11 +41,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in one process, as in tests, one of our own."""
     context = spark.sparkContext
     if not (where := context.getConf().get("spark.checkpoint.dir")):
         where = getattr(context, "_graphloom_dir", None)
         if where is None:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             where = context._graphloom_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
     return where.rstrip("/")
 
