@@ -47,7 +47,7 @@ def analyze_dependency(index: Index, symbols: list[str], depth: int = 3) -> Data
     used = index.edges.where("type in ('CALLS', 'IMPORTS', 'EXTENDS', 'IMPLEMENTS')")
     rows = paths.dependencies(used, _seeds(index, symbols), depth).join(index.nodes, F.col("node") == F.col("id"))
     content = F.concat_ws(" ", F.col("first_type"), "label", F.coalesce("name", "file", "id"))
-    return rows.select("file", F.col("qualified").alias("symbol"), F.lit(1).alias("start_line"), content.alias("content"), retrieval.dependency_score(F.col("depth")).alias("score"))
+    return rows.select("file", F.col("qualified").alias("symbol"), F.lit(1).alias("start_line"), content.alias("content"), F.greatest(F.lit(0.3), 1 - 0.15 * F.col("depth")).alias("score"))
 
 
 def trace_calls(index: Index, symbols: list[str], depth: int = 4, chains: int = 3) -> DataFrame:

@@ -20,12 +20,17 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def uncovered(texts: DataFrame, spans: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, start_line, end_line: the largest runs of lines in no span (key, start_line, end_line)."""
-    own = lines(texts, key, text).select(key, "line")
-    taken = spans.where("end_line >= start_line").select(key, F.explode(F.sequence("start_line", "end_line")).alias("line"))
-    left = missing(own, taken, [key, "line"])
-    island = F.col("line") - F.row_number().over(Window.partitionBy(key).orderBy("line"))
-    return left.withColumn("island", island).groupBy(key, "island").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line")).drop("island")
+    """key, start_line, end_line: the largest runs of lines in no span (key, start_line, end_line).
+
+    Spans are looked at in order, with one behind the last line of each text: a run ends before a
+    span that begins behind all ends so far.  Of a text only the number of its lines is needed."""
+    ends = texts.select(key, (F.size(F.split(text, "\n")) + 1).alias("start_line"), F.lit(True).alias("_last")).withColumn("end_line", F.col("start_line"))
+    taken = spans.where("end_line >= start_line").select(key, "start_line", "end_line", F.lit(False).alias("_last"))
+    own = Window.partitionBy(key)
+    reached = F.max("end_line").over(own.orderBy("start_line", "end_line").rowsBetween(Window.unboundedPreceding, -1))
+    rows = ends.unionByName(taken).withColumn("_n", F.max(F.when(F.col("_last"), F.col("start_line") - 1)).over(own)).withColumn("_reached", F.greatest(F.coalesce(reached, F.lit(0)), F.lit(0)))
+    runs = rows.select(key, (F.col("_reached") + 1).alias("start_line"), F.least(F.col("start_line") - 1, "_n").alias("end_line"))
+    return runs.where("start_line <= end_line")
 
 
 def meaningful(code: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
 from graphloom.operators.ranking import missing, top_per_key
+from graphloom.session import stage
 
 
 def node_id(label: str | Column, *parts: Column) -> Column:
@@ -152,7 +153,8 @@ def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame,
         i.where("s.is_external").select(*shape(library_id, "ExternalLibrary", F.col("s.module"), none, none, 7)).withColumn("repo_id", none),
     ):
         nodes = nodes.unionByName(part)
-    nodes = merge_nodes(nodes, "ord")
+    # read for every kind of edge
+    nodes = stage(merge_nodes(nodes, "ord"), "nodes")
     symbols = nodes.where("label in ('Function', 'Class', 'Method')").select("id", "name", "qualified", "file", F.col("label").alias("kind"))
     edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"))
     repo_id = node_id("Repository", r)

@@ -44,12 +44,14 @@ def call_chains(edges: DataFrame, seeds: DataFrame, max_depth: int = 8) -> DataF
 
 
 def longest(edges: DataFrame, max_depth: int) -> DataFrame:
-    """seed, depth: nodes of the longest path without a repeated node from each start; for graphs without
-    cycles only the farthest level of each node is carried, so that paths do not multiply."""
-    edges = edges.select("src", "dst").distinct()
-    level = edges.select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.lit(2).alias("depth"))
-    best = level
+    """seed, depth: nodes of the longest path of at most max_depth nodes, none of them twice, from each start.
+
+    Of paths from one start to one node over the same nodes one is carried."""
+    edges = edges.select("src", "dst").where("src <> dst").distinct()
+    level = edges.select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.array("src", "dst").alias("nodes"))
+    levels = [level.select("seed", F.lit(2).alias("depth")).distinct()]
     for depth in range(3, max_depth + 1):
-        level = level.join(edges, F.col("node") == F.col("src")).where("dst <> seed").select("seed", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
-        best = best.unionByName(level)
-    return best.groupBy("seed").agg(F.max("depth").alias("depth"))
+        level = level.join(edges, F.col("node") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+        level = level.select("seed", F.col("dst").alias("node"), F.array_sort(F.concat("nodes", F.array("dst"))).alias("nodes")).distinct()
+        levels.append(level.select("seed", F.lit(depth).alias("depth")).distinct())
+    return reduce(DataFrame.unionByName, levels).groupBy("seed").agg(F.max("depth").alias("depth"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -39,6 +39,14 @@ def duplicates(symbols: DataFrame, least_lines: int = 4) -> DataFrame:
     return sizes.join(first, "fingerprint").withColumn("similarity", 0.72 + F.least(F.lit(0.25), 0.03 * F.col("size"))).orderBy(F.desc("size"), "fingerprint")
 
 
+def resolved_once(wanted: DataFrame, owners: DataFrame, owner: str, keys: list[str] | None = None, test: Column | None = None) -> DataFrame:
+    """The rows of `wanted`, distinct, whose keys exactly one owner has, with this owner; the last key is a column of `owners`."""
+    keys = keys or ["name"]
+    met = wanted.select(*keys).distinct().join(owners.select(keys[-1], owner).distinct(), keys[-1])
+    met = met if test is None else met.where(test)
+    return met.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(owner).alias(owner)).where("_n = 1").drop("_n")
+
+
 def import_edges(parsed: DataFrame) -> DataFrame:
     """source, target of imports: `ext:` and the first part of outside modules, and files that exactly one path fits.
 
@@ -50,7 +58,7 @@ def import_edges(parsed: DataFrame) -> DataFrame:
     # every end of a path is a key, so the suffix match is an equi-join
     ends = parsed.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "/"))).alias("key"))
     wanted = rows.where("not is_external").select(F.col("file").alias("source"), F.regexp_replace(F.replace(F.regexp_replace("module", r"^[./]+", ""), F.lit("."), F.lit("/")), "/$", "").alias("key")).where("key <> ''").distinct()
-    inside = wanted.join(ends, "key").where("source <> file").groupBy("source", "key").agg(F.count("*").alias("n"), F.min("file").alias("target")).where("n = 1")
+    inside = resolved_once(wanted, ends, "file", ["source", "key"], F.col("source") != F.col("file")).withColumnRenamed("file", "target")
     return outside.unionByName(inside.select("source", "target")).distinct()
 
 

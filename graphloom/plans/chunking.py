@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as T
 from graphloom.operators import chunks, ranking
 from graphloom.plans.registry import Registry
-from graphloom.session import table
+from graphloom.session import stage, table
 
 registry = query = Registry()
 
@@ -111,7 +111,7 @@ def manifest_diff(spark, sf_dir):
 
 @query("incremental_anti_join", f"SELECT file, sha256(CAST(file AS VARCHAR) || '|' || h) AS chunk_id FROM ({CURRENT}) WHERE file NOT IN (SELECT file FROM ({PRIOR}) a JOIN ({CURRENT}) b USING (file) WHERE a.h = b.h)")
 def incremental_anti_join(spark, sf_dir):
-    before, after = manifests(spark, sf_dir)
+    before, after = (stage(m, "manifest") for m in manifests(spark, sf_dir))
     chunk_id = chunks.chunk_hash(F.col("file"), F.col("sha256")).alias("chunk_id")
     _, todo = chunks.incremental(before, after, before.select(chunk_id, "file"), after.select("file", chunk_id))
     return todo.select("file", "chunk_id")

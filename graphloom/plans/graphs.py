@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from graphloom.functions import text as T
-from graphloom.operators import diagrams, graph, paths, ranking
+from graphloom.operators import diagrams, graph, paths, ranking, report
 from graphloom.plans.registry import Registry
 from graphloom.session import table
 
@@ -43,6 +43,8 @@ def event_edges(spark, sf_dir) -> DataFrame:
 
 
 EVENT_EDGES = "SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL"
+#: Edges of a chain at most.
+CHAIN = 6
 TRAILS = f"""
     WITH RECURSIVE e AS ({EVENT_EDGES}),
     t AS (SELECT src AS seed, dst AS node, 1 AS depth, [src || '>' || dst] AS used, src || '>' || dst AS path FROM e
@@ -62,10 +64,10 @@ def find_dependencies(spark, sf_dir):
     return paths.dependencies(edges, edges.select(F.col("src").alias("id")).distinct(), 3)
 
 
-@query("call_chain", TRAILS.format(depth=3) + "SELECT seed, depth, path AS nodes FROM t")
+@query("call_chain", TRAILS.format(depth=CHAIN) + "SELECT seed, depth, path AS nodes FROM t")
 def call_chain(spark, sf_dir):
     edges = event_edges(spark, sf_dir)
-    chains = paths.call_chains(edges, edges.select(F.col("src").alias("id")).distinct(), 3)
+    chains = paths.call_chains(edges, edges.select(F.col("src").alias("id")).distinct(), CHAIN)
     return chains.select("seed", "depth", F.array_join("nodes", ">").alias("nodes"))
 
 
@@ -82,16 +84,26 @@ def dependencies_of_regions(spark, sf_dir):
     return paths.dependencies(star_edges(spark, sf_dir), seeds, 3)
 
 
-@query("request_flow", TRAILS.format(depth=3) + "SELECT seed, depth, nodes FROM (SELECT seed, depth, path AS nodes, row_number() OVER (PARTITION BY seed ORDER BY depth DESC, path) AS n FROM t) WHERE n <= 2")
+@query("request_flow", TRAILS.format(depth=CHAIN) + "SELECT seed, depth, nodes FROM (SELECT seed, depth, path AS nodes, row_number() OVER (PARTITION BY seed ORDER BY depth DESC, path) AS n FROM t) WHERE n <= 2")
 def request_flow(spark, sf_dir):
     """The two longest chains of each start."""
     return ranking.top_per_key(call_chain(spark, sf_dir), ["seed"], [F.desc("depth"), F.col("nodes")], 2)
 
 
-@query("import_depth", "SELECT 'Region::' || r_regionkey AS seed, 4 AS depth FROM region r WHERE EXISTS (SELECT 1 FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = r_regionkey)")
+@query(
+    "import_depth",
+    f"""
+    WITH RECURSIVE e AS ({EVENT_EDGES}),
+    t AS (SELECT src AS seed, dst AS node, [src, dst] AS nodes FROM e WHERE src <> dst
+      UNION ALL SELECT t.seed, e.dst, list_append(t.nodes, e.dst) FROM t JOIN e ON t.node = e.src WHERE len(t.nodes) < 5 AND NOT list_contains(t.nodes, e.dst))
+    SELECT seed, CAST(max(len(nodes)) AS INTEGER) AS depth FROM t GROUP BY seed
+    UNION ALL SELECT 'Region::' || r_regionkey, 4 FROM region r WHERE EXISTS (SELECT 1 FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey WHERE n_regionkey = r_regionkey)
+    """,
+)
 def import_depth(spark, sf_dir):
-    edges = star_edges(spark, sf_dir, orders=True)
-    return paths.longest(edges, 5).where("seed like 'Region%'")
+    """Of regions down to orders, and of the events that follow each other, in cycles."""
+    edges = star_edges(spark, sf_dir, orders=True).select("src", "dst").unionByName(event_edges(spark, sf_dir).select("src", "dst"))
+    return paths.longest(edges, 5).where("seed like 'Region%' or seed not like '%::%'")
 
 
 @query("node_merge", "SELECT 'User::' || user_id AS id, arg_max(event_type, event_id) AS last_type, arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS last_value FROM events GROUP BY user_id")
@@ -174,25 +186,39 @@ def resolve_symbol(spark, sf_dir):
 @query(
     "symbol_resolution",
     """
-    WITH s AS (SELECT p_partkey AS id, p_brand AS name, p_type AS file FROM part), r AS (SELECT p_partkey AS ref_id, p_brand AS name, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'elsewhere' END AS file FROM part)
-    SELECT ref_id, CAST(coalesce((SELECT min(CAST(id AS VARCHAR)) FROM s WHERE s.file = r.file AND s.name = r.name), (SELECT min(CAST(id AS VARCHAR)) FROM s WHERE s.name = r.name)) AS VARCHAR) AS target FROM r
+    WITH s AS (SELECT p_partkey AS id, p_brand AS name, p_type AS file, p_type || '.' || p_brand AS qualified, CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END AS kind FROM part),
+    r AS (SELECT p_partkey AS ref_id, p_brand AS name, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'elsewhere' END AS file, CASE WHEN p_partkey % 5 = 0 THEN p_type || '.' || p_brand END AS wanted FROM part)
+    SELECT ref_id, coalesce(
+      (SELECT min(CAST(id AS VARCHAR)) FROM s WHERE s.qualified = r.wanted),
+      (SELECT arg_min(CAST(id AS VARCHAR), (kind, CAST(id AS VARCHAR))) FROM s WHERE s.file = r.file AND s.name = r.name),
+      (SELECT arg_min(CAST(id AS VARCHAR), (kind, CAST(id AS VARCHAR))) FROM s WHERE s.name = r.name)) AS target FROM r
     """,
 )
 def symbol_resolution(spark, sf_dir):
+    """Brands as names in files of types; every fifth reference names its class, every second its own file."""
     part = table(spark, sf_dir, "part")
-    none = F.lit(None).cast("string")
-    symbols = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("name"), none.alias("qualified"), F.col("p_type").alias("file"), F.lit("Function").alias("kind"))
-    refs = part.select(F.col("p_partkey").alias("ref_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("elsewhere").alias("file"), none.alias("receiver"), F.col("p_brand").alias("name"))
+    kind = F.when(F.col("p_size") % 2 == 0, "Method").otherwise("Function").alias("kind")
+    symbols = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("name"), F.concat_ws(".", "p_type", "p_brand").alias("qualified"), F.col("p_type").alias("file"), kind)
+    refs = part.select(
+        F.col("p_partkey").alias("ref_id"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise("elsewhere").alias("file"),
+        F.when(F.col("p_partkey") % 5 == 0, F.col("p_type")).alias("receiver"), F.col("p_brand").alias("name"),
+    )
     return graph.resolve(refs, symbols)
 
 
-@query("search_symbols", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'green') OR contains(lower(p_name), '1')")
+@query("search_symbols", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'ring') OR contains(lower(p_name), 'blue')")
 def search_symbols(spark, sf_dir):
-    terms = spark.createDataFrame([("GREEN",), ("1",)], "term string")
+    terms = spark.createDataFrame([("RING",), ("Blue",)], "term string")
     return graph.search_symbols(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name")), terms)
 
 
-@query("query_terms")
+@query(
+    "query_terms",
+    """
+    SELECT conv_id, turn, CASE WHEN len(w) > 0 THEN array_to_string(w[1:6], ',') ELSE substr(text, 1, 64) END AS terms
+    FROM (SELECT *, list_filter(regexp_split_to_array(regexp_replace(text, '[`''"?,.!()]', ' ', 'g'), '\\s+'), lambda x: length(x) > 2) AS w FROM conversations)
+    """,
+)
 def query_terms(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(graph.query_terms(F.col("text")), ",").alias("terms"))
 
@@ -216,10 +242,23 @@ def page_imports(spark, sf_dir):
     return rows.withColumn("target_label", F.when(F.length("target") % 3 == 0, "ExternalLibrary").otherwise("File"))
 
 
-@query("import_graph_groups", f"SELECT DISTINCT CASE WHEN length(target) % 3 = 0 THEN 'lib:' ELSE 'file:' END || target AS id, regexp_extract(target, '([^/]*)$', 1) AS label, CASE WHEN length(target) % 3 = 0 THEN 'external' ELSE 'core' END AS \"group\" FROM ({LINKS}) WHERE target <> '' AND NOT regexp_matches(lower(target), 'route|controller|api/|handler|service|util|helper|config')")
+GROUP = "CASE WHEN k = 'ExternalLibrary' THEN 'external' WHEN regexp_matches(lower(p), 'route|controller|api/|handler') THEN 'api' WHEN contains(lower(p), 'service') THEN 'service' WHEN regexp_matches(lower(p), 'util|helper|config') THEN 'util' ELSE 'core' END"
+
+
+@query(
+    "import_graph_groups",
+    f"""
+    WITH l AS (SELECT source, {{target}} AS target, CASE WHEN length(target) % 3 = 0 THEN 'ExternalLibrary' ELSE 'File' END AS kind FROM ({LINKS}) WHERE source <> '' AND target <> ''),
+    n AS (SELECT 'file:' || source AS id, source AS p, 'File' AS k FROM l UNION ALL SELECT CASE WHEN kind = 'File' THEN 'file:' ELSE 'lib:' END || target, target, kind FROM l)
+    SELECT id, regexp_extract(p, '([^/]*)$', 1) AS label, {GROUP} AS "group" FROM (SELECT id, p, max(k) AS k FROM n GROUP BY id, p)
+    """.replace("{target}", "CASE length(target) % 5 WHEN 1 THEN '/api' || target WHEN 2 THEN '/service' || target WHEN 3 THEN '/util' || target ELSE target END"),
+)
 def import_graph_groups(spark, sf_dir):
-    nodes, _ = graph.import_graph(page_imports(spark, sf_dir).where(~F.lower("target").rlike("route|controller|api/|handler|service|util|helper|config")))
-    return nodes.join(page_imports(spark, sf_dir).select(F.col("target").alias("path")).distinct(), "path", "left_semi").select("id", "label", "group")
+    """Hosts and link targets; many targets lie in folders that name a group."""
+    n = F.length("target") % 5
+    folder = F.when(n == 1, "/api").when(n == 2, "/service").when(n == 3, "/util").otherwise("")
+    nodes, _ = graph.import_graph(page_imports(spark, sf_dir).where("target <> ''").withColumn("target", F.concat(folder, "target")))
+    return nodes.select("id", "label", "group")
 
 
 @query("import_edges", f"SELECT source, target, CAST(count(*) AS BIGINT) AS links FROM (SELECT 'file:' || source AS source, CASE WHEN length(target) % 3 = 0 THEN 'lib:' ELSE 'file:' END || target AS target FROM ({LINKS}) WHERE target <> '') GROUP BY ALL")
@@ -228,13 +267,15 @@ def import_edges(spark, sf_dir):
     return edges.groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-@query("import_resolution_unique", f"SELECT l.target, min(p.page_id) AS page_id FROM (SELECT DISTINCT regexp_extract(target, '([^/]+)$', 1) AS target FROM ({LINKS})) l JOIN (SELECT page_id, regexp_extract(url, '([^/]+)$', 1) AS tail FROM pages) p ON p.tail = l.target GROUP BY l.target HAVING count(*) = 1")
+LAST_LINK = "regexp_extract(html, '(?s).*<a href=\"/?([^\"]*)\"', 1)"
+
+
+@query("import_resolution_unique", f"SELECT l.name AS target, min(p.page_id) AS page_id FROM (SELECT DISTINCT regexp_extract(target, '([^/]+)$', 1) AS name FROM ({LINKS})) l JOIN (SELECT page_id, {LAST_LINK} AS name FROM pages) p USING (name) GROUP BY l.name HAVING count(DISTINCT page_id) = 1")
 def import_resolution_unique(spark, sf_dir):
-    """Link targets whose last part only one page has as its own."""
-    tail = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
-    targets = page_imports(spark, sf_dir).select(tail("target").alias("target")).distinct()
-    owners = table(spark, sf_dir, "pages").select("page_id", tail("url").alias("target"))
-    return targets.join(owners, "target").groupBy("target").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where("n = 1").drop("n")
+    """Link targets that only one page has as its last link."""
+    targets = page_imports(spark, sf_dir).select(F.regexp_extract("target", "([^/]+)$", 1).alias("name"))
+    owners = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '(?s).*<a href="/?([^"]*)"', 1).alias("name"))
+    return report.resolved_once(targets, owners, "page_id").select(F.col("name").alias("target"), "page_id")
 
 
 @query("vis_graph_first60", f"SELECT substr(md5(source), 1, 10) AS source, substr(md5(target), 1, 10) AS target FROM (SELECT DISTINCT source, target FROM ({LINKS}) ORDER BY source, target LIMIT 60)")
@@ -256,9 +297,16 @@ def table_detection(spark, sf_dir):
     return graph.database_tables(rows)
 
 
-@query("db_access_theta", "SELECT DISTINCT 'd' || doc_id AS src, 'READS_FROM' AS type, 'DatabaseTable::the' AS dst FROM documents WHERE contains(lower(text), 'the') AND contains(text, '.get (')")
+BODY = "replace(replace(text, 'token = ', '.get('), '.com', '.save(')"
+
+
+@query(
+    "db_access_theta",
+    f"SELECT DISTINCT 'd' || doc_id AS src, kind AS type, 'DatabaseTable::the' AS dst FROM (SELECT doc_id, unnest(CASE WHEN regexp_matches(b, '\\.get\\s*\\(') THEN ['READS_FROM'] ELSE [] END || CASE WHEN regexp_matches(b, '\\.save\\s*\\(') THEN ['WRITES_TO'] ELSE [] END) AS kind FROM (SELECT doc_id, {BODY} AS b FROM documents) WHERE contains(lower(b), 'the'))",
+)
 def db_access_theta(spark, sf_dir):
-    bodies = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("file"), F.col("text").alias("body"))
+    """Texts as bodies: secrets read and addresses write a table named `the`."""
+    bodies = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("doc_id").alias("file"), F.expr(BODY).alias("body"))
     return graph.database_access(bodies, bodies.select("file", F.lit("the").alias("table")))
 
 

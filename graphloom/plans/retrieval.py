@@ -24,13 +24,13 @@ def vector_topk(spark, sf_dir):
 @query(
     "vector_topk_per_query",
     f"""
-    SELECT query_id, vec_id, round(s, 4) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, greatest(0, {COSINE.format(a='e.embedding', b='q.embedding')}) AS s FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id < 10) q ON e.vec_id <> q.vec_id)
+    SELECT query_id, vec_id, round(s, 4) AS score FROM (SELECT q.vec_id AS query_id, e.vec_id, greatest(0, {COSINE.format(a='e.embedding', b='q.embedding')}) AS s FROM embeddings e JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q ON e.vec_id <> q.vec_id)
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 8
     """,
 )
 def vector_topk_per_query(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vectors.nearest_per_query(e, e.where("vec_id < 10"), 8).withColumn("score", F.round("score", 4))
+    return vectors.nearest_per_query(e, e.where("vec_id % 20 = 0"), 8).withColumn("score", F.round("score", 4))
 
 
 @query("graph_hit_scores", "SELECT event_id, round(greatest(0.4, 1 - 0.15 * d), 4) AS dependency, round(greatest(0.35, 0.9 - 0.08 * d), 4) AS chain FROM (SELECT event_id, 1 + user_id % 9 AS d FROM events)")
@@ -105,28 +105,72 @@ def citations_to_hits(spark, sf_dir):
     return retrieval.citations_to_hits(rows).select("doc_id", "source", "score", "start_line")
 
 
-def sql_count(words):
+def has(*words: str) -> str:
+    return "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
+
+
+def sql_count(*words: str) -> str:
     return " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in words)
 
 
-@query("intent_heuristic", f"SELECT conv_id, turn, CASE WHEN g > c AND g >= 2 THEN 'graph' WHEN c > g AND c >= 2 THEN 'vector' ELSE 'hybrid' END AS strategy FROM (SELECT conv_id, turn, {sql_count(T.GRAPH_WORDS)} AS g, {sql_count(T.CONTENT_WORDS)} AS c FROM conversations)")
+GRAPH_COUNT = sql_count("call chain", "calls", "dependency", "dependencies", "imports", "extends", "implements", "architecture", "layer", "relationship", "who calls", "what calls")
+CONTENT_COUNT = sql_count("where is", "how does", "explain", "what is", "show me", "find", "configured", "implementation")
+#: Turns as questions: few turns have words of questions, so every turn asks something.
+QUESTION = """CASE turn % 6 WHEN 0 THEN 'Explain the call chain of `Page.load`, and what calls it: ' WHEN 1 THEN 'How does the project handle import of user_name? ' WHEN 2 THEN 'Which layer depends on OrderStore? ' WHEN 3 THEN 'Show me where is the BUG in the api route: ' WHEN 4 THEN 'what does it do' ELSE '' END || text"""
+
+
+def questions(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(QUESTION).alias("text"))
+
+
+@query("intent_heuristic", f"SELECT conv_id, turn, CASE WHEN g > c AND g >= 2 THEN 'graph' WHEN c > g AND c >= 2 THEN 'vector' ELSE 'hybrid' END AS strategy FROM (SELECT conv_id, turn, {GRAPH_COUNT} AS g, {CONTENT_COUNT} AS c FROM (SELECT conv_id, turn, {QUESTION} AS text FROM conversations))")
 def intent_heuristic(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.strategy(F.col("text")).alias("strategy"))
+    return questions(spark, sf_dir).select("conv_id", "turn", T.strategy(F.col("text")).alias("strategy"))
+
 
+#: All names of a question: capitalised words, back-ticked names, snake case; the first of each.
+NAMES = f"""
+    SELECT conv_id, turn, q, list_filter(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN list_position(a, a[i]) = i THEN a[i] END), lambda x: x IS NOT NULL) AS names
+    FROM (SELECT conv_id, turn, lower(text) AS q, regexp_extract_all(text, '(^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9_]*)', 2) || regexp_extract_all(text, '`([A-Za-z_][A-Za-z0-9_.]*)`', 1) || list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_full_match(x, '[a-z_][a-z0-9_]*_[a-z0-9_]+')) AS a
+      FROM (SELECT conv_id, turn, {QUESTION} AS text FROM conversations))
+"""
 
-@query("heuristic_plan")
+
+@query(
+    "heuristic_plan",
+    f"""
+    SELECT conv_id, turn, array_to_string((CASE WHEN len(s) < 2 THEN ['search_graph'] || s WHEN NOT list_contains(s, 'search_code') THEN s || ['search_code'] ELSE s END)[1:6], ',') AS tools
+    FROM (SELECT conv_id, turn, CASE WHEN len(s) = 0 THEN ['search_code'] ELSE s END AS s FROM (SELECT conv_id, turn,
+      CASE WHEN {has("how does this project", "how does the project", "how this project", "how it work", "what is this project", "what does this project", "project work", "overview", "how does this repo", "how does this app")} THEN ['generate_architecture', 'trace_request_flow', 'search_code'] ELSE [] END
+      || CASE WHEN {has("architecture", "layer", "structure")} THEN ['generate_architecture'] ELSE [] END
+      || CASE WHEN {has("call chain", "request flow", "endpoint", "route", "api")} THEN ['trace_request_flow'] ELSE [] END
+      || CASE WHEN {has("depend", "import", "uses")} AND len(names) > 0 THEN ['analyze_dependency'] ELSE [] END
+      || CASE WHEN {has("bug", "issue", "smell", "vulnerability", "anti-pattern")} THEN ['find_bug_patterns'] ELSE [] END
+      || CASE WHEN {has("explain", "how does", "what does")} AND len(names) > 0 THEN ['explain_function'] ELSE [] END AS s FROM ({NAMES})))
+    """,
+)
 def heuristic_plan(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.plan_tools(F.col("text")), ",").alias("tools"))
+    return questions(spark, sf_dir).select("conv_id", "turn", F.array_join(T.plan_tools(F.col("text")), ",").alias("tools"))
 
 
-@query("symbol_candidates")
+@query("symbol_candidates", f"SELECT conv_id, turn, array_to_string(names[1:8], ',') AS symbols FROM ({NAMES})")
 def symbol_candidates(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.symbol_candidates(F.col("text")), ",").alias("symbols"))
+    return questions(spark, sf_dir).select("conv_id", "turn", F.array_join(T.symbol_candidates(F.col("text")), ",").alias("symbols"))
+
+
+#: Texts with one of the suspect forms each.
+CODE = """CASE doc_id % 6 WHEN 0 THEN 'try: x' || chr(10) || 'except :' || chr(10) WHEN 1 THEN 'except ValueError as e:  pass ' WHEN 2 THEN 'catch (Error e) {{ }}' WHEN 3 THEN 'passing except: pass ' ELSE '' END || replace(text, 'token = ', 'secret = ') || CASE WHEN doc_id % 7 = 0 THEN ' todo ' ELSE '' END""".replace("{{", "{").replace("}}", "}")
 
 
-@query("bug_patterns", "SELECT doc_id, CASE WHEN regexp_matches(text, 'except\\s*:\\s*\\n') THEN 'bare_except' WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(TODO|FIXME|HACK|XXX)($|[^A-Za-z0-9_])') THEN 'todo_fixme' WHEN regexp_matches(text, '(?i)(api[_-]?key|password|secret)\\s*=\\s*[''\"][^''\"]+[''\"]') THEN 'hardcoded_secret' END AS pattern FROM (SELECT doc_id, replace(text, 'token = ', 'secret = ') AS text FROM documents)")
+@query(
+    "bug_patterns",
+    f"""
+    SELECT doc_id, CASE WHEN regexp_matches(text, 'except\\s*:\\s*\\n') THEN 'bare_except' WHEN regexp_matches(text, 'except[^:\\n]+:\\s*pass($|[^A-Za-z0-9_])') THEN 'swallowed_exception' WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(TODO|FIXME|HACK|XXX)($|[^A-Za-z0-9_])') THEN 'todo_fixme'
+      WHEN regexp_matches(text, '(?i)(api[_-]?key|password|secret)\\s*=\\s*[''"][^''"]+[''"]') THEN 'hardcoded_secret' WHEN regexp_matches(text, 'catch\\s*\\([^)]*\\)\\s*[{{]\\s*[}}]') THEN 'empty_catch' END AS pattern FROM (SELECT doc_id, {CODE} AS text FROM documents)
+    """,
+)
 def bug_patterns(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").withColumn("text", F.expr("replace(text, 'token = ', 'secret = ')"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.expr(CODE.replace("chr(10)", "char(10)")).alias("text"))
     return rows.select("doc_id", T.first_bug_pattern(F.col("text")).alias("pattern"))
 
 

@@ -19,6 +19,12 @@ def event_stream(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def closed_stream(spark, sf_dir):
+    """The events, and one a week behind the last, that closes all windows."""
+    (last,) = table(spark, sf_dir, "events").agg(F.max("ts") + F.expr("INTERVAL 7 DAYS")).first()
+    return jobs.ended(event_stream(spark, sf_dir), "ts", last)
+
+
 @query("latest_artifact", "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_artifact(spark, sf_dir):
     return ranking.top_per_key(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
@@ -53,14 +59,14 @@ def progress_changes(spark, sf_dir):
 @query("stream_job_states", "SELECT CAST(user_id AS VARCHAR) AS job_id, CAST(count(*) AS INTEGER) AS updates, arg_max(event_type, event_id) AS stage FROM events GROUP BY user_id")
 def stream_job_states(spark, sf_dir):
     """The fold as a stream with state; event types are the stages."""
-    updates = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("stage"), F.lit(None).cast("int").alias("progress"), F.lit(None).cast("string").alias("message"))
+    updates = event_stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("stage"), F.lit(None).cast("int").alias("progress"), F.lit(None).cast("string").alias("message"), F.col("ts").alias("at"))
     rows = jobs.finished(jobs.job_states(updates))
     return ranking.top_per_key(rows, ["job_id"], [F.desc("updates")]).select("job_id", "updates", "stage")
 
 
 @query("stream_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
-    rows = jobs.finished(jobs.tumbling(event_stream(spark, sf_dir), "ts", ["event_type"], "value", "1 hour", "1 hour"), "complete")
+    rows = jobs.finished(jobs.tumbling(closed_stream(spark, sf_dir), "ts", ["event_type"], "value", "1 hour", "1 hour"))
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -73,10 +79,10 @@ def stream_tumbling(spark, sf_dir):
     """,
 )
 def stream_session(spark, sf_dir):
-    rows = jobs.finished(jobs.sessions(event_stream(spark, sf_dir), "ts", "user_id", "30 minutes", "1 hour"), "complete")
+    rows = jobs.finished(jobs.sessions(closed_stream(spark, sf_dir), "ts", "user_id", "30 minutes", "1 hour"))
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
-@query("stream_dedupe")
+@query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     return jobs.finished(jobs.first_of(event_stream(spark, sf_dir), "ts", ["user_id", "event_type"], "40 days")).select("user_id", "event_type")

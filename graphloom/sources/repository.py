@@ -36,7 +36,8 @@ def scan_result(files: DataFrame) -> DataFrame:
 def unpack(spark: SparkSession, path: str, most: int = MOST_UNPACKED) -> DataFrame:
     """archive, path, size_bytes, content, error: files of zip archives, a single top directory taken away.
 
-    A task takes one archive; one that unpacks to more than `most` bytes gives a row with an error."""
+    A task takes one archive; one of more than MOST_PACKED bytes, or that unpacks to more than
+    `most`, gives a row with an error."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
 
     def give(frames):
@@ -62,5 +63,7 @@ def unpack(spark: SparkSession, path: str, most: int = MOST_UNPACKED) -> DataFra
                     rows.append((name, None, 0, None, "not an archive"))
             yield pd.DataFrame(rows, columns=["archive", "path", "size_bytes", "content", "error"])
 
-    ok = (F.col("length") <= MOST_PACKED).alias("ok")
-    return raw.where(ok).select("path", "content").mapInPandas(give, "archive string, path string, size_bytes long, content string, error string")
+    files = raw.where(F.col("length") <= MOST_PACKED).select("path", "content").mapInPandas(give, "archive string, path string, size_bytes long, content string, error string")
+    none = F.lit(None).cast("string")
+    large = raw.where(F.col("length") > MOST_PACKED).select(F.col("path").alias("archive"), none.alias("path"), F.col("length").alias("size_bytes"), none.alias("content"), F.lit("too large").alias("error"))
+    return files.unionByName(large)

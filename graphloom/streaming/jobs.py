@@ -54,6 +54,15 @@ def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{where}/rows/{last[-1]:09d}") if last else spark.createDataFrame([], stream.schema)
 
 
+def ended(events: DataFrame, time: str, at) -> DataFrame:
+    """The stream with one more event, `at` a time behind all others and empty elsewhere: it moves the watermark on, so that what is open before it closes."""
+    spark = events.sparkSession
+    last = spark.range(1).select(*(F.lit(at if f.name == time else None).cast(f.dataType).alias(f.name) for f in events.schema.fields))
+    folder = f"{shared_dir(spark)}/closing-{uuid.uuid4().hex}"
+    last.write.parquet(folder)
+    return events.unionByName(read(spark, folder, last.schema))
+
+
 def tumbling(events: DataFrame, time: str, keys: list[str], value: str, width: str, late: str) -> DataFrame:
     """start, keys, n, total of each window."""
     w = F.window(time, width)
@@ -73,16 +82,19 @@ def first_of(events: DataFrame, time: str, keys: list[str], late: str) -> DataFr
 JOB = "job_id string, stage string, progress int, message string, updates int, changed boolean"
 
 
-def job_states(updates: DataFrame) -> DataFrame:
-    """The state of each job behind each micro-batch of updates (job_id, ord, stage, progress, message).
+def job_states(updates: DataFrame, time: str = "at", kept: str = "1 day") -> DataFrame:
+    """The state of each job behind each micro-batch of updates (job_id, ord, stage, progress, message and `time`).
 
-    Updates of a job are folded in order; what an update leaves out stays; a row is given
-    when stage or progress changed.  A finished job takes no more updates and its state goes."""
+    Updates of a job are folded in order; what an update leaves out stays; a row is given when
+    stage or progress changed, and when the state goes: of a finished job at once, of another one
+    `kept` after its last update (an event time).  What comes for a finished job in the same
+    micro-batch is left out."""
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stage, progress, message, n = state.get if state.exists else (None, 0, None, 0)
-        before = (stage, progress)
-        for row in pd.concat(list(frames)).sort_values("ord").itertuples():
+        stage, progress, message, n, _ = state.get if state.exists else (None, 0, None, 0, 0)
+        gone = state.hasTimedOut
+        before, last = (stage, progress), 0
+        for row in [] if gone else pd.concat(list(frames)).sort_values("ord").itertuples():
             if stage in LAST_STAGES:
                 break
             stage = row.stage if isinstance(row.stage, str) else stage
@@ -90,11 +102,21 @@ def job_states(updates: DataFrame) -> DataFrame:
             progress = STAGES.get(stage, progress) if given is None or given != given else int(given)
             progress = max(0, min(100, progress))
             message = row.message if isinstance(row.message, str) else message
+            last = max(last, int(row.until))
             n += 1
-        state.update((stage, progress, message, n))
-        yield pd.DataFrame({"job_id": [key[0]], "stage": [stage], "progress": [progress], "message": [message], "updates": [n], "changed": [(stage, progress) != before]})
-
-    return updates.groupBy("job_id").applyInPandasWithState(fold, JOB, "stage string, progress int, message string, n int", "append", GroupStateTimeout.NoTimeout)
+        changed = (stage, progress) != before
+        if gone or stage in LAST_STAGES:
+            state.remove()
+        else:
+            last = max(last, _)
+            state.update((stage, progress, message, n, last))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        if changed or gone:
+            yield pd.DataFrame({"job_id": [key[0]], "stage": [stage], "progress": [progress], "message": [message], "updates": [n], "changed": [changed]})
+
+    until = F.unix_millis(F.col(time) + F.expr(f"INTERVAL {kept}")).alias("until")
+    rows = updates.withWatermark(time, "0 seconds").select("job_id", "ord", "stage", "progress", "message", until, time)
+    return rows.groupBy("job_id").applyInPandasWithState(fold, JOB, "stage string, progress int, message string, n int, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def latest_job(memory: DataFrame, stored: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Every query against its SQL on the small tables, and operators that SQL does not reach."""
 
+from datetime import datetime
+
 import os
 
 import duckdb
@@ -76,11 +78,33 @@ def test_embedder(spark):
 
 
 def test_job_stream(spark, tmp_path):
-    schema = "job_id string, ord long, stage string, progress int, message string"
-    updates = [("j", 1, "cloning", None, "a"), ("j", 2, None, 30, None), ("j", 3, "completed", None, None), ("j", 4, "failed", None, None), ("k", 1, "parsing", 500, None)]
-    spark.createDataFrame(updates, schema).write.parquet(str(tmp_path / "in"))
-    got = {r.job_id: r for r in jobs.finished(jobs.job_states(jobs.read(spark, str(tmp_path / "in"), schema))).collect()}
-    assert (got["j"].stage, got["j"].progress, got["j"].message, got["j"].updates) == ("completed", 100, "a", 3) and got["k"].progress == 100
+    schema = "job_id string, ord long, stage string, progress int, message string, at timestamp"
+    day = lambda n: datetime(2024, 1, n)
+    one = [("j", 1, "cloning", None, "a", day(1)), ("j", 2, None, 30, None, day(1)), ("j", 3, "completed", None, None, day(1)), ("j", 4, "failed", None, None, day(1)), ("k", 1, "parsing", 500, None, day(1)), ("m", 1, "cloning", None, None, day(1))]
+    two = [("m", 2, None, None, "same stage", day(2)), ("z", 1, "cloning", None, None, day(9))]
+    for i, rows in enumerate((one, two)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.job_states(jobs.read(spark, str(tmp_path / "in"), schema), "at", "1 day")
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        kept = q.lastProgress.stateOperators[0].numRowsTotal
+        got = spark.read.parquet(str(tmp_path / "out")).collect()
+        if i == 0:
+            by = {r.job_id: r for r in got}
+            assert len(got) == 3 and kept == 2  # the finished job's state is gone
+            assert (by["j"].stage, by["j"].progress, by["j"].message, by["j"].updates) == ("completed", 100, "a", 3) and by["k"].progress == 100
+    # k and m were silent for a day: a last row each, and only z is kept
+    assert kept == 1 and sorted((r.job_id, r.changed) for r in got if not r.changed) == [("k", False), ("m", False)]
+    assert {r.job_id: r.message for r in got if not r.changed}["m"] == "same stage"
+
+
+def test_windows_close(spark, tmp_path):
+    schema = "ts timestamp, k string, v double"
+    rows = [(datetime(2024, 1, 1, h % 24, 5 * h % 60), "ab"[h % 2], float(h)) for h in range(48)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    events = jobs.ended(jobs.read(spark, str(tmp_path / "in"), schema), "ts", datetime(2024, 2, 1))
+    got = jobs.finished(jobs.tumbling(events, "ts", ["k"], "v", "1 hour", "1 hour")).collect()
+    assert sum(r.n for r in got) == 48 and sum(r.total for r in got) == sum(v for *_, v in rows)
 
 
 def test_queue(spark, tmp_path):
