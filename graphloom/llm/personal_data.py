@@ -134,7 +134,7 @@ def _patterns(before: Column, at: Column, after: Column) -> list[Column]:
 
 
 def seeds(text: Column, spans: Column) -> Column:
-    """Array of (kind, value, patterns) of the spans that begin behind white space or a mark, or with the text."""
+    """Array of (kind, value, word, patterns) of the spans that begin behind white space or a mark, or with the text."""
 
     def around(x):
         front = F.substring(text, F.greatest(x["start"] - AROUND + 1, F.lit(1)), F.least(x["start"], F.lit(AROUND)))
@@ -148,7 +148,7 @@ def seeds(text: Column, spans: Column) -> Column:
         )
 
     found = F.filter(F.transform(spans, around), lambda x: (x["front"] == "") | x["front"].rlike(rf"[{_MARKS}]\z"))
-    return F.transform(found, lambda x: F.struct(x["kind"], x["value"], F.array(*_patterns(x["last"], F.size(x["last"]) - 1, x["after"])).alias("patterns")))
+    return F.transform(found, lambda x: F.struct(x["kind"], x["value"], F.get(x["last"], F.size(x["last"]) - 1).alias("word"), F.array(*_patterns(x["last"], F.size(x["last"]) - 1, x["after"])).alias("patterns")))
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -162,22 +162,23 @@ def extract(docs: DataFrame) -> DataFrame:
     return rows.select(row_key().alias("key"), "doc_id", "base", seeds(F.col("text"), F.concat("base", "keys")).alias("seeds"))
 
 
-def _elements(docs: DataFrame) -> DataFrame:
-    """key, text, e (array of the elements of each text) and h (of their hashes)."""
+def _hashed(docs: DataFrame) -> DataFrame:
+    """key, text and h: hashes of the elements of each text, as `_plain` has them (white space and case change no bounds of elements)."""
     rows = docs.select(row_key().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("e", F.regexp_extract_all("text", F.lit(ELEMENT), F.lit(0)))
-    return rows.withColumn("h", F.transform("e", lambda e: F.xxhash64(_plain(e))))
+    return rows.withColumn("h", F.transform(F.regexp_extract_all(_plain(F.col("text")), F.lit(ELEMENT), F.lit(0)), lambda e: F.xxhash64(e)))
 
 
-def places(docs: DataFrame, patterns: list[int]) -> DataFrame:
-    """key, pattern, value, start, end: what stands in the places of the patterns in all texts."""
-    h, e, text = F.col("h"), F.col("e"), F.col("text")
-    wanted = lambda i: F.filter(F.array(*_patterns(h, i, F.get(h, i + 2))), lambda p: p.isin(patterns))
-    each = F.when(F.size(h) > 1, F.sequence(F.lit(0), F.size(h) - 2)).otherwise(F.array().cast("array<int>"))
-    rows = _elements(docs).withColumn("hits", F.filter(F.transform(each, lambda i: F.struct(i.alias("i"), wanted(i).alias("patterns"))), lambda x: F.size(x["patterns"]) > 0))
+def places(docs: DataFrame, patterns: list[int], words: list[int]) -> DataFrame:
+    """key, pattern, value, start, end: what stands in the places of the patterns in all texts; `words` are the hashes of their last words."""
+    h, e, text, at = F.col("h"), F.col("e"), F.col("text"), F.col("at")
     # a filter, or the one that Spark infers for explode, would be moved below all that it is made of, and that into the lambdas
-    starts = F.when(F.size("hits") > 0, running(F.transform(e, lambda x: F.length(x))))
-    rows = rows.withColumn("starts", starts).withColumn("lead", F.length(F.regexp_extract(text, rf"\A[{_MARKS}]*", 0)))
+    rows = _hashed(docs).withColumn("at", F.filter(F.transform("h", lambda x, i: F.when(x.isin(words), i)), lambda i: i.isNotNull()))
+    wanted = lambda i: F.filter(F.array(*_patterns(h, i, F.get(h, i + 2))), lambda p: p.isin(patterns))
+    found = F.filter(F.transform(at, lambda i: F.struct(i.alias("i"), F.when(i + 1 < F.size(h), wanted(i)).alias("patterns"))), lambda x: F.size(x["patterns"]) > 0)
+    rows = rows.withColumn("hits", F.when(F.size(at) > 0, found))
+    some = F.size("hits") > 0
+    rows = rows.withColumn("e", F.when(some, F.regexp_extract_all(text, F.lit(ELEMENT), F.lit(0))))
+    rows = rows.withColumn("starts", F.when(some, running(F.transform(e, lambda x: F.length(x))))).withColumn("lead", F.when(some, F.length(F.regexp_extract(text, rf"\A[{_MARKS}]*", 0))))
 
     def value(x):
         start = F.get(F.col("starts"), x["i"] + 1) + F.col("lead")
@@ -192,18 +193,17 @@ def places(docs: DataFrame, patterns: list[int]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """pattern, value, kind: the seeds of patterns that have `support` distinct ones, as a table."""
-    each = found.select(F.explode("seeds").alias("s")).select(F.posexplode("s.patterns").alias("level", "pattern"), "s.value", "s.kind").where("pattern is not null")
-    graph = stage(each.groupBy("level", "pattern", F.xxhash64("value").alias("value")).agg(F.max("kind").alias("kind"), F.count("*").alias("times")), "seeds")
+    """pattern, word (its last one), value, kind: the seeds of patterns that have `support` distinct ones, as a table."""
+    each = found.select(F.explode("seeds").alias("s")).select(F.posexplode("s.patterns").alias("level", "pattern"), "s.word", "s.value", "s.kind").where("pattern is not null")
+    graph = stage(each.groupBy("level", "pattern", "word", F.xxhash64("value").alias("value")).agg(F.max("kind").alias("kind"), F.count("*").alias("times")), "seeds")
     enough = graph.groupBy("level", "pattern").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= support)
     # one word: ruled out where a sample already has too many places of it
     share = min(1.0, SAMPLE / max(1, found.count()))
-    some = _elements(docs.sample(share, seed=11) if share < 1 else docs)
-    each = F.when(F.size("h") > 1, F.sequence(F.lit(0), F.size("h") - 2)).otherwise(F.array().cast("array<int>"))
-    single = F.transform(each, lambda i: _patterns(F.col("h"), i, F.get(F.col("h"), i + 2))[0])
-    common = some.select(F.explode_outer(single).alias("pattern")).where("pattern is not null").groupBy("pattern").agg(F.count("*").alias("seen"))
+    some = _hashed(docs.sample(share, seed=11) if share < 1 else docs)
+    single = some.select(F.explode_outer(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0)))).alias("one")).where("one is not null")
+    common = single.groupBy(F.xxhash64(F.lit(1), F.col("one")).alias("pattern")).agg(F.count("*").alias("seen"))
     kept = enough.join(common, "pattern", "left").where(F.coalesce("seen", F.lit(0)) * START <= F.col("times")).select("pattern")
-    return stage(graph.join(kept, "pattern", "left_semi").select("pattern", "value", "kind"), "candidates")
+    return stage(graph.join(kept, "pattern", "left_semi").select("pattern", "word", "value", "kind"), "candidates")
 
 
 def row_key() -> Column:
@@ -214,16 +214,17 @@ def discover(docs: DataFrame, found: DataFrame, support: int = SUPPORT, sure: fl
     """key, spans (array, by start): what stands in the places of sure patterns, outside of the base spans."""
     seeded = candidates(docs, found, support)
     # numbers, looked for MOST_KEYS at a time
-    keys = [r.pattern for r in seeded.select("pattern").distinct().orderBy("pattern").collect()]
+    keys = [(r.pattern, r.word) for r in seeded.select("pattern", "word").distinct().orderBy("pattern").collect()]
     here = None
     for at in range(0, max(1, len(keys)), most_keys):
-        part = stage(places(docs, keys[at : at + most_keys]), "places")
+        some = keys[at : at + most_keys]
+        part = stage(places(docs, [p for p, _ in some], sorted({w for _, w in some})), "places")
         here = part if here is None else here.unionByName(part)
     inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     outside = here.join(found.select("key", "base").dropDuplicates(["key"]), "key").where(~inside)
     form = F.when(F.col("value").rlike(rf"\A{KEY}\z"), "key")
     outside = stage(outside.select("key", "pattern", "start", "end", F.xxhash64("value").alias("value"), form.alias("kind")), "outside")
-    edges = seeded.unionByName(outside.select("pattern", "value", "kind")).groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
+    edges = seeded.drop("word").unionByName(outside.select("pattern", "value", "kind")).groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
     edges = edges.join(edges.groupBy("pattern").agg((F.count("seed") / F.count("*")).alias("share")).where(F.col("share") >= START).select("pattern"), "pattern", "left_semi")
     edges = stage(edges, "graph")
     values = edges.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("belief", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0))
