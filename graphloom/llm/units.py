@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 #: Bytes of units (and their ids) that a generation of a worker's memory holds; there are two of them.
 GENERATION = 24_000_000
 #: Bytes of text that are put through in one go; bounds a worker's memory.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 3_000_000
 
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
 #: White space of any kind, for regular expressions of Arrow.
