@@ -29,8 +29,8 @@ from pyspark.sql import Window
 from graphloom.session import stage
 
 K, S = 5, 2
-#: Rows of a run of documents in doc_id order, and runs at most.
-RUN_ROWS, MOST_RUNS = 500, 100_000
+#: Rows of a run of documents in doc_id order, runs at most, and runs of a range of sorted keys.
+RUN_ROWS, MOST_RUNS, RANGE_RUNS = 500, 100_000, 64
 
 
 def _hashes(text: Column) -> Column:
@@ -90,14 +90,16 @@ def in_runs(docs: DataFrame) -> DataFrame:
     one id with one text stay in one run.  What is broadcast are the first keys of MOST_RUNS runs at most."""
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.xxhash64("text").alias("th"))
     keys = docs.select(key.alias("k"))
-    runs = int(min(max(1, keys.count() // RUN_ROWS), MOST_RUNS))
-    # a row a run
-    firsts = stage(keys.repartitionByRange(runs, "k").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k")).select("k"), "run-keys")
-    side = math.isqrt(runs) + 1
+    rows = keys.count()
+    runs = int(min(max(1, rows // RUN_ROWS), MOST_RUNS))
+    # a row a run: every RUN_ROWS-th key of sorted partitions of many runs each
+    ordered = keys.repartitionByRange(-(-runs // RANGE_RUNS), "k").sortWithinPartitions("k").withColumn("n", F.monotonically_increasing_id() % (1 << 33))
+    firsts = stage(ordered.where(F.col("n") % F.lit(max(RUN_ROWS, rows // MOST_RUNS)) == 0).select("k").distinct(), "run-keys")
+    count = firsts.count()
+    side = math.isqrt(count) + 1
     numbered = firsts.withColumn("run", F.row_number().over(Window.orderBy("k")) - 1).withColumn("block", F.floor(F.col("run") / side).cast("int"))
     table = numbered.groupBy("block").agg(F.sort_array(F.collect_list("k")).alias("ks"), F.min("run").alias("base"))
     tops = [r.k for r in table.select(F.col("ks")[0].alias("k")).orderBy("k").collect()]
-    count = firsts.count()
     if not count:
         return docs.select("*", key.alias("_key"), F.lit(0).alias("_run"), F.lit(0).alias("_mark"))
     literal = F.array(*(F.struct(F.lit(k.known).alias("known"), F.lit(k.id).cast("long").alias("id"), F.lit(k.th).cast("long").alias("th")) for k in tops))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -22,37 +23,14 @@ from graphloom.llm.training import SparseRows, logistic, sigmoid
 #: Hashed columns, lengths of n-grams, rows of the labelled table that are used.
 BITS, LENGTHS, MOST_LABELLED = 16, (3, 4, 5), 20_000
 
-#: Fixed words of the labelled table: of hosts to block, and of hosts to allow.
-BLOCKED_WORDS = (
-    "ads adult affiliate bets bingo casino cheap click crack download-free escort farm fake free-money gambling hack jackpot keygen loan "
-    "malware nude phish pills poker popup porn prize replica scam seo-link slots spam sex track tracker viagra virus warez win xxx"
-).split()
-ALLOWED_WORDS = (
-    "academy archive art blog book city college community data developer docs edu forum garden guide health help history home journal "
-    "kitchen lab law learn library map media museum music nature news open paper people press research school science shop society "
-    "sport story studio support team travel university weather wiki work world"
-).split()
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table (url, 1: block): hosts of the fixed words, alike in everything else."""
-    rows = []
-    for words, label in ((BLOCKED_WORDS, 1), (ALLOWED_WORDS, 0)):
-        for i, word in enumerate(words):
-            other = words[(7 * i + 3) % len(words)]
-            for j, host in enumerate((f"{word}", f"{word}-{other}", f"{other}-{word}", f"{word}{other}")):
-                front = ("", "www.", "m.", "blog.")[(i + j) % 4]
-                end = ("com", "net", "org")[(i + j) % 3]
-                lang = ("en", "de", "fr", "es")[(i // 3 + j) % 4]
-                last = ("", ".html", "/")[(i // 2 + j) % 3]
-                rows.append((f"https://{front}{host}.example.{end}/{lang}/{37 * i + j}{last}", label))
-    # plain made-up names, so that an unknown host alone is no ground to block
-    syllables = "an be cor del en fi gra hon il ja ko lu mer no or pa ri sol ta un ver wen".split()
-    for i, a in enumerate(syllables):
-        for j, b in enumerate(syllables):
-            front = ("", "www.", "m.", "blog.")[(i + j) % 4]
-            rows.append((f"http://{front}{a}{b}{syllables[(i * j) % 22]}.example.{('com', 'net', 'org')[(i + j) % 3]}/{('en', 'de', 'fr', 'es')[j % 4]}/{i * 31 + j}", 0))
-    return rows
+#: A small hand-made table of labelled urls: label (block or allow) and url.
+LABELLED = Path(__file__).with_name("labelled_urls.tsv")
+
+
+def labelled_urls(path: str | Path = LABELLED) -> list[tuple[str, int]]:
+    """The rows (url, 1: block) of a small table of labelled urls."""
+    rows = (line.split("\t") for line in Path(path).read_text("utf-8").splitlines() if line)
+    return [(url, int(label == "block")) for label, url in rows]
 
 
 def host(url: Column) -> Column:
