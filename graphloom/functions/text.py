@@ -226,6 +226,7 @@ def symbol_candidates(question: Column) -> Column:
 
 def plan_tools(question: Column) -> Column:
     """Tools that answer a question, in order, at most six."""
+    # Words of questions, and the tools that answer them, in this order.
     q = F.lower(question)
     symbol = F.coalesce(F.get(symbol_candidates(question), F.lit(0)), F.lit("")) != ""
     overview = any_of(q, [

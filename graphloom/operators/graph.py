@@ -114,6 +114,7 @@ def database_tables(sources: DataFrame) -> DataFrame:
     return named.unionByName(classes.select("file", T.snake_case(F.col("name")).alias("table"))).distinct()
 
 
+# Forms of code that reads and that writes a database.
 READS = r"(?i)\.query\s*\(|\bSELECT\b|\.execute\s*\(|\.find(One|Many|Unique)?\s*\(|\.get\s*\("
 WRITES = r"(?i)\.add\s*\(|\.delete\s*\(|\.commit\s*\(|\.insert\s*\(|\.update\s*\(|\bINSERT\b|\bUPDATE\b|\.save\s*\("
 

@@ -96,10 +96,10 @@ def follow_ups(question: Column, name: Column, path: Column) -> Column:
     quoted = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
     has_name, has_path = F.coalesce(name, F.lit("")) != "", F.coalesce(path, F.lit("")) != ""
     found = F.array(
-        F.when(has_name & has_path, F.concat(F.lit("How does "), quoted(name), F.lit(" in "), quoted(path), F.lit(" work?"))),
-        F.when(has_name & has_path, F.concat(F.lit("What calls "), quoted(name), F.lit("?"))),
-        F.when(~has_name & has_path, F.concat(F.lit("What is implemented in "), quoted(path), F.lit("?"))),
-        F.when(has_name & ~has_path, F.concat(F.lit("Explain the "), quoted(name), F.lit(" function in more detail."))),
+        F.when(has_name & has_path, F.concat(F.lit("Walk me through "), quoted(name), F.lit(" from "), quoted(path))),
+        F.when(has_name & has_path, F.concat(F.lit("Where is "), quoted(name), F.lit(" called from?"))),
+        F.when(~has_name & has_path, F.concat(F.lit("Which parts does "), quoted(path), F.lit(" define?"))),
+        F.when(has_name & ~has_path, F.concat(F.lit("Say more about "), quoted(name))),
     )
     return F.slice(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (F.lower(x) != F.lower(F.trim(question))))), 1, 5)
 

@@ -190,9 +190,18 @@ def reasoning_summary(spark, sf_dir):
     return rows.select("conv_id", "turn")
 
 
-@query("follow_ups", "SELECT doc_id, 'How does `' || lang || '` in `' || source || '` work?|What calls `' || lang || '`?' AS questions FROM documents")
+@query(
+    "follow_ups",
+    """
+    SELECT doc_id, CASE WHEN n AND p THEN CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Walk me through `' || lang || '` from `' || source || '`|' END || 'Where is `' || lang || '` called from?' WHEN p THEN 'Which parts does `' || source || '` define?' WHEN n THEN 'Say more about `' || lang || '`' ELSE '' END AS questions
+    FROM (SELECT *, doc_id % 3 <> 0 AS n, doc_id % 4 <> 0 AS p FROM documents)
+    """,
+)
 def follow_ups(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(retrieval.follow_ups(F.lit(""), F.col("lang"), F.col("source")), "|").alias("questions"))
+    """Languages as names and sources as paths, now and then missing; every fifth question was asked already."""
+    name, path = F.when(F.col("doc_id") % 3 != 0, F.col("lang")), F.when(F.col("doc_id") % 4 != 0, F.col("source"))
+    asked = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("walk me through `"), "lang", F.lit("` from `"), "source", F.lit("` "))).otherwise("")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(retrieval.follow_ups(asked, name, path), "|").alias("questions"))
 
 
 @query("evidence_blocks", "SELECT source, md5(string_agg(substr(text, 1, 600), chr(10) ORDER BY doc_id)) AS block FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 4) GROUP BY source")
