@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,26 @@ def test_neighbours_recall(spark):
         assert [m[0] for m in mine] == list(range(1, len(mine) + 1)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
 
 
+def test_neighbours_of_a_real_tree(spark):
+    """50,000 rows around 300 centres: far fewer leaves are visited than there are, and recall holds."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(300, 16))
+    x = (centres[rng.integers(0, 300, 50_000)] + 0.35 * rng.normal(size=(50_000, 16))).round(4)
+    tree = neighbours.grow(x[:20_000], len(x), 10, 0.97)
+    assert tree.leaves > 50 and tree.visits < tree.leaves / 3, (tree.leaves, tree.visits)
+    e = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    got = neighbours.search(e, F.col("vec_id") % 100 == 0).collect()
+    hit, queries_ = 0, range(0, len(x), 100)
+    mine = {}
+    for r in got:
+        mine.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in queries_:
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(mine[q] & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hit >= 0.9 * 10 * len(queries_), hit
+
+
 def test_neighbours_odd(spark):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(1, 400)] + [(0, [1.0, 1.0, 1.0])] * 2 + [(1000 + i, [1.0, 1.0, 1.0]) for i in range(200)]
     rows += [(None, [1.0, 1.0, 1.0]), (500, None), (600, [0.0, 0.0, 0.0]), (700, [1.0, None, 2.0]), (800, [1.0, float("nan"), 1.0]), (900, [1.0])]
