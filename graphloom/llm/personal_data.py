@@ -13,9 +13,9 @@ as the share of its distinct values that are believed, an instance outside the s
 the patterns that it stands in make it.  Only what stands in the place of a sure pattern is
 added; a lone value is not, whatever its form.
 
-A pattern takes part if START of what stands in its place are seeds.  For patterns of one word,
-which may be as common as any word, a bounded sample of documents shows beforehand most that
-do not: what a sample counts is never more than there is.  The others are looked for in the
+A pattern takes part if seeds stand in START of its places.  For patterns of one word, which may
+be as common as any word, a bounded sample of documents shows beforehand most that do not: what
+a sample counts is never more than there is.  The others are looked for in the
 texts MOST_KEYS at a time.  The tables that go round have a row for each distinct pattern and
 value; what a third of all rows share is summed before it is shuffled.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from graphloom.session import stage
 
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds of a pattern, least score of a pattern, rounds; least share of seeds among what stands in a pattern's place.
+#: Distinct seeds of a pattern, least score of a pattern, rounds; least share of seeds in a pattern's places.
 SUPPORT, SURE, ROUNDS, START = 5, 0.7, 3, 0.1
 #: Documents of the sample that rules common words out; patterns that are looked for at once; characters around a seed that its contexts lie in.
 SAMPLE, MOST_KEYS, AROUND = 5_000, 10_000, 240
@@ -188,12 +188,12 @@ def places(docs: DataFrame, patterns: list[int], words: list[int]) -> DataFrame:
         word = F.regexp_replace(F.get(e, x["i"] + 1), rf"[.!?]*[{_MARKS}]*\z", "")
         return F.struct(x["patterns"].alias("patterns"), start.alias("start"), F.when(quoted != "", quoted).otherwise(word).alias("value"))
 
-    found = rows.select("key", F.explode_outer(F.transform("hits", value)).alias("v")).where("v.value <> ''")
+    found = rows.select("key", F.explode_outer(F.transform("hits", value)).alias("v")).where("v is not null")
     return found.select("key", F.explode("v.patterns").alias("pattern"), "v.value", "v.start", (F.col("v.start") + F.length("v.value")).alias("end"))
 
 
 def candidates(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """pattern, word (its last one), value, kind: the seeds of patterns that have `support` distinct ones, as a table."""
+    """pattern, word (its last one), value, kind, times: the seeds of patterns that have `support` distinct ones, as a table."""
     each = found.select(F.explode("seeds").alias("s")).select(F.posexplode("s.patterns").alias("level", "pattern"), "s.word", "s.value", "s.kind").where("pattern is not null")
     graph = stage(each.groupBy("level", "pattern", "word", F.xxhash64("value").alias("value")).agg(F.max("kind").alias("kind"), F.count("*").alias("times")), "seeds")
     enough = graph.groupBy("level", "pattern").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= support)
@@ -203,7 +203,7 @@ def candidates(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> Dat
     single = some.select(F.explode_outer(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0)))).alias("one")).where("one is not null")
     common = single.groupBy(F.xxhash64(F.lit(1), F.col("one")).alias("pattern")).agg(F.count("*").alias("seen"))
     kept = enough.join(common, "pattern", "left").where(F.coalesce("seen", F.lit(0)) * START <= F.col("times")).select("pattern")
-    return stage(graph.join(kept, "pattern", "left_semi").select("pattern", "word", "value", "kind"), "candidates")
+    return stage(graph.join(kept, "pattern", "left_semi").select("pattern", "word", "value", "kind", "times"), "candidates")
 
 
 def row_key() -> Column:
@@ -221,11 +221,14 @@ def discover(docs: DataFrame, found: DataFrame, support: int = SUPPORT, sure: fl
         part = stage(places(docs, [p for p, _ in some], sorted({w for _, w in some})), "places")
         here = part if here is None else here.unionByName(part)
     inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    taking = here.groupBy("pattern").agg(F.count("*").alias("n")).join(seeded.groupBy("pattern").agg(F.sum("times").alias("times")), "pattern").where(F.col("times") >= START * F.col("n")).select("pattern")
+    taking = stage(taking, "taking")
+    seeded = seeded.join(taking, "pattern", "left_semi").select("pattern", "value", "kind")
+    here = here.join(taking, "pattern", "left_semi").where("value <> ''")
     outside = here.join(found.select("key", "base").dropDuplicates(["key"]), "key").where(~inside)
     form = F.when(F.col("value").rlike(rf"\A{KEY}\z"), "key")
     outside = stage(outside.select("key", "pattern", "start", "end", F.xxhash64("value").alias("value"), form.alias("kind")), "outside")
-    edges = seeded.drop("word").unionByName(outside.select("pattern", "value", "kind")).groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
-    edges = edges.join(edges.groupBy("pattern").agg((F.count("seed") / F.count("*")).alias("share")).where(F.col("share") >= START).select("pattern"), "pattern", "left_semi")
+    edges = seeded.unionByName(outside.select("pattern", "value", "kind")).groupBy("pattern", "value").agg(F.max("kind").alias("seed"))
     edges = stage(edges, "graph")
     values = edges.groupBy("value").agg(F.max("seed").alias("seed")).withColumn("belief", F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0))
     # without values that are no seeds nothing changes behind the first round

@@ -362,16 +362,15 @@ def plain_discover(docs):
             m = re.match(rf"[^{quote}\r\n]+(?={quote})", t[a:]) if quote in "\"'" else None
             value = m[0] if m else re.sub(rf"[.!?]*[{MARKS}]*\Z", "", found[i + 1][0])
             for p in patterns([norm(x[0]) for x in found[: i + 1]], norm(found[i + 2][0]) if i + 2 < len(found) else None):
-                if value:
-                    here.append((p, value, d, a, a + len(value)))
+                here.append((p, value, d, a, a + len(value)))
     many = {p: len({v for q, v, _ in seeds if q == p}) for p in {s[0] for s in seeds}}
-    kept = {p for p, n in many.items() if n >= personal_data.SUPPORT}
-    here = [x for x in here if x[0] in kept and not any(a < x[4] and x[3] < b for _, a, b in base_of[x[2]])]
+    times = {p: (sum(s[0] == p for s in seeds), sum(x[0] == p for x in here)) for p in many}
+    kept = {p for p, n in many.items() if n >= personal_data.SUPPORT and times[p][0] >= personal_data.START * times[p][1]}
+    here = [x for x in here if x[1] and x[0] in kept and not any(a < x[4] and x[3] < b for _, a, b in base_of[x[2]])]
     edges = {}
     for p, v, kind in [s for s in seeds if s[0] in kept] + [(x[0], x[1], "key" if key.fullmatch(x[1]) else None) for x in here]:
         edges[p, v] = max(filter(None, (edges.get((p, v)), kind)), default=None)
     of = {p: {v: k for (q, v), k in edges.items() if q == p} for p in kept}
-    of = {p: vs for p, vs in of.items() if sum(k is not None for k in vs.values()) >= personal_data.START * len(vs)}
     seed = {}
     for vs in of.values():
         for v, k in vs.items():
