@@ -119,7 +119,8 @@ def as_text(spans: Column) -> Column:
 
 
 def _plain(element: Column) -> Column:
-    return F.lower(F.regexp_replace(element, r"\s+", " "))
+    # white space as one blank; where it is that already nothing is put together anew
+    return F.lower(F.regexp_replace(element, r"\s{2,}|[^\S ]", " "))
 
 
 def _patterns(before: Column, at: Column, after: Column) -> list[Column]:
