@@ -267,15 +267,15 @@ def import_edges(spark, sf_dir):
     return edges.groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-LAST_LINK = "regexp_extract(html, '(?s).*<a href=\"/?([^\"]*)\"', 1)"
+OWNED = "CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey ELSE s_suppkey - s_suppkey % 3 + 1 END"
 
 
-@query("import_resolution_unique", f"SELECT l.name AS target, min(p.page_id) AS page_id FROM (SELECT DISTINCT regexp_extract(target, '([^/]+)$', 1) AS name FROM ({LINKS})) l JOIN (SELECT page_id, {LAST_LINK} AS name FROM pages) p USING (name) GROUP BY l.name HAVING count(DISTINCT page_id) = 1")
+@query("import_resolution_unique", f"SELECT l.name AS target, min(s_suppkey) AS owner FROM (SELECT DISTINCT l_suppkey AS name FROM lineitem) l JOIN (SELECT s_suppkey, {OWNED} AS name FROM supplier) s USING (name) GROUP BY l.name HAVING count(*) = 1")
 def import_resolution_unique(spark, sf_dir):
-    """Link targets that only one page has as its last link."""
-    targets = page_imports(spark, sf_dir).select(F.regexp_extract("target", "([^/]+)$", 1).alias("name"))
-    owners = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '(?s).*<a href="/?([^"]*)"', 1).alias("name"))
-    return report.resolved_once(targets, owners, "page_id").select(F.col("name").alias("target"), "page_id")
+    """Suppliers of lines as names, of which two suppliers of three share one: those that only one supplier owns."""
+    wanted = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("name"))
+    owners = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("owner"), F.expr(OWNED).alias("name"))
+    return report.resolved_once(wanted, owners, "owner").select(F.col("name").alias("target"), "owner")
 
 
 @query("vis_graph_first60", f"SELECT substr(md5(source), 1, 10) AS source, substr(md5(target), 1, 10) AS target FROM (SELECT DISTINCT source, target FROM ({LINKS}) ORDER BY source, target LIMIT 60)")
