@@ -14,7 +14,7 @@ the patterns that it stands in make it.  Only what stands in the place of a sure
 added; a lone value is not, whatever its form.
 
 A pattern takes part if seeds stand in START of its places.  For patterns of one word, which may
-be as common as any word, a bounded sample of documents shows beforehand most that do not: what
+be as common as any word, a sample of an eighth of the documents shows beforehand most that do not: what
 a sample counts is never more than there is.  The others are looked for in the
 texts MOST_KEYS at a time.  The tables that go round have a row for each distinct pattern and
 value; what a third of all rows share is summed before it is shuffled.
@@ -33,8 +33,8 @@ from graphloom.session import stage
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds of a pattern, least score of a pattern, rounds; least share of seeds in a pattern's places.
 SUPPORT, SURE, ROUNDS, START = 5, 0.7, 3, 0.1
-#: Documents of the sample that rules common words out; patterns that are looked for at once; characters around a seed that its contexts lie in.
-SAMPLE, MOST_KEYS, AROUND = 5_000, 10_000, 240
+#: Documents of the sample that rules common words out, at least, and its share of all; patterns that are looked for at once; characters around a seed that its contexts lie in.
+SAMPLE, SHARE, MOST_KEYS, AROUND = 5_000, 1 / 8, 10_000, 240
 
 # The same matches as the plain forms, for any length of text: possessive, as nothing that
 # follows could use what they give back, and tried once for a run of characters, as a run
@@ -199,7 +199,7 @@ def candidates(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> Dat
     graph = stage(each.groupBy("level", "pattern", "word", F.xxhash64("value").alias("value")).agg(F.max("kind").alias("kind"), F.count("*").alias("times")), "seeds")
     enough = graph.groupBy("level", "pattern").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= support)
     # one word: ruled out where a sample already has too many places of it
-    share = min(1.0, SAMPLE / max(1, found.count()))
+    share = min(1.0, max(SHARE, SAMPLE / max(1, found.count())))
     some = _hashed(docs.sample(share, seed=11) if share < 1 else docs)
     single = some.select(F.explode_outer(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0)))).alias("one")).where("one is not null")
     common = single.groupBy(F.xxhash64(F.lit(1), F.col("one")).alias("pattern")).agg(F.count("*").alias("seen"))
