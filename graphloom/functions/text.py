@@ -8,27 +8,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Directories that a scan leaves out.
-IGNORED_DIRS = (
-    "node_modules dist build venv .venv env .env .next .git __pycache__ .pytest_cache .mypy_cache .tox target vendor .idea .vscode coverage .nyc_output"
-).split()
+IGNORED_DIRS = [
+    "node_modules", "dist", "build", "venv", ".venv", "env", ".env", ".next",
+    ".git", "__pycache__", ".pytest_cache", ".mypy_cache", ".tox", "target", "vendor", ".idea",
+    ".vscode", "coverage", ".nyc_output",
+]
 
 # Languages by suffix, and further suffixes that count as code.
-LANGUAGES = {
-    "Python": ".py", "JavaScript": ".js .jsx .mjs .cjs", "TypeScript": ".ts .tsx", "Java": ".java", "Kotlin": ".kt .kts", "Scala": ".scala", "Groovy": ".groovy",
-    "C++": ".cpp .cc .cxx .hpp .hh", "C": ".c .h", "Go": ".go", "Rust": ".rs", "Ruby": ".rb", "PHP": ".php", "Swift": ".swift", "C#": ".cs", "F#": ".fs",
-    "Visual Basic": ".vb", "Vue": ".vue", "Svelte": ".svelte", "Lua": ".lua", "R": ".r", "SQL": ".sql", "Shell": ".sh .bash .zsh", "PowerShell": ".ps1", "Dart": ".dart",
-    "Elixir": ".ex .exs", "Erlang": ".erl .hrl", "Clojure": ".clj .cljs", "Haskell": ".hs", "OCaml": ".ml .mli",
+SUFFIX_LANGUAGE = {
+    ".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".ts": "TypeScript",
+    ".tsx": "TypeScript", ".java": "Java", ".kt": "Kotlin", ".kts": "Kotlin", ".scala": "Scala", ".groovy": "Groovy",
+    ".cpp": "C++", ".cc": "C++", ".cxx": "C++", ".hpp": "C++", ".hh": "C++", ".c": "C",
+    ".h": "C", ".go": "Go", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".swift": "Swift",
+    ".cs": "C#", ".fs": "F#", ".vb": "Visual Basic", ".vue": "Vue", ".svelte": "Svelte", ".lua": "Lua",
+    ".r": "R", ".sql": "SQL", ".sh": "Shell", ".bash": "Shell", ".zsh": "Shell", ".ps1": "PowerShell",
+    ".dart": "Dart", ".ex": "Elixir", ".exs": "Elixir", ".erl": "Erlang", ".hrl": "Erlang", ".clj": "Clojure",
+    ".cljs": "Clojure", ".hs": "Haskell", ".ml": "OCaml", ".mli": "OCaml",
 }
-PLAIN_SUFFIXES = ".toml .yaml .yml .json .md .rst".split()
-SUFFIX_LANGUAGE = {s: name for name, suffixes in LANGUAGES.items() for s in suffixes.split()}
+PLAIN_SUFFIXES = [
+    ".toml", ".yaml", ".yml", ".json", ".md", ".rst",
+]
 CODE_SUFFIXES = sorted({*SUFFIX_LANGUAGE, *PLAIN_SUFFIXES})
 
 # Grammars by suffix, then by language; python when nothing fits.
-GRAMMARS = {
-    "python": ".py", "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts", "tsx": ".tsx", "java": ".java", "go": ".go", "rust": ".rs", "cpp": ".cpp .cc .cxx .hpp",
-    "c": ".c .h", "ruby": ".rb", "php": ".php", "swift": ".swift", "kotlin": ".kt", "scala": ".scala", "c_sharp": ".cs",
+SUFFIX_GRAMMAR = {
+    ".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript",
+    ".tsx": "tsx", ".java": "java", ".go": "go", ".rs": "rust", ".cpp": "cpp", ".cc": "cpp",
+    ".cxx": "cpp", ".hpp": "cpp", ".c": "c", ".h": "c", ".rb": "ruby", ".php": "php",
+    ".swift": "swift", ".kt": "kotlin", ".scala": "scala", ".cs": "c_sharp",
+}
+GRAMMAR_NAMES = {
+    "c++": "cpp", "c#": "c_sharp", "python": "python", "javascript": "javascript", "typescript": "typescript", "java": "java",
+    "go": "go", "rust": "rust", "c": "c", "ruby": "ruby", "php": "php", "kotlin": "kotlin",
+    "scala": "scala",
 }
-GRAMMAR_NAMES = {"c++": "cpp", "c#": "c_sharp"} | {n: n for n in "python javascript typescript java go rust c ruby php kotlin scala".split()}
 
 # Words of questions about structure and about content.
 GRAPH_WORDS = ["call chain", "calls", "dependency", "dependencies", "imports", "extends", "implements", "architecture", "layer", "relationship", "who calls", "what calls"]
@@ -90,8 +103,7 @@ def in_ignored_dir(path: Column) -> Column:
 
 
 def grammar(path: Column, label: Column) -> Column:
-    by_suffix = {s: g for g, suffixes in GRAMMARS.items() for s in suffixes.split()}
-    return F.coalesce(lookup(by_suffix, suffix(path)), lookup(GRAMMAR_NAMES, F.lower(label)), F.lit("python"))
+    return F.coalesce(lookup(SUFFIX_GRAMMAR, suffix(path)), lookup(GRAMMAR_NAMES, F.lower(label)), F.lit("python"))
 
 
 def is_external(module: Column, marker: Column) -> Column:
