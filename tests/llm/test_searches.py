@@ -51,7 +51,7 @@ def test_neighbours_of_a_real_tree(spark):
     x = (centres[rng.integers(0, 300, 50_000)] + 0.35 * rng.normal(size=(50_000, 16))).round(4)
     tree = neighbours.grow(x[:20_000], len(x), 10, 0.97)
     assert tree.leaves > 50 and tree.visits < tree.leaves / 3, (tree.leaves, tree.visits)
-    e = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    e = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
     got = neighbours.search(e, F.col("vec_id") % 100 == 0).collect()
     hit, queries_ = 0, range(0, len(x), 100)
     mine = {}
