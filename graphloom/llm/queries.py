@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, near_duplicates, neighbours, packing, personal_data, quality, sentencepiece_scan, token_files, toxicity, training, url_filter
+from graphloom.llm import fingerprints, near_duplicates, neighbours, packing, personal_data, quality, sentencepiece_scan, token_files, toxicity, training, url_filter, warc
 from graphloom.session import table
 
 QUERIES = {}
@@ -111,3 +111,18 @@ def quality_model(spark, docs, labels):
 def op5_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return _scored(quality.score(docs, quality_model(spark, docs, table(spark, sf_dir, "labels"))), 3, 1)
+
+
+@query(
+    "op11_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages), q AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+    SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to, true AS intact FROM q
+    """,
+)
+def op11_warc(spark, sf_dir):
+    """Also `intact`: whether the payload that was read has the digest that its record states."""
+    folder = warc.archives_folder(spark)
+    archives = warc.write_archives(warc.chunk_table(table(spark, sf_dir, "pages"), "page_id", "url", "html"), folder)
+    return warc.pages_of(warc.read_archives(archives, folder, keep_data=False)).withColumnRenamed("id", "page_id")
