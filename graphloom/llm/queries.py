@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import fingerprints, near_duplicates, neighbours, packing, personal_data, quality, sentencepiece_scan, token_files, toxicity, training, url_filter, warc
+from graphloom.llm import centroids, fingerprints, near_duplicates, neighbours, packing, personal_data, quality, sentencepiece_scan, token_files, toxicity, training, url_filter, warc
 from graphloom.session import table
 
 QUERIES = {}
@@ -126,3 +126,24 @@ def op11_warc(spark, sf_dir):
     folder = warc.archives_folder(spark)
     archives = warc.write_archives(warc.chunk_table(table(spark, sf_dir, "pages"), "page_id", "url", "html"), folder)
     return warc.pages_of(warc.read_archives(archives, folder, keep_data=False)).withColumnRenamed("id", "page_id")
+
+
+def _centroids_sql(rounds: int = 10) -> str:
+    """The rounds one after the other; every sum is a whole number."""
+    steps = [
+        "v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('3:' || CAST(vec_id AS VARCHAR)) AS h, v FROM v ORDER BY h LIMIT 8))",
+    ]
+    for i in range(rounds + 1):
+        apart = f"SELECT vec_id, v.v, c, list_sum(list_transform(list_zip(v.v, c{i}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c{i}"
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, v, CAST(d AS BIGINT) AS distance, c FROM ({apart}) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)")
+        if i < rounds:
+            means = f"SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}) GROUP BY c, i"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(m.v, c{i}.v) AS v FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM ({means}) GROUP BY c) m USING (c))")
+    return f"""WITH {", ".join(steps)} SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+      sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+@query("op13_centroids", _centroids_sql())
+def op13_centroids(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
