@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.llm import centroids, fingerprints, near_duplicates, neighbours, packing, personal_data, quality, sentencepiece_scan, token_files, toxicity, training, url_filter, warc
+from graphloom.llm import centroids, fingerprints, near_duplicates, neighbours, packing, personal_data, prefix_trie, quality, sentencepiece_scan, token_files, toxicity, training, url_filter, warc
 from graphloom.session import table
 
 QUERIES = {}
@@ -147,3 +147,28 @@ def _centroids_sql(rounds: int = 10) -> str:
 @query("op13_centroids", _centroids_sql())
 def op13_centroids(spark, sf_dir):
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+#: crc32 of a text of ASCII characters `x`, before the last complement.
+_CRC = """list_reduce(list_prepend(4294967295, list_transform(range(1, CAST(strlen(x) AS BIGINT) + 1), lambda i: CAST(ord(x[i]) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(0, 8)), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END))"""
+
+
+@query(
+    "op12_prefix_trie",
+    rf"""
+    WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT c, CAST(c AS VARCHAR) AS x, list({{'role': role, 'text': text}} ORDER BY pos) AS turns FROM t GROUP BY c),
+    h AS (SELECT c, turns, xor({_CRC}, 4294967295) % 4 AS h FROM own),
+    r AS (SELECT h.c, list_concat(coalesce(own.turns[1:h.h], []), h.turns[h.h + 1:]) AS turns FROM h LEFT JOIN own ON own.c = h.c - h.c % 20),
+    m AS (SELECT c, d, turns[1:d] AS key, len(turns) AS size FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+    n AS (SELECT key, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE size = d), '')) AS ends_sha256 FROM m GROUP BY key, d),
+    e AS (SELECT n.*, p.conv_id AS parent_conv_id, CASE WHEN n.d > 0 THEN (n.n_convs - 1) * len(regexp_extract_all(n.key[n.d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS own FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]),
+    k AS (SELECT key[1:d - 1] AS key, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+    f AS (SELECT e.*, coalesce(k.n_children, 0) AS n_children FROM e LEFT JOIN k ON k.key = e.key AND k.d = e.d),
+    u AS (SELECT key[1:i] AS key, i AS d, sum(own) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM (SELECT key, own, n_children, unnest(range(0, d + 1)) AS i FROM f) GROUP BY 1, 2)
+    SELECT f.conv_id, f.d AS depth, f.parent_conv_id, f.n_convs, f.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256 FROM f JOIN u ON u.key = f.key AND u.d = f.d
+    """,
+)
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.build(table(spark, sf_dir, "conversations"))
