@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +95,34 @@ def resolve(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     return top_per_key(found, ["ref_id"], [F.col("rank"), F.col("target")]).select("ref_id", "target")
 
 
+def import_aliases(parsed: DataFrame) -> DataFrame:
+    """file, name, module: what names stand for in a file that imports them, and the last part of a module that
+    names are taken from; of several imports of a name the last one counts."""
+    imports = parsed.select("file", F.posexplode("imports").alias("at", "i")).where(F.size("i.names") > 0)
+    bound = F.concat(F.col("i.names"), F.array(F.substring_index("i.module", ".", -1)))
+    rows = imports.select("file", "at", F.col("i.module").alias("module"), F.posexplode(bound).alias("place", "name"))
+    return rows.groupBy("file", "name").agg(F.max_by("module", F.struct("at", "place")).alias("module"))
+
+
+def resolve_targets(refs: DataFrame, symbols: DataFrame, libraries: DataFrame) -> DataFrame:
+    """ref_id, target: what each reference (ref_id, file, receiver, name, module) stands for.
+
+    A method of the class that the receiver names, then any symbol that is called receiver.name, then a symbol of that
+    name, then the library (id, module) that the name comes from.  Every lookup has one row for a key, so a
+    name that very many symbols have makes no more rows than there are references."""
+    s = symbols.select(F.col("id").alias("target"), "qualified", "kind").where("qualified is not null")
+    wanted = refs.where("receiver <> ''").select("ref_id", F.concat_ws(".", "receiver", "name").alias("qualified"))
+    one = lambda rows: top_per_key(rows, ["qualified"], [F.col("target")]).select("qualified", "target")
+    ranks = [
+        wanted.join(one(s.where("kind = 'Method'")), "qualified").select("ref_id", "target", F.lit(1).alias("rank")),
+        wanted.join(one(s), "qualified").select("ref_id", "target", F.lit(2).alias("rank")),
+        resolve(refs.withColumn("receiver", F.lit(None).cast("string")), symbols).select("ref_id", "target", F.lit(3).alias("rank")),
+        refs.where("module is not null").join(libraries.select(F.col("id").alias("target"), "module"), "module").select("ref_id", "target", F.lit(4).alias("rank")),
+    ]
+    found = reduce(DataFrame.unionByName, ranks)
+    return found.groupBy("ref_id").agg(F.min_by("target", F.struct("rank", "target")).alias("target"))
+
+
 def resolve_id(nodes: DataFrame, wanted: str) -> DataFrame:
     """The id of a symbol by name, qualified name or the end of an id, one row at most."""
     rank = F.when(F.col("name") == wanted, 0).when(F.col("id").endswith("::" + wanted), 1)
@@ -106,12 +136,21 @@ def members(owners: DataFrame, parts: DataFrame, owner: str, part: str, most: in
     return owners.select(owner).join(lists, owner, "left").withColumn("members", F.coalesce("members", F.lit("")))
 
 
+def named_tables(sources: DataFrame) -> DataFrame:
+    """file, table: tables that source files (file, content) name."""
+    return sources.select("file", F.explode(F.regexp_extract_all("content", F.lit(r"""__tablename__\s*=\s*['"]([^'"]+)['"]"""), F.lit(1))).alias("table")).distinct()
+
+
+def model_classes(sources: DataFrame) -> DataFrame:
+    """file, name, table: classes of models, with tables called after them that the file does not name itself."""
+    form = r"(?m)class\s+(\w+)\s*\([^)]*(?:Model|Base|SQLModel|Document)[^)]*\)"
+    classes = sources.select("file", F.explode(F.regexp_extract_all("content", F.lit(form), F.lit(1))).alias("name")).distinct()
+    return classes.withColumn("table", T.snake_case(F.col("name"))).join(named_tables(sources), ["file", "table"], "left_anti").select("file", "name", "table")
+
+
 def database_tables(sources: DataFrame) -> DataFrame:
     """file, table: tables that source files (file, content) define, by name or by a model class."""
-    named = sources.select("file", F.explode(F.regexp_extract_all("content", F.lit(r"""__tablename__\s*=\s*['"]([^'"]+)['"]"""), F.lit(1))).alias("table"))
-    form = r"(?m)class\s+(\w+)\s*\([^)]*(?:Model|Base|SQLModel|Document)[^)]*\)"
-    classes = sources.select("file", F.explode(F.regexp_extract_all("content", F.lit(form), F.lit(1))).alias("name"))
-    return named.unionByName(classes.select("file", T.snake_case(F.col("name")).alias("table"))).distinct()
+    return named_tables(sources).unionByName(model_classes(sources).select("file", "table")).distinct()
 
 
 # Forms of code that reads and that writes a database.
@@ -131,7 +170,7 @@ def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame,
     r = F.lit(repo)
     file_id = node_id("File", r, F.col("file"))
     none = F.lit(None).cast("string")
-    shape = lambda id_, label, name, file, qualified, ord_: (id_.alias("id"), F.lit(label).alias("label"), name.alias("name"), file.alias("file"), qualified.alias("qualified"), r.alias("repo_id"), F.lit(ord_).alias("ord"))
+    shape = lambda id_, label, name, file, qualified, ord_: (id_.alias("id"), F.lit(label).alias("label"), name.alias("name"), file.alias("file"), qualified.alias("qualified"), r.alias("repo_id"), F.struct(F.lit(ord_).alias("kind"), file.alias("file")).alias("ord"))
     f = parsed.select("file", F.explode("functions").alias("s"))
     c = parsed.select("file", F.explode("classes").alias("s"))
     m = c.select("file", F.col("s.name").alias("class"), F.explode("s.methods").alias("s"))
@@ -166,23 +205,27 @@ def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame,
     ):
         edges = edges.unionByName(part)
 
-    def resolved(rows: DataFrame, receiver: Column, name: Column, src: Column, kind: Column) -> DataFrame:
-        rows = rows.select("file", receiver.alias("receiver"), name.alias("name"), src.alias("src"), kind.alias("type"))
-        rows = rows.where("name <> ''").distinct().withColumn("ref_id", F.sha2(F.concat_ws("|", "src", "type", F.coalesce("receiver", F.lit("")), "name"), 256))
-        return rows.join(resolve(rows, symbols), "ref_id").select("src", "type", F.col("target").alias("dst"))
+    libraries = nodes.where("label = 'ExternalLibrary'").select("id", F.col("name").alias("module"))
+
+    def resolved(rows: DataFrame, receiver: Column, name: Column, src: Column, kind: str, module: Column = none) -> DataFrame:
+        rows = rows.select("file", receiver.alias("receiver"), name.alias("name"), src.alias("src"), F.lit(kind).alias("type"), module.alias("module"))
+        rows = rows.where("name <> ''").distinct().withColumn("ref_id", F.sha2(F.to_json(F.struct("src", "type", "receiver", "name", "module")), 256))
+        return rows.join(resolve_targets(rows, symbols, libraries), "ref_id").select("src", "type", F.col("target").alias("dst"))
 
     bases = c.select("file", "s", F.explode("s.bases").alias("base"))
     interfaces = c.select("file", "s", F.explode("s.implements").alias("base"))
-    inner = i.where("not s.is_external").select("file", F.explode("s.names").alias("name"))
+    inner = i.where("not s.is_external").select("file", F.explode("s.names").alias("name"), F.col("s.module").alias("module"))
     calls = parsed.select("file", F.explode("calls").alias("s"))
     callers = calls.select("file", F.col("s.caller").alias("name"), none.alias("receiver")).distinct().withColumn("ref_id", F.concat_ws("|", "file", "name"))
     callers = callers.join(resolve(callers, symbols), "ref_id").join(symbols.select(F.col("id").alias("target"), F.col("file").alias("at")), "target").where("file = at").select("file", F.col("name").alias("caller"), F.col("target").alias("src"))
-    called = calls.withColumn("caller", F.col("s.caller")).join(callers, ["file", "caller"]).select("file", "s", "src")
+    called = calls.withColumn("caller", F.col("s.caller")).withColumn("name", F.col("s.callee")).join(callers, ["file", "caller"]).join(import_aliases(parsed), ["file", "name"], "left")
     receiver = F.when(F.col("s.receiver").isin("self", "this", "cls"), none).otherwise(F.col("s.receiver"))
+    models = model_classes(sources)
     for part in (
-        resolved(bases, none, F.col("base"), class_id, F.lit("EXTENDS")), resolved(interfaces, none, F.col("base"), class_id, F.lit("IMPLEMENTS")),
-        resolved(inner, none, F.col("name"), file_id, F.lit("IMPORTS")), resolved(e, none, F.col("s.handler"), endpoint_id, F.lit("CALLS")),
-        resolved(called, receiver, F.col("s.callee"), F.col("src"), F.lit("CALLS")),
+        resolved(bases, none, F.col("base"), class_id, "EXTENDS"), resolved(interfaces, none, F.col("base"), class_id, "IMPLEMENTS"),
+        resolved(inner, none, F.col("name"), file_id, "IMPORTS", F.col("module")), resolved(e, none, F.col("s.handler"), endpoint_id, "CALLS"),
+        resolved(called, receiver, F.col("name"), F.col("src"), "CALLS", F.col("module")),
+        edge(models, node_id("Class", r, F.col("file"), F.col("name")), "WRITES_TO", node_id("DatabaseTable", F.col("table"))),
     ):
         edges = edges.unionByName(part)
     bodies = f.select("file", function_id.alias("id"), "s.start_line", "s.end_line").unionByName(m.select("file", method_id.alias("id"), "s.start_line", "s.end_line"))

@@ -122,31 +122,100 @@ def code_chunks(spark, sf_dir):
     return chunks.semantic_chunks(parsed, sources(parsed)).select("file", "kind", "symbol", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
+def linked_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The same files with imported names, receivers, bases, interfaces and tables; and their sources.
+
+    Two imports bind a name, of which the later one counts; every fourth call goes to a method of a class, every
+    fourth to an imported name, every fourth has itself as the receiver."""
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    key = F.col("o_orderkey")
+    ten = key - key % 10
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("src/p"), F.substring("o_orderpriority", 1, 1), F.lit("/o"), key.cast("string"), F.lit(".py")).alias("file"), "o_orderkey", F.col("o_custkey").alias("cust"))
+    calls = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(
+        text("part_", F.col("l_partkey") % 97).alias("caller"),
+        F.when(F.col("l_suppkey") % 4 == 0, text("m_", F.col("l_suppkey") % 13)).when(F.col("l_suppkey") % 4 == 1, text("ext_", F.col("l_suppkey") % 50)).otherwise(text("part_", F.col("l_suppkey") % 97)).alias("callee"),
+        F.when(F.col("l_suppkey") % 4 == 0, text("C", F.col("l_orderkey") - F.col("l_orderkey") % 10)).when(F.col("l_suppkey") % 4 == 2, "self").alias("receiver"),
+    )).alias("linked")).withColumnRenamed("l_orderkey", "o_orderkey")
+    names = lambda *x: F.array(*x).cast("array<string>")
+    name = lambda n: text("ext_", n % 50)
+    module = lambda m, n, e: F.struct(m.alias("module"), n.alias("names"), F.lit(e).alias("is_external"))
+    imports = F.array(
+        module(text("lib", F.col("cust") % 50, ".api"), names(name(F.col("cust")), name(F.col("cust") + 1)), True), module(text("lib", F.col("cust") % 20, ".core"), names(name(F.col("cust"))), True),
+        module(text("src.p1.o", key + 1), names(text("C", ten), F.lit("nosuch")), False), module(text("lib", (F.col("cust") + 3) % 50, ".api"), names(F.lit("nothing")), False),
+    )
+    parsed = parsed_orders(spark, sf_dir).join(orders, "file").join(calls, "o_orderkey")
+    with_bases = F.transform("classes", lambda c: c.withField("bases", names(text("C", key - 10), F.lit("Outer"))).withField("implements", names(text("C", key - 20))))
+    parsed = stage(parsed.withColumn("imports", imports).withColumn("classes", with_bases).withColumn("calls", F.col("linked")).drop("linked"), "linked")
+    tab = text("tab_", key % 30)
+    line = (
+        lambda i: F.when((i == 1) & (key % 10 == 0), text("class C", key, "(Base):"))
+        .when((i == 2) & (key % 20 == 0), text('__tablename__ = "', tab, '"'))
+        .when((i == 4) & (key % 10 == 0), text("self.save(C", key, ", ", tab, ")"))
+        .when((i % 20 == 0) & (key % 20 == 0), text("db.query(", tab, ")"))
+        .when((i % 10 == 0) & (key % 20 == 0), text("db.add(", tab, ")"))
+        .otherwise(text("x = ", i))
+    )
+    content = F.array_join(F.transform(F.sequence(F.lit(1), F.col("metadata.lines")), line), "\n")
+    return parsed.drop("o_orderkey", "cust"), parsed.select("file", content.alias("content"))
+
+
+#: Symbols, tables and libraries of the linked files.
+LINKED = (
+    SQL
+    + """
+    , g AS (SELECT DISTINCT file, name, 'Function::r::' || file || '::' || name AS id FROM f),
+    c AS (SELECT file, class, 'Class::r::' || file || '::' || class AS id FROM m), d AS (SELECT file, class, name, 'Method::r::' || file || '::' || class || '::' || name AS id FROM m),
+    sym AS (SELECT id, name, name AS qualified, file, 'Function' AS kind FROM g UNION ALL SELECT id, class, class, file, 'Class' FROM c UNION ALL SELECT id, name, class || '.' || name, file, 'Method' FROM d),
+    libs AS (SELECT DISTINCT 'lib' || CAST(o_custkey % 50 AS VARCHAR) || '.api' AS module FROM p UNION SELECT DISTINCT 'lib' || CAST(o_custkey % 20 AS VARCHAR) || '.core' FROM p),
+    tabs AS (SELECT file, 'tab_' || CAST(k % 30 AS VARCHAR) AS t FROM p WHERE k % 20 = 0 AND lines >= 2 UNION ALL SELECT file, 'c' || CAST(k AS VARCHAR) FROM p WHERE k % 10 = 0)
+"""
+)
+
+
 @query(
     "graph_build_nodes",
-    SQL
+    LINKED
     + """
-    SELECT label, count(*) AS n FROM (SELECT DISTINCT 'Repository' AS label, 'r' AS id UNION ALL SELECT 'File', file FROM p UNION ALL SELECT DISTINCT 'Function', file || '::' || name FROM f UNION ALL SELECT 'Class', class FROM m
-      UNION ALL SELECT 'Method', class FROM m UNION ALL SELECT 'ApiEndpoint', file FROM p WHERE k % 7 = 0 UNION ALL SELECT DISTINCT 'ExternalLibrary', CAST(o_custkey % 50 AS VARCHAR) FROM p) GROUP BY label
+    SELECT 'Repository::r' AS id, 'Repository' AS label, 'r' AS name, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS qualified, 'r' AS repo_id
+    UNION ALL SELECT 'File::r::' || file, 'File', NULL, file, NULL, 'r' FROM p UNION ALL SELECT id, kind, name, file, qualified, 'r' FROM sym
+    UNION ALL SELECT 'ApiEndpoint::r::GET::/r' || CAST(k AS VARCHAR), 'ApiEndpoint', NULL, file, NULL, 'r' FROM p WHERE k % 7 = 0
+    UNION ALL SELECT 'DatabaseTable::' || t, 'DatabaseTable', t, max(file), NULL, 'r' FROM tabs GROUP BY t UNION ALL SELECT 'ExternalLibrary::' || module, 'ExternalLibrary', module, NULL, NULL, NULL FROM libs
     """,
 )
 def graph_build_nodes(spark, sf_dir):
-    parsed = stage(parsed_orders(spark, sf_dir), "parsed")
-    return graph.label_counts(graph.build(parsed, sources(parsed), "r")[0])
+    return graph.build(*linked_orders(spark, sf_dir), "r")[0]
 
 
 @query(
     "graph_build_edges",
-    SQL
+    LINKED
     + """
-    , g AS (SELECT DISTINCT file, name, 'Function::r::' || file || '::' || name AS id FROM f), any_ AS (SELECT name, min(id) AS id FROM g GROUP BY name),
-    w AS (SELECT DISTINCT file, 'ApiEndpoint::r::GET::/r' || CAST(k AS VARCHAR) AS src, 'part_' || CAST(k % 97 AS VARCHAR) AS name FROM p WHERE k % 7 = 0 UNION SELECT file, 'Function::r::' || file || '::' || name, callee FROM f)
-    SELECT 'Repository::r' AS src, 'DEFINES' AS type, 'File::r::' || file AS dst FROM p UNION ALL SELECT 'File::r::' || file, 'DEFINES', id FROM g
-    UNION ALL SELECT 'File::r::' || file, 'DEFINES', 'Class::r::' || file || '::' || class FROM m UNION ALL SELECT 'Class::r::' || file || '::' || class, 'DEFINES', 'Method::r::' || file || '::' || class || '::' || name FROM m
-    UNION ALL SELECT 'File::r::' || file, 'DEFINES', 'ApiEndpoint::r::GET::/r' || CAST(k AS VARCHAR) FROM p WHERE k % 7 = 0 UNION ALL SELECT 'File::r::' || file, 'IMPORTS', 'ExternalLibrary::lib' || CAST(o_custkey % 50 AS VARCHAR) || '.api' FROM p
-    UNION ALL SELECT DISTINCT w.src, 'CALLS', coalesce(g.id, any_.id) FROM w LEFT JOIN g ON g.file = w.file AND g.name = w.name JOIN any_ ON any_.name = w.name
+    , lined AS (SELECT l_orderkey AS k, p.file, o_custkey, 'part_' || CAST(l_partkey % 97 AS VARCHAR) AS caller, l_suppkey % 4 AS w, l_suppkey AS n FROM lineitem JOIN p ON p.k = l_orderkey),
+    ali AS (SELECT file, 'ext_' || CAST(o_custkey % 50 AS VARCHAR) AS name, 'lib' || CAST(o_custkey % 20 AS VARCHAR) || '.core' AS module FROM p UNION ALL SELECT file, 'ext_' || CAST((o_custkey + 1) % 50 AS VARCHAR), 'lib' || CAST(o_custkey % 50 AS VARCHAR) || '.api' FROM p),
+    refs AS (
+      SELECT 'Function::r::' || file || '::' || caller AS src, 'CALLS' AS type, file, CASE w WHEN 0 THEN 'C' || CAST(k - k % 10 AS VARCHAR) END AS receiver,
+        CASE w WHEN 0 THEN 'm_' || CAST(n % 13 AS VARCHAR) WHEN 1 THEN 'ext_' || CAST(n % 50 AS VARCHAR) ELSE 'part_' || CAST(n % 97 AS VARCHAR) END AS name FROM lined
+      UNION SELECT 'ApiEndpoint::r::GET::/r' || CAST(k AS VARCHAR), 'CALLS', file, NULL, 'part_' || CAST(k % 97 AS VARCHAR) FROM p WHERE k % 7 = 0
+      UNION SELECT 'Class::r::' || file || '::C' || CAST(k AS VARCHAR), 'EXTENDS', file, NULL, 'C' || CAST(k - 10 AS VARCHAR) FROM p WHERE k % 10 = 0
+      UNION SELECT 'Class::r::' || file || '::C' || CAST(k AS VARCHAR), 'IMPLEMENTS', file, NULL, 'C' || CAST(k - 20 AS VARCHAR) FROM p WHERE k % 10 = 0
+      UNION SELECT 'File::r::' || file, 'IMPORTS', file, NULL, 'C' || CAST(k - k % 10 AS VARCHAR) FROM p),
+    found AS (SELECT DISTINCT refs.src, refs.type, coalesce(q.id, h.id, a.id, CASE WHEN refs.type = 'CALLS' THEN 'ExternalLibrary::' || ali.module END) AS dst FROM refs
+      LEFT JOIN (SELECT qualified, min(id) AS id FROM sym GROUP BY 1) q ON q.qualified = refs.receiver || '.' || refs.name
+      LEFT JOIN (SELECT file, name, arg_min(id, (CASE kind WHEN 'Method' THEN 0 ELSE 1 END, id)) AS id FROM sym GROUP BY 1, 2) h ON h.file = refs.file AND h.name = refs.name
+      LEFT JOIN (SELECT name, arg_min(id, (CASE kind WHEN 'Method' THEN 0 ELSE 1 END, id)) AS id FROM sym GROUP BY 1) a ON a.name = refs.name
+      LEFT JOIN ali ON ali.file = refs.file AND ali.name = refs.name),
+    body AS (SELECT f.file, 'Function::r::' || f.file || '::' || f.name AS id, unnest(generate_series(a, b)) AS i FROM f WHERE EXISTS (SELECT 1 FROM p WHERE p.file = f.file AND k % 20 = 0)),
+    acc AS (SELECT body.id, CASE WHEN i % 20 = 0 THEN 'READS_FROM' ELSE 'WRITES_TO' END AS type, 'DatabaseTable::tab_' || CAST(k % 30 AS VARCHAR) AS dst FROM body JOIN p ON p.file = body.file WHERE i % 10 = 0 AND i <= lines
+      UNION SELECT d.id, 'WRITES_TO', 'DatabaseTable::' || t FROM d JOIN p ON p.file = d.file JOIN tabs ON tabs.file = d.file WHERE lines >= 4
+      UNION SELECT c.id, 'WRITES_TO', 'DatabaseTable::c' || CAST(k AS VARCHAR) FROM c JOIN p ON p.file = c.file)
+    SELECT 'Repository::r' AS src, 'DEFINES' AS type, 'File::r::' || file AS dst FROM p UNION ALL SELECT 'File::r::' || file, 'DEFINES', id FROM g UNION ALL SELECT 'File::r::' || file, 'DEFINES', id FROM c
+    UNION ALL SELECT 'Class::r::' || file || '::' || class, 'DEFINES', id FROM d UNION ALL SELECT 'File::r::' || file, 'DEFINES', 'ApiEndpoint::r::GET::/r' || CAST(k AS VARCHAR) FROM p WHERE k % 7 = 0
+    UNION ALL SELECT 'File::r::' || file, 'DEFINES', 'DatabaseTable::' || t FROM tabs
+    UNION ALL SELECT DISTINCT * FROM (SELECT 'File::r::' || file, 'IMPORTS', 'ExternalLibrary::lib' || CAST(unnest([o_custkey % 50, (o_custkey + 3) % 50]) AS VARCHAR) || '.api' FROM p
+      UNION ALL SELECT 'File::r::' || file, 'IMPORTS', 'ExternalLibrary::lib' || CAST(o_custkey % 20 AS VARCHAR) || '.core' FROM p) t(src, type, dst) WHERE replace(dst, 'ExternalLibrary::', '') IN (SELECT module FROM libs)
+    UNION ALL SELECT * FROM found WHERE dst IS NOT NULL UNION ALL SELECT * FROM acc
     """,
 )
 def graph_build_edges(spark, sf_dir):
-    parsed = stage(parsed_orders(spark, sf_dir), "parsed")
-    return graph.build(parsed, sources(parsed), "r")[1]
+    """All kinds of edges: names of classes and their methods, of imports and of libraries, tables by file."""
+    return graph.build(*linked_orders(spark, sf_dir), "r")[1]

@@ -254,3 +254,25 @@ def test_assistant(spark, tree, parsed):
     assert hits and all(0 <= h.score <= 1 for h in hits)
     for tool, run in assistant.TOOLS.items():
         assert set(assistant.HIT) <= set(run(index, "bug in load", ["read_order"]).columns), tool
+
+
+def test_aliases_and_targets(spark):
+    """The last import of a name counts; a method of the receiver's class comes before a symbol of the whole name, a name and a library."""
+    one = lambda module, *names: {"module": module, "names": list(names), "is_external": True}
+    parsed = spark.createDataFrame([("a.py", [one("x.y", "f", "g"), one("z", "f"), one("w.f", "h"), one("plain")]), ("b.py", []), ("c.py", None)], "file string, imports array<struct<module:string,names:array<string>,is_external:boolean>>")
+    aliases = {(r.file, r.name): r.module for r in graph.import_aliases(parsed).collect()}
+    assert aliases == {("a.py", "f"): "w.f", ("a.py", "g"): "x.y", ("a.py", "y"): "x.y", ("a.py", "z"): "z", ("a.py", "h"): "w.f"}
+    symbols = [("m1", "run", "Job.run", "j.py", "Method"), ("m2", "run", "Task.run", "a.py", "Method"), ("f1", "run", "run", "b.py", "Function"), ("q1", "run", "Job.run", "a.py", "Function"), ("q2", "go", "pkg.go", "b.py", "Function")]
+    symbols = spark.createDataFrame(symbols, "id string, name string, qualified string, file string, kind string")
+    refs = [(1, "b.py", "Job", "run", "z"), (2, "b.py", "pkg", "go", None), (3, "b.py", "unknown", "run", "z"), (4, "q.py", None, "run", None), (5, "q.py", None, "f", "w.f"), (6, "q.py", "", "f", "not known"), (7, "q.py", None, None, None)]
+    refs = spark.createDataFrame(refs, "ref_id long, file string, receiver string, name string, module string")
+    libraries = spark.createDataFrame([("lib:w.f", "w.f"), ("lib:z", "z")], "id string, module string")
+    got = {r.ref_id: r.target for r in graph.resolve_targets(refs, symbols, libraries).collect()}
+    assert got == {1: "m1", 2: "q2", 3: "f1", 4: "m1", 5: "lib:w.f"}
+
+
+def test_model_classes(spark):
+    """A model class writes to the table that is called after it, unless the file names this table itself."""
+    sources = spark.createDataFrame([("a.py", "class BigOrder(Base):\n  pass\nclass Item(Model):\n  __tablename__ = 'item'\n"), ("b.py", ""), ("c.py", None)], "file string, content string")
+    assert [tuple(r) for r in graph.model_classes(sources).collect()] == [("a.py", "BigOrder", "big_order")]
+    assert {tuple(r) for r in graph.database_tables(sources).collect()} == {("a.py", "big_order"), ("a.py", "item")}
