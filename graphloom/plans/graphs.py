@@ -84,6 +84,22 @@ def dependencies_of_regions(spark, sf_dir):
     return paths.dependencies(star_edges(spark, sf_dir), seeds, 3)
 
 
+@query(
+    "dependency_distances",
+    f"""
+    WITH RECURSIVE e AS ({STAR_EDGES} UNION ALL SELECT 'Customer::' || o_custkey, 'CALLS', 'Order::' || o_orderkey FROM orders UNION ALL SELECT 'Order::' || o_orderkey, 'CALLS', 'Customer::' || o_custkey FROM orders),
+    t AS (SELECT 'Region::' || r_regionkey AS seed, 'Region::' || r_regionkey AS node, 0 AS depth FROM region UNION SELECT t.seed, e.dst, t.depth + 1 FROM t JOIN e ON e.src = t.node WHERE t.depth < 6)
+    SELECT seed, node, CAST(min(depth) AS INTEGER) AS depth FROM t GROUP BY seed, node
+    """,
+)
+def dependency_distances(spark, sf_dir):
+    """How far orders, customers and suppliers are from regions; orders lead back to customers."""
+    edges = star_edges(spark, sf_dir, orders=True)
+    back = edges.where("dst like 'Order::%'").select(F.col("dst").alias("src"), "type", F.col("src").alias("dst"))
+    seeds = table(spark, sf_dir, "region").select(graph.node_id("Region", F.col("r_regionkey")).alias("id"))
+    return paths.distances(edges.unionByName(back), seeds, 6)
+
+
 @query("request_flow", TRAILS.format(depth=CHAIN) + "SELECT seed, depth, nodes FROM (SELECT seed, depth, path AS nodes, row_number() OVER (PARTITION BY seed ORDER BY depth DESC, path) AS n FROM t) WHERE n <= 2")
 def request_flow(spark, sf_dir):
     """The two longest chains of each start."""
