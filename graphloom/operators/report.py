@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as T
@@ -39,12 +39,19 @@ def duplicates(symbols: DataFrame, least_lines: int = 4) -> DataFrame:
     return sizes.join(first, "fingerprint").withColumn("similarity", 0.72 + F.least(F.lit(0.25), 0.03 * F.col("size"))).orderBy(F.desc("size"), "fingerprint")
 
 
-def resolved_once(wanted: DataFrame, owners: DataFrame, owner: str, keys: list[str] | None = None, test: Column | None = None) -> DataFrame:
-    """The rows of `wanted`, distinct, whose keys exactly one owner has, with this owner; the last key is a column of `owners`."""
+def resolved_once(wanted: DataFrame, owners: DataFrame, owner: str, keys: list[str] | None = None, but: str | None = None) -> DataFrame:
+    """The rows of `wanted`, distinct, whose keys exactly one owner has (without what `but`, one of the keys, names), with this owner.
+
+    The last key is a column of `owners`.  Of the owners of a key their number, the first and the last are enough, so
+    the join gives no more rows than are wanted, however many owners a key has."""
     keys = keys or ["name"]
-    met = wanted.select(*keys).distinct().join(owners.select(keys[-1], owner).distinct(), keys[-1])
-    met = met if test is None else met.where(test)
-    return met.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(owner).alias(owner)).where("_n = 1").drop("_n")
+    ends = owners.select(keys[-1], owner).distinct().groupBy(keys[-1]).agg(F.count("*").alias("_n"), F.min(owner).alias("_a"), F.max(owner).alias("_b")).where("_n <= 2")
+    met = wanted.select(*keys).distinct().join(ends, keys[-1])
+    one = F.when(F.col("_n") == 1, F.col("_a"))
+    if but:
+        mine = F.col(but)
+        one = F.when((F.col("_n") == 1) & ~F.col("_a").eqNullSafe(mine), F.col("_a")).when((F.col("_n") == 2) & (F.col("_a") == mine), F.col("_b")).when((F.col("_n") == 2) & (F.col("_b") == mine), F.col("_a"))
+    return met.select(*keys, one.alias(owner)).where(F.col(owner).isNotNull())
 
 
 def import_edges(parsed: DataFrame) -> DataFrame:
@@ -58,7 +65,7 @@ def import_edges(parsed: DataFrame) -> DataFrame:
     # every end of a path is a key, so the suffix match is an equi-join
     ends = parsed.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "/"))).alias("key"))
     wanted = rows.where("not is_external").select(F.col("file").alias("source"), F.regexp_replace(F.replace(F.regexp_replace("module", r"^[./]+", ""), F.lit("."), F.lit("/")), "/$", "").alias("key")).where("key <> ''").distinct()
-    inside = resolved_once(wanted, ends, "file", ["source", "key"], F.col("source") != F.col("file")).withColumnRenamed("file", "target")
+    inside = resolved_once(wanted, ends, "file", ["source", "key"], "source").withColumnRenamed("file", "target")
     return outside.unionByName(inside.select("source", "target")).distinct()
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from graphloom.plans import analytics, chunking, code, graphs, retrieval, streams
+from graphloom.plans import analytics, chunking, code, graphs, retrieval, stores, streams
 
 QUERIES, ORACLES = {}, {}
-for _part in (analytics, chunking, code, graphs, retrieval, streams):
+for _part in (analytics, chunking, code, graphs, retrieval, stores, streams):
     QUERIES |= _part.registry.queries
     ORACLES |= _part.registry.oracles

@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from graphloom.functions import text as T
 from graphloom.operators import diagrams, graph, paths, ranking, report
 from graphloom.plans.registry import Registry
-from graphloom.session import table
+from graphloom.session import stage, table
 
 registry = query = Registry()
 
@@ -60,13 +60,13 @@ def graph_stats(spark, sf_dir):
 
 @query("find_dependencies", TRAILS.format(depth=3) + "SELECT DISTINCT seed, node, depth, 'CALLS' AS first_type FROM t")
 def find_dependencies(spark, sf_dir):
-    edges = event_edges(spark, sf_dir)
+    edges = stage(event_edges(spark, sf_dir), "events")
     return paths.dependencies(edges, edges.select(F.col("src").alias("id")).distinct(), 3)
 
 
 @query("call_chain", TRAILS.format(depth=CHAIN) + "SELECT seed, depth, path AS nodes FROM t")
 def call_chain(spark, sf_dir):
-    edges = event_edges(spark, sf_dir)
+    edges = stage(event_edges(spark, sf_dir), "events")
     chains = paths.call_chains(edges, edges.select(F.col("src").alias("id")).distinct(), CHAIN)
     return chains.select("seed", "depth", F.array_join("nodes", ">").alias("nodes"))
 
