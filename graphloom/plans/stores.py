@@ -12,6 +12,7 @@ from graphloom.operators import graph, vectors
 from graphloom.plans.registry import Registry
 from graphloom.session import shared_dir, table
 from graphloom.sources import stores
+from graphloom.streaming import indexing, jobs
 
 registry = query = Registry()
 
@@ -107,3 +108,63 @@ def cache_by_prefix(spark, sf_dir):
     cache.delete_prefix("BUILDING:1", at(2))
     cache.compact(at(10))
     return cache.living(at(10)).select("key", "value")
+
+
+def _stream(spark, sf_dir, name: str) -> DataFrame:
+    path = f"{sf_dir}/{name}.parquet"
+    # a pattern: a streamed path is a folder or a pattern, and the table may be one file
+    return jobs.read(spark, path + "*", spark.read.parquet(path).schema)
+
+
+def _embedder(weak: bool):
+    """Counts of letters; while it is `weak` it does not take a text whose length is a multiple of 211."""
+
+    def embed(texts: list[str]) -> list[list[float]]:
+        if weak and any(len(t) % 211 == 0 for t in texts):
+            raise ValueError("no answer")
+        return [[float(len(t)), float(t.count("e")), float(t.count("a"))] for t in texts]
+
+    return embed
+
+
+@query(
+    "index_in_batches",
+    """
+    WITH d AS (SELECT doc_id // 64 AS batch, count(*) AS n, bool_or(length(coalesce(text, '')) % 211 = 0) AS fails, sum(length(coalesce(text, ''))) AS chars FROM documents GROUP BY 1)
+    SELECT CAST(batch AS BIGINT) AS batch, n AS first_chunks, CASE WHEN fails THEN n ELSE 0 END AS first_failed, CASE WHEN fails THEN n ELSE 0 END AS second_chunks, CAST(0 AS BIGINT) AS second_failed, n AS indexed, CAST(chars AS DOUBLE) AS chars FROM d
+    """,
+)
+def index_in_batches(spark, sf_dir):
+    """Documents in batches of 64: some batches fail at first, and a second run does only those."""
+    folder = _folder(spark, "batches")
+    chunks = _stream(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.floor(F.col("doc_id") / 64).alias("batch"), F.col("text").alias("document"))
+    for run, weak in ((1, True), (2, False)):
+        indexing.index(chunks, _embedder(weak), folder, f"{folder}/checkpoint-{run}", run).awaitTermination()
+    told = indexing.manifest(spark, folder).withColumn("run", F.substring("part", 1, 6).cast("int"))
+    sums = [F.coalesce(F.sum(F.when(F.col("run") == i, F.col(c))), F.lit(0)).cast("long").alias(f"{name}_{c}") for i, name in ((1, "first"), (2, "second")) for c in ("chunks", "failed")]
+    done = indexing.vectors(spark, folder).groupBy("batch").agg(F.count("*").alias("indexed"), F.sum(F.col("vector")[0]).alias("chars"))
+    return told.groupBy("batch").agg(*sums).join(done, "batch", "left")
+
+
+_JOB_STAGE = "CASE WHEN event_id % 11 = 0 THEN 'completed' WHEN event_type = 'view' THEN 'cloning' WHEN event_type = 'click' THEN 'parsing' WHEN event_type = 'purchase' THEN 'embedding' END"
+
+
+@query(
+    "job_snapshots",
+    f"""
+    WITH u AS (SELECT CAST(user_id AS VARCHAR) AS job_id, event_id, ts, {_JOB_STAGE} AS stage, CASE WHEN event_id % 4 = 0 THEN event_id % 120 END AS given, CASE WHEN event_id % 3 = 0 THEN 'm' || event_id END AS message FROM events),
+    k AS (SELECT u.*, coalesce(given, CASE stage WHEN 'completed' THEN 100 WHEN 'cloning' THEN 20 WHEN 'parsing' THEN 50 WHEN 'embedding' THEN 90 END) AS p FROM u LEFT JOIN (SELECT job_id, min(event_id) AS e FROM u WHERE stage = 'completed' GROUP BY 1) f USING (job_id) WHERE e IS NULL OR event_id <= e)
+    SELECT job_id, arg_max(stage, event_id) AS stage, CAST(least(100, coalesce(arg_max(p, event_id), 0)) AS INTEGER) AS progress, arg_max(message, event_id) AS message, count(*) AS updates, max(ts) AS updated_at FROM k GROUP BY job_id
+    """,
+)
+def job_snapshots(spark, sf_dir):
+    """The fold of all updates, in two runs over two halves, from the snapshots of the first one on."""
+    folder = _folder(spark, "jobs")
+    half = table(spark, sf_dir, "events").agg((F.max("event_id") / 2).cast("long")).first()[0] or 0
+    rows = _stream(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.col("event_id").alias("ord"), F.expr(_JOB_STAGE).alias("stage"), F.when(F.col("event_id") % 4 == 0, F.col("event_id") % 120).cast("int").alias("progress"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("m"), F.col("event_id").cast("string"))).alias("message"), F.col("ts").cast("timestamp").alias("at"),
+    )
+    for run, part in ((1, rows.where(F.col("ord") <= half)), (2, rows.where(F.col("ord") > half))):
+        jobs.save_snapshots(part, f"{folder}/snapshots", f"{folder}/checkpoint-{run}", run).awaitTermination()
+    return jobs.load_snapshots(spark, f"{folder}/snapshots").withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))

@@ -36,22 +36,12 @@ def read(spark: SparkSession, path: str, schema, files_per_batch: int | None = N
     return reader.parquet(path)
 
 
-def finished(stream: DataFrame, mode: str = "append") -> DataFrame:
+def finished(stream: DataFrame) -> DataFrame:
     """The rows of a stream over all input that is there now, as a table in the shared folder."""
     spark = stream.sparkSession
     where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{where}/rows")
-
-    # every micro-batch in complete mode has all rows: the last one counts
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/rows/{number:09d}")
-        last.append(number)
-
-    last: list[int] = []
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{where}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{where}/rows/{last[-1]:09d}") if last else spark.createDataFrame([], stream.schema)
+    stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/rows")
 
 
 def ended(events: DataFrame, time: str, at) -> DataFrame:
@@ -120,10 +110,69 @@ def job_states(updates: DataFrame, time: str = "at", kept: str = "1 day") -> Dat
 
 
 def latest_job(memory: DataFrame, stored: DataFrame) -> DataFrame:
-    """For each job the newer of two snapshots (job_id, updated_at, stage, ...); the one in memory at a tie."""
-    rows = memory.withColumn("_s", F.lit(1)).unionByName(stored.withColumn("_s", F.lit(0)))
+    """For each job one of two snapshots (job_id, updated_at, stage, ...): the stored one where it is as new or newer, or
+    where the one in memory has not finished and is at another stage; else the one in memory."""
     rest = [c for c in memory.columns if c != "job_id"]
-    return rows.groupBy("job_id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", "_s")).alias("j")).select("job_id", "j.*")
+    both = memory.select("job_id", F.struct(*rest).alias("m")).join(stored.select("job_id", F.struct(*rest).alias("s")), "job_id", "full_outer")
+    newer = F.col("s.updated_at") >= F.col("m.updated_at")
+    behind = ~F.col("m.stage").isin(*LAST_STAGES) & (F.col("s.stage") != F.col("m.stage"))
+    taken = F.when(F.col("m").isNull() | F.coalesce(newer, F.lit(False)) | F.coalesce(behind, F.lit(False)), F.coalesce("s", "m")).otherwise(F.col("m"))
+    return both.select("job_id", taken.alias("j")).select("job_id", "j.*")
+
+
+SNAPSHOT = "job_id string, stage string, progress int, message string, updates long, updated_at timestamp"
+
+
+def fold_jobs(updates: DataFrame, before: DataFrame) -> DataFrame:
+    """The snapshots of the jobs in `updates` (job_id, ord, stage, progress, message, at) on top of those in `before`.
+
+    What an update leaves out stays; progress is what was last given or what the last stage stands for.  Behind the
+    update that finishes a job, in this or an earlier run, nothing counts.  Two runs over two parts of the updates
+    give what one run over all gives, if no update of the second part is ordered before one of the first."""
+    ends = updates.where(F.col("stage").isin(*LAST_STAGES)).groupBy("job_id").agg(F.min("ord").alias("end"))
+    kept = updates.join(ends, "job_id", "left").where(F.col("end").isNull() | (F.col("ord") <= F.col("end")))
+    own = F.coalesce("progress", *(F.when(F.col("stage") == s, F.lit(p)) for s, p in STAGES.items()))
+    last = lambda value: F.max_by(value, F.when(value.isNotNull(), F.col("ord")))
+    new = kept.groupBy("job_id").agg(last(F.col("stage")).alias("stage"), last(own).alias("progress"), last(F.col("message")).alias("message"), F.count("*").alias("updates"), F.max("at").alias("updated_at"))
+    old = before.select("job_id", F.struct("stage", "progress", "message", "updates", "updated_at").alias("o"))
+    met = new.join(old, "job_id", "left")
+    done = F.coalesce(F.col("o.stage").isin(*LAST_STAGES), F.lit(False))
+    pick = lambda c: F.when(done, F.col(f"o.{c}")).otherwise(F.coalesce(c, f"o.{c}"))
+    return met.select(
+        "job_id", pick("stage").alias("stage"), F.greatest(F.lit(0), F.least(F.lit(100), F.coalesce(pick("progress"), F.lit(0)))).cast("int").alias("progress"), pick("message").alias("message"),
+        F.when(done, F.col("o.updates")).otherwise(F.col("updates") + F.coalesce("o.updates", F.lit(0))).alias("updates"), F.when(done, F.col("o.updated_at")).otherwise(F.greatest("updated_at", "o.updated_at")).alias("updated_at"),
+    )
+
+
+def _snapshot_rows(spark: SparkSession, path: str) -> DataFrame:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(SNAPSHOT + ", part string").parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], SNAPSHOT + ", part string")
+
+
+def load_snapshots(spark: SparkSession, path: str, before: str | None = None) -> DataFrame:
+    """The last snapshot of each job; of those written before a part, if one is named."""
+    rows = _snapshot_rows(spark, path)
+    rows = rows if before is None else rows.where(F.col("part") < before)
+    last = rows.groupBy("job_id").agg(F.max_by(F.struct("stage", "progress", "message", "updates", "updated_at"), "part").alias("s"))
+    return last.select("job_id", "s.*")
+
+
+def save_snapshots(updates: DataFrame, path: str, checkpoint: str, run: int):
+    """Starts a stream that writes, for each micro-batch of updates, the snapshots of its jobs as a part of the table at `path`.
+
+    A part is named after the run and the number of the micro-batch, and made from parts before it: doing
+    it twice leaves it as it was.  A run that goes on from its checkpoint keeps its number, a new one takes a higher."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        part = f"{run:06d}-{number:09d}"
+        before = load_snapshots(batch.sparkSession, path, part).join(batch.select("job_id").distinct(), "job_id", "left_semi")
+        fold_jobs(batch, before).write.mode("overwrite").parquet(f"{path}/part={part}")
+
+    return updates.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def dispatch(queue: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], checkpoint: str):
