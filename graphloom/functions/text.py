@@ -271,3 +271,69 @@ def text_slices(text: Column, size: int) -> Column:
     """The text in slices of `size` characters."""
     count = F.ceil(F.length(text) / size).cast("int")
     return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(text, (i - 1) * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+
+
+def _balanced_end(text: Column) -> Column:
+    """How many characters of a text that starts with a brace belong to it, null if it never closes.
+
+    One fold over the characters knows strings and escapes."""
+    none = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(a: Column, c: Column) -> Column:
+        plain = ~a["quoted"]
+        depth = a["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
+        closed = F.when((a["end"] == 0) & plain & (c == "}") & (depth == 0), a["at"] + 1).otherwise(a["end"])
+        quoted = F.when((c == '"') & ~a["escaped"], ~a["quoted"]).otherwise(a["quoted"])
+        return F.struct(depth.alias("depth"), quoted.alias("quoted"), (a["quoted"] & (c == "\\") & ~a["escaped"]).alias("escaped"), (a["at"] + 1).alias("at"), closed.alias("end"))
+
+    end = F.aggregate(F.split(text, "(?!^)"), none, step, lambda a: a["end"])
+    return F.when(end > 0, end)
+
+
+def repaired_json(answer: Column, tries: int = 3) -> Column:
+    """The JSON in an answer: all of it without a fence around, or the first of a few objects in it that is complete and valid; else null."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(answer), r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
+    valid = lambda t: F.when(F.try_parse_json(t).isNotNull() & (t != ""), t)
+    starts = F.slice(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare), F.lit(1))), lambda i: F.when(F.substring(bare, i, F.lit(1)) == "{", i)), lambda i: i.isNotNull()), 1, tries)
+    objects = F.transform(starts, lambda i: F.substring(bare, i, F.length(bare)))
+    objects = F.transform(objects, lambda t: F.substring(t, F.lit(1), _balanced_end(t)))
+    return F.coalesce(valid(bare), F.get(F.filter(F.transform(objects, valid), lambda t: t.isNotNull()), F.lit(0)))
+
+
+def imports_text(imports: Column) -> Column:
+    """A line for each import (module, names): from a module its names, or the module or the names alone."""
+
+    def line(i: Column) -> Column:
+        names = F.array_join(F.coalesce(i["names"], F.array().cast("array<string>")), ", ")
+        return F.when(F.coalesce(i["module"], F.lit("")) == "", F.concat(F.lit("import "), names)).when(names == "*", F.concat(F.lit("import "), i["module"])).otherwise(F.concat(F.lit("from "), i["module"], F.lit(" import "), names))
+
+    return F.coalesce(F.array_join(F.transform(imports, line), "\n"), F.lit(""))
+
+
+def or_null(value: Column) -> Column:
+    """A trimmed text, null where nothing is left."""
+    return F.nullif(F.trim(value.cast("string")), F.lit(""))
+
+
+def with_references(answer: Column, files: Column, names: Column) -> Column:
+    """An answer, with six files and six functions behind it where it mentions none of the first three; an empty one stays empty."""
+    body = F.trim(answer)
+    quoted = lambda a: F.array_join(F.transform(F.slice(a, 1, 6), lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
+    silent = lambda a: (F.size(a) > 0) & ~F.exists(F.slice(a, 1, 3), lambda x: F.contains(body, x))
+    part = lambda a, title: F.when(silent(a), F.concat(F.lit(f"\n\n**{title} referenced:** "), quoted(a))).otherwise("")
+    return F.when(body == "", "").otherwise(F.concat(body, part(files, "Files"), part(names, "Functions")))
+
+
+def compact(number: Column) -> Column:
+    """A number with at most one decimal place and K, M, B or T behind it."""
+    size = F.abs(number)
+    power = F.when(size >= 999_950_000_000, 4).when(size >= 999_950_000, 3).when(size >= 999_950, 2).when(size >= 999.95, 1).otherwise(0)
+    short = F.round(number / F.pow(F.lit(1000.0), power), 1)
+    digits = F.when(short == F.round(short), F.format_string("%.0f", short)).otherwise(F.format_string("%.1f", short))
+    return F.concat(digits, F.element_at(F.array(*map(F.lit, ["", "K", "M", "B", "T"])), power + 1))
+
+
+def initials(name: Column) -> Column:
+    """The first letters of the first two parts of a name, in capitals."""
+    parts = F.filter(F.split(name, r"[\s/_-]+"), lambda p: p != "")
+    return F.upper(F.array_join(F.transform(F.slice(parts, 1, 2), lambda p: F.substring(p, 1, 1)), ""))

@@ -136,6 +136,6 @@ def answer(index: Index, question: str) -> dict:
     hits = retrieval.distinct_citations(found.select("file", F.col("content").alias("snippet"), "start_line", "symbol", "score").withColumn("ord", -F.col("score")), "ord")
     (row,) = retrieval.extractive(hits.select(F.col("file").alias("path"), F.col("snippet").alias("content"), "score")).collect()
     best = hits.orderBy(F.desc("score"), "file").select("file", "symbol").first()
-    more = _one(index, question).select(retrieval.follow_ups(F.col("q"), F.lit(best.symbol if best else None), F.lit(best.file if best else None)).alias("n")).first().n
+    more = _one(index, question).select(retrieval.follow_ups(F.col("q"), F.lit(best.symbol if best else None), F.lit(best.file if best else None), F.lit(index.repo), F.array().cast("array<struct<name:string,path:string>>")).alias("n")).first().n
     cited = hits.select("file", "symbol", *retrieval.citation(F.col("snippet"), F.col("start_line"), F.lit(0), F.col("score")))
     return {"answer": row.answer or "Nothing was found.", "confidence": row.confidence or 0.0, "tools": tools, "citations": cited, "next": more}

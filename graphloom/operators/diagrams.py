@@ -51,13 +51,16 @@ def flowchart(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return lines_text(boxes.unionByName(arrows), "flowchart LR")
 
 
-def class_diagram(classes: DataFrame, relations: DataFrame) -> DataFrame:
-    """Classes (name, methods array) and relations (source, target, type)."""
+def class_diagram(classes: DataFrame, relations: DataFrame, most: int = 20, ties: int = 25) -> DataFrame:
+    """The first classes (name, methods array, of which six are shown) and relations (source, target, type) in order of their names."""
+    classes, relations = classes.orderBy("name").limit(most), relations.orderBy("source", "target", "type").limit(ties)
     methods = F.array_join(F.transform(F.slice("methods", 1, 6), lambda m: F.concat(F.lit("        +"), T.diagram_method(m), F.lit("()"))), "\n")
     boxes = classes.select(F.concat(F.lit("0"), "name").alias("ord"), F.concat(F.lit("    class "), T.diagram_id(F.col("name")), F.lit(" {\n"), methods, F.lit("\n    }")).alias("line"))
-    arrow = F.when(F.col("type") == "IMPLEMENTS", " <|.. ").otherwise(" <|-- ")
-    ties = relations.select(F.concat(F.lit("1"), "source", F.lit(">"), "target").alias("ord"), F.concat(F.lit("    "), T.diagram_id(F.col("target")), arrow, T.diagram_id(F.col("source"))).alias("line"))
-    return lines_text(boxes.unionByName(ties), "classDiagram")
+    arrow = F.when(F.col("type") == "EXTENDS", " <|-- ").when(F.col("type") == "IMPLEMENTS", " <|.. ")
+    source, target = T.diagram_id(F.col("source")), T.diagram_id(F.col("target"))
+    line = F.when(arrow.isNotNull(), F.concat(target, arrow, source)).otherwise(F.concat(source, F.lit(" --> "), target))
+    tied = relations.select(F.concat(F.lit("1"), "source", F.lit(">"), "target").alias("ord"), F.concat(F.lit("    "), line).alias("line"))
+    return lines_text(boxes.unionByName(tied), "classDiagram")
 
 
 def sequence(chains: DataFrame) -> DataFrame:

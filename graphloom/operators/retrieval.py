@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
 from graphloom.operators.ranking import top_per_key
 
 #: Weights of the two sides and what a hit of both gains.
@@ -91,16 +92,31 @@ def last_matching(messages: DataFrame, key: str, order: str, test: Column) -> Da
     return top_per_key(messages.withColumn("_t", F.when(test, 1).otherwise(0)), [key], [F.desc("_t"), F.desc(order)]).drop("_t")
 
 
-def follow_ups(question: Column, name: Column, path: Column) -> Column:
-    """At most five distinct further questions, none the question itself."""
+def follow_ups(question: Column, name: Column, path: Column, repo: Column, cited: Column) -> Column:
+    """At most five further questions about a name and a path, the repository and what was cited (name, path), none
+    the question itself and none twice in whatever case."""
     quoted = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
     has_name, has_path = F.coalesce(name, F.lit("")) != "", F.coalesce(path, F.lit("")) != ""
-    found = F.array(
+    says = lambda *words: T.any_of(F.lower(question), list(words))
+    own = F.array(
         F.when(has_name & has_path, F.concat(F.lit("Walk me through "), quoted(name), F.lit(" from "), quoted(path))),
         F.when(has_name & has_path, F.concat(F.lit("Where is "), quoted(name), F.lit(" called from?"))),
         F.when(~has_name & has_path, F.concat(F.lit("Which parts does "), quoted(path), F.lit(" define?"))),
         F.when(has_name & ~has_path, F.concat(F.lit("Say more about "), quoted(name))),
+        F.when(~says("architecture"), "How is this repository built up?"),
+        F.when(~says("endpoint", "api"), "Which endpoints does it offer?"),
+        F.when(~says("depend"), F.concat(F.lit("What does "), quoted(repo), F.lit(" rest on?"))),
     )
-    return F.slice(F.array_distinct(F.filter(found, lambda x: x.isNotNull() & (F.lower(x) != F.lower(F.trim(question))))), 1, 5)
-
-
+    shown = F.transform(F.slice(cited, 1, 2), lambda c: F.when((c["name"] != "") & (c["path"] != ""), F.concat(F.lit("Show me the code of "), quoted(c["name"]), F.lit(" in "), quoted(c["path"]))))
+    found = F.filter(F.concat(own, F.coalesce(shown, F.array().cast("array<string>")), F.array(F.lit("What should I read next?"))), lambda x: x.isNotNull() & (F.lower(x) != F.lower(F.trim(question))))
+    once = F.aggregate(found, F.array().cast("array<string>"), lambda kept, x: F.when(F.exists(kept, lambda k: F.lower(k) == F.lower(x)), kept).otherwise(F.array_append(kept, x)))
+    return F.slice(once, 1, 5)
+
+
+def shaped_hits(rows: DataFrame) -> DataFrame:
+    """Hits of stored vectors (id, document, score and metadata) as they are merged: names without text are null, what is missing is empty or 0."""
+    optional = {"function_name": "function", "class_name": "class", "symbol": "symbol", "chunk_type": "type"}
+    return rows.select(
+        F.concat(F.lit("vector::"), F.col("id").cast("string")).alias("hit_id"), F.lit("vector").alias("source"), F.coalesce("file", F.lit("")).alias("file"), F.coalesce("document", F.lit("")).alias("content"),
+        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), *(T.or_null(F.col(c)).alias(n) for n, c in optional.items()), *(F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in ("start_line", "end_line")),
+    )

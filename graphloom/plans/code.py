@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as T
 from graphloom.operators import chunks, graph, report
 from graphloom.plans.registry import Registry
 from graphloom.session import stage, table
@@ -219,3 +220,15 @@ def graph_build_nodes(spark, sf_dir):
 def graph_build_edges(spark, sf_dir):
     """All kinds of edges: names of classes and their methods, of imports and of libraries, tables by file."""
     return graph.build(*linked_orders(spark, sf_dir), "r")[1]
+
+
+@query(
+    "imports_context",
+    SQL
+    + """
+    SELECT file, 'from lib' || CAST(o_custkey % 50 AS VARCHAR) || '.api import ext_' || CAST(o_custkey % 50 AS VARCHAR) || ', ext_' || CAST((o_custkey + 1) % 50 AS VARCHAR) || chr(10) || 'from lib' || CAST(o_custkey % 20 AS VARCHAR) || '.core import ext_' || CAST(o_custkey % 50 AS VARCHAR) || chr(10)
+      || 'from src.p1.o' || CAST(k + 1 AS VARCHAR) || ' import C' || CAST(k - k % 10 AS VARCHAR) || ', nosuch' || chr(10) || 'from lib' || CAST((o_custkey + 3) % 50 AS VARCHAR) || '.api import nothing' AS context FROM p
+    """,
+)
+def imports_context(spark, sf_dir):
+    return linked_orders(spark, sf_dir)[0].select("file", T.imports_text(F.col("imports")).alias("context"))

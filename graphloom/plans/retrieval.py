@@ -193,15 +193,81 @@ def reasoning_summary(spark, sf_dir):
 @query(
     "follow_ups",
     """
-    SELECT doc_id, CASE WHEN n AND p THEN CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Walk me through `' || lang || '` from `' || source || '`|' END || 'Where is `' || lang || '` called from?' WHEN p THEN 'Which parts does `' || source || '` define?' WHEN n THEN 'Say more about `' || lang || '`' ELSE '' END AS questions
+    SELECT doc_id, array_to_string(list_filter([CASE WHEN n AND p THEN 'Walk me through `' || lang || '` from `' || source || '`' END, CASE WHEN n AND p THEN 'Where is `' || lang || '` called from?' END, CASE WHEN p AND NOT n THEN 'Which parts does `' || source || '` define?' END,
+      CASE WHEN n AND NOT p THEN 'Say more about `' || lang || '`' END, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 <> 0 THEN 'How is this repository built up?' END, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 NOT IN (1, 2) THEN 'Which endpoints does it offer?' END, CASE WHEN doc_id % 5 = 0 OR doc_id % 7 <> 3 THEN 'What does `r` rest on?' END,
+      'Show me the code of `' || lang || '` in `' || source || '`', 'What should I read next?'], lambda x: x IS NOT NULL AND NOT (doc_id % 5 = 0 AND starts_with(x, 'Walk')))[1:5], '|') AS questions
     FROM (SELECT *, doc_id % 3 <> 0 AS n, doc_id % 4 <> 0 AS p FROM documents)
     """,
 )
 def follow_ups(spark, sf_dir):
-    """Languages as names and sources as paths, now and then missing; every fifth question was asked already."""
+    """Languages as names and sources as paths, now and then missing; every fifth question was asked already, others have words of the questions."""
     name, path = F.when(F.col("doc_id") % 3 != 0, F.col("lang")), F.when(F.col("doc_id") % 4 != 0, F.col("source"))
-    asked = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("walk me through `"), "lang", F.lit("` from `"), "source", F.lit("` "))).otherwise("")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(retrieval.follow_ups(asked, name, path), "|").alias("questions"))
+    word = F.element_at(F.array(*map(F.lit, ["ARCHITECTURE?", "an endpoint", "the Api", "Dependencies", "", "", ""])), (F.col("doc_id") % 7 + 1).cast("int"))
+    asked = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("walk me through `"), "lang", F.lit("` from `"), "source", F.lit("` "))).otherwise(word)
+    cited = F.array(F.struct(F.col("lang").alias("name"), F.col("source").alias("path")), F.struct(F.col("lang").alias("name"), F.lit("").alias("path")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(retrieval.follow_ups(asked, name, path, F.lit("r"), cited), "|").alias("questions"))
+
+
+@query(
+    "vector_hits",
+    """
+    SELECT 'vector::' || doc_id AS hit_id, 'vector' AS source, CASE WHEN doc_id % 6 = 0 THEN '' ELSE source END AS file, text AS content, CASE WHEN doc_id % 4 = 0 THEN 0.0 ELSE doc_id / 10000 END::DOUBLE AS score, CASE WHEN doc_id % 3 <> 0 THEN lang END AS function_name,
+      CAST(NULL AS VARCHAR) AS class_name, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE trim(lang) END AS symbol, 'function' AS chunk_type, CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE 0 END AS INTEGER) AS start_line, CAST(n_chars AS INTEGER) AS end_line FROM documents
+    """,
+)
+def vector_hits(spark, sf_dir):
+    """Documents as stored vectors whose metadata is blank or missing now and then."""
+    n = F.col("doc_id")
+    return retrieval.shaped_hits(table(spark, sf_dir, "documents").select(
+        n.alias("id"), F.col("text").alias("document"), F.when(n % 4 != 0, n / 10000).alias("score"), F.when(n % 6 != 0, F.col("source")).alias("file"), F.when(n % 3 == 0, "  ").otherwise(F.col("lang")).alias("function"), F.lit("").alias("class"),
+        F.when(n % 5 != 0, F.concat(F.lit(" "), "lang", F.lit(" "))).alias("symbol"), F.lit("function").alias("type"), F.when(n % 2 == 0, n).alias("start_line"), F.col("n_chars").alias("end_line"),
+    ))
+
+
+@query(
+    "json_repair",
+    "SELECT event_id, CASE WHEN event_id % 5 = 3 THEN NULL ELSE props END AS json, CASE WHEN event_id % 5 = 3 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS INTEGER) END AS k FROM events",
+)
+def json_repair(spark, sf_dir):
+    """Properties of events within fences, prose and broken objects."""
+    n, props = F.col("event_id"), F.col("props")
+    answer = (
+        F.when(n % 5 == 1, F.concat(F.lit("```json\n"), props, F.lit("\n```"))).when(n % 5 == 2, F.concat(F.lit("Here you are: "), props, F.lit(' and {"z": 0}.'))).when(n % 5 == 3, "Nothing.")
+        .when(n % 5 == 4, F.concat(F.lit("{broken "), props, F.lit("}"))).otherwise(props)
+    )
+    found = T.repaired_json(answer)
+    return table(spark, sf_dir, "events").select("event_id", found.alias("json"), F.get_json_object(found, "$.k").cast("int").alias("k"))
+
+
+@query(
+    "answer_references",
+    """
+    SELECT doc_id, md5(trim(text, ' ') || CASE WHEN contains(text, source) OR contains(text, 'x') THEN '' ELSE chr(10) || chr(10) || '**Files referenced:** `' || source || '`, `x`' END || CASE WHEN doc_id % 2 = 0 OR contains(text, lang || '_') THEN '' ELSE chr(10) || chr(10) || '**Functions referenced:** `' || lang || '_`' END) AS answer FROM documents WHERE trim(text, ' ') <> ''
+    """,
+)
+def answer_references(spark, sf_dir):
+    """Documents as answers that name their source or not."""
+    names = F.when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat("lang", F.lit("_"))))
+    answer = T.with_references(F.col("text"), F.array(F.col("source"), F.lit("x")), names)
+    return table(spark, sf_dir, "documents").where(F.trim("text") != "").select("doc_id", F.md5(answer).alias("answer"))
+
+
+@query(
+    "compact_numbers",
+    """
+    WITH o AS (SELECT o_orderkey, o_totalprice * CASE o_orderkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1 WHEN 2 THEN 1000 ELSE 100000 END AS v FROM orders),
+    p AS (SELECT *, CASE WHEN abs(v) >= 999950000000 THEN 4 WHEN abs(v) >= 999950000 THEN 3 WHEN abs(v) >= 999950 THEN 2 WHEN abs(v) >= 999.95 THEN 1 ELSE 0 END AS k FROM o), r AS (SELECT *, round(v / pow(1000.0, k), 1) AS s FROM p)
+    SELECT o_orderkey, CASE WHEN s = round(s) THEN CAST(CAST(s AS BIGINT) AS VARCHAR) ELSE printf('%.1f', s) END || ['', 'K', 'M', 'B', 'T'][k + 1] AS price FROM r
+    """,
+)
+def compact_numbers(spark, sf_dir):
+    scale = F.element_at(F.array(F.lit(0.001), F.lit(1.0), F.lit(1000.0), F.lit(100000.0)), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.compact(F.col("o_totalprice").cast("double") * scale).alias("price"))
+
+
+@query("name_initials", "SELECT c_custkey, upper(substr(c_mktsegment, 1, 1)) || 'C' AS initials FROM customer")
+def name_initials(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", T.initials(F.concat_ws("/ ", "c_mktsegment", "c_name")).alias("initials"))
 
 
 @query("evidence_blocks", "SELECT source, md5(string_agg(substr(text, 1, 600), chr(10) ORDER BY doc_id)) AS block FROM (SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 4) GROUP BY source")
