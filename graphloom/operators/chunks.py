@@ -69,6 +69,18 @@ def semantic_chunks(parsed: DataFrame, sources: DataFrame, threshold: int = WHOL
     return chunks.withColumn("chunk_id", chunk_hash(F.col("file"), F.coalesce("symbol", F.lit("")), F.col("start_line"), F.col("code")))
 
 
+def parsed_chunks(parsed: DataFrame, sources: DataFrame) -> DataFrame:
+    """file, language, kind, symbol, start_line, end_line, content: one chunk for each function, for each method of a
+    class, and for a class without methods; files without a source have empty ones."""
+    shape = lambda kind, symbol, s: (F.lit(kind).alias("kind"), symbol.alias("symbol"), F.col(f"{s}.start_line").alias("start_line"), F.col(f"{s}.end_line").alias("end_line"))
+    functions = parsed.select("file", "language", F.explode("functions").alias("f")).select("file", "language", *shape("function", F.col("f.name"), "f"))
+    classes = parsed.select("file", "language", F.explode("classes").alias("c"))
+    methods = classes.select("file", "language", "c", F.explode("c.methods").alias("m")).select("file", "language", *shape("method", F.concat_ws(".", "c.name", "m.name"), "m"))
+    bare = classes.where(F.coalesce(F.size("c.methods"), F.lit(0)) <= 0).select("file", "language", *shape("class", F.col("c.name"), "c"))
+    rows = functions.unionByName(methods).unionByName(bare).join(sources.select("file", F.col("content").alias("source")), "file", "left")
+    return rows.withColumn("content", F.coalesce(slice_lines(F.col("source"), F.greatest("start_line", F.lit(1)), F.col("end_line")), F.lit(""))).drop("source")
+
+
 def incremental(before: DataFrame, after: DataFrame, stored: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ids of stored vectors (chunk_id, file) to delete, and chunks to embed, between two manifests (file, sha256)."""
     status = diff(before, after, "file", "sha256")

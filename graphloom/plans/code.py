@@ -232,3 +232,20 @@ def graph_build_edges(spark, sf_dir):
 )
 def imports_context(spark, sf_dir):
     return linked_orders(spark, sf_dir)[0].select("file", T.imports_text(F.col("imports")).alias("context"))
+
+
+@query(
+    "parsed_chunks",
+    SQL
+    + """
+    , c AS (SELECT file, language, 'function' AS kind, name AS symbol, a, b FROM f JOIN p USING (file) UNION ALL SELECT m.file, language, CASE WHEN k % 20 = 0 THEN 'method' ELSE 'class' END, CASE WHEN k % 20 = 0 THEN class || '.' || name ELSE class END, CASE WHEN k % 20 = 0 THEN 2 ELSE 1 END, 6 FROM m JOIN p USING (file))
+    SELECT c.file, c.language, kind, symbol, a AS start_line, b AS end_line, coalesce((SELECT string_agg('x = ' || i, chr(10) ORDER BY i) FROM (SELECT unnest(range(a, least(b, lines) + 1)) AS i)), '') AS content FROM c JOIN p ON p.file = c.file
+    """,
+)
+def parsed_chunks(spark, sf_dir):
+    """Every second class has no methods."""
+    parsed = stage(parsed_orders(spark, sf_dir), "parsed")
+    # the number of an order stands at the end of its file's name
+    key = F.regexp_extract("file", r"(\d+)\.py$", 1).cast("long")
+    bare = F.transform("classes", lambda c: c.withField("methods", F.filter(c["methods"], lambda _: key % 20 == 0)))
+    return chunks.parsed_chunks(parsed.withColumn("classes", bare), sources(parsed))
