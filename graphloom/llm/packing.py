@@ -1,8 +1,8 @@
 """Harmonic packing of token sequences.
 
 Lengths fall into reciprocal-capacity classes: class k has the lengths over
-capacity/(k+1) and up to capacity/k, and a bin of class k takes k pieces, whatever else
-there is.  Documents are cut at the powers of two (capacity, capacity/2, ... down to
+capacity/(k+1) and up to capacity/k, and a bin of class k takes k pieces of whatever
+lengths of the class, one behind the other.  Documents are cut at the powers of two (capacity, capacity/2, ... down to
 SMALLEST), whose classes their bins fill without a gap; only the rest below SMALLEST, a
 piece of its own, is in a class that leaves a few ids of padding.
 
@@ -82,14 +82,15 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
                 rows = pa.concat_tables([waiting, pa.Table.from_arrays(columns, schema=piece_schema)])
                 # of each class as many bins as its pieces fill; the others wait
                 length = rows.column("length").to_numpy().astype(np.int64)
-                order = np.argsort(length, kind="stable")
-                kinds, first, many = np.unique(length[order], return_index=True, return_counts=True)
-                kind = np.repeat(np.arange(len(kinds)), many)
-                full = capacity // np.maximum(kinds, 1)
+                class_ = capacity // np.maximum(length, 1)
+                order = np.argsort(class_, kind="stable")
+                full, first, many = np.unique(class_[order], return_index=True, return_counts=True)
+                kind = np.repeat(np.arange(len(full)), many)
                 rank, made = np.arange(len(order)) - first[kind], many // full
                 inside = rank < (made * full)[kind]
                 where = worker * _GROUP + bins + (np.cumsum(made) - made)[kind] + rank // full[kind]
-                offset = rank % full[kind] * kinds[kind]
+                before = np.cumsum(length[order]) - length[order]
+                offset = before - before[np.arange(len(order)) - rank % full[kind]]
                 bins += int(made.sum())
                 yield from placed(rows.take(pa.array(order[inside])), where[inside], offset[inside])
                 waiting = rows.take(pa.array(order[~inside])).combine_chunks()
@@ -108,15 +109,18 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
         groups = -(-groups // FAN)
         rest = rest.withColumn("worker", F.floor(F.col("worker") / FAN).cast("long"))
         # a group has less than a bin of each class from each of FAN workers
-        by = Window.partitionBy("worker", "length")
         full = F.floor(F.lit(capacity) / F.col("length"))
+        by = Window.partitionBy("worker", full)
         counted = stage(
-            rest.withColumn("n", F.row_number().over(by.orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1)
+            rest.withColumn("n", F.row_number().over(by.orderBy("doc_id", "start", "ids_crc32", "doc_tokens", "length")) - 1)
             .withColumn("bins", F.floor(F.count("*").over(by) / full)),
             f"rests-{level}",
         )
-        key = level * _ROUND + F.col("worker") * _GROUP + F.col("length").cast("long") * (1 << 22) + F.floor(F.col("n") / full)
-        done.append(counted.where(F.col("n") < F.col("bins") * full).select(*names, key.cast("long").alias("sequence_id"), ((F.col("n") % full) * F.col("length")).cast("long").alias("offset")))
+        bin_ = F.floor(F.col("n") / full)
+        key = level * _ROUND + F.col("worker") * _GROUP + full.cast("long") * (1 << 22) + bin_
+        before = F.sum("length").over(Window.partitionBy("worker", full, bin_).orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+        filled = counted.where(F.col("n") < F.col("bins") * full)
+        done.append(filled.select(*names, key.cast("long").alias("sequence_id"), F.coalesce(before, F.lit(0)).cast("long").alias("offset")))
         rest = counted.where(F.col("n") >= F.col("bins") * full).select(*names, "worker")
         level += 1
     done.append(_last_bins(rest.select(*names), capacity, level))

@@ -123,3 +123,22 @@ def test_cut():
     for smallest in (1, 32, 2048):
         doc, length = packing.cut(n, smallest=smallest)
         assert np.bincount(doc, length, len(n)).tolist() == n.tolist() and (length > 0).all() and (np.diff(doc) >= 0).all()
+
+
+@pytest.mark.parametrize("workers", [1, 3, 40])
+def test_packing_classes(spark, workers):
+    """Pieces of several lengths of one class share a bin, at most as many as the class says; rests of workers meet by class, too."""
+    path = tokenizer_file("word_bpe_49k.json")
+    docs = [(i, "a " * (98 + i % 5)) for i in range(50 * workers)]
+    lengths = {len(x) for x in plain(path, [t for _, t in docs], 1)}
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id long, text string").repartition(workers), path, 1).collect()
+    pieces_are_right(rows, docs, path, 2048)
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append(r.length)
+    assert len(lengths) > 2 and max(lengths) < 128
+    classes = {2048 // n for n in lengths}
+    # a bin is of one class and full, but for the last ones
+    mixed = [b for b in bins.values() if len({2048 // n for n in b}) == 1 and len(b) == 2048 // b[0]]
+    assert all(len(b) <= max(classes) for b in bins.values())
+    assert sum(len(b) for b in mixed) >= len(docs) - sum(k - 1 for k in classes) and any(len(set(b)) > 1 for b in mixed)
