@@ -22,9 +22,13 @@ GENERATION = 24_000_000
 #: Bytes of text that are put through in one go; bounds a worker's memory.
 BLOCK_CHARS = 3_000_000
 
+#: Units that are encoded in one call.
+JOINED = 256
+
 _INNER_BLANK = re.compile(r"(?<=\S) (?=\S)")
 #: White space of any kind, for regular expressions of Arrow.
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+_WHITE_BUT_BLANK = r"[\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNEVEN = rf"\A[ \n]|[ \n]\z|{_WHITE}[ \n]|[ \n]{_WHITE}|\x00"
 _WORKERS: dict[str, "UnitEncoder"] = {}
 
@@ -85,14 +89,14 @@ class UnitEncoder:
     def _encoded(self, units: list[str], which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Runs of (places in `which`, ids, ids of each): some units as lines of one text, as a call costs more than a unit."""
         core = self.mark.strip("\n") or self.mark
-        apart = np.fromiter((core in u or "\n" in u or not u or u[-1].isspace() or u[0] != " " and u[0].isspace() for u in units), bool, len(units))
+        apart = np.asarray(pc.match_substring_regex(pa.array(units, pa.string()), rf"\n|\A\z|{_WHITE}\z|\A{_WHITE_BUT_BLANK}|{re.escape(core)}"), bool)
         out = []
         for i in np.flatnonzero(apart).tolist():
             ids = np.array(self.tokenizer.encode(units[i], add_special_tokens=False).ids, self.dtype)
             out.append((which[i : i + 1], ids, np.array([len(ids)])))
         together = np.flatnonzero(~apart)
-        for at in range(0, len(together), 64):
-            part = together[at : at + 64]
+        for at in range(0, len(together), JOINED):
+            part = together[at : at + JOINED]
             (e,) = self.tokenizer.encode_batch_fast([self.mark.join([units[i] for i in part.tolist()])], add_special_tokens=False)
             ids = np.array(e.ids, self.dtype)
             ends = np.flatnonzero(ids == self.mark_id)
