@@ -9,21 +9,26 @@ that comes up.  A character that no piece has becomes the pieces of its bytes.
 
 In (max, +) a stretch of text is a matrix: from each state at its start (the last piece that
 ended there or before, and where) to each state at its end, the best weight.  Stretches put
-together are the product of their matrices, in any grouping.  So a giant document is cut into
-chunks, Spark makes the matrix of each chunk, multiplies runs of chunks, scans the runs, then
-the chunks of each run, and with the states at both ends known every chunk is traced back by
-itself.  A text that is one chunk has one start, so each place has one piece that may end there,
-and is traced at once; it is cut where no piece can cross (before a blank behind another
-character), and each distinct unit between such cuts is traced once.  Both ways, and any
-chunking, give the ids of the library.
-
-Null and empty texts have no ids.  U+2581, which the library takes for a blank, is spelled by
-its bytes, so that every text comes back as it was.  Repeated rows and null ids are documents
-like others; an empty table gives no rows; other columns are not looked at.
+together are the product of their matrices, in any grouping.  Every text is cut into chunks of
+CHUNK characters, wherever that falls.  No piece crosses the place before a blank behind another
+character, so there all states are one, and a chunk's matrix is the outer sum of what leads from
+its start to its first such place and from its last one to its end; a chunk without one has its
+matrix computed whole.  The units between such places have one start each: a unit is traced once
+for all places where it stands.  With the states at both ends of each chunk known from the
+products, it is traced back by itself.
+
+The chunks of a text of at most RUN chunks are multiplied where the text is; those of longer
+texts are dealt out: Spark multiplies runs of chunks, scans the runs, then the chunks of each
+run.  The chunks, matrices and traces are the same ones, and any chunking gives the library's ids.
+
+Null and empty texts have no ids.  U+2581, which the library takes for a blank, has the ids of a
+blank, and `marks` has its places, so that every text comes back as it was.  Repeated rows and
+null ids are documents like others; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable
 from itertools import repeat
@@ -41,13 +46,16 @@ from graphloom.session import stage
 BLANK = "▁"
 #: A character that no piece has, put before pieces so that the library adds nothing to them.
 SHIELD = "\ue000"
-#: Characters of a giant text, and of a chunk; chunks of a run.  Units with more characters than LONG are traced one by one.
-GIANT, CHUNK, RUN, LONG = 65_536, 4_096, 256, 256
+#: Characters of a chunk, and chunks of a run.  Units with more characters than LONG are traced one by one.
+CHUNK, RUN, LONG = 4_096, 256, 256
 #: Bytes of units that a generation of a worker's memory holds (there are two), and places for pairs of pieces.
 GENERATION, PAIRS = 24_000_000, 1 << 21
 #: Chunks of a task, and tasks at most.
 TASK_CHUNKS, MOST_TASKS = 16, 10_000
 
+#: Where no piece crosses: before a blank behind another character.
+CUT = re.compile("(?<=[^ ])(?= )")
+
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _WORKERS: dict[str, "Pieces"] = {}
 
@@ -271,23 +279,68 @@ class Pieces:
             found = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
         return found
 
-    def encode(self, texts: pa.Array) -> pa.ListArray:
-        """Ids of each text, by its distinct units."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        if not len(texts):
-            return pa.array([], pa.list_(pa.int32()))
-        blank, none = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
-        shown_ = pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(blank, texts, none))
+    def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that begin and end where no piece crosses, by their distinct units, and the ends of each text's ids (from 0 on)."""
         # a cut before each blank behind another character; a text that has the mark of cuts is cut by hand
         marked = np.asarray(pc.match_substring(texts, "\x00"), bool)
-        lists = pc.split_pattern(pc.replace_substring_regex(shown_, "([^ ]) ", "\\1\x00 "), "\x00")
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, "([^ ]) ", "\\1\x00 "), "\x00")
         if marked.any():
-            lists = pa.array([units_of(t) if m else u for t, m, u in zip(texts.to_pylist(), marked, lists.to_pylist())], pa.large_list(pa.large_string()))
+            lists = pa.array([CUT.split(t) if m else u for t, m, u in zip(texts.to_pylist(), marked, lists.to_pylist())], pa.large_list(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         places = self._places(coded.dictionary.to_pylist())[np.asarray(coded.indices, np.int64)]
         offsets = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
-        ends = np.r_[0, np.cumsum(np.diff(self.offsets)[places])][offsets]
-        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ragged(self.flat, self.offsets, places)))
+        return ragged(self.flat, self.offsets, places), np.r_[0, np.cumsum(np.diff(self.offsets)[places])][offsets]
+
+    def encode(self, texts: pa.Array, chunk: int = CHUNK) -> pa.ListArray:
+        """Ids of each text, by its chunks."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return pa.array([], pa.list_(pa.int32()))
+        texts, none = pc.replace_substring(texts, BLANK, " "), pa.scalar("", pa.large_string())
+        texts = pc.if_else(pc.equal(texts, none), texts, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, none))
+        several = np.flatnonzero(np.asarray(pc.utf8_length(texts)) > chunk)
+        if not len(several):
+            flat, ends = self.units(texts)
+            return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+        # the only chunk of a text is all units; of the others the units are put behind
+        cut = [self.chunks(texts[int(i)].as_py(), chunk) for i in several]
+        inner = pa.array([c[2] for some in cut for c in some], pa.large_string())
+        short = pc.if_else(pa.array(np.isin(np.arange(len(texts)), several)), none, texts)
+        flat, ends = self.units(pa.concat_arrays([short.combine_chunks() if isinstance(short, pa.ChunkedArray) else short, inner]))
+        parts = [[flat[a:b]] for a, b in zip(ends[: len(texts)].tolist(), ends[1 : len(texts) + 1].tolist())]
+        at = len(texts)
+        for i, some in zip(several.tolist(), cut):
+            made = [self.stretch(before, head, tail, through) for before, head, _, tail, through in some]
+            parts[i] = []
+            for (_, trace), (first, last) in zip(made, walk([m for m, _ in made], 0, None)):
+                parts[i] += trace(first, last, flat[ends[at] : ends[at + 1]])
+                at += 1
+        sizes = [sum(map(len, x)) for x in parts]
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate([y for x in parts for y in x]).astype(np.int32)))
+
+    def chunks(self, text: str, chunk: int) -> list[tuple[str, str, str, str, bool]]:
+        """(before, head, inner, tail, through) of each chunk of a text as shown.
+
+        The head goes on to the first place that no piece crosses, the tail begins at the last one, and
+        `before` is what is in front of the head behind such a place (2 * longest characters at most).  A
+        chunk without such a place goes `through`: it is all head."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        cuts = np.r_[0, np.flatnonzero((codes[1:] == 32) & (codes[:-1] != 32)) + 1, len(text)]
+        at = np.arange(0, len(text), chunk)
+        last, first = cuts[np.searchsorted(cuts, at, "right") - 1], cuts[np.searchsorted(cuts, at)]
+        out = []
+        for x, y, a, b, to in zip(*(z.tolist() for z in (at, np.r_[at[1:], len(text)], last, first, np.r_[last[1:], len(text)]))):
+            before = text[max(a, x - 2 * self.longest) : x]
+            out.append((before, text[x:y], "", "", True) if b > y else (before, text[x:b], text[b:to], text[to:y], False))
+        return out
+
+    def stretch(self, before: str, head: str, tail: str, through: bool) -> tuple[np.ndarray, Callable[[int, int, np.ndarray], list[np.ndarray]]]:
+        """The matrix of a chunk, and what gives its ids from a state at its start to one at its end, given the ids of its inner units."""
+        matrix, trace = self.chunk(before, head, not through)
+        if through:
+            return matrix, lambda i, j, _: [np.array(trace(i, j), np.int32)]
+        ends, trace_end = self.chunk("", tail, False)
+        return matrix.max(1)[:, None] + ends[:1], lambda i, j, inner: [np.array(trace(i, -1), np.int32), inner, np.array(trace_end(0, j), np.int32)]
 
     def states(self, ids: np.ndarray, at: int) -> list[tuple[int, int]]:
         """(place behind the last piece, its length) of the states at a cut: pieces that end up to `longest` - 1 characters
@@ -296,10 +349,12 @@ class Pieces:
         return found + [(0, 0)] * (at < self.longest)
 
     def chunk(self, before: str, text: str, final: bool = True) -> tuple[np.ndarray, Callable[[int, int], list[int]]]:
-        """The matrix of a chunk, and what traces it from a state at its start to one at its end.
+        """The matrix of characters, and what traces them from a state at their start to one at their end.
 
-        `before` is the text in front of the chunk (2 * longest characters, or all there is); the states
-        at the end of a `final` chunk are those of pieces that end there."""
+        `before` is the text in front (2 * longest characters, or all there is behind a place that no piece
+        crosses); the states at the end of a `final` stretch are those of pieces that end there."""
+        if not text:
+            return np.zeros((1, 1), np.float32), lambda i, j: []
         whole, cut = before + text, len(before)
         n = len(whole)
         codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)[:, None] + 1
@@ -344,28 +399,18 @@ class Pieces:
 
         return matrix, trace
 
-    def decode(self, ids: np.ndarray) -> str:
+    def decode(self, ids: np.ndarray, marks: list[int] | None = None) -> str:
         text = b"".join([self.out[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
+        text = text[1:] if text[:1] == " " else text
+        if marks:
+            ends = [-1, *marks]
+            text = BLANK.join([text[a + 1 : b] for a, b in zip(ends, [*marks, len(text)])])
+        return text
 
 
 def shown(text: str) -> str:
-    return " " + text if text else ""
-
-
-def units_of(text: str) -> list[str]:
-    """The text as shown, cut before each blank that is behind another character."""
-    units, blanks = [], 1
-    for part in text.split(" ") if text else []:
-        if part:
-            units.append(" " * blanks + part)
-            blanks = 1
-        else:
-            blanks += 1
-    if blanks > 1:
-        # blanks at the end: one was counted for a part that is not there
-        units.append(" " * (blanks - 1))
-    return units
+    """The text as the library encodes it."""
+    return " " + text.replace(BLANK, " ") if text else ""
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -373,6 +418,19 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None]).max(1)
 
 
+def walk(matrices: list[np.ndarray], first: int, last: int | None) -> list[tuple[int, int]]:
+    """The states at both ends of each stretch on the best way from `first` to `last` (None: to the best end)."""
+    sums = [np.where(np.arange(len(matrices[0])) == first, 0.0, -np.inf)]
+    for m in matrices:
+        sums.append((sums[-1][:, None] + m).max(0))
+    out, at = [], int(sums[-1].argmax()) if last is None else last
+    for m, before in zip(matrices[::-1], sums[-2::-1]):
+        came = int((before + m[:, at]).argmax())
+        out.append((came, at))
+        at = came
+    return out[::-1]
+
+
 def dump(m: np.ndarray) -> bytes:
     return np.array([m.shape[1]], np.int32).tobytes() + m.astype(np.float32).tobytes()
 
@@ -387,8 +445,13 @@ def pieces(path: str) -> Pieces:
     return _WORKERS[path]
 
 
-def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK, run: int = RUN) -> DataFrame:
-    """doc_id and ids of each row."""
+def places_of(texts: list[str | None]) -> pa.Array:
+    """Where each text has U+2581."""
+    return pa.array([[m.start() for m in re.finditer(BLANK, t)] if t and BLANK in t else [] for t in texts], pa.list_(pa.int32()))
+
+
+def encode(docs: DataFrame, model: str, chunk: int = CHUNK, run: int = RUN) -> DataFrame:
+    """doc_id, ids and marks (places of U+2581) of each row."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
@@ -396,36 +459,39 @@ def encode(docs: DataFrame, model: str, giant: int = GIANT, chunk: int = CHUNK,
         code = pieces(model)
         for batch in batches:
             for block in blocks(batch):
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), code.encode(block.column("text"))], names=["doc_id", "ids"])
+                texts = block.column("text")
+                has = pc.any(pc.match_substring(texts, BLANK)).as_py()
+                marks = places_of(texts.to_pylist()) if has else pa.array([[]] * len(texts), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), code.encode(texts, chunk), marks], names=["doc_id", "ids", "marks"])
 
-    short = rows.where(F.length("text") <= giant).mapInArrow(direct, f"doc_id {kind}, ids array<int>")
-    return short.unionByName(_giant(rows.where(F.length("text") > giant), kind, model, chunk, run))
+    here = F.length("text") < chunk * run
+    short = rows.where(here).mapInArrow(direct, f"doc_id {kind}, ids array<int>, marks array<int>")
+    return short.unionByName(_dealt(rows.where(~here), model, chunk, run))
 
 
-def _giant(rows: DataFrame, kind: str, model: str, chunk: int, run: int) -> DataFrame:
+def _dealt(rows: DataFrame, model: str, chunk: int, run: int) -> DataFrame:
+    """The same for texts whose chunks are dealt out to tasks."""
     # equal rows would share a key: they are told apart by a count
     keyed = rows.groupBy("doc_id", "text").count().withColumn("key", F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text"), 256))
+    parts = ["before", "head", "inner", "tail", "through"]
 
     def cut(batches):
-        reach = 2 * pieces(model).longest
+        code = pieces(model)
         for batch in batches:
             for i in range(len(batch)):
-                text = shown(batch.column("text")[i].as_py())
-                at = list(range(0, len(text), chunk))
-                for a in range(0, len(at), 64):
-                    some = at[a : a + 64]
-                    yield pa.RecordBatch.from_pydict({
-                        "key": [batch.column("key")[i].as_py()] * len(some), "chunk": pa.array([x // chunk for x in some], pa.int64()),
-                        "before": [text[max(0, x - reach) : x] for x in some], "text": [text[x : x + chunk] for x in some], "final": [x + chunk >= len(text) for x in some],
-                    })
+                found = code.chunks(shown(batch.column("text")[i].as_py()), chunk)
+                for a in range(0, len(found), 64):
+                    some = found[a : a + 64]
+                    columns = [[batch.column("key")[i].as_py()] * len(some), pa.array(range(a, a + len(some)), pa.int64()), *map(list, zip(*some))]
+                    yield pa.RecordBatch.from_pydict(dict(zip(["key", "chunk", *parts], columns)))
 
-    chunks = stage(keyed.select("key", "text").mapInArrow(cut, "key string, chunk long, before string, text string, final boolean"), "chunks")
+    chunks = stage(keyed.select("key", "text").mapInArrow(cut, "key string, chunk long, before string, head string, inner string, tail string, through boolean"), "chunks")
 
     def matrices(batches):
         code = pieces(model)
         for batch in batches:
             if len(batch):
-                made = [dump(code.chunk(b, t, f)[0]) for b, t, f in zip(*(batch.column(c).to_pylist() for c in ("before", "text", "final")))]
+                made = [dump(code.stretch(*x)[0]) for x in zip(*(batch.column(c).to_pylist() for c in ("before", "head", "tail", "through")))]
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(made, pa.binary())], names=["key", "chunk", "m"])
 
     # a chunk's work is far larger than its row: a number keeps Spark from putting them together
@@ -439,26 +505,14 @@ def _giant(rows: DataFrame, kind: str, model: str, chunk: int, run: int) -> Data
             total = product(total, load(m))
         return pd.DataFrame({"key": [frame["key"].iloc[0]], "run": [frame["run"].iloc[0]], "m": [dump(total)]})
 
-    def states(matrices: list[np.ndarray], first: int, last: int | None) -> list[tuple[int, int]]:
-        """The states at both ends of each stretch on the best way from `first` to `last` (None: to the best end)."""
-        sums = [np.where(np.arange(len(matrices[0])) == first, 0.0, -np.inf)]
-        for m in matrices:
-            sums.append((sums[-1][:, None] + m).max(0))
-        out, at = [], int(sums[-1].argmax()) if last is None else last
-        for m, before in zip(matrices[::-1], sums[-2::-1]):
-            came = int((before + m[:, at]).argmax())
-            out.append((came, at))
-            at = came
-        return out[::-1]
-
     def scan_runs(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("run")
-        found = states([load(m) for m in frame["m"]], 0, None)
+        found = walk([load(m) for m in frame["m"]], 0, None)
         return pd.DataFrame({"key": frame["key"], "run": frame["run"], "first": [a for a, _ in found], "last": [b for _, b in found]})
 
     def scan_chunks(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk")
-        found = states([load(m) for m in frame["m"]], int(frame["first"].iloc[0]), int(frame["last"].iloc[0]))
+        found = walk([load(m) for m in frame["m"]], int(frame["first"].iloc[0]), int(frame["last"].iloc[0]))
         return pd.DataFrame({"key": frame["key"], "chunk": frame["chunk"], "first": [a for a, _ in found], "last": [b for _, b in found]})
 
     runs = made.groupBy("key", "run").applyInPandas(multiply, "key string, run long, m binary")
@@ -468,28 +522,39 @@ def _giant(rows: DataFrame, kind: str, model: str, chunk: int, run: int) -> Data
     def trace(batches):
         code = pieces(model)
         for batch in batches:
+            if not len(batch):
+                continue
             d = batch.to_pydict()
-            ids = [code.chunk(b, t, z)[1](f, e) for b, t, z, f, e in zip(d["before"], d["text"], d["final"], d["first"], d["last"])]
+            flat, ends = code.units(pa.array(d["inner"], pa.large_string()))
+            ids = []
+            for i, x in enumerate(zip(d["before"], d["head"], d["tail"], d["through"])):
+                ids.append(np.concatenate(code.stretch(*x)[1](d["first"][i], d["last"][i], flat[ends[i] : ends[i + 1]])))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "chunk", "ids"])
 
+    def with_marks(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], places_of(batch.column("text").to_pylist())], names=["key", "doc_id", "count", "marks"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
     traced = chunks.join(inner, ["key", "chunk"]).repartition(tasks, "key", "chunk").mapInArrow(trace, "key string, chunk long, ids array<int>")
     whole = traced.groupBy("key").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    copies = keyed.select("key", "doc_id", "count").join(whole, "key")
-    return copies.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("doc_id", "ids")
+    marks = keyed.select("key", "doc_id", "count", "text").mapInArrow(with_marks, f"key string, doc_id {kind}, count long, marks array<int>")
+    copies = marks.join(whole, "key")
+    return copies.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).select("doc_id", "ids", "marks")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id, ids and text of each row of ids."""
+    """doc_id, ids and text of each row of ids and marks."""
 
     def give(batches):
         code = pieces(model)
         for batch in batches:
             lists = batch.column("ids")
-            texts = [code.decode(x.values.to_numpy()) if x.is_valid else "" for x in lists]
+            texts = [code.decode(x.values.to_numpy(), m) if x.is_valid else "" for x, m in zip(lists, batch.column("marks").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(texts)], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(give, f"doc_id {kind}, ids array<int>, text string")
+    return encoded.select("doc_id", "ids", "marks").mapInArrow(give, f"doc_id {kind}, ids array<int>, text string")
 
 
 def digest(encoded: DataFrame, model: str) -> DataFrame:
@@ -501,7 +566,7 @@ def digest(encoded: DataFrame, model: str) -> DataFrame:
         code = pieces(model)
         for batch in batches:
             ids = [x.values.to_numpy() for x in batch.column("ids")]
-            texts = [code.decode(x) for x in ids]
+            texts = [code.decode(x, m) for x, m in zip(ids, batch.column("marks").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()),
                  pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in texts]), pa.array([len(t) for t in texts], pa.int64())],
@@ -509,4 +574,4 @@ def digest(encoded: DataFrame, model: str) -> DataFrame:
             )
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(give, f"doc_id {kind}, n_tokens long, ids_crc32 long, text_sha256 string, n_chars long")
+    return encoded.select("doc_id", "ids", "marks").mapInArrow(give, f"doc_id {kind}, n_tokens long, ids_crc32 long, text_sha256 string, n_chars long")

@@ -440,22 +440,23 @@ def test_sentencepiece_is_the_library(spark):
             got = code.encode(pa.array(part)).to_pylist()
             assert got == library().encode(part)
             assert [code.decode(np.array(x, int)) for x in got] == part
-    mark = "a ▁ b▁"  # what the library takes for a blank comes back as well
-    assert code.decode(code.encode(pa.array([mark]))[0].values.to_numpy()) == mark
+    mark = "▁a ▁ b▁"  # what the library takes for a blank has its ids, and comes back by its places
+    ids = code.encode(pa.array([mark]))[0].values.to_numpy()
+    assert ids.tolist() == library().encode(mark) and code.decode(ids, sentencepiece_scan.places_of([mark])[0].as_py()) == mark
 
 
 def test_sentencepiece_chunks(spark, odd, none):
-    """Giant documents: any chunking gives the library's ids, and the text comes back."""
+    """Any chunking, in one task or dealt out, gives the library's ids, and the text comes back."""
     model = queries.tokenizer_file(MODEL)
-    texts = TEXTS + ["▁", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa ing" * 9]
+    texts = TEXTS + ["▁", "▁x ▁▁ y", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa ing" * 9]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
     want = library().encode(texts)
-    for giant, chunk, run in ((0, 1, 4), (0, 5, 3), (0, 17, 2), (3, 100, 256)):
-        encoded = sentencepiece_scan.encode(docs, model, giant, chunk, run)
+    for chunk, run in ((1, 4), (5, 3), (17, 2), (3, 1_000_000), (100, 256)):
+        encoded = sentencepiece_scan.encode(docs, model, chunk, run)
         rows = sentencepiece_scan.decode(encoded, model).collect()
         assert len(rows) == len(texts) + 1
         for r in rows:
-            assert r.text == texts[r.doc_id] and (r.ids == want[r.doc_id] or "▁" in r.text), (r, chunk)
+            assert r.text == texts[r.doc_id] and r.ids == want[r.doc_id], (r, chunk)
     assert sentencepiece_scan.encode(none, model).count() == 0
     assert sentencepiece_scan.decode(sentencepiece_scan.encode(odd, model), model).count() == len(ODD)
 
@@ -464,10 +465,22 @@ def test_sentencepiece_chunks_of_documents(spark, sf):
     """Whole documents, each cut into many chunks, against the library."""
     docs = table(spark, sf, "documents").orderBy("doc_id").limit(12)
     want = {r.doc_id: library().encode(r.text) for r in docs.collect()}
-    for r in sentencepiece_scan.encode(docs, queries.tokenizer_file(MODEL), 0, 500, 3).collect():
+    for r in sentencepiece_scan.encode(docs, queries.tokenizer_file(MODEL), 500, 3).collect():
         assert r.ids == want[r.doc_id]
 
 
+def test_sentencepiece_scans_ordinary_documents(spark, monkeypatch):
+    """At the chunk size of the query many documents go through products, with several states at their cuts."""
+    seen = []
+    plain = sentencepiece_scan.walk
+    monkeypatch.setattr(sentencepiece_scan, "walk", lambda matrices, *ends: seen.append(matrices) or plain(matrices, *ends))
+    texts = [r.text for r in table(spark, SF, "documents").collect()]
+    code = sentencepiece_scan.Pieces(queries.tokenizer_file(MODEL))
+    assert code.encode(pa.array(texts)).to_pylist() == library().encode(texts)
+    assert len(seen) == sum(len(t) >= sentencepiece_scan.CHUNK for t in texts) > len(texts) / 10
+    assert sum(m.shape[1] > 1 for matrices in seen for m in matrices) > len(seen)
+
+
 def test_sentencepiece_documents(spark):
     got = {r.doc_id: r for r in queries.op6_sentencepiece(spark, SF).collect()}
     docs = table(spark, SF, "documents").collect()
