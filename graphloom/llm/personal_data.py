@@ -15,8 +15,9 @@ added; a lone value is not, whatever its form.
 
 A pattern takes part if seeds stand in START of its places.  For patterns of one word, which may
 be as common as any word, a sample of an eighth of the documents shows beforehand most that do not: what
-a sample counts is never more than there is.  The others are looked for in the
-texts MOST_KEYS at a time.  The tables that go round have a row for each distinct pattern and
+a sample counts is never more than there is.  The others are a table that the contexts of
+all texts are joined to by hash, in one pass at any number of patterns; a map of BITS bits rules
+out most contexts before the join decides.  The tables that go round have a row for each distinct pattern and
 value; what a third of all rows share is summed before it is shuffled.
 
 Null texts are empty; empty texts have no spans; repeated rows and null ids are documents
@@ -33,8 +34,8 @@ from graphloom.session import stage
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds of a pattern, least score of a pattern, rounds; least share of seeds in a pattern's places.
 SUPPORT, SURE, ROUNDS, START = 5, 0.7, 3, 0.1
-#: Documents of the sample that rules common words out, at least, and its share of all; patterns that are looked for at once; characters around a seed that its contexts lie in.
-SAMPLE, SHARE, MOST_KEYS, AROUND = 5_000, 1 / 8, 10_000, 240
+#: Documents of the sample that rules common words out, at least, and its share of all; bits of a map of hashes; characters around a seed that are looked at first (where its contexts go on beyond, all are).
+SAMPLE, SHARE, BITS, AROUND = 5_000, 1 / 8, 1 << 20, 240
 
 # The same matches as the plain forms, for any length of text: possessive, as nothing that
 # follows could use what they give back, and tried once for a run of characters, as a run
@@ -55,17 +56,17 @@ KEYS = rf"(?<![^{_MARKS}]){KEY}(?=[.!?]*(?:[{_MARKS}]|\z))"
 SPAN = "struct<kind:string,start:int,end:int>"
 
 
-def running(sizes: Column) -> Column:
-    """Sums of all before each, of an array of ints: blocks, then inside of each block."""
+def running(sizes: Column, join=lambda a, b: a + b) -> Column:
+    """Sums (or another `join` from 0 on) of all before each, of an array of ints: blocks, then inside of each block."""
     side = 256
     empty = F.array().cast("array<int>")
 
     def sums(a):
-        return F.aggregate(a, F.struct(empty.alias("a"), F.lit(0).alias("n")), lambda s, x: F.struct(F.concat(s["a"], F.array(s["n"])).alias("a"), (s["n"] + x).alias("n")))["a"]
+        return F.aggregate(a, F.struct(empty.alias("a"), F.lit(0).alias("n")), lambda s, x: F.struct(F.concat(s["a"], F.array(s["n"])).alias("a"), join(s["n"], x).alias("n")))["a"]
 
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / side).cast("int")), lambda b: F.slice(sizes, b * side + 1, side))
-    starts = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x)))
-    return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(blocks, starts, lambda b, at: F.transform(sums(b), lambda x: x + at)))).otherwise(empty)
+    starts = sums(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), join)))
+    return F.when(F.size(sizes) > 0, F.flatten(F.zip_with(blocks, starts, lambda b, at: F.transform(sums(b), lambda x: join(x, at))))).otherwise(empty)
 
 
 def matches(text: Column, form: str, needs: str | None = None) -> Column:
@@ -134,21 +135,34 @@ def _patterns(before: Column, at: Column, after: Column) -> list[Column]:
     ]
 
 
+def _let(value: Column, use) -> Column:
+    """`use` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def seeds(text: Column, spans: Column) -> Column:
     """Array of (kind, value, word, patterns) of the spans that begin behind white space or a mark, or with the text."""
-
-    def around(x):
-        front = F.substring(text, F.greatest(x["start"] - AROUND + 1, F.lit(1)), F.least(x["start"], F.lit(AROUND)))
-        back = F.substring(text, x["end"] + 1, F.lit(AROUND))
-        words = F.regexp_extract_all(front, F.lit(ELEMENT), F.lit(0))
-        last = F.transform(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), 3), lambda e: F.xxhash64(_plain(e)))
-        after = F.regexp_extract(back, rf"\A[.!?]*[{_MARKS}]+({ELEMENT})", 1)
-        return F.struct(
-            x["kind"].alias("kind"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("value"), last.alias("last"),
-            F.when(after != "", F.xxhash64(_plain(after))).alias("after"), front.alias("front"),
-        )
-
-    found = F.filter(F.transform(spans, around), lambda x: (x["front"] == "") | x["front"].rlike(rf"[{_MARKS}]\z"))
+    elements = lambda t: F.regexp_extract_all(t, F.lit(ELEMENT), F.lit(0))
+    follows = rf"\A[.!?]*[{_MARKS}]+({ELEMENT})"
+
+    def last(x):
+        # the first element may be cut: more than three have three whole ones
+        near = elements(F.substring(text, F.greatest(x["start"] - AROUND + 1, F.lit(1)), F.least(x["start"], F.lit(AROUND))))
+        whole = lambda e: F.when((x["start"] <= AROUND) | (F.size(e) > 3), e).otherwise(elements(F.substring(text, F.lit(1), x["start"])))
+        return _let(_let(near, whole), lambda e: F.transform(F.slice(e, F.greatest(F.size(e) - 2, F.lit(1)), 3), lambda w: F.xxhash64(_plain(w))))
+
+    def behind(x):
+        def whole(back):
+            # the window shows it whole, unless it cuts a match or what comes before one
+            inside = (F.length(back) < AROUND) | F.length(F.regexp_extract(back, follows, 0)).between(1, AROUND - 1) | ~back.rlike(rf"\A[.!?]*[{_MARKS}]*\z")
+            return F.when(inside, back).otherwise(F.substring(text, x["end"] + 1, F.length(text)))
+
+        after = _let(F.substring(text, x["end"] + 1, F.lit(AROUND)), lambda back: F.regexp_extract(whole(back), follows, 1))
+        return _let(after, lambda e: F.when(e != "", F.xxhash64(_plain(e))))
+
+    starts = lambda x: (x["start"] == 0) | F.substring(text, x["start"], F.lit(1)).rlike(rf"[{_MARKS}]")
+    around = lambda x: F.struct(x["kind"].alias("kind"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("value"), last(x).alias("last"), behind(x).alias("after"))
+    found = F.transform(F.filter(spans, starts), around)
     return F.transform(found, lambda x: F.struct(x["kind"], x["value"], F.get(x["last"], F.size(x["last"]) - 1).alias("word"), F.array(*_patterns(x["last"], F.size(x["last"]) - 1, x["after"])).alias("patterns")))
 
 
@@ -169,13 +183,30 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.transform(F.regexp_extract_all(_plain(F.col("text")), F.lit(ELEMENT), F.lit(0)), lambda e: F.xxhash64(e)))
 
 
-def places(docs: DataFrame, patterns: list[int], words: list[int]) -> DataFrame:
-    """key, pattern, value, start, end: what stands in the places of the patterns in all texts; `words` are the hashes of their last words."""
+def _bitmap(hashes: DataFrame, bits: int) -> Column:
+    """The bits that the hashes (the only column) set, as a literal of bits / 64 numbers whatever their count."""
+    bit = hashes.toDF("h").select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("bit"))
+    words = bit.groupBy(F.shiftright("bit", 6).alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("w")).collect()
+    full = [0] * (bits // 64)
+    for r in words:
+        full[r.slot] = r.w
+    return F.split(F.lit(",".join(map(str, full))), ",").cast("array<bigint>")
+
+
+def _maybe(bitmap: Column, h: Column, bits: int) -> Column:
+    """False for most hashes that are not in the map."""
+    bit = h.bitwiseAND(F.lit(bits - 1))
+    return F.getbit(F.get(bitmap, F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def places(docs: DataFrame, wanted: DataFrame, bits: int = BITS) -> DataFrame:
+    """key, pattern, value, start, end: what stands in the places of the patterns of `wanted` (pattern, word: the hash of its last one) in all texts."""
     h, e, text, at = F.col("h"), F.col("e"), F.col("text"), F.col("at")
+    words, patterns = _bitmap(wanted.select("word"), bits), _bitmap(wanted.select("pattern"), bits)
     # a filter, or the one that Spark infers for explode, would be moved below all that it is made of, and that into the lambdas
-    rows = _hashed(docs).withColumn("at", F.filter(F.transform("h", lambda x, i: F.when(x.isin(words), i)), lambda i: i.isNotNull()))
-    wanted = lambda i: F.filter(F.array(*_patterns(h, i, F.get(h, i + 2))), lambda p: p.isin(patterns))
-    found = F.filter(F.transform(at, lambda i: F.struct(i.alias("i"), F.when(i + 1 < F.size(h), wanted(i)).alias("patterns"))), lambda x: F.size(x["patterns"]) > 0)
+    rows = _hashed(docs).withColumn("at", F.filter(F.transform("h", lambda x, i: F.when(_maybe(words, x, bits), i)), lambda i: i.isNotNull()))
+    some_of = lambda i: F.filter(F.array(*_patterns(h, i, F.get(h, i + 2))), lambda p: _maybe(patterns, p, bits))
+    found = F.filter(F.transform(at, lambda i: F.struct(i.alias("i"), F.when(i + 1 < F.size(h), some_of(i)).alias("patterns"))), lambda x: F.size(x["patterns"]) > 0)
     rows = rows.withColumn("hits", F.when(F.size(at) > 0, found))
     some = F.size("hits") > 0
     rows = rows.withColumn("e", F.when(some, F.regexp_extract_all(text, F.lit(ELEMENT), F.lit(0))))
@@ -190,7 +221,8 @@ def places(docs: DataFrame, patterns: list[int], words: list[int]) -> DataFrame:
         return F.struct(x["patterns"].alias("patterns"), start.alias("start"), F.when(quoted != "", quoted).otherwise(word).alias("value"))
 
     found = rows.select("key", F.explode_outer(F.transform("hits", value)).alias("v")).where("v is not null")
-    return found.select("key", F.explode("v.patterns").alias("pattern"), "v.value", "v.start", (F.col("v.start") + F.length("v.value")).alias("end"))
+    found = found.select("key", F.explode("v.patterns").alias("pattern"), "v.value", "v.start", (F.col("v.start") + F.length("v.value")).alias("end"))
+    return found.join(wanted.select("pattern").distinct(), "pattern", "left_semi").select("key", "pattern", "value", "start", "end")
 
 
 def candidates(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
@@ -211,16 +243,10 @@ def row_key() -> Column:
     return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256)
 
 
-def discover(docs: DataFrame, found: DataFrame, support: int = SUPPORT, sure: float = SURE, rounds: int = ROUNDS, most_keys: int = MOST_KEYS) -> DataFrame:
+def discover(docs: DataFrame, found: DataFrame, support: int = SUPPORT, sure: float = SURE, rounds: int = ROUNDS, bits: int = BITS) -> DataFrame:
     """key, spans (array, by start): what stands in the places of sure patterns, outside of the base spans."""
     seeded = candidates(docs, found, support)
-    # numbers, looked for MOST_KEYS at a time
-    keys = [(r.pattern, r.word) for r in seeded.select("pattern", "word").distinct().orderBy("pattern").collect()]
-    here = None
-    for at in range(0, max(1, len(keys)), most_keys):
-        some = keys[at : at + most_keys]
-        part = stage(places(docs, [p for p, _ in some], sorted({w for _, w in some})), "places")
-        here = part if here is None else here.unionByName(part)
+    here = stage(places(docs, seeded.select("pattern", "word").distinct(), bits), "places")
     inside = F.exists("base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
     taking = here.groupBy("pattern").agg(F.count("*").alias("n")).join(seeded.groupBy("pattern").agg(F.sum("times").alias("times")), "pattern").where(F.col("times") >= START * F.col("n")).select("pattern")
     taking = stage(taking, "taking")
@@ -270,15 +296,11 @@ def find(docs: DataFrame) -> DataFrame:
 def masked(text: Column, spans: Column) -> Column:
     """The text with each span, or spans that overlap, replaced by its kind in angle brackets."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    start = F.struct(F.array().cast(f"array<{SPAN}>").alias("a"), F.lit(0).alias("n"))
-    apart = F.aggregate(
-        ordered,
-        start,
-        lambda s, x: F.struct(F.when(x["start"] >= s["n"], F.concat(s["a"], F.array(x))).otherwise(s["a"]).alias("a"), F.greatest(s["n"], x["end"]).alias("n")),
-        lambda s: s["a"],
-    )
-    # what follows a span up to the next one; ends of spans that overlap a kept one are covered by its own
-    ends = F.concat(F.array(F.lit(0)), F.transform(apart, lambda x: F.aggregate(ordered, x["end"], lambda e, y: F.when((y["start"] < e) & (y["end"] > e) & (y["start"] >= x["start"]), y["end"]).otherwise(e))))
+    # how far the spans before each one reach, and all of them: one that begins behind that begins a mark
+    reach = running(F.concat(F.transform(ordered, lambda x: x["end"]), F.array(F.lit(0))), lambda a, b: F.greatest(a, b))
+    apart = F.filter(F.zip_with(ordered, F.slice(reach, 1, F.size(ordered)), lambda x, n: F.struct(x.alias("x"), n.alias("n"))), lambda y: y["x"]["start"] >= y["n"])
+    ends = F.concat(F.transform(apart, lambda y: y["n"]), F.array(F.element_at(reach, -1)))
+    apart = F.transform(apart, lambda y: y["x"])
     begins = F.concat(F.transform(apart, lambda x: x["start"]), F.array(F.length(text)))
     gaps = F.zip_with(ends, begins, lambda e, b: F.substring(text, e + 1, F.greatest(b - e, F.lit(0))))
     marks = F.concat(F.transform(apart, lambda x: F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))), F.array(F.lit("")))

@@ -315,6 +315,26 @@ def test_patterns_discover(spark, odd, none):
     assert personal_data.find(none).count() == 0
 
 
+def test_masked_is_brute_force(spark):
+    """Marks in place of spans that may overlap, in texts with very many of them."""
+    rng, rows = random.Random(3), []
+    for n in [0, 1, 2, 5, 40, 300, 1500]:
+        text = "".join(rng.choice("ab é") for _ in range(4 * n + 5))
+        spans = [(rng.choice(["ip", "card"]), a, min(len(text), a + rng.randrange(1, 9))) for a in (rng.randrange(len(text)) for _ in range(n))]
+        rows.append((text, spans))
+    df = spark.createDataFrame(rows, f"text string, spans array<{personal_data.SPAN}>")
+    for r in df.withColumn("got", personal_data.masked(F.col("text"), F.col("spans"))).collect():
+        out, end = "", 0
+        for kind, a, b in sorted(map(tuple, r.spans), key=lambda s: (s[1], -s[2])):
+            if a >= end:
+                out += r.text[end:a] + f"<{kind.upper()}>"
+            end = max(end, b)
+        if len({(a, -b) for _, a, b in r.spans}) == len(r.spans):
+            assert r.got == out + r.text[end:]
+        else:  # spans of the same bounds and several kinds: either kind
+            assert re.sub("<[A-Z]+>", "<>", r.got) == re.sub("<[A-Z]+>", "<>", out + r.text[end:])
+
+
 def test_values_run_to_their_end(spark):
     """Long, quoted and spaced values are whole; labels have digits and any length."""
     secret, label = "s3cr!t " * 30 + "end", "a_very_long_label_of_a_field_2"
@@ -324,7 +344,7 @@ def test_values_run_to_their_end(spark):
     words = [re.findall(personal_data.ELEMENT.replace("++", "+").replace("*+", "*"), f) for f in fronts]
     h = lambda *x: spark.range(1).select(F.xxhash64(*(F.lit(v).cast("long") if i and isinstance(v, int) else F.lit(v) for i, v in enumerate(x)))).first()[0]
     patterns = [h(len(w), *(h(x) for x in w)) for w in words]
-    got = {(r.pattern, r.value, r.start, r.end) for r in personal_data.places(docs, patterns, [h(w[-1]) for w in words]).collect()}
+    got = {(r.pattern, r.value, r.start, r.end) for r in personal_data.places(docs, spark.createDataFrame([(p, h(w[-1])) for p, w in zip(patterns, words)], "pattern long, word long")).collect()}
     values = [secret, "+1", "abc.def", "x y", "k" * 5000, "open", "x-1"]
     assert got == {(p, v, len(f) + (i == 6), len(f) + (i == 6) + len(v)) for i, (p, v, f) in enumerate(zip(patterns, values, fronts))}
     rows = [(i, f"phone: +1 (743) 555-38{i}") for i in range(10, 20)] + [(50, "phone: 743-555-1234 at home")]
@@ -397,6 +417,11 @@ def test_discovery_is_brute_force(spark):
     texts += [f"{word(2)} write to u{i}@mail.example.org or {word(3)}" for i in range(9)] + ["please write to our-office-desk or leave", "", f"write to u1@mail.example.org. Then {word(5)}"]
     texts += [f"we sat at desk{chr(97 + i)} {word(2)} at hall{chr(97 + i)}" for i in range(20)]  # `at` alone is no sure pattern
     texts += [f"id={i} {word(3)}" for i in range(20)] + [f"reach u{i}@a.example.org via id={i}" for i in range(12)]
+    # contexts far longer than what is looked at first, before and behind
+    long, far = "very_long_label_" * 40, "z" * 700
+    texts += [f"{word(2)} {long}: u{i}@far.example.org {word(3)}" for i in range(9)] + [f"{word(1)} {long}: some-one-at-far {word(2)}", f"{word(1)} x{long}: nothing {word(2)}"]
+    texts += [f"so u{i}@near.example.org  {'.' * i} {far} {word(1)}" for i in range(3)] + [f"so u{i}@near.example.org {far} {word(1)}" for i in range(9)] + [f"so some-one-near {far} x"]
+    texts += [" " * 300 + f"{far} {far} {far} u{i}@triple.example.org" for i in range(8)]
     docs = list(enumerate(texts))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     want = plain_discover(docs)
@@ -406,10 +431,10 @@ def test_discovery_is_brute_force(spark):
     apart = {x for x in want if not any(x != y and x[0] == y[0] and y[1] <= x[1] < y[2] and (y[1], -y[2]) < (x[1], -x[2]) for y in want)}
     assert got == apart
     at = {(d, texts[d][a:b]) for d, a, b in got}
-    assert {(30, "x-0-y"), (31, "x-1-y"), (47, "not so long")} <= at and not any(d in (33, 34, 48) for d, _ in at)
-    # looked for in several passes
+    assert {(30, "x-0-y"), (31, "x-1-y"), (47, "not so long")} <= at and {"some-one-at-far", "some-one-near"} <= {v for _, v in at} and "nothing" not in {v for _, v in at} and not any(d in (33, 34, 48) for d, _ in at)
+    # a map of so few bits that it rules out little
     found = personal_data.stage(personal_data.extract(df), "base")
-    several = {(r.key, tuple(map(tuple, r.spans))) for r in personal_data.discover(df, found, most_keys=3).collect()}
+    several = {(r.key, tuple(map(tuple, r.spans))) for r in personal_data.discover(df, found, bits=64).collect()}
     assert several == {(r.key, tuple(map(tuple, r.spans))) for r in personal_data.discover(df, found).collect()}
 
 
