@@ -13,9 +13,9 @@ as the share of its distinct values that are believed, an instance outside the s
 the patterns that it stands in make it.  Only what stands in the place of a sure pattern is
 added; a lone value is not, whatever its form.
 
-A pattern takes part if seeds stand in START of its places.  For patterns of one word, which may
-be as common as any word, a sample of an eighth of the documents shows beforehand most that do not: what
-a sample counts is never more than there is.  The others are a table that the contexts of
+A pattern takes part if seeds stand in START of its places.  Of those that do not, a sample of an
+eighth of the documents shows most beforehand: what a sample counts is never more than there is.
+The others are a table that the contexts of
 all texts are joined to by hash, in one pass at any number of patterns; a map of BITS bits rules
 out most contexts before the join decides.  The tables that go round have a row for each distinct pattern and
 value; what a third of all rows share is summed before it is shuffled.
@@ -230,11 +230,13 @@ def candidates(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> Dat
     each = found.select(F.explode("seeds").alias("s")).select(F.posexplode("s.patterns").alias("level", "pattern"), "s.word", "s.value", "s.kind").where("pattern is not null")
     graph = stage(each.groupBy("level", "pattern", "word", F.xxhash64("value").alias("value")).agg(F.max("kind").alias("kind"), F.count("*").alias("times")), "seeds")
     enough = graph.groupBy("level", "pattern").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= support)
-    # one word: ruled out where a sample already has too many places of it
+    # ruled out where a sample already has too many places of it
     share = min(1.0, max(SHARE, SAMPLE / max(1, found.count())))
     some = _hashed(docs.sample(share, seed=11) if share < 1 else docs)
-    single = some.select(F.explode_outer(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0)))).alias("one")).where("one is not null")
-    common = single.groupBy(F.xxhash64(F.lit(1), F.col("one")).alias("pattern")).agg(F.count("*").alias("seen"))
+    of = lambda i: F.array(*_patterns(F.col("h"), i, F.get("h", i + 2)))
+    contexts = F.when(F.size("h") > 1, F.flatten(F.transform(F.sequence(F.lit(0), F.size("h") - 2), of)))
+    each = some.select(F.explode_outer(contexts).alias("pattern")).where(_maybe(_bitmap(enough.select("pattern"), BITS), F.col("pattern"), BITS))
+    common = each.groupBy("pattern").agg(F.count("*").alias("seen"))
     kept = enough.join(common, "pattern", "left").where(F.coalesce("seen", F.lit(0)) * START <= F.col("times")).select("pattern")
     return stage(graph.join(kept, "pattern", "left_semi").select("pattern", "word", "value", "kind", "times"), "candidates")
 
