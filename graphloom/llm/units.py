@@ -11,14 +11,13 @@ slower rule of the same kind.
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of units (and their ids) that a generation of a worker's memory holds; there are two of them.
-GENERATION = 24_000_000
+#: Bytes of units (and their ids) that a worker's memory holds before it forgets some.
+MEMORY = 12_000_000
 #: Bytes of text that are put through in one go; bounds a worker's memory.
 BLOCK_CHARS = 3_000_000
 
@@ -36,7 +35,7 @@ _WORKERS: dict[str, "UnitEncoder"] = {}
 class UnitEncoder:
     """Encodes Arrow string arrays with one tokenizer file."""
 
-    def __init__(self, path: str, generation: int = GENERATION):
+    def __init__(self, path: str, memory: int = MEMORY):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,12 +43,10 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.generation = generation
-        #: places of units in `flat` by `offsets`; the generation before is looked at for what this one lacks
-        self.known: dict[str, int] = {}
-        self.flat, self.offsets = np.zeros(0, self.dtype), np.zeros(1, np.int64)
-        self.before: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, self.flat, self.offsets)
-        self.held = 0
+        self.memory = memory
+        #: unit i has the ids flat[offsets[i] : offsets[i + 1]]; seen[i] blocks had it, those before it was last kept count half
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.offsets, self.seen = np.zeros(0, self.dtype), np.zeros(1, np.int64), np.zeros(0)
         for self.mark in ("\n", "\n€\n", "\n•\n", "\n1\n"):  # a text that is one token between any two units
             ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
             if len(ids) == 1:
@@ -61,60 +58,65 @@ class UnitEncoder:
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
-    def _places(self, units: list[str]) -> np.ndarray:
-        """The place of each of the distinct units in the memory, learning those that it lacks."""
-        found = np.fromiter(map(self.known.get, units, repeat(-1)), np.int64, len(units))
+    def _places(self, units: pa.Array) -> np.ndarray:
+        """The place of each of the units in the memory, learning those that it lacks."""
+        if self._taken().sum() > self.memory:
+            self._forget()
+        coded = units.dictionary_encode()
+        found = np.array(pc.fill_null(pc.index_in(coded.dictionary, self.known), -1))
         if (missing := np.flatnonzero(found < 0)).size:
-            if self.held > self.generation:
-                self.before = (self.known, self.flat, self.offsets)
-                self.known, self.flat, self.offsets, self.held = {}, np.zeros(0, self.dtype), np.zeros(1, np.int64), 0
-                missing = np.arange(len(units))
-            names = [units[i] for i in missing.tolist()]
-            old, flat, offsets = self.before
-            at = np.fromiter(map(old.get, names, repeat(-1)), np.int64, len(names))
-            kept = np.flatnonzero(at >= 0)
-            runs = [(kept, ragged(flat, offsets, at[kept]), np.diff(offsets)[at[kept]])]
-            new = np.flatnonzero(at < 0)
-            runs += self._encoded([names[i] for i in new.tolist()], new)
-            for which, ids, size in runs:
-                base = len(self.offsets) - 1
-                self.known.update(zip([names[i] for i in which.tolist()], range(base, base + len(which))))
-                self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(size)])
-            self.flat = np.concatenate([self.flat, *(ids for _, ids, _ in runs)])
-            # a unit takes a dictionary entry, a string and a place beside its ids
-            self.held += 140 * len(names) + sum(ids.nbytes for _, ids, _ in runs)
-            found = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        return found
-
-    def _encoded(self, units: list[str], which: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Runs of (places in `which`, ids, ids of each): some units as lines of one text, as a call costs more than a unit."""
+            new = coded.dictionary.take(pa.array(missing))
+            ids, size = self._encoded(new)
+            found[missing] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.flat = np.concatenate([self.flat, ids])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(size)])
+            self.seen = np.concatenate([self.seen, np.zeros(len(new))])
+        self.seen[found] += 1
+        return found[np.asarray(coded.indices)]
+
+    def _taken(self) -> np.ndarray:
+        """Bytes of each unit: its characters, its ids, and three numbers."""
+        return np.asarray(pc.binary_length(self.known)) + np.diff(self.offsets) * self.flat.itemsize + 24
+
+    def _forget(self) -> None:
+        """Keeps the units that most blocks had, younger ones first, as far as half of the memory holds them."""
+        order = np.argsort(self.seen, kind="stable")[::-1]
+        kept = np.sort(order[np.cumsum(self._taken()[order]) <= self.memory // 2])
+        size = np.diff(self.offsets)[kept]
+        self.known, self.flat = self.known.take(pa.array(kept)), ragged(self.flat, self.offsets, kept)
+        self.offsets, self.seen = np.r_[0, np.cumsum(size)], self.seen[kept] / 2
+
+    def _encoded(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units one after the other, and how many each has: most are lines of one text, as a call costs more than a unit."""
         core = self.mark.strip("\n") or self.mark
-        apart = np.asarray(pc.match_substring_regex(pa.array(units, pa.string()), rf"\n|\A\z|{_WHITE}\z|\A{_WHITE_BUT_BLANK}|{re.escape(core)}"), bool)
-        out = []
-        for i in np.flatnonzero(apart).tolist():
-            ids = np.array(self.tokenizer.encode(units[i], add_special_tokens=False).ids, self.dtype)
-            out.append((which[i : i + 1], ids, np.array([len(ids)])))
-        together = np.flatnonzero(~apart)
-        for at in range(0, len(together), JOINED):
-            part = together[at : at + JOINED]
-            (e,) = self.tokenizer.encode_batch_fast([self.mark.join([units[i] for i in part.tolist()])], add_special_tokens=False)
+        apart = np.asarray(pc.match_substring_regex(units, rf"\n|\A\z|{_WHITE}\z|\A{_WHITE_BUT_BLANK}|{re.escape(core)}"), bool)
+        alone, together = np.flatnonzero(apart), np.flatnonzero(~apart)
+        runs = [self._whole(u) for u in units.take(pa.array(alone)).to_pylist()]
+        sizes = [np.array([len(r) for r in runs], np.int64)]
+        bounds = np.append(np.arange(0, len(together), JOINED), len(together))
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), units.take(pa.array(together)))
+        for many, lines in zip(np.diff(bounds).tolist(), pc.binary_join(lists, pa.scalar(self.mark, pa.large_string()))):
+            (e,) = self.tokenizer.encode_batch_fast([lines.as_py()], add_special_tokens=False)
             ids = np.array(e.ids, self.dtype)
             ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part) - 1:
+            if len(ends) != many - 1:
                 raise ValueError("the tokenizer does not keep units apart")
-            out.append((which[part], np.delete(ids, ends), np.diff(np.r_[-1, ends, len(ids)]) - 1))
-        return out
+            runs.append(np.delete(ids, ends))
+            sizes.append(np.diff(np.r_[-1, ends, len(ids)]) - 1)
+        flat, size = np.concatenate([np.zeros(0, self.dtype), *runs]), np.concatenate(sizes)
+        order = np.argsort(np.r_[alone, together])
+        return ragged(flat, np.r_[0, np.cumsum(size)], order), size[order]
 
-    def _slow(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, self.dtype)
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+
+    def _uneven_units(self, text: str) -> pa.Array:
+        """Units by the slower rule; none of a text that is encoded as it is."""
         if self.special and self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
+            return pa.array([], pa.large_string())
         first, *rest = _INNER_BLANK.split(text)
-        units = [first, *(" " + u for u in rest)]
-        distinct = list(dict.fromkeys(units))
-        place = dict(zip(distinct, self._places(distinct).tolist()))
-        return ragged(self.flat, self.offsets, np.fromiter((place[u] for u in units), np.int64, len(units)))
+        return pa.array([first, *(" " + u for u in rest)], pa.large_string())
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each text has (null: none)."""
@@ -131,19 +133,22 @@ class UnitEncoder:
         even = pc.replace_substring_regex(even, r"(\pL)([!-/:-@\[-`{-~])", "\\1\x00\\2")
         lists = pc.split_pattern(even, "\x00")
         offsets = np.asarray(lists.offsets, np.int64)
-        coded = lists.flatten().dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())[np.asarray(coded.indices, np.int64)]
-        ids, size = ragged(self.flat, self.offsets, places), np.diff(self.offsets)[places]
-        counts = np.add.reduceat(size, offsets[:-1] - offsets[0])
-        if not slow.any():
+        units, rows = lists.flatten(), np.flatnonzero(slow).tolist()
+        uneven = [self._uneven_units(texts[i].as_py()) for i in rows]
+        places = self._places(pa.concat_arrays([units, *uneven]))
+        ids = ragged(self.flat, self.offsets, places)
+        ends = np.r_[0, np.cumsum(np.diff(self.offsets)[places])]
+        bounds = ends[offsets - offsets[0]]
+        counts = np.diff(bounds)
+        if not rows:
             return ids, counts
-        ends = np.cumsum(counts)
+        own = ends[np.cumsum([len(units), *map(len, uneven)])].tolist()
         parts, done = [], 0
-        for i in np.flatnonzero(slow).tolist():
-            parts += [ids[done : ends[i]], self._slow(texts[i].as_py())]
-            done = int(ends[i])
+        for i, cut, a, b in zip(rows, uneven, own, own[1:]):
+            parts += [ids[done : bounds[i]], ids[a:b] if len(cut) else self._whole(texts[i].as_py())]
+            done = int(bounds[i])
             counts[i] = len(parts[-1])
-        return np.concatenate([*parts, ids[done:]]), counts
+        return np.concatenate([*parts, ids[done : bounds[-1]]]), counts
 
 
 def ragged(flat: np.ndarray, offsets: np.ndarray, places: np.ndarray) -> np.ndarray:

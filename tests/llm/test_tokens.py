@@ -53,6 +53,26 @@ def test_units_of_many_kinds(name, sf):
             assert ids.tolist() == np.concatenate([w[:-1] for w in want[at : at + 500]]).tolist()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_frequent_units_stay(name):
+    """A flood of units that come once, one of them as large as the memory, does not drive out those that most blocks had."""
+    code = UnitEncoder(tokenizer_file(name), 20_000)
+    encoded, learn = [], code._encoded
+    code._encoded = lambda units, *rest: encoded.append(len(units)) or learn(units, *rest)
+    common = " ".join(f"word{i} of" for i in range(40))
+    for _ in range(40):
+        code.encode(pa.array([common]))
+    assert sum(encoded) <= 42
+    flood = [" ".join(f"once{i} flood{i}" for i in range(at, at + 75)) for at in range(0, 750, 75)] + ["x" * 20_000, "end"]
+    for text in flood:
+        code.encode(pa.array([text]))
+    encoded.clear()
+    ids, counts = code.encode(pa.array([common, "  " + common]))
+    assert sum(encoded) <= 2
+    want = plain(tokenizer_file(name), [common, "  " + common], 0)
+    assert ids.tolist() == [i for w in want for i in w[:-1]] and counts.tolist() == [len(w) - 1 for w in want]
+
+
 def key(row):
     return (row[0] is not None, row[0] or 0, row[1] or "")
 
