@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -104,23 +102,23 @@ def import_aliases(parsed: DataFrame) -> DataFrame:
     return rows.groupBy("file", "name").agg(F.max_by("module", F.struct("at", "place")).alias("module"))
 
 
-def resolve_targets(refs: DataFrame, symbols: DataFrame, libraries: DataFrame) -> DataFrame:
-    """ref_id, target: what each reference (ref_id, file, receiver, name, module) stands for.
+def targets(refs: DataFrame, symbols: DataFrame, libraries: DataFrame) -> DataFrame:
+    """References (file, receiver, name, module, ...) with `target`, what each of them stands for, or null.
 
     A method of the class that the receiver names, then any symbol that is called receiver.name, then a symbol of that
-    name, then the library (id, module) that the name comes from.  Every lookup has one row for a key, so a
-    name that very many symbols have makes no more rows than there are references."""
-    s = symbols.select(F.col("id").alias("target"), "qualified", "kind").where("qualified is not null")
-    wanted = refs.where("receiver <> ''").select("ref_id", F.concat_ws(".", "receiver", "name").alias("qualified"))
-    one = lambda rows: top_per_key(rows, ["qualified"], [F.col("target")]).select("qualified", "target")
-    ranks = [
-        wanted.join(one(s.where("kind = 'Method'")), "qualified").select("ref_id", "target", F.lit(1).alias("rank")),
-        wanted.join(one(s), "qualified").select("ref_id", "target", F.lit(2).alias("rank")),
-        resolve(refs.withColumn("receiver", F.lit(None).cast("string")), symbols).select("ref_id", "target", F.lit(3).alias("rank")),
-        refs.where("module is not null").join(libraries.select(F.col("id").alias("target"), "module"), "module").select("ref_id", "target", F.lit(4).alias("rank")),
-    ]
-    found = reduce(DataFrame.unionByName, ranks)
-    return found.groupBy("ref_id").agg(F.min_by("target", F.struct("rank", "target")).alias("target"))
+    name, of the same file first, then the library (id, module) that the name comes from.  Every lookup has one row for a
+    key, so a name that very many symbols have makes no more rows than there are references."""
+    method_first = [F.when(F.col("kind") == "Method", 0).otherwise(1), F.col("id")]
+    one = lambda keys, to: top_per_key(symbols.where(" and ".join(f"{k} is not null" for k in keys)), keys, method_first).select(*keys, F.col("id").alias(to))
+    rows = refs.withColumn("qualified", F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "name")))
+    rows = rows.join(one(["qualified"], "_q"), "qualified", "left").join(one(["file", "name"], "_f"), ["file", "name"], "left").join(one(["name"], "_n"), "name", "left")
+    rows = rows.join(libraries.groupBy("module").agg(F.min("id").alias("_l")), "module", "left")
+    return rows.select(*refs.columns, F.coalesce("_q", "_f", "_n", "_l").alias("target"))
+
+
+def resolve_targets(refs: DataFrame, symbols: DataFrame, libraries: DataFrame) -> DataFrame:
+    """ref_id, target: what each reference (ref_id, file, receiver, name, module) stands for, by `targets`."""
+    return targets(refs, symbols, libraries).where("target is not null").select("ref_id", "target")
 
 
 def resolve_id(nodes: DataFrame, wanted: str) -> DataFrame:
@@ -165,70 +163,82 @@ def database_access(bodies: DataFrame, tables: DataFrame) -> DataFrame:
     return hits.select(F.col("id").alias("src"), F.explode(kinds).alias("type"), node_id("DatabaseTable", F.col("table")).alias("dst")).distinct()
 
 
+def declared(parsed: DataFrame) -> DataFrame:
+    """label, file, class, name: the functions, classes and methods of parsed files, each once."""
+    none = F.lit(None).cast("string")
+    shape = lambda rows, label, class_, name: rows.select(F.lit(label).alias("label"), "file", class_.alias("class"), name.alias("name"))
+    methods = parsed.select("file", F.explode("classes").alias("c")).select("file", F.col("c.name").alias("class"), F.explode("c.methods.name").alias("name"))
+    rows = shape(parsed.select("file", F.explode("functions.name").alias("name")), "Function", none, F.col("name"))
+    rows = rows.unionByName(shape(parsed.select("file", F.explode("classes.name").alias("name")), "Class", none, F.col("name")))
+    return rows.unionByName(shape(methods, "Method", F.col("class"), F.col("name"))).distinct()
+
+
+def symbol_nodes(symbols: DataFrame, repo: str) -> DataFrame:
+    """Nodes of declared symbols (label, file, class, name), one row an id: where parts of names give one id, the longest file and class count."""
+    ids = symbols.select("label", node_id(F.col("label"), F.lit(repo), *map(F.col, ("file", "class", "name"))).alias("id"), F.struct("file", "class", "name").alias("s"))
+    rows = ids.groupBy("id", "label").agg(F.max("s").alias("s"))
+    return rows.select("id", "label", "s.name", "s.file", F.concat_ws(".", "s.class", "s.name").alias("qualified"), F.lit(repo).alias("repo_id"))
+
+
 def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of parsed files with their sources (file, content); names are resolved over all files."""
     r = F.lit(repo)
-    file_id = node_id("File", r, F.col("file"))
     none = F.lit(None).cast("string")
-    shape = lambda id_, label, name, file, qualified, ord_: (id_.alias("id"), F.lit(label).alias("label"), name.alias("name"), file.alias("file"), qualified.alias("qualified"), r.alias("repo_id"), F.struct(F.lit(ord_).alias("kind"), file.alias("file")).alias("ord"))
-    f = parsed.select("file", F.explode("functions").alias("s"))
+    repo_id, file_id = node_id("Repository", r), node_id("File", r, F.col("file"))
+    class_id, library_id = node_id("Class", r, F.col("file"), F.col("s.name")), node_id("ExternalLibrary", F.col("module"))
+    endpoint_id, table_id = node_id("ApiEndpoint", r, F.upper("s.method"), F.col("s.route")), node_id("DatabaseTable", F.col("table"))
+    files = parsed.select("file").distinct()
+    # read for every kind of lookup
+    symbols = stage(declared(parsed), "symbols")
     c = parsed.select("file", F.explode("classes").alias("s"))
-    m = c.select("file", F.col("s.name").alias("class"), F.explode("s.methods").alias("s"))
     e = parsed.select("file", F.explode("api_endpoints").alias("s"))
     i = parsed.select("file", F.explode("imports").alias("s"))
-    function_id, class_id = node_id("Function", r, F.col("file"), F.col("s.name")), node_id("Class", r, F.col("file"), F.col("s.name"))
-    method_id = node_id("Method", r, F.col("file"), F.col("class"), F.col("s.name"))
-    endpoint_id = node_id("ApiEndpoint", r, F.upper("s.method"), F.col("s.route"))
     tables = database_tables(sources)
-    table_id = node_id("DatabaseTable", F.col("table"))
-    library_id = node_id("ExternalLibrary", F.col("s.module"))
-    nodes = parsed.limit(1).select(*shape(node_id("Repository", r), "Repository", r, none, none, 0))
-    for part in (
-        parsed.select(*shape(file_id, "File", none, F.col("file"), none, 1)),
-        f.select(*shape(function_id, "Function", F.col("s.name"), F.col("file"), F.col("s.name"), 2)),
-        c.select(*shape(class_id, "Class", F.col("s.name"), F.col("file"), F.col("s.name"), 3)),
-        m.select(*shape(method_id, "Method", F.col("s.name"), F.col("file"), F.concat_ws(".", "class", "s.name"), 4)),
-        e.select(*shape(endpoint_id, "ApiEndpoint", none, F.col("file"), none, 5)),
-        tables.select(*shape(table_id, "DatabaseTable", F.col("table"), F.col("file"), none, 6)),
-        i.where("s.is_external").select(*shape(library_id, "ExternalLibrary", F.col("s.module"), none, none, 7)).withColumn("repo_id", none),
-    ):
-        nodes = nodes.unionByName(part)
-    # read for every kind of edge
-    nodes = stage(merge_nodes(nodes, "ord"), "nodes")
-    symbols = nodes.where("label in ('Function', 'Class', 'Method')").select("id", "name", "qualified", "file", F.col("label").alias("kind"))
-    edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"))
-    repo_id = node_id("Repository", r)
-    edges = edge(parsed, repo_id, "DEFINES", file_id)
+    libraries = i.where("s.is_external").select(F.col("s.module").alias("module")).distinct().select(library_id.alias("id"), "module")
+
+    node = lambda df, label, id_, name, file, repo_: df.select(id_.alias("id"), F.lit(label).alias("label"), name.alias("name"), file.alias("file"), none.alias("qualified"), repo_.alias("repo_id"))
+    nodes = symbol_nodes(symbols, repo)
     for part in (
-        edge(f, file_id, "DEFINES", function_id), edge(c, file_id, "DEFINES", class_id), edge(m, node_id("Class", r, F.col("file"), F.col("class")), "DEFINES", method_id),
-        edge(e, file_id, "DEFINES", endpoint_id), edge(tables, file_id, "DEFINES", table_id), edge(i.where("s.is_external"), file_id, "IMPORTS", library_id),
+        node(parsed.limit(1), "Repository", repo_id, r, none, r), node(files, "File", file_id, none, F.col("file"), r),
+        node(e.groupBy(endpoint_id.alias("id")).agg(F.max("file").alias("file")), "ApiEndpoint", F.col("id"), none, F.col("file"), r),
+        node(tables.groupBy("table").agg(F.max("file").alias("file")), "DatabaseTable", table_id, F.col("table"), F.col("file"), r),
+        node(libraries, "ExternalLibrary", F.col("id"), F.col("module"), none, none),
     ):
-        edges = edges.unionByName(part)
-
-    libraries = nodes.where("label = 'ExternalLibrary'").select("id", F.col("name").alias("module"))
-
-    def resolved(rows: DataFrame, receiver: Column, name: Column, src: Column, kind: str, module: Column = none) -> DataFrame:
-        rows = rows.select("file", receiver.alias("receiver"), name.alias("name"), src.alias("src"), F.lit(kind).alias("type"), module.alias("module"))
-        rows = rows.where("name <> ''").distinct().withColumn("ref_id", F.sha2(F.to_json(F.struct("src", "type", "receiver", "name", "module")), 256))
-        return rows.join(resolve_targets(rows, symbols, libraries), "ref_id").select("src", "type", F.col("target").alias("dst"))
+        nodes = nodes.unionByName(part)
 
-    bases = c.select("file", "s", F.explode("s.bases").alias("base"))
-    interfaces = c.select("file", "s", F.explode("s.implements").alias("base"))
-    inner = i.where("not s.is_external").select("file", F.explode("s.names").alias("name"), F.col("s.module").alias("module"))
+    # what is defined is a node, and so is what defines it
+    edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"))
+    ids = symbols.select(F.col("label").alias("kind"), "file", "class", "name", node_id(F.col("label"), r, *map(F.col, ("file", "class", "name"))).alias("id"), F.concat_ws(".", "class", "name").alias("qualified"))
+    edges = edge(files, repo_id, "DEFINES", file_id)
+    owner = F.when(F.col("kind") == "Method", node_id("Class", r, F.col("file"), F.col("class"))).otherwise(file_id)
+    edges = edges.unionByName(edge(ids, owner, "DEFINES", F.col("id"))).unionByName(edge(e, file_id, "DEFINES", endpoint_id).distinct())
+    edges = edges.unionByName(edge(tables.join(files, "file", "left_semi"), file_id, "DEFINES", table_id))
+
+    # references of all kinds are resolved together
+    ref = lambda df, kind, src, name, receiver=none, module=none: df.select("file", src.alias("src"), F.lit(kind).alias("type"), receiver.alias("receiver"), name.alias("name"), module.alias("module")).where("name <> ''")
     calls = parsed.select("file", F.explode("calls").alias("s"))
-    callers = calls.select("file", F.col("s.caller").alias("name"), none.alias("receiver")).distinct().withColumn("ref_id", F.concat_ws("|", "file", "name"))
-    callers = callers.join(resolve(callers, symbols), "ref_id").join(symbols.select(F.col("id").alias("target"), F.col("file").alias("at")), "target").where("file = at").select("file", F.col("name").alias("caller"), F.col("target").alias("src"))
-    called = calls.withColumn("caller", F.col("s.caller")).withColumn("name", F.col("s.callee")).join(callers, ["file", "caller"]).join(import_aliases(parsed), ["file", "name"], "left")
-    receiver = F.when(F.col("s.receiver").isin("self", "this", "cls"), none).otherwise(F.col("s.receiver"))
-    models = model_classes(sources)
+    receiver = F.when(~F.col("s.receiver").isin("self", "this", "cls"), F.col("s.receiver"))
+    callers = top_per_key(ids.select("file", F.col("name").alias("caller"), "kind", "id"), ["file", "caller"], [F.when(F.col("kind") == "Method", 0).otherwise(1), F.col("id")]).select("file", "caller", F.col("id").alias("src"))
+    called = calls.select("file", F.col("s.caller").alias("caller"), receiver.alias("receiver"), F.col("s.callee").alias("name")).distinct()
+    called = called.join(callers, ["file", "caller"]).join(import_aliases(parsed), ["file", "name"], "left")
+    inner = i.where("not s.is_external").select("file", F.explode("s.names").alias("name"), F.col("s.module").alias("module"))
+    refs = ref(called, "CALLS", F.col("src"), F.col("name"), F.col("receiver"), F.col("module"))
     for part in (
-        resolved(bases, none, F.col("base"), class_id, "EXTENDS"), resolved(interfaces, none, F.col("base"), class_id, "IMPLEMENTS"),
-        resolved(inner, none, F.col("name"), file_id, "IMPORTS", F.col("module")), resolved(e, none, F.col("s.handler"), endpoint_id, "CALLS"),
-        resolved(called, receiver, F.col("name"), F.col("src"), "CALLS", F.col("module")),
-        edge(models, node_id("Class", r, F.col("file"), F.col("name")), "WRITES_TO", node_id("DatabaseTable", F.col("table"))),
+        ref(c.select("file", "s", F.explode("s.bases").alias("base")), "EXTENDS", class_id, F.col("base")), ref(c.select("file", "s", F.explode("s.implements").alias("base")), "IMPLEMENTS", class_id, F.col("base")),
+        ref(inner, "IMPORTS", file_id, F.col("name"), module=F.col("module")), ref(e, "CALLS", endpoint_id, F.col("s.handler")),
     ):
-        edges = edges.unionByName(part)
-    bodies = f.select("file", function_id.alias("id"), "s.start_line", "s.end_line").unionByName(m.select("file", method_id.alias("id"), "s.start_line", "s.end_line"))
-    bodies = bodies.join(sources, "file").select("id", "file", T.slice_lines(F.col("content"), F.col("start_line"), F.col("end_line")).alias("body"))
-    edges = edges.unionByName(database_access(bodies, tables)).withColumn("ord", F.lit(0))
-    return nodes, merge_edges(edges, nodes, "ord").drop("ord")
+        refs = refs.unionByName(part)
+    found = targets(refs, ids, libraries).where("target is not null").select("src", "type", F.col("target").alias("dst"))
+    imported = i.where("s.is_external").select("file", F.col("s.module").alias("module"))
+    edges = edges.unionByName(found.unionByName(edge(imported, file_id, "IMPORTS", library_id)).distinct())
+
+    classes = symbols.where("label = 'Class'").select("file", "name")
+    models = model_classes(sources).join(classes, ["file", "name"], "left_semi")
+    edges = edges.unionByName(edge(models, node_id("Class", r, F.col("file"), F.col("name")), "WRITES_TO", node_id("DatabaseTable", F.col("table"))))
+    lines = lambda rows, *parts: rows.select("file", node_id(*parts).alias("id"), "s.start_line", "s.end_line")
+    bodies = lines(parsed.select("file", F.explode("functions").alias("s")), "Function", r, F.col("file"), F.col("s.name"))
+    methods = c.select("file", F.col("s.name").alias("class"), F.explode("s.methods").alias("s"))
+    bodies = bodies.unionByName(lines(methods, "Method", r, F.col("file"), F.col("class"), F.col("s.name")))
+    held = tables.select("file").distinct()
+    bodies = bodies.join(held, "file", "left_semi").join(sources.join(held, "file", "left_semi"), "file").select("id", "file", T.slice_lines(F.col("content"), F.col("start_line"), F.col("end_line")).alias("body"))
+    return nodes, edges.unionByName(database_access(bodies, tables))

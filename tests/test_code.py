@@ -180,6 +180,22 @@ def test_graph(tree, parsed):
     assert "unused" in names and not names & {"helper", "read_order", "_open", "run", "main"}
 
 
+SHAPE = "file string, functions array<struct<name:string,start_line:int,end_line:int>>, classes array<struct<name:string,methods:array<struct<name:string,start_line:int,end_line:int>>,bases:array<string>,implements:array<string>,start_line:int,end_line:int>>, imports array<struct<module:string,names:array<string>,is_external:boolean>>, api_endpoints array<struct<route:string,method:string,handler:string>>, calls array<struct<caller:string,callee:string,receiver:string>>"
+
+
+def test_references_together(spark):
+    """Both files that have a route call their own handler; and the plan of the edges, which the driver holds, looks names of all kinds up at once."""
+    row = lambda file: (file, [("get", 1, 2)], [], [], [("/r", "get", "get")], [("get", "get", "self")])
+    parsed = spark.createDataFrame([row("a.py"), row("b.py"), ("c.py", None, None, None, None, None)], SHAPE)
+    edges = graph.build(parsed, spark.createDataFrame([("a.py", "x"), ("d.py", "__tablename__ = 't'")], "file string, content string"), "r")[1]
+    got = {(r.src, r.type, r.dst) for r in edges.where("type = 'CALLS'").collect()}
+    f = "Function::r::{}.py::get".format
+    assert got == {("ApiEndpoint::r::GET::/r", "CALLS", f("a")), ("ApiEndpoint::r::GET::/r", "CALLS", f("b")), (f("a"), "CALLS", f("a")), (f("b"), "CALLS", f("b"))}
+    assert edges.where("dst = 'DatabaseTable::t'").count() == 0  # d.py was not parsed
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 30 and plan.count("Window ") <= 12
+
+
 def test_artifacts_and_cache(spark, parsed, tmp_path):
     cache.write_artifact(parsed, str(tmp_path / "a"), "job1", "me", "shop")
     back = cache.resolve(cache.read_artifact(spark, str(tmp_path / "a")), "me/shop")
