@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,17 +104,19 @@ def import_aliases(parsed: DataFrame) -> DataFrame:
     return rows.groupBy("file", "name").agg(F.max_by("module", F.struct("at", "place")).alias("module"))
 
 
-def targets(refs: DataFrame, symbols: DataFrame, libraries: DataFrame) -> DataFrame:
+def targets(refs: DataFrame, symbols: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
     """References (file, receiver, name, module, ...) with `target`, what each of them stands for, or null.
 
     A method of the class that the receiver names, then any symbol that is called receiver.name, then a symbol of that
     name, of the same file first, then the library (id, module) that the name comes from.  Every lookup has one row for a
-    key, so a name that very many symbols have makes no more rows than there are references."""
+    key, so a name that very many symbols have makes no more rows than there are references.  Without libraries, receivers and modules don't count."""
     method_first = [F.when(F.col("kind") == "Method", 0).otherwise(1), F.col("id")]
     one = lambda keys, to: top_per_key(symbols.where(" and ".join(f"{k} is not null" for k in keys)), keys, method_first).select(*keys, F.col("id").alias(to))
-    rows = refs.withColumn("qualified", F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "name")))
-    rows = rows.join(one(["qualified"], "_q"), "qualified", "left").join(one(["file", "name"], "_f"), ["file", "name"], "left").join(one(["name"], "_n"), "name", "left")
-    rows = rows.join(libraries.groupBy("module").agg(F.min("id").alias("_l")), "module", "left")
+    rows = refs.join(one(["file", "name"], "_f"), ["file", "name"], "left").join(one(["name"], "_n"), "name", "left")
+    if libraries is None:
+        return rows.select(*refs.columns, F.coalesce("_f", "_n").alias("target"))
+    rows = rows.withColumn("qualified", F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "name")))
+    rows = rows.join(one(["qualified"], "_q"), "qualified", "left").join(libraries.groupBy("module").agg(F.min("id").alias("_l")), "module", "left")
     return rows.select(*refs.columns, F.coalesce("_q", "_f", "_n", "_l").alias("target"))
 
 
@@ -163,21 +167,54 @@ def database_access(bodies: DataFrame, tables: DataFrame) -> DataFrame:
     return hits.select(F.col("id").alias("src"), F.explode(kinds).alias("type"), node_id("DatabaseTable", F.col("table")).alias("dst")).distinct()
 
 
-def declared(parsed: DataFrame) -> DataFrame:
-    """label, file, class, name: the functions, classes and methods of parsed files, each once."""
+def declared(parsed: DataFrame) -> list[DataFrame]:
+    """label, file, class, name of what parsed files declare: functions, classes and methods, each in a table of its own."""
     none = F.lit(None).cast("string")
     shape = lambda rows, label, class_, name: rows.select(F.lit(label).alias("label"), "file", class_.alias("class"), name.alias("name"))
+    functions = shape(parsed.select("file", F.explode("functions.name").alias("name")), "Function", none, F.col("name"))
+    classes = shape(parsed.select("file", F.explode("classes.name").alias("name")), "Class", none, F.col("name"))
     methods = parsed.select("file", F.explode("classes").alias("c")).select("file", F.col("c.name").alias("class"), F.explode("c.methods.name").alias("name"))
-    rows = shape(parsed.select("file", F.explode("functions.name").alias("name")), "Function", none, F.col("name"))
-    rows = rows.unionByName(shape(parsed.select("file", F.explode("classes.name").alias("name")), "Class", none, F.col("name")))
-    return rows.unionByName(shape(methods, "Method", F.col("class"), F.col("name"))).distinct()
+    return [functions, classes, shape(methods, "Method", F.col("class"), F.col("name"))]
+
+
+def with_ids(symbols: DataFrame, repo: str) -> DataFrame:
+    """Declared symbols (label, file, class, name) with their ids and qualified names."""
+    parts = [F.col(c) for c in ("file", "class", "name")]
+    return symbols.select(F.col("label").alias("kind"), *parts, node_id(F.col("label"), F.lit(repo), *parts).alias("id"), F.concat_ws(".", "class", "name").alias("qualified"))
 
 
 def symbol_nodes(symbols: DataFrame, repo: str) -> DataFrame:
     """Nodes of declared symbols (label, file, class, name), one row an id: where parts of names give one id, the longest file and class count."""
-    ids = symbols.select("label", node_id(F.col("label"), F.lit(repo), *map(F.col, ("file", "class", "name"))).alias("id"), F.struct("file", "class", "name").alias("s"))
-    rows = ids.groupBy("id", "label").agg(F.max("s").alias("s"))
-    return rows.select("id", "label", "s.name", "s.file", F.concat_ws(".", "s.class", "s.name").alias("qualified"), F.lit(repo).alias("repo_id"))
+    rows = with_ids(symbols, repo).groupBy("id", F.col("kind").alias("label")).agg(F.max(F.struct("file", "class", "name", "qualified")).alias("s"))
+    return rows.select("id", "label", "s.name", "s.file", "s.qualified", F.lit(repo).alias("repo_id"))
+
+
+def references(rows: DataFrame, kind: str, src: Column, name: Column, receiver: Column | None = None, module: Column | None = None) -> DataFrame:
+    """file, src, type, receiver, name, module: references from nodes to names, as `targets` takes them."""
+    none = F.lit(None).cast("string")
+    columns = [F.lit(kind).alias("type"), (none if receiver is None else receiver).alias("receiver"), name.alias("name"), (none if module is None else module).alias("module")]
+    return rows.select("file", src.alias("src"), *columns).where("name <> ''")
+
+
+def bases(parsed: DataFrame, repo: str) -> DataFrame:
+    """References from classes to what they extend and implement."""
+    c = parsed.select("file", F.explode("classes").alias("s"))
+    class_id = node_id("Class", F.lit(repo), F.col("file"), F.col("s.name"))
+    of = lambda part, kind: references(c.select("file", "s", F.explode(f"s.{part}").alias("base")), kind, class_id, F.col("base"))
+    return of("bases", "EXTENDS").unionByName(of("implements", "IMPLEMENTS"))
+
+
+def derivations(parsed: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
+    """Of the graph that `build` makes of parsed files (file, functions, classes): classes, what they extend and implement, and these edges.
+
+    Functions and methods take part if a class names one of their names as its base; mostly these are few, and then nothing is dealt out for all others."""
+    refs = bases(parsed, repo)
+    functions, classes, methods = declared(parsed)
+    others = functions.unionByName(methods)
+    named = stage(others.select("name").distinct().join(refs.select("name").distinct(), "name", "left_semi"), "named")
+    symbols = classes.unionByName(others.join(named, "name", "left_semi").select(*classes.columns)).distinct()
+    found = targets(refs, with_ids(symbols, repo)).where("target is not null")
+    return symbol_nodes(symbols, repo), found.select("src", "type", F.col("target").alias("dst")).distinct()
 
 
 def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
@@ -185,11 +222,11 @@ def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame,
     r = F.lit(repo)
     none = F.lit(None).cast("string")
     repo_id, file_id = node_id("Repository", r), node_id("File", r, F.col("file"))
-    class_id, library_id = node_id("Class", r, F.col("file"), F.col("s.name")), node_id("ExternalLibrary", F.col("module"))
-    endpoint_id, table_id = node_id("ApiEndpoint", r, F.upper("s.method"), F.col("s.route")), node_id("DatabaseTable", F.col("table"))
+    library_id, table_id = node_id("ExternalLibrary", F.col("module")), node_id("DatabaseTable", F.col("table"))
+    endpoint_id = node_id("ApiEndpoint", r, F.upper("s.method"), F.col("s.route"))
     files = parsed.select("file").distinct()
     # read for every kind of lookup
-    symbols = stage(declared(parsed), "symbols")
+    symbols = stage(reduce(DataFrame.unionByName, declared(parsed)).distinct(), "symbols")
     c = parsed.select("file", F.explode("classes").alias("s"))
     e = parsed.select("file", F.explode("api_endpoints").alias("s"))
     i = parsed.select("file", F.explode("imports").alias("s"))
@@ -208,26 +245,21 @@ def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame,
 
     # what is defined is a node, and so is what defines it
     edge = lambda df, src, kind, dst: df.select(src.alias("src"), F.lit(kind).alias("type"), dst.alias("dst"))
-    ids = symbols.select(F.col("label").alias("kind"), "file", "class", "name", node_id(F.col("label"), r, *map(F.col, ("file", "class", "name"))).alias("id"), F.concat_ws(".", "class", "name").alias("qualified"))
+    ids = with_ids(symbols, repo)
     edges = edge(files, repo_id, "DEFINES", file_id)
     owner = F.when(F.col("kind") == "Method", node_id("Class", r, F.col("file"), F.col("class"))).otherwise(file_id)
     edges = edges.unionByName(edge(ids, owner, "DEFINES", F.col("id"))).unionByName(edge(e, file_id, "DEFINES", endpoint_id).distinct())
     edges = edges.unionByName(edge(tables.join(files, "file", "left_semi"), file_id, "DEFINES", table_id))
 
     # references of all kinds are resolved together
-    ref = lambda df, kind, src, name, receiver=none, module=none: df.select("file", src.alias("src"), F.lit(kind).alias("type"), receiver.alias("receiver"), name.alias("name"), module.alias("module")).where("name <> ''")
     calls = parsed.select("file", F.explode("calls").alias("s"))
     receiver = F.when(~F.col("s.receiver").isin("self", "this", "cls"), F.col("s.receiver"))
     callers = top_per_key(ids.select("file", F.col("name").alias("caller"), "kind", "id"), ["file", "caller"], [F.when(F.col("kind") == "Method", 0).otherwise(1), F.col("id")]).select("file", "caller", F.col("id").alias("src"))
     called = calls.select("file", F.col("s.caller").alias("caller"), receiver.alias("receiver"), F.col("s.callee").alias("name")).distinct()
     called = called.join(callers, ["file", "caller"]).join(import_aliases(parsed), ["file", "name"], "left")
     inner = i.where("not s.is_external").select("file", F.explode("s.names").alias("name"), F.col("s.module").alias("module"))
-    refs = ref(called, "CALLS", F.col("src"), F.col("name"), F.col("receiver"), F.col("module"))
-    for part in (
-        ref(c.select("file", "s", F.explode("s.bases").alias("base")), "EXTENDS", class_id, F.col("base")), ref(c.select("file", "s", F.explode("s.implements").alias("base")), "IMPLEMENTS", class_id, F.col("base")),
-        ref(inner, "IMPORTS", file_id, F.col("name"), module=F.col("module")), ref(e, "CALLS", endpoint_id, F.col("s.handler")),
-    ):
-        refs = refs.unionByName(part)
+    refs = bases(parsed, repo).unionByName(references(called, "CALLS", F.col("src"), F.col("name"), F.col("receiver"), F.col("module")))
+    refs = refs.unionByName(references(inner, "IMPORTS", file_id, F.col("name"), module=F.col("module"))).unionByName(references(e, "CALLS", endpoint_id, F.col("s.handler")))
     found = targets(refs, ids, libraries).where("target is not null").select("src", "type", F.col("target").alias("dst"))
     imported = i.where("s.is_external").select("file", F.col("s.module").alias("module"))
     edges = edges.unionByName(found.unionByName(edge(imported, file_id, "IMPORTS", library_id)).distinct())

@@ -20,18 +20,17 @@ registry = query = Registry()
 SYMBOL = "struct<name:string,start_line:int,end_line:int>"
 
 
-def parsed_orders(spark, sf_dir) -> DataFrame:
+def _orders(spark, sf_dir, *more) -> DataFrame:
+    """Orders that have lines, with the fields of parsed files, and what `more` gathers from their lines."""
     n = F.col("l_linenumber") * 10
     end = n + (F.col("l_quantity") % 8).cast("int")
     name = F.concat(F.lit("part_"), (F.col("l_partkey") % 97).cast("string"))
-    lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"), end.alias("end"),
-        F.struct(name.alias("name"), n.cast("int").alias("start_line"), end.cast("int").alias("end_line")).alias("f"),
-        F.struct(name.alias("caller"), F.concat(F.lit("part_"), (F.col("l_suppkey") % 97).cast("string")).alias("callee"), F.lit(None).cast("string").alias("receiver")).alias("c"),
-    )
-    by = lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list("f")).alias("functions"), F.array_sort(F.collect_list("c")).alias("calls"), F.max("end").cast("int").alias("lines"))
+    function = F.struct(name.alias("name"), n.cast("int").alias("start_line"), end.cast("int").alias("end_line"))
+    call = F.struct(name.alias("caller"), F.concat(F.lit("part_"), (F.col("l_suppkey") % 97).cast("string")).alias("callee"), F.lit(None).cast("string").alias("receiver"))
+    gathered = (F.array_sort(F.collect_list(function)).alias("functions"), F.array_sort(F.collect_list(call)).alias("calls"), F.max(end).cast("int").alias("lines"))
+    by = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(*gathered, *more)
     key = F.col("o_orderkey").cast("string")
-    path = lambda k: F.concat(F.lit("src/p"), F.substring("o_orderpriority", 1, 1), F.lit("/o"), k)
+    path = F.concat(F.lit("src/p"), F.substring("o_orderpriority", 1, 1), F.lit("/o"), key, F.lit(".py"))
     none = F.array().cast("array<string>")
     a_class = F.struct(
         F.concat(F.lit("C"), key).alias("name"), F.array(F.struct(F.concat(F.lit("m_"), (F.col("o_custkey") % 13).cast("string")).alias("name"), F.lit(2).alias("start_line"), F.lit(6).alias("end_line"))).alias("methods"),
@@ -42,11 +41,18 @@ def parsed_orders(spark, sf_dir) -> DataFrame:
     inside = F.struct(F.concat(F.lit("src.p1.o"), (F.col("o_orderkey") + 1).cast("string")).alias("module"), none.alias("names"), F.lit(False).alias("is_external"))
     size = F.size("functions")
     some = lambda test, x: F.filter(F.array(x), lambda _: test)
-    return table(spark, sf_dir, "orders").join(by, "o_orderkey").select(
-        F.concat(path(key), F.lit(".py")).alias("file"), F.col("o_orderstatus").alias("language"), "functions", some(F.col("o_orderkey") % 10 == 0, a_class).alias("classes"),
-        F.array(outside, inside).alias("imports"), some(F.col("o_orderkey") % 7 == 0, endpoint).alias("api_endpoints"), "calls",
-        F.struct(F.when(size <= 2, "low").when(size <= 4, "medium").otherwise("high").alias("complexity"), F.col("lines")).alias("metadata"),
-    )
+    return table(spark, sf_dir, "orders").join(by, "o_orderkey").withColumns({
+        "file": path, "language": F.col("o_orderstatus"), "classes": some(F.col("o_orderkey") % 10 == 0, a_class),
+        "imports": F.array(outside, inside), "api_endpoints": some(F.col("o_orderkey") % 7 == 0, endpoint),
+        "metadata": F.struct(F.when(size <= 2, "low").when(size <= 4, "medium").otherwise("high").alias("complexity"), F.col("lines")),
+    })
+
+
+FIELDS = ("file", "language", "functions", "classes", "imports", "api_endpoints", "calls", "metadata")
+
+
+def parsed_orders(spark, sf_dir) -> DataFrame:
+    return _orders(spark, sf_dir).select(*FIELDS)
 
 
 #: Files (file, language, complexity, lines), functions and methods as SQL.
@@ -123,30 +129,37 @@ def code_chunks(spark, sf_dir):
     return chunks.semantic_chunks(parsed, sources(parsed)).select("file", "kind", "symbol", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
-def linked_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The same files with imported names, receivers, bases, interfaces and tables; and their sources.
+text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+
+
+def linked_files(spark, sf_dir) -> DataFrame:
+    """The same files with imported names, receivers, bases, interfaces and tables.
 
     Two imports bind a name, of which the later one counts; every fourth call goes to a method of a class, every
     fourth to an imported name, every fourth has itself as the receiver."""
-    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
-    key = F.col("o_orderkey")
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
     ten = key - key % 10
-    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("src/p"), F.substring("o_orderpriority", 1, 1), F.lit("/o"), key.cast("string"), F.lit(".py")).alias("file"), "o_orderkey", F.col("o_custkey").alias("cust"))
-    calls = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(
+    calls = F.collect_list(F.struct(
         text("part_", F.col("l_partkey") % 97).alias("caller"),
         F.when(F.col("l_suppkey") % 4 == 0, text("m_", F.col("l_suppkey") % 13)).when(F.col("l_suppkey") % 4 == 1, text("ext_", F.col("l_suppkey") % 50)).otherwise(text("part_", F.col("l_suppkey") % 97)).alias("callee"),
         F.when(F.col("l_suppkey") % 4 == 0, text("C", F.col("l_orderkey") - F.col("l_orderkey") % 10)).when(F.col("l_suppkey") % 4 == 2, "self").alias("receiver"),
-    )).alias("linked")).withColumnRenamed("l_orderkey", "o_orderkey")
+    )).alias("linked")
     names = lambda *x: F.array(*x).cast("array<string>")
     name = lambda n: text("ext_", n % 50)
     module = lambda m, n, e: F.struct(m.alias("module"), n.alias("names"), F.lit(e).alias("is_external"))
     imports = F.array(
-        module(text("lib", F.col("cust") % 50, ".api"), names(name(F.col("cust")), name(F.col("cust") + 1)), True), module(text("lib", F.col("cust") % 20, ".core"), names(name(F.col("cust"))), True),
-        module(text("src.p1.o", key + 1), names(text("C", ten), F.lit("nosuch")), False), module(text("lib", (F.col("cust") + 3) % 50, ".api"), names(F.lit("nothing")), False),
+        module(text("lib", cust % 50, ".api"), names(name(cust), name(cust + 1)), True), module(text("lib", cust % 20, ".core"), names(name(cust)), True),
+        module(text("src.p1.o", key + 1), names(text("C", ten), F.lit("nosuch")), False), module(text("lib", (cust + 3) % 50, ".api"), names(F.lit("nothing")), False),
     )
-    parsed = parsed_orders(spark, sf_dir).join(orders, "file").join(calls, "o_orderkey")
     with_bases = F.transform("classes", lambda c: c.withField("bases", names(text("C", key - 10), F.lit("Outer"))).withField("implements", names(text("C", key - 20))))
-    parsed = stage(parsed.withColumn("imports", imports).withColumn("classes", with_bases).withColumn("calls", F.col("linked")).drop("linked"), "linked")
+    files = _orders(spark, sf_dir, calls).where("file is not null")
+    return files.withColumns({"imports": imports, "classes": with_bases, "calls": F.col("linked")}).select("o_orderkey", *FIELDS)
+
+
+def linked_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Linked files and their sources."""
+    parsed = stage(linked_files(spark, sf_dir), "linked")
+    key = F.col("o_orderkey")
     tab = text("tab_", key % 30)
     line = (
         lambda i: F.when((i == 1) & (key % 10 == 0), text("class C", key, "(Base):"))
@@ -157,7 +170,7 @@ def linked_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
         .otherwise(text("x = ", i))
     )
     content = F.array_join(F.transform(F.sequence(F.lit(1), F.col("metadata.lines")), line), "\n")
-    return parsed.drop("o_orderkey", "cust"), parsed.select("file", content.alias("content"))
+    return parsed.drop("o_orderkey"), parsed.select("file", content.alias("content"))
 
 
 #: Symbols, tables and libraries of the linked files.

@@ -1,10 +1,13 @@
 """Views of small graphs: limits, tiers that are missing, nothing at all; and small texts."""
 
 import json
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import diagrams, views
+from graphloom.operators import diagrams, graph, views
+from graphloom.plans import catalogue
+from graphloom.session import shared_dir
 
 LAYERS, CROSSING, ENDPOINTS, TABLES = "layer string, files int, samples string", "source string, target string, source_layer string, target_layer string", "method string, route string, handler string, file string", "name string, file string"
 
@@ -52,6 +55,32 @@ def test_class_relations(spark):
     assert text.count("class C") == 20 and text.count("+m()") == 120 and text.count("-->") == 25
 
 
+def test_derivations(spark):
+    """They are what the whole graph has of classes: bases of the same file first, functions and methods as bases, names that stand for nothing."""
+    shape = "file string, functions array<struct<name:string,start_line:int,end_line:int>>, classes array<struct<name:string,methods:array<struct<name:string,start_line:int,end_line:int>>,bases:array<string>,implements:array<string>>>, imports array<struct<module:string,names:array<string>,is_external:boolean>>, api_endpoints array<struct<route:string,method:string,handler:string>>, calls array<struct<caller:string,callee:string,receiver:string>>"
+    a_class = lambda name, bases, implements, *methods: (name, [(m, 1, 2) for m in methods], bases, implements)
+    rows = [
+        ("a.py", [("make", 1, 2), ("other", 1, 2)], [a_class("A", ["B", "B"], ["make", "run"]), a_class("B", ["nothing", ""], None, "run")], [], [], []),
+        ("b.py", [("make", 1, 2)], [a_class("B", ["A"], ["A"], "A"), a_class("C", ["B"], ["make"])], [], [], []), ("c.py", None, None, None, None, None),
+    ]
+    parsed = spark.createDataFrame(rows, shape)
+    nodes, edges = graph.derivations(parsed.select("file", "functions", "classes"), "r")
+    all_nodes, all_edges = graph.build(parsed, spark.createDataFrame([], "file string, content string"), "r")
+    of = lambda df: sorted(tuple(r) for r in df.where("type in ('EXTENDS', 'IMPLEMENTS')").select("src", "type", "dst").collect())
+    assert of(edges) == of(all_edges) and len(of(edges)) == 7
+    show = lambda n, e: [tuple(r) for r in views.class_relations(n, e).collect()]
+    assert show(nodes, edges) == show(all_nodes, all_edges) and ("B", "A", "EXTENDS") in show(nodes, edges)
+    assert "other" not in {r.name for r in nodes.collect()}
+
+
+def test_class_relations_stage_little(spark, sf):
+    """The query writes the classes and names that it needs, not the graph of all files."""
+    held = lambda: sum(f.stat().st_size for f in Path(shared_dir(spark).removeprefix("file://")).rglob("*.parquet"))
+    before = held()
+    assert catalogue.QUERIES["class_relations"](spark, sf).count() == 60
+    assert held() - before < 0.5 * sum(Path(sf, f"{t}.parquet").stat().st_size for t in ("orders", "lineitem"))
+
+
 def test_report_of_nothing(spark):
     none = lambda s: spark.createDataFrame([], s)
     text = views.report_text("me/shop", none("label string, n long"), none("ord int, name string, n long"), none("ord int, title string, text string")).first().text
