@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from graphloom.functions import text as T
 from graphloom.operators.ranking import missing, top_per_key
@@ -104,20 +103,43 @@ def import_aliases(parsed: DataFrame) -> DataFrame:
     return rows.groupBy("file", "name").agg(F.max_by("module", F.struct("at", "place")).alias("module"))
 
 
+def one_symbol(symbols: DataFrame, keys: list[str], to: str) -> DataFrame:
+    """keys, `to`: the best symbol (id, kind, ...) for each key, a method before others, ties by id."""
+    method_first = [F.when(F.col("kind") == "Method", 0).otherwise(1), F.col("id")]
+    return top_per_key(symbols.where(" and ".join(f"{k} is not null" for k in keys)), keys, method_first).select(*keys, F.col("id").alias(to))
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """A left join with a table of one row a key, for tables that can be read several times. The `most` frequent keys are found beforehand
+    and broadcast, so that one key of very many rows does not meet in one task; all others are dealt out by key."""
+    frequent = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(most)
+    frequent = stage(frequent.join(lookup, key, "left").drop("n").withColumn("_known", F.lit(True)), "frequent", freed=True)
+    near = rows.join(F.broadcast(frequent), key, "left")  # at most `most` rows
+    far = rows.join(F.broadcast(frequent.select(key)), key, "left_anti").where(F.col(key).isNotNull()).join(lookup, key, "left")
+    return near.where(F.col("_known").isNotNull() | F.col(key).isNull()).drop("_known").unionByName(far)
+
+
+def elsewhere(refs: DataFrame, symbols: DataFrame, libraries: DataFrame) -> DataFrame:
+    """References (receiver, name, module, target, ...) with their targets over all files, as in `targets`; those that have one of their own file have it in `target`."""
+    rows = looked_up(refs, one_symbol(symbols, ["name"], "_n"), "name")
+    methods = rows.where("receiver <> ''").withColumn("qualified", F.concat_ws(".", "receiver", "name"))
+    methods = methods.join(one_symbol(symbols, ["qualified"], "_q"), "qualified", "left").drop("qualified")
+    rows = methods.unionByName(rows.where("coalesce(receiver, '') = ''").withColumn("_q", F.lit(None).cast("string")))
+    rows = rows.withColumn("target", F.coalesce("_q", "target", "_n")).withColumn("module", F.when(F.col("target").isNull(), F.col("module")))
+    rows = rows.join(libraries.groupBy("module").agg(F.min("id").alias("_l")), "module", "left")
+    return rows.withColumn("target", F.coalesce("target", "_l")).select(*refs.columns)
+
+
 def targets(refs: DataFrame, symbols: DataFrame, libraries: DataFrame | None = None) -> DataFrame:
     """References (file, receiver, name, module, ...) with `target`, what each of them stands for, or null.
 
     A method of the class that the receiver names, then any symbol that is called receiver.name, then a symbol of that
     name, of the same file first, then the library (id, module) that the name comes from.  Every lookup has one row for a
     key, so a name that very many symbols have makes no more rows than there are references.  Without libraries, receivers and modules don't count."""
-    method_first = [F.when(F.col("kind") == "Method", 0).otherwise(1), F.col("id")]
-    one = lambda keys, to: top_per_key(symbols.where(" and ".join(f"{k} is not null" for k in keys)), keys, method_first).select(*keys, F.col("id").alias(to))
-    rows = refs.join(one(["file", "name"], "_f"), ["file", "name"], "left").join(one(["name"], "_n"), "name", "left")
+    rows = refs.join(one_symbol(symbols, ["file", "name"], "target"), ["file", "name"], "left")
     if libraries is None:
-        return rows.select(*refs.columns, F.coalesce("_f", "_n").alias("target"))
-    rows = rows.withColumn("qualified", F.when(F.col("receiver") != "", F.concat_ws(".", "receiver", "name")))
-    rows = rows.join(one(["qualified"], "_q"), "qualified", "left").join(libraries.groupBy("module").agg(F.min("id").alias("_l")), "module", "left")
-    return rows.select(*refs.columns, F.coalesce("_q", "_f", "_n", "_l").alias("target"))
+        return rows.join(one_symbol(symbols, ["name"], "_n"), "name", "left").select(*refs.columns, F.coalesce("target", "_n").alias("target"))
+    return elsewhere(rows, symbols, libraries).select(*refs.columns, "target")
 
 
 def resolve_targets(refs: DataFrame, symbols: DataFrame, libraries: DataFrame) -> DataFrame:
@@ -138,15 +160,18 @@ def members(owners: DataFrame, parts: DataFrame, owner: str, part: str, most: in
     return owners.select(owner).join(lists, owner, "left").withColumn("members", F.coalesce("members", F.lit("")))
 
 
+NAMED = r"""__tablename__\s*=\s*['"]([^'"]+)['"]"""
+MODEL = r"(?m)class\s+(\w+)\s*\([^)]*(?:Model|Base|SQLModel|Document)[^)]*\)"
+
+
 def named_tables(sources: DataFrame) -> DataFrame:
     """file, table: tables that source files (file, content) name."""
-    return sources.select("file", F.explode(F.regexp_extract_all("content", F.lit(r"""__tablename__\s*=\s*['"]([^'"]+)['"]"""), F.lit(1))).alias("table")).distinct()
+    return sources.select("file", F.explode(F.regexp_extract_all("content", F.lit(NAMED), F.lit(1))).alias("table")).distinct()
 
 
 def model_classes(sources: DataFrame) -> DataFrame:
     """file, name, table: classes of models, with tables called after them that the file does not name itself."""
-    form = r"(?m)class\s+(\w+)\s*\([^)]*(?:Model|Base|SQLModel|Document)[^)]*\)"
-    classes = sources.select("file", F.explode(F.regexp_extract_all("content", F.lit(form), F.lit(1))).alias("name")).distinct()
+    classes = sources.select("file", F.explode(F.regexp_extract_all("content", F.lit(MODEL), F.lit(1))).alias("name")).distinct()
     return classes.withColumn("table", T.snake_case(F.col("name"))).join(named_tables(sources), ["file", "table"], "left_anti").select("file", "name", "table")
 
 
@@ -211,12 +236,62 @@ def derivations(parsed: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     refs = bases(parsed, repo)
     functions, classes, methods = declared(parsed)
     others = functions.unionByName(methods)
-    named = stage(others.select("name").distinct().join(refs.select("name").distinct(), "name", "left_semi"), "named")
+    named = stage(others.select("name").distinct().join(refs.select("name").distinct(), "name", "left_semi"), "named", freed=True)
     symbols = classes.unionByName(others.join(named, "name", "left_semi").select(*classes.columns)).distinct()
     found = targets(refs, with_ids(symbols, repo)).where("target is not null")
     return symbol_nodes(symbols, repo), found.select("src", "type", F.col("target").alias("dst")).distinct()
 
 
+ENTRY = "array<struct<what:string,class:string,name:string,src:string,caller:string,receiver:string,module:string,at:struct<i:int,place:int>>>"
+
+
+def located(parsed: DataFrame, repo: str) -> DataFrame:
+    """what, file, class, name, src, receiver, module, target: symbols (what: their label), libraries (what: ExternalLibrary) and references (what: the
+    type of their edge) of parsed files, each once. References have the node that they come from, the symbol of their own file that they stand for, or else null, and the module
+    that a called name is imported from, or a name that the file does not import as a library too. Files are dealt out once, whole; all lookups stay within them."""
+    r, none = F.lit(repo), F.lit(None).cast("string")
+    file = F.col("file")
+
+    def entry(what, name, class_=none, src=none, caller=none, receiver=none, module=none, at=None):
+        place = F.lit(None).cast("struct<i:int,place:int>") if at is None else F.struct(*at)
+        return F.struct(F.lit(what), class_, name, src, caller, receiver, module, place)
+
+    def each(column, make):
+        return F.coalesce(F.transform(column, make).cast(ENTRY), F.array().cast(ENTRY))
+
+    def nested(column, make):
+        return F.coalesce(F.flatten(F.transform(column, lambda x: make(x))), F.array().cast(ENTRY))
+
+    class_id = lambda c: node_id("Class", r, file, c["name"])
+    bound = lambda i: F.when(F.size(i["names"]) > 0, F.concat(i["names"], F.array(F.substring_index(i["module"], ".", -1))))
+    aliases = F.transform("imports", lambda i, n: F.coalesce(F.transform(bound(i), lambda name, k: entry("alias", name, module=i["module"], at=(n.cast("int"), k.cast("int")))).cast(ENTRY), F.array().cast(ENTRY)))
+    entries = F.concat(
+        each("functions", lambda f: entry("Function", f["name"])), each("classes", lambda c: entry("Class", c["name"])), nested("classes", lambda c: each(c["methods"], lambda m: entry("Method", m["name"], c["name"]))),
+        F.coalesce(F.flatten(aliases), F.array().cast(ENTRY)), nested("classes", lambda c: each(c["bases"], lambda b: entry("EXTENDS", b, src=class_id(c)))), nested("classes", lambda c: each(c["implements"], lambda b: entry("IMPLEMENTS", b, src=class_id(c)))),
+        each(F.filter("imports", lambda i: i["is_external"]), lambda i: entry("ExternalLibrary", i["module"])),
+        nested("imports", lambda i: each(F.when(~i["is_external"], i["names"]), lambda n: entry("IMPORTS", n, src=node_id("File", r, file), module=i["module"]))),
+        each("api_endpoints", lambda e: entry("CALLS", e["handler"], src=node_id("ApiEndpoint", r, F.upper(e["method"]), e["route"]))),
+        each(F.filter("calls", lambda c: c["caller"].isNotNull()), lambda c: entry("CALLS", c["callee"], caller=c["caller"], receiver=F.when(~c["receiver"].isin("self", "this", "cls"), c["receiver"]))),
+    )
+    # lines of code are not dealt out
+    named = lambda x: F.struct(x["name"].alias("name"))
+    functions = F.transform("functions", named).alias("functions")
+    classes = F.transform("classes", lambda c: F.struct(c["name"].alias("name"), F.transform(c["methods"], named).alias("methods"), c["bases"].alias("bases"), c["implements"].alias("implements"))).alias("classes")
+    rows = parsed.select("file", functions, classes, "imports", "api_endpoints", "calls").repartition("file").select("file", F.inline(entries))
+    is_symbol = F.col("what").isin("Function", "Class", "Method")
+    symbol = F.struct(F.when(F.col("what") == "Method", 0).otherwise(1).alias("r"), node_id(F.col("what"), r, file, F.col("class"), F.col("name")).alias("id"))
+    best = F.min(F.when(is_symbol & F.col("name").isNotNull(), symbol))
+    rows = rows.withColumn("src", F.coalesce("src", F.when(F.col("caller").isNotNull(), best.over(Window.partitionBy("file", F.coalesce("caller", "name")))["id"])))
+    same = Window.partitionBy("file", "name")
+    imported = F.max(F.when(F.col("what") == "alias", F.struct("at", "module"))).over(same)["module"]
+    rows = rows.withColumn("target", best.over(same)["id"]).withColumn("module", F.when(F.col("caller").isNotNull(), imported).otherwise(F.col("module")))
+    is_library = F.col("what") == "ExternalLibrary"
+    held = F.max(is_library).over(Window.partitionBy("file", F.when(is_library, F.col("name")).when(F.col("what") == "IMPORTS", F.col("module"))))
+    rows = rows.withColumn("module", F.when(~((F.col("what") == "IMPORTS") & held), F.col("module")))
+    rows = rows.where(is_symbol | is_library | (F.col("what") != "alias") & (F.col("name") != "") & F.col("src").isNotNull())
+    return rows.select("what", "file", "class", "name", "src", "receiver", "module", F.when(~(is_symbol | is_library), F.col("target")).alias("target")).distinct()
+
+
 def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of parsed files with their sources (file, content); names are resolved over all files."""
     r = F.lit(repo)
@@ -226,12 +301,14 @@ def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame,
     endpoint_id = node_id("ApiEndpoint", r, F.upper("s.method"), F.col("s.route"))
     files = parsed.select("file").distinct()
     # read for every kind of lookup
-    symbols = stage(reduce(DataFrame.unionByName, declared(parsed)).distinct(), "symbols")
-    c = parsed.select("file", F.explode("classes").alias("s"))
+    rows = stage(located(parsed, repo), "located", freed=True)
+    symbols = rows.where(F.col("what").isin("Function", "Class", "Method")).select(F.col("what").alias("label"), "file", "class", "name")
     e = parsed.select("file", F.explode("api_endpoints").alias("s"))
-    i = parsed.select("file", F.explode("imports").alias("s"))
-    tables = database_tables(sources)
-    libraries = i.where("s.is_external").select(F.col("s.module").alias("module")).distinct().select(library_id.alias("id"), "module")
+    models = model_classes(sources)
+    defined = stage(named_tables(sources).withColumn("name", none).unionByName(models), "tables", freed=True)
+    tables, models = defined.select("file", "table").distinct(), defined.where("name is not null")
+    imported = rows.where("what = 'ExternalLibrary'").select("file", F.col("name").alias("module"))
+    libraries = stage(imported.select("module").distinct().select(library_id.alias("id"), "module"), "libraries", freed=True)
 
     node = lambda df, label, id_, name, file, repo_: df.select(id_.alias("id"), F.lit(label).alias("label"), name.alias("name"), file.alias("file"), none.alias("qualified"), repo_.alias("repo_id"))
     nodes = symbol_nodes(symbols, repo)
@@ -252,25 +329,17 @@ def build(parsed: DataFrame, sources: DataFrame, repo: str) -> tuple[DataFrame,
     edges = edges.unionByName(edge(tables.join(files, "file", "left_semi"), file_id, "DEFINES", table_id))
 
     # references of all kinds are resolved together
-    calls = parsed.select("file", F.explode("calls").alias("s"))
-    receiver = F.when(~F.col("s.receiver").isin("self", "this", "cls"), F.col("s.receiver"))
-    callers = top_per_key(ids.select("file", F.col("name").alias("caller"), "kind", "id"), ["file", "caller"], [F.when(F.col("kind") == "Method", 0).otherwise(1), F.col("id")]).select("file", "caller", F.col("id").alias("src"))
-    called = calls.select("file", F.col("s.caller").alias("caller"), receiver.alias("receiver"), F.col("s.callee").alias("name")).distinct()
-    called = called.join(callers, ["file", "caller"]).join(import_aliases(parsed), ["file", "name"], "left")
-    inner = i.where("not s.is_external").select("file", F.explode("s.names").alias("name"), F.col("s.module").alias("module"))
-    refs = bases(parsed, repo).unionByName(references(called, "CALLS", F.col("src"), F.col("name"), F.col("receiver"), F.col("module")))
-    refs = refs.unionByName(references(inner, "IMPORTS", file_id, F.col("name"), module=F.col("module"))).unionByName(references(e, "CALLS", endpoint_id, F.col("s.handler")))
-    found = targets(refs, ids, libraries).where("target is not null").select("src", "type", F.col("target").alias("dst"))
-    imported = i.where("s.is_external").select("file", F.col("s.module").alias("module"))
-    edges = edges.unionByName(found.unionByName(edge(imported, file_id, "IMPORTS", library_id)).distinct())
+    refs = rows.where(F.col("what").isin("EXTENDS", "IMPLEMENTS", "IMPORTS", "CALLS")).select("src", F.col("what").alias("type"), "receiver", "name", "module", "target")
+    found = elsewhere(refs, ids, libraries).where("target is not null").select("src", "type", F.col("target").alias("dst"))
+    edges = edges.unionByName(found.distinct()).unionByName(edge(imported, file_id, "IMPORTS", library_id))
 
     classes = symbols.where("label = 'Class'").select("file", "name")
-    models = model_classes(sources).join(classes, ["file", "name"], "left_semi")
+    models = models.join(classes, ["file", "name"], "left_semi")
     edges = edges.unionByName(edge(models, node_id("Class", r, F.col("file"), F.col("name")), "WRITES_TO", node_id("DatabaseTable", F.col("table"))))
-    lines = lambda rows, *parts: rows.select("file", node_id(*parts).alias("id"), "s.start_line", "s.end_line")
-    bodies = lines(parsed.select("file", F.explode("functions").alias("s")), "Function", r, F.col("file"), F.col("s.name"))
-    methods = c.select("file", F.col("s.name").alias("class"), F.explode("s.methods").alias("s"))
+    # texts that name no table are left behind before files are dealt out
+    texts = parsed.select("file", "functions", "classes").join(sources.where(F.col("content").rlike(NAMED) | F.col("content").rlike(MODEL)), "file")
+    lines = lambda rows, *parts: rows.select("file", node_id(*parts).alias("id"), T.slice_lines(F.col("content"), F.col("s.start_line"), F.col("s.end_line")).alias("body"))
+    bodies = lines(texts.select("file", "content", F.explode("functions").alias("s")), "Function", r, F.col("file"), F.col("s.name"))
+    methods = texts.select("file", "content", F.explode("classes").alias("c")).select("file", "content", F.col("c.name").alias("class"), F.explode("c.methods").alias("s"))
     bodies = bodies.unionByName(lines(methods, "Method", r, F.col("file"), F.col("class"), F.col("s.name")))
-    held = tables.select("file").distinct()
-    bodies = bodies.join(held, "file", "left_semi").join(sources.join(held, "file", "left_semi"), "file").select("id", "file", T.slice_lines(F.col("content"), F.col("start_line"), F.col("end_line")).alias("body"))
     return nodes, edges.unionByName(database_access(bodies, tables))

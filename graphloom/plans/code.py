@@ -158,7 +158,7 @@ def linked_files(spark, sf_dir) -> DataFrame:
 
 def linked_orders(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Linked files and their sources."""
-    parsed = stage(linked_files(spark, sf_dir), "linked")
+    parsed = stage(linked_files(spark, sf_dir), "linked", freed=True)
     key = F.col("o_orderkey")
     tab = text("tab_", key % 30)
     line = (

@@ -52,8 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table written to the shared folder and read again: a cut in the lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, freed: bool = False) -> DataFrame:
+    """`df` as a table written to the shared folder and read again: a cut in the lineage that outlives executors.
+
+    `freed`: what was shuffled for it goes as soon as it is written, not when the driver next collects its garbage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(FREED, None)
+    if freed:
+        spark.conf.set(FREED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if freed:
+            spark.conf.set(FREED, before) if before is not None else spark.conf.unset(FREED)
+    return spark.read.schema(df.schema).parquet(path)

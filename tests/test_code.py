@@ -196,6 +196,31 @@ def test_references_together(spark):
     assert plan.count("Join ") <= 30 and plan.count("Window ") <= 12
 
 
+def test_located(spark):
+    """Within a file: the first method of a caller's or a called name, the last import of a name, and each file by itself; what is missing stands for nothing."""
+    one = lambda module, outside, *names: (module, list(names), outside)
+    rows = [
+        ("a.py", [("f", 1, 2), ("f", 3, 4)], [("K", [("f", 1, 2)], ["K", "f"], None)], [one("x", True, "g"), one("y", True, "g"), one("y", False, "z"), one("w", False, "z")], None, [("f", "g", "self"), ("f", "g", "this"), ("lost", "g", None), (None, "g", None), ("K", "K", "R"), ("f", "", None)]),
+        ("b.py", None, None, None, [("/r", "get", "f")], [("f", "f", None)]),
+    ]
+    shape = SHAPE.replace(",start_line:int,end_line:int>>, imports", ">>, imports")
+    got = {tuple(r)[:1] + tuple(r)[2:] for r in graph.located(spark.createDataFrame(rows, shape), "r").where("what not in ('Function', 'Class', 'Method')").collect()}
+    f, k = "Method::r::a.py::K::f", "Class::r::a.py::K"
+    assert got == {
+        ("ExternalLibrary", None, "x", None, None, None, None), ("ExternalLibrary", None, "y", None, None, None, None), ("EXTENDS", None, "K", k, None, None, k), ("EXTENDS", None, "f", k, None, None, f),
+        ("IMPORTS", None, "z", "File::r::a.py", None, None, None), ("IMPORTS", None, "z", "File::r::a.py", None, "w", None), ("CALLS", None, "g", f, None, "y", None), ("CALLS", None, "K", k, "R", None, k),
+        ("CALLS", None, "f", "ApiEndpoint::r::GET::/r", None, None, None),
+    }
+
+
+def test_looked_up(spark):
+    """Frequent keys, all others and no key have the same result as a left join."""
+    rows = spark.createDataFrame([(i, f"k{i % 7 if i % 2 else i}" if i % 5 else None) for i in range(60)], "i int, k string")
+    lookup = spark.createDataFrame([(f"k{i}", i) for i in range(0, 60, 3)], "k string, v int")
+    plain = sorted(tuple(r) for r in rows.join(lookup, "k", "left").select("i", "v").collect())
+    assert all(sorted(tuple(r) for r in graph.looked_up(rows, lookup, "k", most).select("i", "v").collect()) == plain for most in (1, 3, 1000))
+
+
 def test_artifacts_and_cache(spark, parsed, tmp_path):
     cache.write_artifact(parsed, str(tmp_path / "a"), "job1", "me", "shop")
     back = cache.resolve(cache.read_artifact(spark, str(tmp_path / "a")), "me/shop")
